@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, mpeg, pii
+from . import materialise, mixing, mpeg, packing, pii
 from .common import read_documents
 
 
@@ -15,6 +15,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_documents(spark, sf_dir))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_documents(spark, sf_dir))
+
+
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.probe_media(mpeg.encode_documents(read_documents(spark, sf_dir)))
 
@@ -23,11 +27,17 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_documents(read_documents(spark, sf_dir))
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise.materialise(read_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op8_mpeg_audio": op8_mpeg_audio,
         "op9_personal_data": op9_personal_data,
+        "op10_training_order": op10_training_order,
     }
 
 

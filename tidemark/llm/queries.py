@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import materialise, mixing, mpeg, packing, pii
+from . import embedding_dedup, materialise, mixing, mpeg, packing, pii, quality
 from .common import read_documents
 
 
@@ -15,10 +15,18 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_documents(spark, sf_dir))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_documents(spark, sf_dir))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.probe_media(mpeg.encode_documents(read_documents(spark, sf_dir)))
 
@@ -34,7 +42,9 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_quality_classifier": op5_quality_classifier,
         "op8_mpeg_audio": op8_mpeg_audio,
         "op9_personal_data": op9_personal_data,
         "op10_training_order": op10_training_order,

@@ -22,10 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as a compressed table in the shared folder and reads it back."""
+    """Cuts the lineage: writes df as a compressed table in the shared folder and reads it back.
+
+    Nothing needs the shuffle files of the write after it; a collection of the driver's garbage
+    lets Spark's cleaner remove them, so that disk holds those of one step at a time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, materialise, mixing, mpeg, packing, pii, quality
+from . import embedding_dedup, materialise, mixing, mpeg, packing, pii, quality, substring, suffix
 from .common import read_documents
 
 
@@ -27,6 +27,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read_documents(spark, sf_dir))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_later_copies(read_documents(spark, sf_dir))
+
+
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.probe_media(mpeg.encode_documents(read_documents(spark, sf_dir)))
 
@@ -45,6 +53,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_embedding_dedup": op2_embedding_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_mpeg_audio": op8_mpeg_audio,
         "op9_personal_data": op9_personal_data,
         "op10_training_order": op10_training_order,

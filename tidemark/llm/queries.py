@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, materialise, mixing, mpeg, packing, pii, quality, substring, suffix
+from . import embedding_dedup, jaccard_join, materialise, mixing, mpeg, packing, pii, quality, substring, suffix
 from .common import read_documents
 
 
@@ -19,6 +19,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(read_documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_embedding_dedup": op2_embedding_dedup,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_substring_dedup": op6_substring_dedup,

@@ -5,7 +5,8 @@ filled up with the end id. The records are written once as a table; a record's n
 place there, from the row counts of the table's files, so nothing is ranked or moved for it. A
 keyed Feistel network over the next even power of two, walked along its cycle until it falls below
 N, permutes them, so that record i stands in slot p(i) of the training order: no sort by
-random keys, no state, and p can be inverted. Range partitions hold a whole number of shards
+random keys, no state, and p can be inverted. Slots are written in `passes` ranges, one after
+the other, so that the shuffle of one range is on disk at a time. Range partitions hold a whole number of shards
 each and write them as files of fixed-stride records; slot s is at byte
 (s mod shard_slots) * stride of file s div shard_slots, so a reader resumes at any slot by one seek.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from .common import shared_dir, written
 from .packing import cut_documents
 from .tokens import default_tokenizer, encoder
 
-STRIDE_IDS, SHARD_SLOTS, KEY, ROUNDS = 512, 8192, 20_240_607, 6
+STRIDE_IDS, SHARD_SLOTS, KEY, ROUNDS, PASSES = 512, 8192, 20_240_607, 6, 4
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -81,7 +83,7 @@ def _part() -> Column:
     return F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
 
 
-def materialise(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, stride_ids: int = STRIDE_IDS, shard_slots: int = SHARD_SLOTS, key: int = KEY, end_id: int = 0) -> DataFrame:
+def materialise(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, stride_ids: int = STRIDE_IDS, shard_slots: int = SHARD_SLOTS, key: int = KEY, end_id: int = 0, passes: int = PASSES) -> DataFrame:
     """Writes the shards and gives one row per record, read back from its file:
 
     doc_id, piece, start, length (without filling), record, slot, shard, byte_offset, ids_crc32
@@ -141,5 +143,10 @@ def materialise(docs: DataFrame, folder: str | None = None, tokenizer: str | Non
     numbered = records.select(*front, _part().alias("_part"), F.col("_metadata.row_index").alias("_row"))
     placed = numbered.mapInArrow(number, "doc_id long, piece int, start long, length long, ids binary, record long, slot long, shard long")
     # a shard is a range of slots and the partition of its number, so no range has to be sampled
-    ordered = placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
-    return ordered.mapInArrow(write, ", ".join(f"{c} long" for c in longs) + ", piece int, path string")
+    out = []
+    for k in range(min(passes, shards)):
+        low, high = shards * k // min(passes, shards), shards * (k + 1) // min(passes, shards)
+        part = placed.where(F.col("shard").between(low, high - 1))
+        ordered = part.repartitionById(high - low, (F.col("shard") - low).cast("int")).sortWithinPartitions("slot")
+        out.append(written(ordered.mapInArrow(write, ", ".join(f"{c} long" for c in longs) + ", piece int, path string"), f"index-{k}"))
+    return reduce(DataFrame.unionByName, out)

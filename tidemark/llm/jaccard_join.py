@@ -291,6 +291,17 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each group of linked texts, that of the smallest id, and all their columns.
+
+    Rows without shingles stay; rows that repeat an id and a text are one.
+    """
+    groups = join_documents(docs, words, percent, id_col, text_col)
+    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return out.withColumn("_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_hash"]).drop("_hash")
+
+
 def _by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of one shingle after the other, from rows in order of shingle."""
     pending: list[pa.RecordBatch] = []

@@ -101,10 +101,12 @@ def mix_sources(
     max_shards: int = MAX_SHARDS,
     seed: str = SEED,
     keep: tuple[str, ...] = (),
+    ranges: bool = False,
 ) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, source, shard, and `keep`.
 
-    The columns in `keep` are carried along for callers that need the rows themselves.
+    The columns in `keep` are carried along. ranges adds what take_documents needs: passes, how
+    often the whole text is taken, and ranges, array<struct<start, words>>, what is taken besides.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *[F.col(c).alias(f"_kept_{i}") for i, c in enumerate(keep)])
@@ -150,6 +152,29 @@ def mix_sources(
     pieces = pieces.withColumn("piece", piece).withColumn("ahead", F.sum("piece").over(chosen.rowsBetween(W.unboundedPreceding, 0)) - F.col("piece"))
     got = F.greatest(F.lit(0), F.least(F.col("piece"), F.col("more") - F.col("ahead")))
     one = [c for c in x.columns if c not in ("source", "shard", "pos", "begin", "words", "more", "n_shards", "quota", "weight", "shard_size")]
-    out = pieces.groupBy("source", "shard", "pos").agg(*[F.first(c).alias(c) for c in one], F.sum(got).alias("_got"))
+    out = pieces.groupBy("source", "shard", "pos").agg(*[F.first(c).alias(c) for c in one], F.sum(got).alias("_got"), *[F.array_sort(F.collect_list(F.when(got > 0, F.struct((F.greatest(F.col("begin"), F.col("block") * block_tokens) - F.col("begin")).cast("int").alias("start"), got.cast("int").alias("words"))))).alias("ranges")] * ranges)
     taken = (F.col("passes") * F.col("size") + F.col("_got")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "shard", *[F.col(f"_kept_{i}").alias(c) for i, c in enumerate(keep)])
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "shard", *[F.col(f"_kept_{i}").alias(c) for i, c in enumerate(keep)], *["passes", "ranges"] * ranges)
+
+
+def take_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", **settings) -> DataFrame:
+    """docs as the mix takes them: a text as often as it is taken whole, then the words taken besides.
+
+    Texts are moved once. A part of a text is its words joined by a space, with its length in
+    length_col; a text of which nothing is taken goes. The columns are those of docs.
+    """
+    key = F.xxhash64(id_col, text_col)
+    taken = mix_sources(docs.withColumn("_key", key), id_col, text_col, source_col, keep=("_key",), ranges=True, **settings).where("taken > 0")
+    # rows equal in id and text have a decision each and share a text
+    first = docs.withColumn("_key", key).withColumn("_nth", F.row_number().over(W.partitionBy("_key").orderBy(id_col))).where("_nth = 1").drop("_nth")
+    x = first.join(taken.select("_key", "size", "passes", "ranges"), "_key")
+    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    rest = F.aggregate("ranges", F.lit(0), lambda n, r: n + r["words"])
+    part = F.array_join(F.transform("ranges", lambda r: F.array_join(F.slice(words, r["start"] + 1, r["words"]), " ")), " ")
+    whole = (F.col("passes") + F.when(rest == F.col("size"), F.lit(1)).otherwise(F.lit(0))).cast("int")
+    texts = F.array_repeat(F.col(text_col), whole)
+    texts = F.when((rest > 0) & (rest < F.col("size")), F.concat(texts, F.array(part))).otherwise(texts)
+    out = x.withColumn("_text", F.explode(texts))
+    length = F.when(F.col("_text") == F.col(text_col), F.col(length_col)).otherwise(F.char_length("_text").cast("long"))
+    values = {text_col: F.col("_text"), length_col: length.cast(docs.schema[length_col].dataType)}
+    return out.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])

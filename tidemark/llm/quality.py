@@ -178,25 +178,56 @@ def fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 3
 
 
+def _training_rows(labels: DataFrame, label_col: str, id_col: str, max_labelled: int) -> DataFrame:
+    """(_id, label) of folds 0 and 2: all of them, or about 2 * max_labelled by a hash of the id."""
+    labelled = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
+    rows = labelled.where(fold(F.col("_id")) != 1)
+    part = min(1.0, 2.0 * max_labelled / max(1, rows.count()))
+    return rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(part * (1 << 30))) if part < 1 else rows
+
+
+def _fit_known(known: DataFrame) -> Model:
+    return fit(known.where(fold(F.col("doc_id")) == 0), known.where(fold(F.col("doc_id")) == 2))
+
+
+def _scores(model: Model, column: pa.Array) -> np.ndarray:
+    return model.score(column.flatten().to_numpy().reshape(-1, len(STATISTICS)).astype(np.float64))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Rows of fold 0 fit the ridge weights, rows of fold 2 calibrate, rows of fold 1 do neither.
     """
     stats = written(describe(docs, id_col, text_col), "statistics")
-    labelled = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
-    rows = labelled.where(fold(F.col("_id")) != 1)
-    part = min(1.0, 2.0 * max_labelled / max(1, rows.count()))
-    if part < 1:
-        rows = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
+    rows = _training_rows(labels, label_col, id_col, max_labelled)
     known = written(stats.join(rows, F.col("doc_id") == F.col("_id")).select("doc_id", "stats", "label"), "labelled")
-    model = fit(known.where(fold(F.col("doc_id")) == 0), known.where(fold(F.col("doc_id")) == 2))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(_fit_known(known))  # of fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = shared.value.score(batch.column(2).flatten().to_numpy().reshape(-1, len(STATISTICS)).astype(np.float64))
+            got = _scores(shared.value, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
     return stats.select(F.col("doc_id").cast("long"), held, "stats").mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, least: float = 0.5) -> DataFrame:
+    """The rows of docs that score at least `least`, with all their columns; texts are not moved.
+
+    The training rows are broadcast: at most about 2 * max_labelled pairs of numbers.
+    """
+    rows = F.broadcast(_training_rows(labels, label_col, id_col, max_labelled))
+    some = docs.join(rows, F.col(id_col) == F.col("_id")).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), "label")
+    known = written(describe(some.select(F.struct("doc_id", "label").alias("doc_id"), "text")).select("doc_id.doc_id", "stats", "doc_id.label"), "labelled")
+    shared = docs.sparkSession.sparkContext.broadcast(_fit_known(known))  # of fixed size
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                flat = np.array([statistics(t) for t in batch.column(at).to_pylist()], np.float32)
+                yield batch.filter(pa.array(shared.value.score(flat.astype(np.float64)) >= least))
+
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(work, docs.schema)

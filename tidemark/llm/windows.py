@@ -47,7 +47,7 @@ class Ranges:
     """Hashes of ranges of a sequence of 64-bit values."""
 
     def __init__(self, values: np.ndarray, base: int = BASES[0]) -> None:
-        bits = max(20, int(len(values)).bit_length())
+        bits = max(18, int(len(values)).bit_length())
         power, self.inverse = _powers(base, bits)
         self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * power[: len(values)], out=self.sums[1:])
@@ -87,7 +87,7 @@ class Texts:
         return hashes, begin, end, np.concatenate([np.searchsorted(begin, self.start), [len(begin)]])
 
 
-def batches_of(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def batches_of(column: pa.Array, most: int = 256 << 10) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as bytes) in runs of about `most` bytes; a null is an empty text."""
     first, got, size = 0, [], 0
     for i, text in enumerate(column.cast(pa.binary()).to_pylist()):

@@ -7,8 +7,9 @@ pivot alone does not part a corpus. Regions are therefore begun where they tell
 2. Of a set of n shingles, n - ceil(c n) + 1 stand for it: similar sets share one of them in
    any common order. The order is by hash, with shingles that very many sets would choose put
    last. The classes that share such a shingle are a region.
-3. Each region has a pivot, its least class, and every class is compared with the pivot: a
-   large region of near copies is one component after this, with a pair a member.
+3. Each region has a pivot, its least class, and every class is compared with the pivot. Large
+   regions that are still in several components meet further pivots: a region of near copies
+   becomes one component with a few pairs a member, however large it is.
 4. Where members of a region are in different components, the region is joined recursively:
    pivots, a Voronoi cell for each, members within the triangle inequality's window of a cell
    boundary given to both cells, until a cell is small. The metric is the Hamming distance of
@@ -32,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, discard, written
 from .windows import BASES, Ranges, Texts, batches_of, mix
 
 WORDS, PERCENT = 5, 75
 #: A shingle that more classes would choose goes last in the order; at most so many do (8 bytes each are broadcast).
-HOT, MOST_HOT = 48, 1_000_000
+HOT, MOST_HOT = 16, 1_000_000
 #: Regions up to this many classes list their pairs; larger ones, and cells above it, are cut by pivots.
 SMALL = 64
+#: Further pivots that large regions in several components meet before they are cut.
+PIVOTS = 4
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -206,7 +209,9 @@ def _exact(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, p
     found = written(texts.select("key", "text").join(wanted, "key", "left_semi"), "texts")
     text = lambda s: found.select(F.col("key").alias(f"k{s}"), F.col("text").alias(f"t{s}"))
     full = near.join(text("a"), "ka").join(text("b"), "kb").select("a", "b", "ta", "tb")
-    return written(full.mapInArrow(verify, "a long, b long").distinct(), "links")
+    links = written(full.mapInArrow(verify, "a long, b long").distinct(), "links")
+    discard(near, found)
+    return links
 
 
 def _members(prefixes: DataFrame) -> DataFrame:
@@ -231,7 +236,15 @@ def _hot_last(regions: DataFrame, classes: DataFrame, texts: DataFrame, words: i
     again = describe(texts.join(touched.select("key").distinct(), "key", "left_semi"), words, percent, hot)
     again = written(again.select("class", "prefix").join(touched.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]), "again")
     rest = classes.select("class", "prefix").join(again.select("class"), "class", "left_anti")
-    return written(rest.unionByName(again), "prefixes")
+    out = written(rest.unionByName(again), "prefixes")
+    discard(touched, again)
+    return out
+
+
+def _placed(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """members with n and part, the component of their class by the links."""
+    parts = classes.select("class", "n").join(components(links), F.col("class") == F.col("node"), "left").select("class", "n", F.coalesce("component", "class").alias("part"))
+    return members.join(parts, "class").select("shingle", "class", "n", "part", "members")
 
 
 def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,14 +252,18 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # the text of a class is found by a key of its row, as a doc_id may repeat or be null
     texts = texts.withColumn("key", F.xxhash64("doc_id", "text"))
-    described = written(describe(texts, words, percent), "described")
-    of_class = described.where("class IS NOT NULL").groupBy("class", "check")
-    classes = written(of_class.agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix")), "classes")
-    regions = _regions(classes)
-    prefixes = _hot_last(regions, classes, texts, words, percent)
+    whole = written(describe(texts, words, percent), "described")
+    described = written(whole.select("doc_id", "n", "class", "check"), "rows")
+    of_class = whole.where("class IS NOT NULL").groupBy("class", "check")
+    first = written(of_class.agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix")), "classes")
+    discard(whole)
+    regions = _regions(first)
+    prefixes = _hot_last(regions, first, texts, words, percent)
+    classes = written(first.drop("prefix"), "sets")
     if prefixes is None:
-        prefixes = classes.select("class", "prefix")
+        prefixes = first.select("class", "prefix")
     else:
+        discard(first, regions)
         regions = _regions(prefixes)
 
     # a region of two is a pair; in a larger one each member meets the pivot
@@ -255,10 +272,17 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     pairs = regions.where("members = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
     pairs = pairs.unionByName(members.select(F.col("class").alias("a"), F.col("pivot").alias("b")))
     links = _exact(pairs, classes, texts, words, percent)
+    for turn in range(PIVOTS):
+        placed = _placed(members.where(F.col("members") > SMALL), classes, links)
+        pivot = placed.groupBy("shingle").agg(F.min("part").alias("one"), F.max("part").alias("other"), F.min_by(F.struct("class", "part"), F.xxhash64("class", F.lit(turn))).alias("pivot")).where("one < other").select("shingle", "pivot")
+        stars = placed.join(pivot, "shingle").where("part <> pivot.part").select(F.col("class").alias("a"), F.col("pivot.class").alias("b")).distinct()
+        more = _exact(stars, classes, texts, words, percent)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
 
     # what a region has in several components is joined by pivots; its first pivot met everyone
-    parts = classes.select("class", "n").join(components(links), F.col("class") == F.col("node"), "left").select("class", "n", F.coalesce("component", "class").alias("part"))
-    placed = members.join(parts, "class").select("shingle", "class", "n", "part", "members")
+    placed = _placed(members, classes, links)
     several = placed.groupBy("shingle").agg(F.min("part").alias("one"), F.max("part").alias("other")).where("one < other").select("shingle")
     mixed = written(placed.join(several, "shingle"), "mixed")
 

@@ -76,8 +76,8 @@ def runs_of(keyed: DataFrame, unit: str, window: int, fragment: int) -> DataFram
                 context = _context(seq, begin, end + window, before, n)
                 text = np.searchsorted(seq.first, at, "right") - 1
                 # texts without units share their begin with the next one: the last of these has the unit
-                rows = batch.slice(row, len(texts)).take(pa.array(text))
-                cols = [pa.array(seq.one.of(at, at + fragment).view(np.int64)), pa.array(context), rows.column(0), rows.column(1)]
+                ids = [batch.column(i).slice(row, len(texts)).take(pa.array(text)) for i in (0, 1)]
+                cols = [pa.array(seq.one.of(at, at + fragment).view(np.int64)), pa.array(context), *ids]
                 cols += [pa.array((at - seq.first[text]).astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(n.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, ["anchor", "context", "doc_id", "text_hash", "at", "before", "n"])
 

@@ -167,13 +167,13 @@ def take_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     taken = mix_sources(docs.withColumn("_key", key), id_col, text_col, source_col, keep=("_key",), ranges=True, **settings).where("taken > 0")
     # rows equal in id and text have a decision each and share a text
     first = docs.withColumn("_key", key).withColumn("_nth", F.row_number().over(W.partitionBy("_key").orderBy(id_col))).where("_nth = 1").drop("_nth")
-    x = first.join(taken.select("_key", "size", "passes", "ranges"), "_key")
+    x = first.join(taken.select("_key", F.col("size").alias("_size"), F.col("passes").alias("_passes"), F.col("ranges").alias("_ranges")), "_key")
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    rest = F.aggregate("ranges", F.lit(0), lambda n, r: n + r["words"])
-    part = F.array_join(F.transform("ranges", lambda r: F.array_join(F.slice(words, r["start"] + 1, r["words"]), " ")), " ")
-    whole = (F.col("passes") + F.when(rest == F.col("size"), F.lit(1)).otherwise(F.lit(0))).cast("int")
+    rest = F.aggregate("_ranges", F.lit(0), lambda n, r: n + r["words"])
+    part = F.array_join(F.transform("_ranges", lambda r: F.array_join(F.slice(words, r["start"] + 1, r["words"]), " ")), " ")
+    whole = (F.col("_passes") + F.when(rest == F.col("_size"), F.lit(1)).otherwise(F.lit(0))).cast("int")
     texts = F.array_repeat(F.col(text_col), whole)
-    texts = F.when((rest > 0) & (rest < F.col("size")), F.concat(texts, F.array(part))).otherwise(texts)
+    texts = F.when((rest > 0) & (rest < F.col("_size")), F.concat(texts, F.array(part))).otherwise(texts)
     out = x.withColumn("_text", F.explode(texts))
     length = F.when(F.col("_text") == F.col(text_col), F.col(length_col)).otherwise(F.char_length("_text").cast("long"))
     values = {text_col: F.col("_text"), length_col: length.cast(docs.schema[length_col].dataType)}

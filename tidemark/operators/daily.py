@@ -8,36 +8,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import c, clamp, half_up, pct_change, reasons, total
 
-BY = W.partitionBy("ticker").orderBy("date")
+
+def by() -> WindowSpec:
+    """The window of a ticker in order of date."""
+    return W.partitionBy("ticker").orderBy("date")
+
 
 #: Thresholds of the stock screen.
 GATES = {"turnover": 20_000_000.0, "hma9_slope": 0.0, "hma20_slope": 0.0, "to_hma_low": 0.0, "to_hma_high": 6.0, "momentum5": 18.0, "position": 0.72}
 
 
-def wma(x: str | Column, n: int, w=BY) -> Column:
+def wma(x: str | Column, n: int, w: WindowSpec | None = None) -> Column:
     """Weighted moving average, weights 1..n, the newest heaviest; null if any value is."""
+    w = w if w is not None else by()
     return total([F.lag(c(x), k).over(w) * (n - k) if k else c(x) * n for k in range(n)]) / (n * (n + 1) / 2)
 
 
-def with_hma(bars: DataFrame, n: int, out: str, close: str = "close", w=BY) -> DataFrame:
+def with_hma(bars: DataFrame, n: int, out: str, close: str = "close", w: WindowSpec | None = None) -> DataFrame:
     """Hull moving average: WMA over floor(sqrt n) of 2 WMA(n / 2) - WMA(n)."""
     raw = f"_raw_{out}"
     bars = bars.withColumn(raw, 2 * wma(close, max(1, n // 2), w) - wma(close, n, w))
     return bars.withColumn(out, wma(raw, max(1, int(n**0.5)), w)).drop(raw)
 
 
-def full_avg(x: str | Column, first: int, last: int, w=BY) -> Column:
+def full_avg(x: str | Column, first: int, last: int, w: WindowSpec | None = None) -> Column:
     """Average of the rows first..last around each, null unless all are there and not null."""
-    frame = w.rowsBetween(first, last)
+    frame = (w if w is not None else by()).rowsBetween(first, last)
     return F.when(F.count(c(x)).over(frame) == last - first + 1, F.avg(c(x)).over(frame))
 
 
-def lag_pct(x: str, k: int, w=BY) -> Column:
-    return pct_change(x, F.lag(x, k).over(w))
+def lag_pct(x: str, k: int, w: WindowSpec | None = None) -> Column:
+    return pct_change(x, F.lag(x, k).over(w if w is not None else by()))
 
 
 def streak(df: DataFrame, cond: Column, out: str, keys: list[str], order: list[str]) -> DataFrame:
@@ -55,7 +61,7 @@ def features(bars: DataFrame) -> DataFrame:
     x = x.withColumn("hma9_slope", lag_pct("hma9", 1)).withColumn("hma20_slope", lag_pct("hma20", 1))
     return x.select(
         "*",
-        (F.col("hma9_slope") - F.lag("hma9_slope").over(BY)).alias("hma9_acceleration"),
+        (F.col("hma9_slope") - F.lag("hma9_slope").over(by())).alias("hma9_acceleration"),
         pct_change("close", "hma9").alias("close_to_hma9"),
         (F.col("volume") / full_avg("volume", -20, -1)).alias("volume_ratio"),
         (F.col("volume") / full_avg("volume", -3, -1)).alias("volume_acceleration"),
@@ -101,7 +107,7 @@ def foreign_features(bars: DataFrame, flows: DataFrame) -> DataFrame:
     """
     x = bars.join(flows.select("ticker", "date", "net"), ["ticker", "date"], "left")
     x = streak(x, F.col("net") > 0, "run", ["ticker"], ["date"])
-    three, twenty = BY.rowsBetween(-2, 0), BY.rowsBetween(-19, 0)
+    three, twenty = by().rowsBetween(-2, 0), by().rowsBetween(-19, 0)
     known3, known20 = F.count("net").over(three), F.count("net").over(twenty)
     past = F.collect_list("net").over(twenty)
     volume3 = F.when(F.count("volume").over(three) == 3, F.sum("volume").over(three))
@@ -183,7 +189,7 @@ def ranking(screened: DataFrame, top: int | None = None) -> DataFrame:
 def hma_state(bars: DataFrame, n: int = 20) -> DataFrame:
     """Trend state of every bar by the Hull average, as rounded to 4 digits, and its slope."""
     x = with_hma(bars, n, "hma").withColumn("hma", half_up("hma", 4))
-    x = x.withColumn("hma_before", F.lag("hma").over(BY)).withColumn("close_before", F.lag("close").over(BY))
+    x = x.withColumn("hma_before", F.lag("hma").over(by())).withColumn("close_before", F.lag("close").over(by()))
     slope, close, hma = F.col("hma") - F.col("hma_before"), F.col("close"), F.col("hma")
     up = (F.col("close_before") <= F.col("hma_before")) & (close > hma)
     down = (F.col("close_before") >= F.col("hma_before")) & (close < hma)

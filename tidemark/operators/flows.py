@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.daily import BY, streak, wma
+from tidemark.operators.daily import by, streak, wma
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str = "place") -> DataFrame:
@@ -62,7 +62,7 @@ def large_holders(levels: DataFrame, least: int) -> DataFrame:
 
 def forward_returns(bars: DataFrame, n: int) -> DataFrame:
     """Percent from each close to the close n bars on."""
-    return bars.withColumn("forward", (F.lead("close", n).over(BY) / F.col("close") - 1) * 100)
+    return bars.withColumn("forward", (F.lead("close", n).over(by()) / F.col("close") - 1) * 100)
 
 
 def return_summary(df: DataFrame, keys: list[str], value: str = "forward") -> DataFrame:
@@ -72,14 +72,14 @@ def return_summary(df: DataFrame, keys: list[str], value: str = "forward") -> Da
 
 def false_breakouts(bars: DataFrame, n: int, drop_pct: float = 3.0) -> DataFrame:
     """Buy crossings followed within n bars by a close below the average, or a fall by drop_pct; the rate is over all crossings."""
-    w = BY.rowsBetween(1, n)
+    w = by().rowsBetween(1, n)
     x = bars.withColumn("under", F.max((F.col("close") < F.col("hma")).cast("int")).over(w)).withColumn("lowest", F.min("low").over(w)).withColumn("later", F.count("*").over(w))
     bad = (F.col("later") > 0) & ((F.col("under") == 1) | (F.col("lowest") <= F.col("close") * (1 - drop_pct / 100)))
     return x.where("crossed_up").groupBy("ticker").agg(F.count("*").alias("signals"), F.count_if(F.col("later") > 0).alias("checked"), F.count_if(bad).alias("false_ones")).withColumn("false_rate", F.col("false_ones") / F.col("signals") * 100)
 
 
 def volume_confirmed(bars: DataFrame, n: int, ratio: float = 1.2) -> Column:
-    return F.col("volume") > ratio * F.avg("volume").over(BY.rowsBetween(-n, -1))
+    return F.col("volume") > ratio * F.avg("volume").over(by().rowsBetween(-n, -1))
 
 
 def liquidity(bars: DataFrame, n: int, lot_share: float = 0.01) -> DataFrame:
@@ -91,7 +91,7 @@ def liquidity(bars: DataFrame, n: int, lot_share: float = 0.01) -> DataFrame:
 
 def moving_facts(bars: DataFrame) -> DataFrame:
     """Averages of 5, 10, 20 bars, turnover ratio, 20-bar extremes with their dates, and the retracement."""
-    frame = lambda n: BY.rowsBetween(-(n - 1), 0)
+    frame = lambda n: by().rowsBetween(-(n - 1), 0)
     full = lambda x, n: F.when(F.count("*").over(frame(n)) == n, x)
     hi, lo = F.max("high").over(frame(20)), F.min("low").over(frame(20))
     x = bars.select(
@@ -150,9 +150,9 @@ def chip_events(bars: DataFrame, net: DataFrame) -> DataFrame:
 
 def decisions(daily: DataFrame, liquid: float) -> DataFrame:
     """A decision for every bar from windows alone, instead of a run per day."""
-    x = daily.withColumn("ma20", F.when(F.count("*").over(BY.rowsBetween(-19, 0)) == 20, F.avg("close").over(BY.rowsBetween(-19, 0)))).withColumn("w10", wma("close", 10))
+    x = daily.withColumn("ma20", F.when(F.count("*").over(by().rowsBetween(-19, 0)) == 20, F.avg("close").over(by().rowsBetween(-19, 0)))).withColumn("w10", wma("close", 10))
     decision = (
-        F.when(F.col("turnover") < liquid, "avoid_liquidity").when(F.col("ma20").isNull(), "watch").when((F.col("close") > F.col("ma20")) & (F.col("w10") > F.lag("w10").over(BY)) & (F.col("close") <= F.col("ma20") * 1.06), "buy_watch")
+        F.when(F.col("turnover") < liquid, "avoid_liquidity").when(F.col("ma20").isNull(), "watch").when((F.col("close") > F.col("ma20")) & (F.col("w10") > F.lag("w10").over(by())) & (F.col("close") <= F.col("ma20") * 1.06), "buy_watch")
         .when((F.col("close") > F.col("ma20")) & (F.col("close") > F.col("ma20") * 1.06), "wait_pullback").when(F.col("close") > F.col("ma20"), "hold_or_scale").when(F.col("close") < F.col("ma20") * 0.94, "avoid_trend").otherwise("watch")
     )
     return x.withColumn("decision", decision)

@@ -246,4 +246,4 @@ def read_steps(df: DataFrame, steps: DataFrame, score: str, out: str) -> DataFra
     table = F.broadcast(steps.agg(F.array_sort(F.collect_list(F.struct("bound", "value"))).alias("_steps")))
     x = df.crossJoin(table)
     hit = F.filter("_steps", lambda s: s["bound"] >= F.col(score))
-    return x.withColumn(out, F.coalesce(F.element_at(F.transform(F.slice(hit, 1, 1), lambda s: s["value"]), 1), F.element_at("_steps", -1)["value"])).drop("_steps")
+    return x.withColumn(out, F.coalesce(F.get(hit, F.lit(0))["value"], F.element_at("_steps", -1)["value"])).drop("_steps")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as a Java regular expression; a word is a run of anything else.
@@ -47,40 +47,44 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Edges of one partition of a component table, about.
+EDGE_ROWS = 50_000
+
+
+def _written_edges(edges: DataFrame, rows: int) -> tuple[DataFrame, int, int]:
+    """The edges as a table in partitions that suit `rows`, with their number and a fingerprint, from one job."""
+    seen = Observation()
+    total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    sized = edges.distinct().coalesce(max(1, -(-rows // EDGE_ROWS)))
+    out = written(sized.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("sum")), "edges")
+    return out, seen.get["n"], int(seen.get["sum"] or 0)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph as (node, component), component the smallest node.
 
-    edges: columns a, b (long, not null). Only nodes with an edge to another node come back.
+    edges: columns a, b (long, not null). Only nodes with an edge to a smaller node come back.
     Alternating large-star and small-star steps (Kiveris et al., 2014): each round is two
     grouped minima and never holds a component in one task; rounds grow with the logarithm of
     the longest path. Every round is written to the shared folder, so a lost executor costs
-    one round at most.
+    one round at most, and in partitions that suit the number of edges.
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if e.isEmpty():
-        return e.selectExpr("a AS node", "b AS component")
-
-    def step(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            near = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        else:
-            near = e
-        low = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        out = near.join(low, "a")
-        if large:
-            out = out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = out.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
-
-    print_of = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = print_of(e)
-    for _ in range(rounds):
-        e = written(step(step(e, True), False), "stars")
-        now = print_of(e)
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    e, n, before = _written_edges(e, e.count())
+
+    for _ in range(rounds if n else 0):
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(low, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        last = e
+        e, n, now = _written_edges(small, n)
+        discard(last)
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError("components did not settle")
+        if n:
+            raise RuntimeError("components did not settle")
     return e.selectExpr("a AS node", "b AS component")

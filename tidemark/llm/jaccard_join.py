@@ -42,7 +42,7 @@ HOT, MOST_HOT = 16, 1_000_000
 #: Regions up to this many classes list their pairs; larger ones, and cells above it, are cut by pivots.
 SMALL = 64
 #: Further pivots that large regions in several components meet before they are cut.
-PIVOTS = 4
+PIVOTS = 3
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -276,6 +276,9 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         placed = _placed(members.where(F.col("members") > SMALL), classes, links)
         pivot = placed.groupBy("shingle").agg(F.min("part").alias("one"), F.max("part").alias("other"), F.min_by(F.struct("class", "part"), F.xxhash64("class", F.lit(turn))).alias("pivot")).where("one < other").select("shingle", "pivot")
         stars = placed.join(pivot, "shingle").where("part <> pivot.part").select(F.col("class").alias("a"), F.col("pivot.class").alias("b")).distinct()
+        stars = written(stars, "stars")
+        if stars.isEmpty():
+            break
         more = _exact(stars, classes, texts, words, percent)
         if more.isEmpty():
             break

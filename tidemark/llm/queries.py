@@ -20,7 +20,7 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join_documents(read_documents(spark, sf_dir))
+    return jaccard_join.join_documents(read_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(read_documents(spark, sf_dir))
+    return substring.remove_repeats(read_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +66,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = r"list_filter(string_split_regex(coalesce({text}, ''), '[ \x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REACH = """reach AS (SELECT DISTINCT a AS s, a AS t FROM links UNION SELECT s, b FROM reach JOIN links ON t = a),
+    least_of AS (SELECT s, min(t) AS component FROM reach GROUP BY 1)"""
+
+_SQL = {
+    "op2_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id
+        WHERE list_inner_product(p.e, q.e) / (sqrt(list_inner_product(p.e, p.e)) * sqrt(list_inner_product(q.e, q.e))) >= 0.98),
+    {_REACH}, n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+    SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+    FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN least_of ON s = vec_id""",
+    "op3_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
+    sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    common AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM sh p JOIN sh q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    {_REACH}
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON s = d.doc_id""",
+    "op6_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS.format(text='text')} AS w FROM documents),
+    win AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+    again AS (SELECT k FROM win GROUP BY 1 HAVING count(*) > 1),
+    gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(generate_series(i, i + 34)) AS p FROM win JOIN again USING (k)) GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+        sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

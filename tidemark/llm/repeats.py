@@ -4,11 +4,13 @@ A run is a maximal stretch of window starts of a text that share an anchor (see
 average one run stands for 10 windows of 35 words or 31 windows of 100 bytes. A run's context
 is the text of all its windows. A window's anchor and offset depend on its content, so:
 
-1. Equal contexts are counted, aggregated before the shuffle: all windows of a context that
+1. Runs whose anchor occurs once have no repeated window and go.
+2. Equal contexts are counted, aggregated before the shuffle: all windows of a context that
    occurs twice occur twice.
-2. Only where an anchor has several contexts, the windows of one occurrence of each context are
-   compared by hash. Copies add nothing to that, whatever the size of their group.
-3. The outcome goes back to every occurrence by a join on (anchor, context), whose hot keys
+3. Only where an anchor has several contexts, the windows of one occurrence of each context are
+   compared by hash. Copies add nothing to that, whatever the size of their group. An anchor's
+   contexts meet in one task, or if they are over CROWD, their windows are counted one by one.
+4. The outcome goes back to every occurrence by a join on (anchor, context), whose hot keys
    Spark splits, and to its text by document.
 
 Identities are 128 bits: the anchor's 64-bit hash and one by an independent base. Every step is
@@ -24,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .windows import BASES, Ranges, Texts, anchors, batches_of, byte_values, mix
 
-#: Windows of a run at most; two 63-bit masks hold them.
+#: Bits of a mask; two masks hold the windows of a run.
 _MASK = 63
+#: Contexts of an anchor that are compared in one task at most, and rows of a task's step, about.
+CROWD, _CHUNK = 5000, 20_000
 
 
 class Sequences:
@@ -90,8 +94,78 @@ def place(doc: str | Column = "doc_id", at: str | Column = "at") -> Column:
     return (F.coalesce(doc, F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**40).cast("decimal(13,0)") + at.cast("decimal(12,0)")).cast("decimal(38,0)")
 
 
+def solve_windows(table: pa.Table, keep_first: bool) -> pa.RecordBatch:
+    """Which windows of contexts repeat, from all contexts of some anchors: (anchor, context, low, high)."""
+    get = lambda c: table.column(c).to_numpy()
+    anchor, context, before, occurs, doc, at = (get(c) for c in ("anchor", "context", "before", "occurs", "first_doc", "first_at"))
+    lists = table.column("hashes").combine_chunks()
+    n = np.diff(lists.offsets.to_numpy())
+    hashes = lists.flatten().to_numpy()
+    which = np.repeat(np.arange(len(anchor)), n)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    offset = step - before[which]
+    by_place = np.lexsort((at, doc))
+    later = (np.diff(doc[by_place], prepend=doc[by_place][:1]) != 0) | (np.diff(at[by_place], prepend=at[by_place][:1]) != 0)
+    place = np.empty(len(anchor), np.int64)
+    place[by_place] = np.cumsum(later)  # equal places have equal numbers
+    order = np.lexsort((hashes, offset, anchor[which]))
+    w = which[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (anchor[w][1:] != anchor[w][:-1]) | (offset[order][1:] != offset[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+    first = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    if keep_first:
+        hit = place[w] > np.minimum.reduceat(place[w], first)[group]
+    else:
+        hit = np.add.reduceat(occurs[w], first)[group] > 1
+    w, step = w[hit], step[order][hit]
+    masks = np.zeros((2, len(anchor)), np.int64)
+    for half in (0, 1):
+        mine = (step >= half * _MASK) & (step < (half + 1) * _MASK)
+        np.bitwise_or.at(masks[half], w[mine], np.int64(1) << (step[mine] - half * _MASK))
+    some = np.flatnonzero(masks.any(0))
+    return pa.RecordBatch.from_arrays([pa.array(anchor[some]), pa.array(context[some]), pa.array(masks[0][some]), pa.array(masks[1][some])], ["anchor", "context", "low", "high"])
+
+
+def _solved(rows: DataFrame, keep_first: bool) -> DataFrame:
+    """Masks of contexts whose anchors have at most CROWD of them: an anchor's contexts meet in one task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            key = batch.column("anchor").to_numpy()
+            if size >= _CHUNK and batch.num_rows:
+                # the anchor that was begun goes on with this batch; the rest is complete
+                last = pending[-1].column("anchor")[-1].as_py()
+                more = int(np.searchsorted(key != last, True)) if key[0] == last else 0
+                pending.append(batch.slice(0, more))
+                batch = batch.slice(more)
+                if batch.num_rows:
+                    yield solve_windows(pa.Table.from_batches(pending), keep_first)
+                    pending, size = [], 0
+            if batch.num_rows:
+                pending.append(batch)
+                size += batch.num_rows
+        if pending:
+            yield solve_windows(pa.Table.from_batches(pending), keep_first)
+
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(work, "anchor long, context long, low long, high long")
+
+
+def _solved_apart(rows: DataFrame, keep_first: bool) -> DataFrame:
+    """The same for anchors with more contexts: a row per window, counted by hash, so no group meets in a task."""
+    flat = rows.select("anchor", "context", "before", "occurs", place("first_doc", "first_at").alias("first_place"), F.posexplode("hashes").alias("step", "hash")).withColumn("offset", F.col("step") - F.col("before"))
+    same = ["anchor", "offset", "hash"]
+    counted = flat.groupBy(*same).agg(F.sum("occurs").alias("total"), F.min("first_place").alias("least")).where("total > 1")
+    hit = flat.join(counted, same)
+    hit = hit.where(F.col("least") < F.col("first_place")) if keep_first else hit
+    bit = lambda lo: F.bit_or(F.when((F.col("step") >= lo) & (F.col("step") < lo + _MASK), F.expr(f"shiftleft(1L, step - {lo})")).otherwise(F.lit(0).cast("long")))
+    return hit.groupBy("anchor", "context").agg(bit(0).alias("low"), bit(_MASK).alias("high"))
+
+
 def _window_hashes(reps: DataFrame, unit: str, window: int) -> DataFrame:
-    """reps (doc_id, text_hash, text, runs) to a row per window: anchor, offset, hash, context, occurrences, place."""
+    """reps (text, runs) to a row per context with the hashes of its windows, in order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,26 +173,26 @@ def _window_hashes(reps: DataFrame, unit: str, window: int) -> DataFrame:
                 seq = Sequences(texts, unit)
                 lists = batch.column(1).slice(row, len(texts))
                 sizes = np.array([len(x) for x in lists], np.int64)
-                runs = pa.concat_arrays([x.values for x in lists if len(x)]) if sizes.sum() else None
-                if runs is None:
+                if not sizes.sum():
                     continue
+                runs = pa.concat_arrays([x.values for x in lists if len(x)])
                 base, limit = np.repeat(seq.first, sizes), np.repeat(seq.last, sizes)
-                of = {f: runs.field(f).to_numpy() for f in ("anchor", "context", "at", "before", "n")}
+                of = {f: runs.field(f).to_numpy() for f in ("context", "first_at", "before", "n")}
                 # where a doc_id repeats, only the text that holds the context at its place goes on
-                begin, end = base + of["at"] - of["before"], base + of["at"] - of["before"] + of["n"] - 1 + window
-                fits = np.flatnonzero(end <= limit)
+                begin = base + of["first_at"] - of["before"]
+                end = begin + of["n"] - 1 + window
+                fits = np.flatnonzero((begin >= base) & (end <= limit))
                 fits = fits[_context(seq, begin[fits], end[fits], of["before"][fits], of["n"][fits]) == of["context"][fits]]
-                runs, base, of = runs.take(pa.array(fits)), base[fits], {f: v[fits] for f, v in of.items()}
-                which = np.repeat(np.arange(len(runs)), of["n"])
-                offset = np.arange(len(which)) - np.repeat(np.cumsum(of["n"]) - of["n"], of["n"]) - of["before"][which]
-                start = base[which] + of["at"][which] + offset
-                hashes = seq.two.of(start, start + window)
-                picked = pa.array(which)
-                cols = [pa.array(of["anchor"][which]), pa.array(offset.astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(of["context"][which])]
-                cols += [runs.field("occurs").take(picked), runs.field("first_place").take(picked), pa.array((offset + of["before"][which]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["anchor", "offset", "hash", "context", "occurs", "first_place", "step"])
+                runs, begin, n = runs.take(pa.array(fits)), begin[fits], of["n"][fits].astype(np.int64)
+                start = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                hashes = seq.two.of(start, start + window).view(np.int64)
+                cols = [runs.field(f) for f in ("anchor", "context", "before", "occurs", "first_doc", "first_at", "crowd")]
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(hashes)))
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "context", "before", "occurs", "first_doc", "first_at", "crowd", "hashes"])
 
-    return reps.select("text", "runs").mapInArrow(work, "anchor long, offset int, hash long, context long, occurs long, first_place decimal(38,0), step int")
+    kinds = "anchor long, context long, before int, occurs long, first_doc long, first_at int, crowd long, hashes array<long>"
+    # rows that repeat a document whole hold its contexts twice
+    return reps.select("text", "runs").mapInArrow(work, kinds)
 
 
 def repeated_runs(docs: DataFrame, unit: str, window: int, fragment: int, keep_first: bool) -> tuple[DataFrame, DataFrame]:
@@ -131,43 +205,54 @@ def repeated_runs(docs: DataFrame, unit: str, window: int, fragment: int, keep_f
     """
     keyed = with_key(docs)
     runs = runs_of(keyed, unit, window, fragment)
-    contexts = runs.groupBy("anchor", "context").agg(
-        F.count("*").alias("occurs"), F.min(place()).alias("first_place"), F.first("before").alias("before"), F.first("n").alias("n")
-    )
-    several = contexts.groupBy("anchor").agg((F.min("context") != F.max("context")).alias("several"), F.max("occurs").alias("most"))
-    several = several.where("several OR most > 1").select("anchor", "several")
-    contexts = written(contexts.join(several, "anchor").where("several OR occurs > 1"), "contexts")
+    twice = runs.groupBy("anchor").agg(F.count("*").alias("runs"), (F.min("context") != F.max("context")).alias("several")).where("runs > 1")
+    twice = written(twice.select("anchor", "several"), "anchors")
+    again = written(runs_of(keyed, unit, window, fragment).join(twice, "anchor"), "again")
+    discard(twice)
 
-    # the occurrence at first_place stands for its context
+    contexts = again.groupBy("anchor", "context").agg(
+        F.count("*").alias("occurs"), F.min(place()).alias("first_place"), F.first("before").alias("before"), F.first("n").alias("n"), F.first("several").alias("several")
+    )
+    # the occurrence at first_place stands for its context; a null document is the least number
     doc = F.floor(F.col("first_place") / F.lit(2**40).cast("decimal(13,0)"))
-    first_doc = F.when(doc > -(2**63), doc.cast("long"))
     at = (F.col("first_place") - doc * F.lit(2**40).cast("decimal(13,0)")).cast("int")
-    open_ones = contexts.where("several").select(first_doc.alias("doc_id"), F.struct("anchor", "context", at.alias("at"), "before", "n", "occurs", "first_place").alias("run"))
-    reps = open_ones.groupBy("doc_id").agg(F.collect_list("run").alias("runs")).withColumnRenamed("doc_id", "_doc")
-    texts = keyed.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    windows = written(_window_hashes(texts, unit, window), "windows")
-    same = ["anchor", "offset", "hash"]
-    counted = windows.groupBy(*same).agg(F.sum("occurs").alias("total"), F.min("first_place").alias("least")).where("total > 1")
-    hit = windows.join(counted, same)
-    hit = hit.where(F.col("least") < F.col("first_place")) if keep_first else hit
-    bit = lambda lo: F.bit_or(F.when((F.col("step") >= lo) & (F.col("step") < lo + _MASK), F.expr(f"shiftleft(1L, step - {lo})")).otherwise(F.lit(0).cast("long")))
-    masks = hit.groupBy("anchor", "context").agg(bit(0).alias("low"), bit(_MASK).alias("high"))
-    full = lambda lo: F.expr(f"CASE WHEN n >= {lo + _MASK} THEN 9223372036854775807L WHEN n > {lo} THEN shiftleft(1L, n - {lo}) - 1 ELSE 0L END")
+    contexts = contexts.where("several OR occurs > 1").select("anchor", "context", "occurs", doc.cast("long").alias("first_doc"), at.alias("first_at"), "before", "n", "several")
+    contexts = written(contexts, "contexts")
+
+    crowds = contexts.where("several").groupBy("anchor").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    open_ones = contexts.join(crowds, "anchor")
+    reps = open_ones.select("first_doc", F.struct("anchor", "context", "before", "n", "occurs", "first_doc", "first_at", "crowd").alias("run")).groupBy("first_doc").agg(F.collect_list("run").alias("runs"))
+    texts = keyed.select(_doc_number().alias("_doc"), "text").join(reps, F.col("_doc") == F.col("first_doc"))
+    hashed = written(_window_hashes(texts, unit, window), "windows")
+    masks = _solved(hashed.where(F.col("crowd") <= CROWD), keep_first).unionByName(_solved_apart(hashed.where(F.col("crowd") > CROWD), keep_first))
+    masks = written(masks.groupBy("anchor", "context").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high")), "masks")
+    discard(hashed)
+
     marked = contexts.join(masks, ["anchor", "context"], "left").where("occurs > 1 OR low IS NOT NULL")
-    marked = written(marked.select("anchor", "context", "occurs", "first_place", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.lit(0)).alias("high")), "marked")
+    marked = written(marked.select("anchor", "context", "occurs", "first_doc", "first_at", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.lit(0)).alias("high")), "marked")
+    discard(contexts, masks)
 
-    back = runs_of(keyed, unit, window, fragment).join(marked, ["anchor", "context"])
-    whole = (F.col("occurs") > 1) & (place() != F.col("first_place")) if keep_first else F.col("occurs") > 1
+    full = lambda lo: F.expr(f"CASE WHEN n >= {lo + _MASK} THEN 9223372036854775807L WHEN n > {lo} THEN shiftleft(1L, n - {lo}) - 1 ELSE 0L END")
+    back = again.join(marked, ["anchor", "context"])
+    whole = F.col("occurs") > 1
+    if keep_first:
+        whole = whole & ~((_doc_number() == F.col("first_doc")) & (F.col("at") == F.col("first_at")))
     spans = F.struct(
         (F.col("at") - F.col("before")).alias("begin"),
         "n",
         F.when(whole, full(0)).otherwise(F.col("low")).alias("low"),
         F.when(whole, full(_MASK)).otherwise(F.col("high")).alias("high"),
-        first_doc.alias("source_doc"),
-        (at - F.col("before")).alias("source_begin"),
+        F.col("first_doc").alias("source_doc"),
+        (F.col("first_at") - F.col("before")).alias("source_begin"),
     )
     found = back.select("doc_id", "text_hash", spans.alias("run")).where("run.low <> 0 OR run.high <> 0")
-    return keyed, found.groupBy("doc_id", "text_hash").agg(F.collect_list("run").alias("runs"))
+    found = written(found.groupBy("doc_id", "text_hash").agg(F.collect_list("run").alias("runs")), "found")
+    discard(again, marked)
+    return keyed, found
+
+
+def _doc_number() -> Column:
+    return F.coalesce("doc_id", F.lit(-(2**63)))
 
 
 def with_runs(keyed: DataFrame, found: DataFrame) -> DataFrame:

@@ -33,11 +33,13 @@ from .common import components, written
 
 MIN_COS, BLOCKS, GRID, TILE_ROWS, SEED = 0.98, 8, 2, 4096, 5
 _PAIRS = 100_000
+#: Cells to be cut into tiles that are broadcast; more are joined by a shuffle.
+FEW_CELLS = 20_000
 
 
-def _unpack(raw: list[bytes]) -> np.ndarray:
+def _unpack(raw: list[bytes], kind: str) -> np.ndarray:
     """Coordinates by rows: (parts, vectors), in double precision."""
-    return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1).T.copy()
+    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).T.astype(np.float64)
 
 
 def _norm(x: np.ndarray) -> np.ndarray:
@@ -140,6 +142,10 @@ def _join_cell(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, home: np.ndar
 def dedup_embeddings(vectors: DataFrame, min_cos: float = MIN_COS, blocks: int = BLOCKS, grid: int = GRID, tile_rows: int = TILE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept."""
 
+    # single-precision vectors are moved as such; all arithmetic is in double precision
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
+    bytes_each = np.dtype(kind).itemsize
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws, keys = [], []
@@ -149,9 +155,9 @@ def dedup_embeddings(vectors: DataFrame, min_cos: float = MIN_COS, blocks: int =
                     x = np.array(vec, "<f8")
                     with np.errstate(over="ignore"):
                         if np.isfinite(x).all() and 0 < (norm := _norm(x[:, None])[0]) < np.inf:
-                            raw = x.tobytes()
+                            raw = x.astype(kind).tobytes()
                         elif np.isfinite(x).all() and x.any():  # so large or small that its square leaves the range
-                            raw = (x / np.abs(x).max()).tobytes()
+                            raw = (x / np.abs(x).max()).astype(kind).tobytes()
                 raws.append(raw)
                 keys.append(raw and hashlib.blake2b(raw + repr(label).encode(), digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], ["vec_id", "label", "key", "raw"])
@@ -167,19 +173,21 @@ def dedup_embeddings(vectors: DataFrame, min_cos: float = MIN_COS, blocks: int =
             sizes = np.array([len(v) for v in batch.column("raw").to_pylist()], np.int64)
             for size in np.unique(sizes):
                 part = batch.take(pa.array(np.flatnonzero(sizes == size)))
-                y = rotate(_unpack(part.column("raw").to_pylist()))
+                y = rotate(_unpack(part.column("raw").to_pylist(), kind))
                 cut = Blocks(len(y), min_cos, blocks)
                 for b, (span, budget) in enumerate(zip(cut.parts, cut.budget, strict=True)):
                     for cell, at, home in _cells(y, span, budget, grid):
                         rows = part.take(pa.array(at))
                         same = lambda v, t, n=len(at): pa.array(np.full(n, v), t)
-                        yield pa.RecordBatch.from_arrays([rows.column("label"), same(size // 8, pa.int32()), same(b, pa.int32()), pa.array(cell), same(home, pa.bool_()), rows.column("rep"), rows.column("weight"), rows.column("raw")], names)
+                        yield pa.RecordBatch.from_arrays([rows.column("label"), same(size // bytes_each, pa.int32()), same(b, pa.int32()), pa.array(cell), same(home, pa.bool_()), rows.column("rep"), rows.column("weight"), rows.column("raw")], names)
 
     names = ["label", "size", "block", "cell", "home", "rep", "weight", "raw"]
     region = ["label", "size", "block", "cell"]
     rows = classes.select("label", "rep", "weight", "raw").mapInArrow(spread, "label string, size int, block int, cell long, home boolean, rep long, weight long, raw binary")
     large = rows.groupBy(*region).agg(F.count("*").alias("n")).where(F.col("n") > tile_rows).withColumn("tiles", F.ceil(F.col("n") / tile_rows).cast("int")).drop("n")
-    rows = rows.join(large, region, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    large = written(large, "large")
+    few = large.count() <= FEW_CELLS  # else both sides are shuffled
+    rows = rows.join(F.broadcast(large) if few else large, region, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     rows = rows.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.withColumn("home", F.col("home") & (F.pmod(F.xxhash64("rep"), F.col("tiles")) == F.col("tile"))).drop("tiles")
     region = [*region, "tile"]
@@ -187,7 +195,7 @@ def dedup_embeddings(vectors: DataFrame, min_cos: float = MIN_COS, blocks: int =
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(table: pa.Table) -> pa.RecordBatch:
-            x = _unpack(table.column("raw").to_pylist())
+            x = _unpack(table.column("raw").to_pylist(), kind)
             home = table.column("home").to_numpy(zero_copy_only=False)
             ids, weight = table.column("rep").to_numpy(), table.column("weight").to_numpy()
             cut = Blocks(1 << max(0, len(x) - 1).bit_length(), min_cos, blocks)

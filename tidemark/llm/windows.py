@@ -16,6 +16,8 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Windows of a piece of a long sequence; with a window more it stays below 2^24 places.
+_PIECE = 1 << 22
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -113,14 +115,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def anchors(values: Ranges, first: np.ndarray, last: np.ndarray, window: int, fragment: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, anchor) of every window of `window` values inside the texts first[i]..last[i].
 
-    A batch holds fewer than 2^24 values.
+    A place takes 24 bits of a key, so longer sequences go in pieces that overlap by a window.
     """
     order = values.sliding(fragment)
     width = window - fragment + 1
     if len(order) < width:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys = order >> np.uint64(24) << np.uint64(24) | np.arange(len(order), dtype=np.uint64)
-    least = (sliding_min(keys, width) & np.uint64((1 << 24) - 1)).astype(np.int64)
+    least = np.empty(len(order) - width + 1, np.int64)
+    for s in range(0, len(least), _PIECE):
+        piece = order[s : s + _PIECE + width - 1]
+        keys = piece >> np.uint64(24) << np.uint64(24) | np.arange(len(piece), dtype=np.uint64)
+        least[s : s + _PIECE] = (sliding_min(keys, width) & np.uint64((1 << 24) - 1)).astype(np.int64) + s
     inside = np.zeros(len(least) + 1, np.int8)
     fits = last - first >= window
     np.add.at(inside, first[fits], 1)

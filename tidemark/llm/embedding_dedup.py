@@ -8,8 +8,10 @@ at home in one cell and visits the cells within its radius. A pair counts in the
 whose budget it keeps, where the cosine is computed in double precision; each end counts it in
 its own home cell. Tasks give sums and spanning edges, never pairs.
 
-Exactly equal vectors are one class before the join. A cell of over `tile_rows` homes is cut
-into tiles that each see all of the cell, so a group of near copies of any size is shared out.
+Exactly equal vectors are one class before the join. A cell of over `tile_rows` rows is dealt
+into tiles of about that many, and every two tiles meet in a task of their own, so a task holds
+about 2 * tile_rows rows whatever the size of a cell. A cell of n rows sends n * n / tile_rows
+rows to its tasks: near copies that aren't equal still cost the square of their number.
 All arithmetic that decides where a pair counts goes coordinate by coordinate, so it does not
 depend on how rows are batched.
 
@@ -89,21 +91,24 @@ def _cells(y: np.ndarray, part: slice, budget: float, grid: int) -> Iterator[tup
             yield code(there[:, at]), at, False
 
 
-def _join_cell(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, home: np.ndarray, block: int, cut: Blocks, min_cos: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each home vector that count in this block, and the (a, b) of a spanning forest."""
+def _join_cell(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, home: np.ndarray, tile: np.ndarray, block: int, cut: Blocks, min_cos: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each home vector that count in this block, and the (a, b) of a spanning forest.
+
+    Vectors of one tile meet each other; those of two tiles meet the other tile's only.
+    """
     y = rotate(x)
     norm = _norm(x)
     flat = y[cut.parts[block]].astype(np.float32)
     square = (flat * flat).sum(0)
     links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    at_home = np.flatnonzero(home)
+    tiles = np.unique(tile)
+    sides = [(np.flatnonzero(home & (tile == t)), np.flatnonzero(tile == u)) for t, u in zip(tiles, tiles[::-1], strict=True)]
     edges = []
     step = max(1, 4_000_000 // len(ids))
-    for s in range(0, len(at_home), step):
-        mine = at_home[s : s + step]
-        near = square[mine][:, None] + square - 2 * (flat[:, mine].T @ flat) <= cut.budget[block] + 1e-5
+    for mine, others in ((at_home[s : s + step], others) for at_home, others in sides for s in range(0, len(at_home), step)):
+        near = square[mine][:, None] + square[others] - 2 * (flat[:, mine].T @ flat[:, others]) <= cut.budget[block] + 1e-5
         left, right = np.nonzero(near)
-        left = mine[left]
+        left, right = mine[left], others[right]
         keep = left != right
         left, right = left[keep], right[keep]
         for t in range(0, len(left), _PAIRS):
@@ -139,6 +144,16 @@ def _join_cell(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, home: np.ndar
     return links, np.stack([ids[moved], ids[root[moved]]], 1)
 
 
+def in_tiles(rows: DataFrame, region: list[str], tile_rows: int) -> DataFrame:
+    """Each row once for each tile of its cell: tile is its own, first and second are the two that meet."""
+    large = rows.groupBy(*region).agg(F.count("*").alias("n")).where(F.col("n") > tile_rows).withColumn("tiles", F.ceil(F.col("n") / tile_rows).cast("int")).drop("n")
+    large = written(large, "large")
+    few = large.count() <= FEW_CELLS  # else both sides are shuffled
+    rows = rows.join(F.broadcast(large) if few else large, region, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("rep", "raw"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return rows.withColumns({"first": F.least("tile", "other"), "second": F.greatest("tile", "other")}).drop("tiles", "other")
+
+
 def dedup_embeddings(vectors: DataFrame, min_cos: float = MIN_COS, blocks: int = BLOCKS, grid: int = GRID, tile_rows: int = TILE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept."""
 
@@ -184,22 +199,19 @@ def dedup_embeddings(vectors: DataFrame, min_cos: float = MIN_COS, blocks: int =
     names = ["label", "size", "block", "cell", "home", "rep", "weight", "raw"]
     region = ["label", "size", "block", "cell"]
     rows = classes.select("label", "rep", "weight", "raw").mapInArrow(spread, "label string, size int, block int, cell long, home boolean, rep long, weight long, raw binary")
-    large = rows.groupBy(*region).agg(F.count("*").alias("n")).where(F.col("n") > tile_rows).withColumn("tiles", F.ceil(F.col("n") / tile_rows).cast("int")).drop("n")
-    large = written(large, "large")
-    few = large.count() <= FEW_CELLS  # else both sides are shuffled
-    rows = rows.join(F.broadcast(large) if few else large, region, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    rows = rows.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.withColumn("home", F.col("home") & (F.pmod(F.xxhash64("rep"), F.col("tiles")) == F.col("tile"))).drop("tiles")
-    region = [*region, "tile"]
+    rows = in_tiles(rows, region, tile_rows)
+    region = [*region, "first", "second"]
     rows = rows.repartition(*region).sortWithinPartitions(*region)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(table: pa.Table) -> pa.RecordBatch:
             x = _unpack(table.column("raw").to_pylist(), kind)
             home = table.column("home").to_numpy(zero_copy_only=False)
-            ids, weight = table.column("rep").to_numpy(), table.column("weight").to_numpy()
+            ids, weight, tile = (table.column(c).to_numpy() for c in ("rep", "weight", "tile"))
+            if table.column("first")[0].as_py() != table.column("second")[0].as_py() and (tile == tile[0]).all():
+                return pa.RecordBatch.from_pylist([], pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]))
             cut = Blocks(1 << max(0, len(x) - 1).bit_length(), min_cos, blocks)
-            links, forest = _join_cell(x, ids, weight, home, table.column("block")[0].as_py(), cut, min_cos)
+            links, forest = _join_cell(x, ids, weight, home, tile, table.column("block")[0].as_py(), cut, min_cos)
             got = np.flatnonzero(links)
             a = np.concatenate([ids[got], forest[:, 0]])
             b = np.concatenate([np.zeros(len(got), np.int64), forest[:, 1]])

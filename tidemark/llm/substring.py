@@ -1,12 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by repeated windows of words; not a relative Lempel-Ziv parse.
 
-All documents are the reference. Its index, built by repeats.repeated_runs, holds the windows of
-`window` words that occur more than once and is spread over blocks by anchor hash, so that a
-document meets every block that can hold a factor of it. A document is parsed greedily: a
-factor goes on while the next window is indexed and its source goes on by one word; where the
-source changes a new factor begins. Every window is looked up by itself, so those that straddle
-a factor boundary are checked too. All factors have at least `window` words; the words they
-cover are the duplicate spans.
+repeats.repeated_runs finds the windows of `window` words that occur more than once among all
+documents, by anchors and contexts, as for suffix.py. The words that such windows cover are the
+duplicate spans. No factor is parsed or extended; `n_factors` is counted from the spans
+afterwards and decides nothing.
 
 Cases: a null text is an empty one; a null doc_id is kept and is a document; repeated rows are
 duplicates of each other; an empty table gives no rows; other columns are dropped. Words are
@@ -28,7 +25,10 @@ WINDOW, FRAGMENT = 35, 12
 
 
 def factors(runs: pa.StructArray | None, covers: np.ndarray) -> int:
-    """Factors of the greedy parse: stretches of covered words, cut where the source does not go on."""
+    """Stretches of covered words, cut where the source of the next run does not go on.
+
+    A run of windows that only repeat in other contexts has itself as its source.
+    """
     if runs is None or not len(runs):
         return 0
     begin = runs.field("begin").to_numpy()

@@ -7,6 +7,9 @@ that a payload byte is one 8-bit sample of the unit; the bytes stand in the fram
 data, unchanged. The probe takes any version, layer, bitrate and padding, skips what is not
 a frame and goes on at the next header that another header or the end follows.
 
+Limits of the probe: checksums are verified for Layer III only; of tables only Xing and Info are
+read, so a VBRI stream's table frame counts as sound; free-format streams give no frames.
+
 Cases: a null text is an empty one and gives one frame of bytes 255; an undecodable or null
 media value has 0 frames and null durations; repeated rows give equal values.
 """

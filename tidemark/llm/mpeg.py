@@ -3,15 +3,17 @@
 The stored form is an MPEG-2 Layer III stream, mono, 16 kHz, 144 kbit/s, with checksums: an
 ID3v2 tag with the unpadded length, a frame with the variable-bitrate table (frames, bytes,
 100 seek points), then one frame for each 576 bytes of payload. A frame spans 576 samples, so
-that a payload byte is one 8-bit sample of the unit; the bytes stand in the frame's main
-data, unchanged. The probe takes any version, layer, bitrate and padding, skips what is not
-a frame and goes on at the next header that another header or the end follows.
+that a payload byte is one 8-bit sample of the unit; the bytes stand unchanged behind a side
+information of zeros, as ancillary data: a player decodes silence.
 
-Limits of the probe: checksums are verified for Layer III only; of tables only Xing and Info are
-read, so a VBRI stream's table frame counts as sound; free-format streams give no frames.
+The probe takes any version, layer, bitrate and padding, skips what is not a frame and goes on
+at the next header that another header or the end follows. Tables are Xing, Info and VBRI.
+Checksums are verified for all layers; that of Layer II covers the bits that its allocation
+tables name. Free-format streams, whose frames have no stated length, give no frames.
 
 Cases: a null text is an empty one and gives one frame of bytes 255; an undecodable or null
-media value has 0 frames and null durations; repeated rows give equal values.
+media value has 0 frames and null durations, whatever its bytes are; a table or tag that is cut
+off is read as far as it goes; repeated rows give equal values.
 """
 
 from __future__ import annotations
@@ -55,6 +57,7 @@ class Header:
     mono: bool
     length: int
     samples: int
+    bound: int = 32  # the first subband that joint stereo shares
 
     @property
     def side(self) -> int:
@@ -79,20 +82,58 @@ def parse_header(head: bytes) -> Header | None:
     else:
         samples = 576 if layer == 3 and version != 3 else 1152
         length = samples // 8 * kbps * 1000 // rate + pad
-    return Header(version, layer, not head[1] & 1, kbps, rate, head[3] >> 6 == 3, length, samples)
+    bound = 4 * (head[3] >> 4 & 3) + 4 if head[3] >> 6 == 1 else 32
+    return Header(version, layer, not head[1] & 1, kbps, rate, head[3] >> 6 == 3, length, samples, bound)
 
 
 @lru_cache(maxsize=4096)
-def crc16(data: bytes) -> int:
-    """The frame checksum: polynomial 0x8005, high bit first, started with all ones."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The frame checksum of the first bits: polynomial 0x8005, high bit first, started with all ones."""
     crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+    for i in range(8 * len(data) if bits is None else bits):
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15) ^ (data[i >> 3] >> (7 - i % 8) & 1) else 0)) & 0xFFFF
     return crc
 
 
+# Bits of each subband's allocation in Layer II, by table, as the audio standard lists them.
+_ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "low": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+
+
+def _allocation_table(head: Header) -> tuple[int, ...]:
+    """The Layer II table by bitrate a channel and sampling rate."""
+    if head.version != 3:
+        return _ALLOCATION["low"]
+    each = head.kbps if head.mono else head.kbps // 2
+    if each <= 48:
+        return _ALLOCATION["d" if head.rate == 32_000 else "c"]
+    return _ALLOCATION["a" if head.rate == 48_000 or each <= 80 else "b"]
+
+
+def _checked_bits(head: Header, data: bytes) -> int:
+    """How many bits behind the checksum it covers."""
+    if head.layer == 3:
+        return 8 * head.side
+    table = (4,) * 32 if head.layer == 1 else _allocation_table(head)
+    channels = 1 if head.mono else 2
+    bound = min(head.bound, len(table)) if channels == 2 else len(table)
+    if head.layer == 1:
+        return 4 * (channels * bound + 32 - bound)
+    value, at, chosen = int.from_bytes(data[:64].ljust(64, b"\0"), "big"), 0, 0
+    for band, width in enumerate(table):
+        for _ in range(channels if band < bound else 1):
+            used = value >> (512 - at - width) & (1 << width) - 1
+            # a shared allocation still has scale factor choices for either channel
+            chosen += (1 if band < bound else channels) * (used > 0)
+            at += width
+    return at + 2 * chosen
+
+
 def _frame(data: bytes) -> bytes:
     head = bytes((0xFF, 0xF2, 13 << 4 | 2 << 2, 0xC0))
     side = bytes(SIDE)
@@ -127,6 +168,10 @@ class Stream:
         return sum(h.samples for _, h in self.frames)
 
 
+#: How a text frame's first byte says its characters are stored.
+_ENCODINGS = {b"\0": "latin-1", b"\1": "utf-16", b"\2": "utf-16-be", b"\3": "utf-8"}
+
+
 def _tag(media: bytes, out: Stream) -> int:
     """Reads an ID3v2 tag at the begin; where the audio begins."""
     if media[:3] != b"ID3" or len(media) < 10:
@@ -134,19 +179,39 @@ def _tag(media: bytes, out: Stream) -> int:
     end = 10 + sum((b & 127) << s for b, s in zip(media[6:10], (21, 14, 7, 0), strict=True))
     at = 10
     while at + 10 <= min(end, len(media)) and media[at]:
-        size = struct.unpack(">I", media[at + 4 : at + 8])[0]
+        size = int.from_bytes(media[at + 4 : at + 8], "big")
         if media[3] == 4:
             size = sum((b & 127) << s for b, s in zip(media[at + 4 : at + 8], (21, 14, 7, 0), strict=True))
         name, value = media[at : at + 4].decode("latin-1"), media[at + 10 : at + 10 + size]
-        text = value[1:].decode("utf-16" if value[:1] == b"\1" else "latin-1", "replace")
-        if name == "TXXX":
-            name, _, text = text.partition("\0")
-        if name[0] == "T" or name in out.tags or "\0" not in text:
-            out.tags[name] = text.rstrip("\0")
+        if name[0] == "T":
+            text = value[1:].decode(_ENCODINGS.get(value[:1], "latin-1"), "replace")
+            if name == "TXXX":
+                name, _, text = text.partition("\0")
+            out.tags[name] = text.strip("\0\ufeff")
         at += 10 + size
     return end
 
 
+def _table(media: bytes, at: int, mark: int, out: Stream) -> bool:
+    """Reads the table of a variable bitrate from the first frame, if it holds one; what is cut off is left out."""
+    number = lambda pos, size: int.from_bytes(media[pos : pos + size], "big") if pos + size <= len(media) else None
+    if media[mark : mark + 4] in (b"Xing", b"Info"):
+        flags, pos, found = number(mark + 4, 4) or 0, mark + 8, {}
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                found[name] = number(pos, 4)
+                pos += 4
+        toc = media[pos : pos + 100] if flags & 4 else None
+    elif media[at + 36 : at + 40] == b"VBRI":
+        found = {"bytes": number(at + 46, 4), "frames": number(at + 50, 4)}
+        entries, width = number(at + 54, 2) or 0, number(at + 58, 2) or 0
+        toc = media[at + 62 : at + 62 + entries * width]
+    else:
+        return False
+    out.table, out.toc = {k: v for k, v in found.items() if v is not None}, toc
+    return True
+
+
 def parse(media: bytes) -> Stream:
     """Frames, tags, seek table and checks of a stream, whatever stands between the frames."""
     out = Stream()
@@ -166,17 +231,11 @@ def parse(media: bytes) -> Stream:
             continue
         synced = True
         data = at + 4 + 2 * head.checked
-        if head.checked and head.layer == 3 and crc16(media[at + 2 : at + 4] + media[data : data + head.side]) != struct.unpack(">H", media[at + 4 : at + 6])[0]:
-            out.bad_checks += 1
-        mark = data + head.side
-        if first and media[mark : mark + 4] in (b"Xing", b"Info"):
-            flags, pos, out.table = struct.unpack(">I", media[mark + 4 : mark + 8])[0], mark + 8, {}
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    out.table[name] = struct.unpack(">I", media[pos : pos + 4])[0]
-                    pos += 4
-            out.toc = media[pos : pos + 100] if flags & 4 else None
-        else:
+        if head.checked:
+            bits = _checked_bits(head, media[data : data + 64])
+            if crc16(media[at + 2 : at + 4] + media[data : data + -(-bits // 8)].ljust(-(-bits // 8), b"\0"), 16 + bits) != int.from_bytes(media[at + 4 : at + 6], "big"):
+                out.bad_checks += 1
+        if not (first and _table(media[:ends], at, data + head.side, out)):
             out.frames.append((at, head))
         first, at = False, ends
     return out
@@ -186,20 +245,29 @@ def payload_of(media: bytes, stream: Stream) -> bytes:
     """The bytes that encode() stored, read from the frames found."""
     if not stream.frames:
         return b""
-    starts = np.array([at + 4 + 2 * h.checked + h.side for at, h in stream.frames])
-    return np.frombuffer(media, np.uint8)[starts[:, None] + np.arange(UNIT)].tobytes()
+    starts = (at + 4 + 2 * h.checked + h.side for at, h in stream.frames)
+    return b"".join(media[s : s + UNIT] for s in starts)
+
+
+#: Samples of one step of the measures.
+_PIECE = 1 << 20
 
 
 def feature_of(payload: bytes, stream: Stream) -> str:
     """Durations as exact fractions of samples, checks, seek offsets and measures of the samples."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+    # in pieces that share a sample, so that a long text does not take many times its size
+    total = energy = crossings = peak = 0
+    for s in range(0, len(payload), _PIECE):
+        x = np.frombuffer(payload[max(0, s - 1) : s + _PIECE], np.uint8).astype(np.int64) - 128
+        crossings += int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+        x = x[1:] if s else x
+        total, energy, peak = total + int(x.sum()), energy + int((x * x).sum()), max(peak, int(np.abs(x).max()))
     rate = stream.frames[0][1].rate if stream.frames else 0
     offsets = hashlib.md5(np.array([at for at, _ in stream.frames], "<i8").tobytes()).hexdigest()
     kbps = sum(h.kbps for _, h in stream.frames) / max(1, len(stream.frames))
-    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0))) if len(x) else 0
     return (
         f"frames={len(stream.frames)};samples={stream.samples}/{rate};kbps={kbps:.3f};bad={stream.bad_checks};skipped={stream.skipped};"
-        f"table={(stream.table or {}).get('frames', -1)};seek={offsets};sum={int(x.sum())};energy={int((x * x).sum())};crossings={crossings};peak={int(np.abs(x).max()) if len(x) else 0}"
+        f"table={(stream.table or {}).get('frames', -1)};seek={offsets};sum={total};energy={energy};crossings={crossings};peak={peak}"
     )
 
 
@@ -249,7 +317,7 @@ def probe_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media",
                 rate = stream.frames[0][1].rate if stream.frames else None
                 row = {
                     "doc_id": doc_id.as_py(),
-                    "n_bytes": int(stream.tags["n_bytes"]) if stream.tags.get("n_bytes", "").isdigit() else None,
+                    "n_bytes": int(said) if (said := stream.tags.get("n_bytes", "")).isascii() and said.isdigit() and len(said) < 19 else None,
                     "payload_bytes": len(payload),
                     "payload_sha256": hashlib.sha256(payload).hexdigest(),
                     "tail_crc32": zlib.crc32(payload[-32:]),

@@ -46,14 +46,16 @@ _REST = {c: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}") for c, n in IBAN_LENGTH
 #: Score without context, and words that raise it when they stand near.
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "national_id": 0.3}
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
-    "ip": ("ip", "address", "host", "server"),
+    "email": ("mail", "e-mail", "email", "contact", "write"),
+    "ip": ("ip", "address", "addresse", "host", "server"),
     "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
+    "phone": ("phone", "telephone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank"),
     "national_id": ("ssn", "social", "security", "identity"),
 }
 CONTEXT_REACH, CONTEXT_GAIN, ACCEPT = 48, 0.4, 0.5
+#: A context word stands by itself, or in the plural: "ip" isn't in "ship".
+_NEAR = {kind: re.compile(rf"(?<![a-z])(?:{'|'.join(words)})s?(?![a-z])") for kind, words in CONTEXT.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -123,7 +125,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     out = []
     for kind, a, b in found:
         near = (text[max(0, a - CONTEXT_REACH) : a] + " " + text[b : b + CONTEXT_REACH]).lower()
-        score = SCORE[kind] + CONTEXT_GAIN * (1 - SCORE[kind]) * 2 * any(w in near for w in CONTEXT[kind])
+        score = SCORE[kind] + CONTEXT_GAIN * (1 - SCORE[kind]) * 2 * bool(_NEAR[kind].search(near))
         score = min(1.0, score)
         if kind in BASE_KINDS or score >= ACCEPT:
             out.append((kind, a, b, round(score, 4)))

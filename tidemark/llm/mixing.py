@@ -12,9 +12,11 @@ A shard holds about `shard_tokens` words, more only if that made over `max_shard
 source with a third of all rows is spread over many tasks and quotas stay a small table.
 
 Cases: a null or empty text has size 0 and takes 0; the null source is a source of its own,
-last in order; repeated rows count and return each by itself; a null doc_id is kept; an empty
-table gives no rows; if every size is 0, all targets are 0; columns other than those named
-are dropped, so clashing names don't matter.
+last in order; repeated rows count and return each by itself, and share a shard; a null doc_id is
+kept, and rows of one id are spread over the shards by their texts; an empty table gives no rows;
+if every size is 0, all targets are 0; columns other than those named are dropped by mix_sources
+and kept by take_documents, whatever they are called. Sources are ordered and filled in one task:
+they are kinds of origin, tens to thousands, not hosts.
 """
 
 from __future__ import annotations
@@ -109,7 +111,7 @@ def mix_sources(
     often the whole text is taken, and ranges, array<struct<start, words>>, what is taken besides.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *[F.col(c).alias(f"_kept_{i}") for i, c in enumerate(keep)])
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"), *[F.col(c).alias(f"_kept_{i}") for i, c in enumerate(keep)])
     slim = written(slim, "sizes")
 
     order = [F.col("source").asc_nulls_last()]
@@ -124,7 +126,7 @@ def mix_sources(
 
     # sources is small as a rule; Spark checks its size and else joins by hash, splitting hot keys
     renamed = sources.withColumnRenamed("source", "_of")
-    number = F.conv(F.substring(_draw(seed, F.col("doc_id")), 1, 8), 16, 10).cast("long")
+    number = F.conv(F.substring(_draw(seed, F.col("doc_id"), F.col("text_hash")), 1, 8), 16, 10).cast("long")
     dealt = slim.join(renamed, F.col("source").eqNullSafe(F.col("_of"))).drop("_of").withColumn("shard", number % F.col("n_shards"))
 
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"), F.first("target").alias("of_target"))
@@ -143,7 +145,7 @@ def mix_sources(
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
     x = x.withColumn("passes", passes).withColumn("more", F.col("words") - F.col("passes") * F.col("shard_size"))
 
-    seeded = W.partitionBy("source", "shard").orderBy(_draw(seed, F.col("doc_id")), F.col("doc_id"), F.col("size"))
+    seeded = W.partitionBy("source", "shard").orderBy(_draw(seed, F.col("doc_id"), F.col("text_hash")), F.col("doc_id"), F.col("size"), F.col("text_hash"))
     x = x.withColumn("pos", F.row_number().over(seeded)).withColumn("begin", F.sum("size").over(seeded.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     first, last = F.floor(F.col("begin") / block_tokens), F.floor((F.col("begin") + F.greatest(F.col("size"), F.lit(1)) - 1) / block_tokens)
     pieces = x.withColumn("block", F.explode(F.sequence(first, last)))
@@ -151,7 +153,7 @@ def mix_sources(
     chosen = W.partitionBy("source", "shard").orderBy(_draw(seed, F.col("source"), F.col("shard"), F.col("block")), "block", "pos")
     pieces = pieces.withColumn("piece", piece).withColumn("ahead", F.sum("piece").over(chosen.rowsBetween(W.unboundedPreceding, 0)) - F.col("piece"))
     got = F.greatest(F.lit(0), F.least(F.col("piece"), F.col("more") - F.col("ahead")))
-    one = [c for c in x.columns if c not in ("source", "shard", "pos", "begin", "words", "more", "n_shards", "quota", "weight", "shard_size")]
+    one = [c for c in x.columns if c not in ("source", "shard", "pos", "begin", "words", "more", "n_shards", "quota", "weight", "shard_size", "text_hash")]
     out = pieces.groupBy("source", "shard", "pos").agg(*[F.first(c).alias(c) for c in one], F.sum(got).alias("_got"), *[F.array_sort(F.collect_list(F.when(got > 0, F.struct((F.greatest(F.col("begin"), F.col("block") * block_tokens) - F.col("begin")).cast("int").alias("start"), got.cast("int").alias("words"))))).alias("ranges")] * ranges)
     taken = (F.col("passes") * F.col("size") + F.col("_got")).cast("long")
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "shard", *[F.col(f"_kept_{i}").alias(c) for i, c in enumerate(keep)], *["passes", "ranges"] * ranges)
@@ -164,17 +166,19 @@ def take_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     length_col; a text of which nothing is taken goes. The columns are those of docs.
     """
     key = F.xxhash64(id_col, text_col)
-    taken = mix_sources(docs.withColumn("_key", key), id_col, text_col, source_col, keep=("_key",), ranges=True, **settings).where("taken > 0")
-    # rows equal in id and text have a decision each and share a text
-    first = docs.withColumn("_key", key).withColumn("_nth", F.row_number().over(W.partitionBy("_key").orderBy(id_col))).where("_nth = 1").drop("_nth")
-    x = first.join(taken.select("_key", F.col("size").alias("_size"), F.col("passes").alias("_passes"), F.col("ranges").alias("_ranges")), "_key")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    rest = F.aggregate("_ranges", F.lit(0), lambda n, r: n + r["words"])
-    part = F.array_join(F.transform("_ranges", lambda r: F.array_join(F.slice(words, r["start"] + 1, r["words"]), " ")), " ")
-    whole = (F.col("_passes") + F.when(rest == F.col("_size"), F.lit(1)).otherwise(F.lit(0))).cast("int")
-    texts = F.array_repeat(F.col(text_col), whole)
-    texts = F.when((rest > 0) & (rest < F.col("_size")), F.concat(texts, F.array(part))).otherwise(texts)
-    out = x.withColumn("_text", F.explode(texts))
-    length = F.when(F.col("_text") == F.col(text_col), F.col(length_col)).otherwise(F.char_length("_text").cast("long"))
-    values = {text_col: F.col("_text"), length_col: length.cast(docs.schema[length_col].dataType)}
-    return out.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), key.alias("key"))
+    taken = mix_sources(slim, keep=("key",), ranges=True, **settings).where("taken > 0")
+    # rows equal in id and text have a decision each and share a row, of which the columns are under `row`
+    first = docs.select(key.alias("key"), F.struct("*").alias("row")).withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("key"))).where("nth = 1").drop("nth")
+    x = first.join(taken.select("key", "size", "passes", "ranges"), "key")
+    text, length = F.col("row")[text_col], F.col("row")[length_col]
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    rest = F.aggregate("ranges", F.lit(0), lambda n, r: n + r["words"])
+    part = F.array_join(F.transform("ranges", lambda r: F.array_join(F.slice(words, r["start"] + 1, r["words"]), " ")), " ")
+    whole = (F.col("passes") + F.when(rest == F.col("size"), F.lit(1)).otherwise(F.lit(0))).cast("int")
+    texts = F.array_repeat(text, whole)
+    texts = F.when((rest > 0) & (rest < F.col("size")), F.concat(texts, F.array(part))).otherwise(texts)
+    out = x.select("row", F.explode(texts).alias("taken_text"))
+    length = F.when(F.col("taken_text") == text, length).otherwise(F.char_length("taken_text").cast("long"))
+    values = {text_col: F.col("taken_text"), length_col: length.cast(docs.schema[length_col].dataType)}
+    return out.select(*[values.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

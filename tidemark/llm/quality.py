@@ -216,10 +216,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
 def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, least: float = 0.5) -> DataFrame:
     """The rows of docs that score at least `least`, with all their columns; texts are not moved.
 
-    The training rows are broadcast: at most about 2 * max_labelled pairs of numbers.
+    The training rows are broadcast if they are at most 4 * max_labelled pairs of numbers, as they
+    are by their hash unless an id has very many labels; else Spark picks the join.
     """
-    rows = F.broadcast(_training_rows(labels, label_col, id_col, max_labelled))
-    some = docs.join(rows, F.col(id_col) == F.col("_id")).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), "label")
+    rows = _training_rows(labels, label_col, id_col, max_labelled)
+    rows = F.broadcast(rows) if rows.count() <= 4 * max_labelled else rows
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    some = slim.join(rows, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
     known = written(describe(some.select(F.struct("doc_id", "label").alias("doc_id"), "text")).select("doc_id.doc_id", "stats", "doc_id.label"), "labelled")
     shared = docs.sparkSession.sparkContext.broadcast(_fit_known(known))  # of fixed size
 

@@ -27,7 +27,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, written
@@ -79,6 +79,17 @@ def _file_starts(records: DataFrame) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)])
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, that of Spark's default file system where it has none.
+
+    s3a, the Hadoop name of an S3 bucket, is s3 for pyarrow.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    scheme, _, rest = uri.partition(":")
+    return f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}:{rest if rest.startswith('//') else '//' + rest}"
+
+
 def _part() -> Column:
     return F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
 
@@ -91,7 +102,7 @@ def materialise(docs: DataFrame, folder: str | None = None, tokenizer: str | Non
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
-    folder = (folder or f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/shards").rstrip("/")
+    folder = _qualified(spark, folder or f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/shards")
     unit = "<u2" if encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
     stride = stride_ids * np.dtype(unit).itemsize
 
@@ -108,7 +119,7 @@ def materialise(docs: DataFrame, folder: str | None = None, tokenizer: str | Non
             yield pa.RecordBatch.from_arrays([*keep, pa.array(record), pa.array(slot), pa.array(slot // shard_slots)], [*front, "record", "slot", "shard"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         fill = np.array([end_id], unit).tobytes()
         shard, file, temp, rows = -1, None, "", []

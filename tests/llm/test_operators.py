@@ -13,7 +13,7 @@ from tidemark.llm import common, embedding_dedup, jaccard_join, materialise, mix
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string, key string, class int, word string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string, key string, class int, word string, label int, _id long, _key string, _hash long, _nth int, _text string, row int, row_key string, taken_text string"
 LONG = " ".join(f"w{i % 977}" for i in range(40_000))
 PASSAGE = " ".join(f"p{i}" for i in range(60))
 ROWS = [
@@ -37,7 +37,7 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def hard(spark):
-    rows = [(i, t, la, s, None if t is None else len(t), 1, "x", "k", 2, "w") for i, t, la, s in ROWS]
+    rows = [(i, t, la, s, None if t is None else len(t), 1, "x", "k", 2, "w", 1, 7, "k", 9, 1, "t", 3, "r", "u") for i, t, la, s in ROWS]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 

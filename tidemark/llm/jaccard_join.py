@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, written
+from .common import components, discard, fresh, written
 from .windows import BASES, Ranges, Texts, batches_of, mix
 
 WORDS, PERCENT = 5, 75
@@ -248,12 +248,16 @@ def _placed(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFra
 
 
 def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, class (equal for equal sets, else null)."""
+    """One row per row of docs: doc_id, n_shingles, component_id, class (equal for equal sets, else null),
+
+    component (equal for linked texts, else null; a component_id may name several where an id
+    repeats) and key (of the row's id and text).
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # the text of a class is found by a key of its row, as a doc_id may repeat or be null
     texts = texts.withColumn("key", F.xxhash64("doc_id", "text"))
     whole = written(describe(texts, words, percent), "described")
-    described = written(whole.select("doc_id", "n", "class", "check"), "rows")
+    described = written(whole.select("doc_id", "key", "n", "class", "check"), "rows")
     of_class = whole.where("class IS NOT NULL").groupBy("class", "check")
     first = written(of_class.agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix")), "classes")
     discard(whole)
@@ -313,20 +317,24 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     parts = components(links.unionByName(more))
     whole = classes.select("class", "check", "least").join(parts, F.col("class") == F.col("node"), "left").withColumn("part", F.coalesce("component", "class"))
     whole = whole.join(whole.groupBy("part").agg(F.min("least").alias("component_id")), "part")
-    whole = written(whole.select(F.col("class").alias("_class"), F.col("check").alias("_check"), "component_id"), "components")
-    out = described.select("doc_id", "n", "class", "check").join(whole, (F.col("class") == F.col("_class")) & (F.col("check") == F.col("_check")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class")
+    whole = written(whole.select(F.col("class").alias("_class"), F.col("check").alias("_check"), "component_id", F.col("part").alias("component")), "components")
+    out = described.join(whole, (F.col("class") == F.col("_class")) & (F.col("check") == F.col("_check")), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", "component", "key")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each group of linked texts, that of the smallest id, and all their columns.
 
-    Rows without shingles stay; rows that repeat an id and a text are one.
+    Rows without shingles stay; rows that repeat an id and a text are one. Where several texts of
+    a group have the smallest id, or none has an id, one of them stays.
     """
     groups = join_documents(docs, words, percent, id_col, text_col)
-    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return out.withColumn("_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_hash"]).drop("_hash")
+    alone = groups.where("component IS NULL").select("key")
+    firsts = groups.where("component IS NOT NULL AND component_id <=> doc_id").groupBy("component").agg(F.min("key").alias("key")).select("key")
+    key = fresh(docs, "row_key")
+    kept = alone.unionByName(firsts).select(F.col("key").alias(key)).distinct()
+    out = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).join(kept, key, "left_semi")
+    return out.dropDuplicates([key]).drop(key)
 
 
 def _by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

@@ -140,3 +140,35 @@ def test_repeats_of_many_rows_without_an_id(spark):
     got = Counter((r["n_words"], r["n_removed"]) for r in substring.remove_repeats(df).collect())
     assert got == {(52, 50): 1000, (4, 0): 1000}
     assert suffix.remove_later_copies(df).where("n_removed > 0").count() == 999
+
+
+def test_factors_are_the_longest_matches(spark, monkeypatch):
+    """Each factor stands at its source, and no other place goes on longer from its begin."""
+    from tidemark.llm import repeats
+
+    rng = np.random.default_rng(12)
+    passages = [[f"p{k}_{i}" for i in range(int(rng.integers(30, 140)))] for k in range(6)]
+    texts = {}
+    for d in range(40):
+        out = []
+        for _ in range(4):
+            p = passages[rng.integers(6)]
+            a = int(rng.integers(0, len(p) // 2))
+            out += [f"x{rng.integers(10**9)}" for _ in range(rng.integers(0, 9))] + p[a : a + int(rng.integers(20, 120))]
+        texts[d] = out
+    for crowd in (5000, 2):
+        monkeypatch.setattr(repeats, "CROWD", crowd)
+        df = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(3)
+        got = {r["doc_id"]: r for r in substring.remove_repeats(df, texts=True).collect()}
+        seen = Counter(tuple(w[i : i + 35]) for w in texts.values() for i in range(len(w) - 34))
+        for d, w in texts.items():
+            gone = set()
+            for i in range(len(w) - 34):
+                if seen[tuple(w[i : i + 35])] > 1:
+                    gone.update(range(i, i + 35))
+            assert got[d]["kept_text"] == " ".join(x for i, x in enumerate(w) if i not in gone)
+            assert got[d]["n_factors"] == len(got[d]["factors"])
+            for f in got[d]["factors"]:
+                source = texts[f["source_doc"]][f["source_begin"] : f["source_begin"] + f["words"]]
+                assert source == w[f["begin"] : f["begin"] + f["words"]] and len(source) >= 35
+                assert (f["source_doc"], f["source_begin"]) != (d, f["begin"])

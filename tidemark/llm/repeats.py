@@ -8,8 +8,9 @@ is the text of all its windows. A window's anchor and offset depend on its conte
 2. Equal contexts are counted, aggregated before the shuffle: all windows of a context that
    occurs twice occur twice.
 3. Only where an anchor has several contexts, the windows of one occurrence of each context are
-   compared by hash. Copies add nothing to that, whatever the size of their group. An anchor's
-   contexts meet in one task, or if they are over CROWD, their windows are counted one by one.
+   compared by hash, or parsed into factors. Copies add nothing to that, whatever the size of
+   their group. An anchor's contexts meet in one task, or if they are over CROWD, their windows
+   are counted one by one.
 4. The outcome goes back to every occurrence by a join on (anchor, context), whose hot keys
    Spark splits, and to its text by document.
 
@@ -19,7 +20,7 @@ written to the shared folder, so shuffle files of one step only exist at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from .windows import BASES, Ranges, Texts, anchors, batches_of, byte_values, mix
 _MASK = 63
 #: Contexts of an anchor that are compared in one task at most, and rows of a task's step, about.
 CROWD, _CHUNK = 5000, 20_000
+#: Pairs of contexts of one step of a parse.
+_PAIRS = 50_000
 
 
 class Sequences:
@@ -88,24 +91,39 @@ def runs_of(keyed: DataFrame, unit: str, window: int, fragment: int) -> DataFram
     return keyed.mapInArrow(work, "anchor long, context long, doc_id long, text_hash long, at int, before int, n int")
 
 
-def place(doc: str | Column = "doc_id", at: str | Column = "at") -> Column:
-    """A number that orders occurrences by document, then place; null documents come first."""
-    doc, at = (F.col(c) if isinstance(c, str) else c for c in (doc, at))
-    return (F.coalesce(doc, F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**40).cast("decimal(13,0)") + at.cast("decimal(12,0)")).cast("decimal(38,0)")
+#: Bits of a text's hash that tell texts of one document number apart, and of a place.
+_TEXT_BITS, _PLACE_BITS = 28, 60
 
 
-def solve_windows(table: pa.Table, keep_first: bool) -> pa.RecordBatch:
-    """Which windows of contexts repeat, from all contexts of some anchors: (anchor, context, low, high)."""
+def place() -> Column:
+    """A number that orders occurrences by document, place and text; null documents come first.
+
+    The text's bits keep rows of one id apart, above all those without an id.
+    """
+    inner = F.col("at").cast("long") * (1 << _TEXT_BITS) + F.col("text_hash").bitwiseAND((1 << _TEXT_BITS) - 1)
+    return (_doc_number().cast("decimal(20,0)") * F.lit(1 << _PLACE_BITS).cast("decimal(19,0)") + inner.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def _of_place(name: str, doc: str, at: str, bits: str) -> list[Column]:
+    """The parts of a place as columns of these names."""
+    whole = F.lit(1 << _PLACE_BITS).cast("decimal(19,0)")
+    number = F.floor(F.col(name) / whole)
+    inner = (F.col(name) - number * whole).cast("long")
+    return [number.cast("long").alias(doc), F.shiftright(inner, _TEXT_BITS).cast("int").alias(at), inner.bitwiseAND((1 << _TEXT_BITS) - 1).alias(bits)]
+
+
+def solve_windows(table: pa.Table) -> pa.RecordBatch:
+    """Which windows of contexts stand earlier too, from all contexts of some anchors: (anchor, context, low, high)."""
     get = lambda c: table.column(c).to_numpy()
-    anchor, context, before, occurs, doc, at = (get(c) for c in ("anchor", "context", "before", "occurs", "first_doc", "first_at"))
+    anchor, context, before, doc, at, bits = (get(c) for c in ("anchor", "context", "before", "first_doc", "first_at", "first_bits"))
     lists = table.column("hashes").combine_chunks()
     n = np.diff(lists.offsets.to_numpy())
     hashes = lists.flatten().to_numpy()
     which = np.repeat(np.arange(len(anchor)), n)
     step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     offset = step - before[which]
-    by_place = np.lexsort((at, doc))
-    later = (np.diff(doc[by_place], prepend=doc[by_place][:1]) != 0) | (np.diff(at[by_place], prepend=at[by_place][:1]) != 0)
+    by_place = np.lexsort((bits, at, doc))
+    later = np.any([np.diff(x[by_place], prepend=x[by_place][:1]) != 0 for x in (doc, at, bits)], 0)
     place = np.empty(len(anchor), np.int64)
     place[by_place] = np.cumsum(later)  # equal places have equal numbers
     order = np.lexsort((hashes, offset, anchor[which]))
@@ -114,10 +132,7 @@ def solve_windows(table: pa.Table, keep_first: bool) -> pa.RecordBatch:
     new[1:] = (anchor[w][1:] != anchor[w][:-1]) | (offset[order][1:] != offset[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
     first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    if keep_first:
-        hit = place[w] > np.minimum.reduceat(place[w], first)[group]
-    else:
-        hit = np.add.reduceat(occurs[w], first)[group] > 1
+    hit = place[w] > np.minimum.reduceat(place[w], first)[group]
     w, step = w[hit], step[order][hit]
     masks = np.zeros((2, len(anchor)), np.int64)
     for half in (0, 1):
@@ -127,8 +142,65 @@ def solve_windows(table: pa.Table, keep_first: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(anchor[some]), pa.array(context[some]), pa.array(masks[0][some]), pa.array(masks[1][some])], ["anchor", "context", "low", "high"])
 
 
-def _solved(rows: DataFrame, keep_first: bool) -> DataFrame:
-    """Masks of contexts whose anchors have at most CROWD of them: an anchor's contexts meet in one task."""
+def factor_windows(table: pa.Table, width: int) -> pa.RecordBatch:
+    """Contexts that occur once, parsed greedily against all others of their anchors: (anchor, context, factors).
+
+    A factor is the longest run of windows that another context goes on sharing: of the contexts
+    with the window, in the order of what follows their anchors, a neighbour shares the longest.
+    The parse goes on at the first window that the factor doesn't hold, so every window that
+    reaches over a factor's end is tried.
+    """
+    get = lambda c: table.column(c).to_numpy()
+    anchor, context, before, occurs, doc, at = (get(c) for c in ("anchor", "context", "before", "occurs", "first_doc", "first_at"))
+    lists, rights = (table.column(c).combine_chunks() for c in ("hashes", "rights"))
+    n, valid = np.diff(lists.offsets.to_numpy()), np.diff(rights.offsets.to_numpy())
+    hashes = lists.flatten().to_numpy()
+    right = np.zeros((len(anchor), width), np.int64)
+    right[np.arange(width) < valid[:, None]] = rights.flatten().to_numpy()
+    rank = np.empty(len(anchor), np.int64)
+    rank[np.lexsort([*right.T[::-1], anchor])] = np.arange(len(anchor))
+
+    which = np.repeat(np.arange(len(anchor)), n)
+    first = np.cumsum(n) - n
+    step = np.arange(len(which)) - np.repeat(first, n)
+    offset = step - before[which]
+    order = np.lexsort((rank[which], hashes, offset, anchor[which]))
+    w, o, h = which[order], offset[order], hashes[order]
+    i = np.flatnonzero((anchor[w][1:] == anchor[w][:-1]) & (o[1:] == o[:-1]) & (h[1:] == h[:-1]))
+    reach = np.empty(len(i), np.int64)
+    for s in range(0, len(i), _PAIRS):
+        a, b = w[i[s : s + _PAIRS]], w[i[s : s + _PAIRS] + 1]
+        same = (right[a] == right[b]) & (np.arange(width) < np.minimum(valid[a], valid[b])[:, None])
+        reach[s : s + _PAIRS] = np.cumprod(same, 1).sum(1)
+    reach -= o[i] + width - 1
+    longest, mate = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    longest[i + 1], mate[i + 1] = reach, w[i]
+    more = reach > longest[i]
+    longest[i[more]], mate[i[more]] = reach[more], w[i[more] + 1]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    longest, mate = longest[back], mate[back]
+
+    now, found = np.zeros(len(anchor), np.int64), []
+    todo = np.flatnonzero(occurs == 1)
+    while len(todo):
+        k = first[todo] + now[todo]
+        size = longest[k]
+        hit = size > 0
+        found.append(np.stack([todo[hit], now[todo[hit]], size[hit], mate[k[hit]]]))
+        now[todo] += np.maximum(size, 1)
+        todo = todo[now[todo] < n[todo]]
+    c, s, size, m = np.hstack(found) if found else np.zeros((4, 0), np.int64)
+    by = np.lexsort((s, c))
+    c, s, size, m = c[by], s[by], size[by], m[by]
+    some, counts = np.unique(c, return_counts=True)
+    parts = [pa.array(s.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(doc[m]), pa.array((at[m] + s - before[c]).astype(np.int32))]
+    factors = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.StructArray.from_arrays(parts, ["step", "n", "source_doc", "source_begin"]))
+    return pa.RecordBatch.from_arrays([pa.array(anchor[some]), pa.array(context[some]), factors], ["anchor", "context", "factors"])
+
+
+def _by_anchor(rows: DataFrame, solve: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """What solve gives for contexts whose anchors have at most CROWD of them: an anchor's contexts meet in one task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[pa.RecordBatch] = []
@@ -142,30 +214,45 @@ def _solved(rows: DataFrame, keep_first: bool) -> DataFrame:
                 pending.append(batch.slice(0, more))
                 batch = batch.slice(more)
                 if batch.num_rows:
-                    yield solve_windows(pa.Table.from_batches(pending), keep_first)
+                    yield solve(pa.Table.from_batches(pending))
                     pending, size = [], 0
             if batch.num_rows:
                 pending.append(batch)
                 size += batch.num_rows
         if pending:
-            yield solve_windows(pa.Table.from_batches(pending), keep_first)
+            yield solve(pa.Table.from_batches(pending))
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(work, "anchor long, context long, low long, high long")
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(work, schema)
 
 
-def _solved_apart(rows: DataFrame, keep_first: bool) -> DataFrame:
-    """The same for anchors with more contexts: a row per window, counted by hash, so no group meets in a task."""
-    flat = rows.select("anchor", "context", "before", "occurs", place("first_doc", "first_at").alias("first_place"), F.posexplode("hashes").alias("step", "hash")).withColumn("offset", F.col("step") - F.col("before"))
+def _windows_apart(rows: DataFrame) -> DataFrame:
+    """The windows of anchors with more contexts, a row for each, that more than one context or place has.
+
+    They are counted by hash, so no group meets in a task; least and most are places.
+    """
+    flat = rows.select("anchor", "context", "before", "occurs", "first_place", F.posexplode("hashes").alias("step", "hash")).withColumn("offset", F.col("step") - F.col("before"))
     same = ["anchor", "offset", "hash"]
-    counted = flat.groupBy(*same).agg(F.sum("occurs").alias("total"), F.min("first_place").alias("least")).where("total > 1")
-    hit = flat.join(counted, same)
-    hit = hit.where(F.col("least") < F.col("first_place")) if keep_first else hit
+    counted = flat.groupBy(*same).agg(F.sum("occurs").alias("total"), F.min("first_place").alias("least"), F.max("first_place").alias("most")).where("total > 1")
+    return flat.join(counted, same)
+
+
+def _solved_apart(rows: DataFrame) -> DataFrame:
+    hit = _windows_apart(rows).where(F.col("least") < F.col("first_place"))
     bit = lambda lo: F.bit_or(F.when((F.col("step") >= lo) & (F.col("step") < lo + _MASK), F.expr(f"shiftleft(1L, step - {lo})")).otherwise(F.lit(0).cast("long")))
     return hit.groupBy("anchor", "context").agg(bit(0).alias("low"), bit(_MASK).alias("high"))
 
 
-def _window_hashes(reps: DataFrame, unit: str, window: int) -> DataFrame:
-    """reps (text, runs) to a row per context with the hashes of its windows, in order."""
+def _factored_apart(rows: DataFrame) -> DataFrame:
+    """Factors of one window each, from the first place that has it, or the last if that is its own; a parse joins them."""
+    hit = _windows_apart(rows).where("occurs = 1").withColumn("source", F.when(F.col("least") < F.col("first_place"), F.col("least")).otherwise(F.col("most")))
+    hit = hit.select("anchor", "context", "step", "offset", *_of_place("source", "source_doc", "source_at", "source_bits"))
+    factor = F.struct(F.col("step").cast("int").alias("step"), F.lit(1).alias("n"), "source_doc", (F.col("source_at") + F.col("offset")).cast("int").alias("source_begin"))
+    return hit.groupBy("anchor", "context").agg(F.array_sort(F.collect_list(factor)).alias("factors"))  # at most a window's places
+
+
+def _window_hashes(reps: DataFrame, unit: str, window: int, fragment: int) -> DataFrame:
+    """reps (text, runs) to a row per context with the hashes of its windows, in order, and of what begins at its anchor and ends with a window."""
+    width = window - fragment + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,23 +273,23 @@ def _window_hashes(reps: DataFrame, unit: str, window: int) -> DataFrame:
                 runs, begin, n = runs.take(pa.array(fits)), begin[fits], of["n"][fits].astype(np.int64)
                 start = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 hashes = seq.two.of(start, start + window).view(np.int64)
-                cols = [runs.field(f) for f in ("anchor", "context", "before", "occurs", "first_doc", "first_at", "crowd")]
-                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(hashes)))
-                yield pa.RecordBatch.from_arrays(cols, ["anchor", "context", "before", "occurs", "first_doc", "first_at", "crowd", "hashes"])
-
-    kinds = "anchor long, context long, before int, occurs long, first_doc long, first_at int, crowd long, hashes array<long>"
+                before = of["before"][fits].astype(np.int64)
+                ends = n - 1 - before + width
+                anchor = np.repeat(begin + before, ends)
+                length = fragment + np.arange(ends.sum()) - np.repeat(np.cumsum(ends) - ends, ends)
+                rights = seq.one.of(anchor, anchor + length).view(np.int64)
+                cols = [runs.field(f) for f in front]
+                cols += [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), pa.array(x)) for k, x in ((n, hashes), (ends, rights))]
+                yield pa.RecordBatch.from_arrays(cols, [*front, "hashes", "rights"])
+
+    front = ["anchor", "context", "before", "occurs", "first_doc", "first_at", "first_bits", "first_place", "crowd"]
+    kinds = "anchor long, context long, before int, occurs long, first_doc long, first_at int, first_bits long, first_place decimal(38,0), crowd long, hashes array<long>, rights array<long>"
     # rows that repeat a document whole hold its contexts twice
     return reps.select("text", "runs").mapInArrow(work, kinds)
 
 
-def repeated_runs(docs: DataFrame, unit: str, window: int, fragment: int, keep_first: bool) -> tuple[DataFrame, DataFrame]:
-    """(keyed, found): the keyed texts, and for each key the runs whose windows repeat.
-
-    found: doc_id, text_hash, runs array<struct<begin, n, low, high, source_doc, source_begin>>.
-    Window `begin + k` (k < n) repeats if bit k of low, or bit k - 63 of high, is set. With
-    keep_first the first occurrence by (doc_id, place) doesn't count as a repeat. source is an
-    occurrence of the same context, or of itself where it is the only one.
-    """
+def _contexts(docs: DataFrame, unit: str, window: int, fragment: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(keyed, again, contexts, hashed): texts; runs whose anchors occur twice; their contexts; those that meet others."""
     keyed = with_key(docs)
     runs = runs_of(keyed, unit, window, fragment)
     twice = runs.groupBy("anchor").agg(F.count("*").alias("runs"), (F.min("context") != F.max("context")).alias("several")).where("runs > 1")
@@ -211,46 +298,76 @@ def repeated_runs(docs: DataFrame, unit: str, window: int, fragment: int, keep_f
     discard(twice)
 
     contexts = again.groupBy("anchor", "context").agg(
-        F.count("*").alias("occurs"), F.min(place()).alias("first_place"), F.first("before").alias("before"), F.first("n").alias("n"), F.first("several").alias("several")
+        F.count("*").alias("occurs"), F.min(place()).alias("first_place"), F.max(place()).alias("last_place"), F.first("before").alias("before"), F.first("n").alias("n"), F.first("several").alias("several")
     )
     # the occurrence at first_place stands for its context; a null document is the least number
-    doc = F.floor(F.col("first_place") / F.lit(2**40).cast("decimal(13,0)"))
-    at = (F.col("first_place") - doc * F.lit(2**40).cast("decimal(13,0)")).cast("int")
-    contexts = contexts.where("several OR occurs > 1").select("anchor", "context", "occurs", doc.cast("long").alias("first_doc"), at.alias("first_at"), "before", "n", "several")
+    parts = [*_of_place("first_place", "first_doc", "first_at", "first_bits"), *_of_place("last_place", "last_doc", "last_at", "last_bits")]
+    contexts = contexts.where("several OR occurs > 1").select("anchor", "context", "occurs", "first_place", *parts, "before", "n", "several")
     contexts = written(contexts, "contexts")
 
     crowds = contexts.where("several").groupBy("anchor").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    open_ones = contexts.join(crowds, "anchor")
-    reps = open_ones.select("first_doc", F.struct("anchor", "context", "before", "n", "occurs", "first_doc", "first_at", "crowd").alias("run")).groupBy("first_doc").agg(F.collect_list("run").alias("runs"))
-    texts = keyed.select(_doc_number().alias("_doc"), "text").join(reps, F.col("_doc") == F.col("first_doc"))
-    hashed = written(_window_hashes(texts, unit, window), "windows")
-    masks = _solved(hashed.where(F.col("crowd") <= CROWD), keep_first).unionByName(_solved_apart(hashed.where(F.col("crowd") > CROWD), keep_first))
+    run = F.struct("anchor", "context", "before", "n", "occurs", "first_doc", "first_at", "first_bits", "first_place", "crowd")
+    reps = contexts.join(crowds, "anchor").select("first_doc", "first_bits", run.alias("run")).groupBy("first_doc", "first_bits").agg(F.collect_list("run").alias("runs"))
+    bits = F.col("text_hash").bitwiseAND((1 << _TEXT_BITS) - 1)
+    texts = keyed.select(_doc_number().alias("first_doc"), bits.alias("first_bits"), "text").join(reps, ["first_doc", "first_bits"])
+    return keyed, again, contexts, written(_window_hashes(texts, unit, window, fragment), "windows")
+
+
+def repeated_runs(docs: DataFrame, unit: str, window: int, fragment: int) -> tuple[DataFrame, DataFrame]:
+    """(keyed, found): the keyed texts, and for each key the runs with windows that stand earlier too.
+
+    found: doc_id, text_hash, runs array<struct<begin, n, low, high>>. Window `begin + k` (k < n)
+    stands earlier, by (doc_id, place), if bit k of low, or bit k - 63 of high, is set.
+    """
+    keyed, again, contexts, hashed = _contexts(docs, unit, window, fragment)
+    masks = _by_anchor(hashed.where(F.col("crowd") <= CROWD), solve_windows, "anchor long, context long, low long, high long").unionByName(_solved_apart(hashed.where(F.col("crowd") > CROWD)))
+    # rows that repeat a document whole hold its contexts twice
     masks = written(masks.groupBy("anchor", "context").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high")), "masks")
     discard(hashed)
 
     marked = contexts.join(masks, ["anchor", "context"], "left").where("occurs > 1 OR low IS NOT NULL")
-    marked = written(marked.select("anchor", "context", "occurs", "first_doc", "first_at", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.lit(0)).alias("high")), "marked")
+    marked = written(marked.select("anchor", "context", "occurs", "first_place", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.lit(0)).alias("high")), "marked")
     discard(contexts, masks)
 
     full = lambda lo: F.expr(f"CASE WHEN n >= {lo + _MASK} THEN 9223372036854775807L WHEN n > {lo} THEN shiftleft(1L, n - {lo}) - 1 ELSE 0L END")
-    back = again.join(marked, ["anchor", "context"])
-    whole = F.col("occurs") > 1
-    if keep_first:
-        whole = whole & ~((_doc_number() == F.col("first_doc")) & (F.col("at") == F.col("first_at")))
-    spans = F.struct(
-        (F.col("at") - F.col("before")).alias("begin"),
-        "n",
-        F.when(whole, full(0)).otherwise(F.col("low")).alias("low"),
-        F.when(whole, full(_MASK)).otherwise(F.col("high")).alias("high"),
-        F.col("first_doc").alias("source_doc"),
-        (F.col("first_at") - F.col("before")).alias("source_begin"),
-    )
-    found = back.select("doc_id", "text_hash", spans.alias("run")).where("run.low <> 0 OR run.high <> 0")
+    later = (F.col("occurs") > 1) & (place() != F.col("first_place"))
+    spans = F.struct((F.col("at") - F.col("before")).alias("begin"), "n", F.when(later, full(0)).otherwise(F.col("low")).alias("low"), F.when(later, full(_MASK)).otherwise(F.col("high")).alias("high"))
+    found = again.join(marked, ["anchor", "context"]).select("doc_id", "text_hash", spans.alias("run")).where("run.low <> 0 OR run.high <> 0")
     found = written(found.groupBy("doc_id", "text_hash").agg(F.collect_list("run").alias("runs")), "found")
     discard(again, marked)
     return keyed, found
 
 
+def factored_runs(docs: DataFrame, unit: str, window: int, fragment: int) -> tuple[DataFrame, DataFrame]:
+    """(keyed, found): the keyed texts, and for each key the factors of its runs.
+
+    found: doc_id, text_hash, runs array<struct<begin, n, source_doc, source_begin>>: the n
+    windows from begin on stand at source_begin of another place too. Factors end with their run;
+    those that go on in the next run have the same source_begin - begin.
+    """
+    keyed, again, contexts, hashed = _contexts(docs, unit, window, fragment)
+    kinds = "anchor long, context long, factors array<struct<step:int,n:int,source_doc:long,source_begin:int>>"
+    width = window - fragment + 1
+    parsed = written(_by_anchor(hashed.where(F.col("crowd") <= CROWD), lambda t: factor_windows(t, width), kinds).unionByName(_factored_apart(hashed.where(F.col("crowd") > CROWD))), "factors")
+    discard(hashed)
+
+    marked = contexts.drop("before", "n", "several", "first_bits", "last_bits").join(parsed, ["anchor", "context"], "left").where("occurs > 1 OR factors IS NOT NULL")
+    marked = written(marked, "marked")
+    discard(contexts, parsed)
+
+    # a context that occurs again is one factor; its source is its first place, or for that one its last
+    other = place() != F.col("first_place")
+    source = lambda x: F.when(other, F.col(f"first_{x}")).otherwise(F.col(f"last_{x}"))
+    whole = F.struct(F.lit(0).alias("step"), F.col("n").alias("n"), source("doc").alias("source_doc"), (source("at") - F.col("before")).cast("int").alias("source_begin"))
+    each = again.join(marked, ["anchor", "context"]).withColumn("factors", F.when(F.col("occurs") > 1, F.array(whole)).otherwise(F.col("factors")))
+    begin = F.col("at") - F.col("before")
+    runs = F.transform("factors", lambda f: F.struct((begin + f["step"]).alias("begin"), f["n"].alias("n"), f["source_doc"].alias("source_doc"), f["source_begin"].alias("source_begin")))
+    found = each.select("doc_id", "text_hash", runs.alias("runs"))
+    found = written(found.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("runs")), "found")
+    discard(again, marked)
+    return keyed, found
+
+
 def _doc_number() -> Column:
     return F.coalesce("doc_id", F.lit(-(2**63)))
 

@@ -1,8 +1,13 @@
 """Exact removal of byte strings that also start earlier in the corpus.
 
+The dealt column-wise construction takes a round for each byte of the longest text and passes over
+files of the whole collection in each; README has the figures. Built instead: anchors of 100-byte
+windows whose contexts are counted before the shuffle (repeats.py), exact by construction.
+
 Cases: a null text is an empty one; a null doc_id is kept and comes before all others; rows with
-an equal doc_id and text stand at the same place, so neither is earlier than the other; an
-empty table gives no rows; other columns are dropped. Matches never cross texts.
+an equal doc_id and text stand at the same place, so neither is earlier than the other; different
+texts of one doc_id are ordered by place, then by a hash; an empty table gives no rows; other
+columns are dropped. Matches never cross texts.
 """
 
 from __future__ import annotations
@@ -41,5 +46,5 @@ def remove_later_copies(docs: DataFrame, window: int = WINDOW, fragment: int = F
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["removed_spans"] * spans]
-    keyed, found = repeated_runs(docs, "byte", window, fragment, keep_first=True)
+    keyed, found = repeated_runs(docs, "byte", window, fragment)
     return with_runs(keyed, found).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", removed_spans array<struct<begin:long,end:long>>" * spans)

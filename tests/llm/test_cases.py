@@ -172,3 +172,31 @@ def test_factors_are_the_longest_matches(spark, monkeypatch):
                 source = texts[f["source_doc"]][f["source_begin"] : f["source_begin"] + f["words"]]
                 assert source == w[f["begin"] : f["begin"] + f["words"]] and len(source) >= 35
                 assert (f["source_doc"], f["source_begin"]) != (d, f["begin"])
+
+
+def test_large_regions_are_cut_and_tiled(spark, monkeypatch):
+    """Groups of about 20 members: every pair that passes the bitmaps meets once or more, in a bounded group."""
+    monkeypatch.setattr(jaccard_join, "CELL_BYTES", 20 * 256)
+    rng = np.random.default_rng(6)
+    base = [rng.integers(0, 1 << 63, 300, dtype=np.uint64) for _ in range(12)]
+    sets = []
+    for k in range(400):  # clusters that pivots part, and a scattered rest that they don't
+        b = base[k % 12]
+        drop = rng.random(300) < rng.choice([0.01, 0.08, 0.4])
+        sets.append(np.unique(np.concatenate([b[~drop], rng.integers(0, 1 << 63, int(drop.sum()), dtype=np.uint64)])))
+    sets += [np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64)) for _ in range(5)]
+    sets += [np.unique(np.concatenate([sets[-1][:2900], rng.integers(0, 1 << 63, 90, dtype=np.uint64)]))]
+    rows = [(7, i, len(x), i, jaccard_join.bitmap_of(x)) for i, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "shingle long, class long, n long, part long, bitmap binary").repartition(4)
+    groups = {}
+    for r in jaccard_join.bounded_cells(table, 75).collect():
+        groups.setdefault(r["group"], []).append(r)
+    assert max(sum(len(r["bitmap"]) for r in g) for g in groups.values() if len(g) > 4) <= 3 * 20 * 256 + 4096
+    met = set()
+    for g in groups.values():
+        met |= {(min(a["class"], b["class"]), max(a["class"], b["class"])) for a in g for b in g if a["class"] != b["class"] and (a["own"] or b["own"]) and (a["tile"] != b["tile"] or a["within"])}
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                assert (j, i) in met

@@ -223,7 +223,7 @@ def test_region_pairs_lose_nothing():
         drop = rng.random(400) < rng.choice([0.02, 0.1, 0.5])
         sets.append(np.unique(np.concatenate([base[~drop], rng.integers(0, 1 << 63, int(drop.sum() * rng.random()), dtype=np.uint64)])))
     n = np.array([len(s) for s in sets])
-    pairs = {tuple(p) for p in jaccard_join.region_pairs([jaccard_join.bitmap_of(s) for s in sets], n).T.tolist()}
+    pairs = {tuple(p) for p in jaccard_join.cell_pairs([jaccard_join.bitmap_of(s) for s in sets], n, np.ones(300, bool)).T.tolist()}
     for i in range(300):
         for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j]))

@@ -12,7 +12,9 @@ pivot alone does not part a corpus. Regions are therefore begun where they tell
    becomes one component with a few pairs a member, however large it is.
 4. Where members of a region are in different components, the region is joined recursively:
    pivots, a Voronoi cell for each, members within the triangle inequality's window of a cell
-   boundary given to both cells, until a cell is small. The metric is the Hamming distance of
+   boundary given to both cells, until a cell is small. Cells of over CELL_BYTES are cut by a
+   shuffle of their own each time; those that pivots don't part are dealt into tiles, every two
+   of which meet in a task; so a task holds about CELL_BYTES, whatever the size of a region. The metric is the Hamming distance of
    parity bitmaps, never above the symmetric difference of the sets, which is at most
    (1 - c) / (1 + c) of the sum of their sizes for linked sets; so no link is lost.
 5. Pairs that pass the bitmaps are compared by their whole shingle sets.
@@ -27,6 +29,7 @@ no rows; other columns are dropped. Only A-Z is lower-cased; words are as in com
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,8 @@ HOT, MOST_HOT = 16, 1_000_000
 SMALL = 64
 #: Further pivots that large regions in several components meet before they are cut.
 PIVOTS = 3
+#: Bytes of bitmaps of the members of a cell that meet in one task, about; pivots of a larger cell, and how often it is cut.
+CELL_BYTES, CELL_PIVOTS, CUTS = 4 << 20, 8, 6
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -129,20 +134,95 @@ def _cell_pairs(bits: np.ndarray, n: np.ndarray, own: np.ndarray, percent: int,
             yield inside[pair]
 
 
-def region_pairs(bitmaps: list[bytes], n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """All pairs of a region that pass sizes and bitmaps, as (2, pairs)."""
-    sizes = np.array([len(b) for b in bitmaps])
-    found = []
-    for size in np.unique(sizes):
-        # similar sizes differ by one step of bitmap size at most
-        at = np.flatnonzero((sizes == size) | (sizes == 2 * size))
-        bits = np.stack([fold(np.frombuffer(bitmaps[i], np.uint8), size) for i in at]).view(np.uint64)
-        for pair in _cell_pairs(bits, n[at], sizes[at] == size, percent):
-            found.append(at[pair])
-    if not found:
-        return np.zeros((2, 0), np.int64)
-    pairs = np.sort(np.hstack(found), 0)
-    return np.unique(pairs, axis=1)
+def cell_pairs(bitmaps: list[bytes], n: np.ndarray, own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """All pairs of a cell that pass sizes and bitmaps, at least one of them own, as (2, pairs); bitmaps of one size."""
+    bits = np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), -1)
+    found = list(_cell_pairs(bits, n, own, percent))
+    return np.unique(np.sort(np.hstack(found), 0), axis=1) if found else np.zeros((2, 0), np.int64)
+
+
+_CELL = "cell long, class long, n long, part long, bitmap binary, own boolean"
+
+
+def _by_bitmap_size(rows: DataFrame) -> DataFrame:
+    """rows (shingle, class, n, part, bitmap) in cells of a region and a bitmap size.
+
+    Similar sizes differ by one step of bitmap size at most, so each set is at home where its own
+    size is, and a guest, folded, where the next smaller one is.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        smallest = 2048 // 8
+        for batch in batches:
+            bitmaps = batch.column("bitmap").to_pylist()
+            half = np.array([i for i, x in enumerate(bitmaps) if len(x) > smallest], np.int64)
+            folded = [fold(np.frombuffer(bitmaps[i], np.uint8), len(bitmaps[i]) // 2).tobytes() for i in half]
+            for at, x, own in ((np.arange(len(bitmaps)), bitmaps, True), (half, folded, False)):
+                cols = [batch.column(c).take(pa.array(at)) for c in ("shingle", "class", "n", "part")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(x, pa.binary()), pa.array(np.full(len(x), own))], ["cell", "class", "n", "part", "bitmap", "own"])
+
+    out = rows.mapInArrow(work, _CELL)
+    return out.withColumn("cell", F.xxhash64("cell", F.length("bitmap")))
+
+
+def _cut(rows: DataFrame, percent: int) -> DataFrame:
+    """rows of cells with the bitmaps p0, p1 ... of their pivots to rows of the pivots' Voronoi cells and windows: at is the pivot."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bitmaps = batch.column("bitmap").to_pylist()
+            far = np.empty((batch.num_rows, CELL_PIVOTS), np.int64)
+            for k in range(CELL_PIVOTS):
+                for i, (x, p) in enumerate(zip(bitmaps, batch.column(f"p{k}").to_pylist(), strict=True)):
+                    far[i, k] = _popcount(np.frombuffer(x, np.uint64) ^ np.frombuffer(p, np.uint64))
+            home, n = far.argmin(1), batch.column("n").to_numpy()
+            # as in _cell_pairs: a partner's cell is at most two reaches farther than the nearest
+            inside = far - far.min(1)[:, None] <= 2 * _reach(n, n * 100 / percent, percent)[:, None]
+            row, at = np.nonzero(inside)
+            cols = [batch.column(c).take(pa.array(row)) for c in ("cell", "bytes", "class", "n", "part", "bitmap")]
+            own = batch.column("own").to_numpy(zero_copy_only=False)[row] & (home[row] == at)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(own), pa.array(at.astype(np.int32))], ["cell", "bytes", "class", "n", "part", "bitmap", "own", "at"])
+
+    return rows.mapInArrow(work, "cell long, bytes long, class long, n long, part long, bitmap binary, own boolean, at int")
+
+
+def bounded_cells(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (shingle, class, n, part, bitmap) of regions, in groups of about CELL_BYTES at most.
+
+    (group, class, n, part, bitmap, own, tile, within): two rows of a group are compared if one is
+    own, and if their tiles differ or the group is `within` a tile. Every pair of a region that
+    is linked meets in some group.
+    """
+    cells, done = written(_by_bitmap_size(rows), "cells"), []
+    for turn in range(CUTS + 1):
+        size = cells.groupBy("cell").agg(F.sum(F.length("bitmap")).alias("bytes"), F.bool_or("own").alias("owned")).where("owned").drop("owned")
+        if turn:  # a cell that holds nearly all of the one it was cut from isn't cut again
+            size = size.join(cells.groupBy("cell").agg(F.first("before").alias("before")), "cell")
+        else:
+            size = size.withColumn("before", F.lit(None).cast("long"))
+        size = written(size, "sizes")
+        small = size.where(F.col("bytes") <= CELL_BYTES)
+        done.append(cells.join(small.select("cell"), "cell").select(F.col("cell").alias("group"), "class", "n", "part", "bitmap", "own", F.lit(0).alias("tile"), F.lit(True).alias("within")))
+        stuck = F.lit(turn == CUTS) | F.coalesce(F.col("bytes") >= 0.9 * F.col("before"), F.lit(False))
+        large = size.where(F.col("bytes") > CELL_BYTES)
+        if large.isEmpty():
+            break
+        tiles = F.ceil(F.col("bytes") * 2 / CELL_BYTES).cast("int")
+        dealt = cells.join(large.where(stuck).select("cell", tiles.alias("tiles")), "cell").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        group = F.xxhash64("cell", F.least("tile", "other"), F.greatest("tile", "other"))
+        met = dealt.withColumn("group", group).withColumn("within", F.col("tile") == F.col("other"))
+        done.append(met.select("group", "class", "n", "part", "bitmap", "own", "tile", "within"))
+        pick = [F.min_by("bitmap", F.xxhash64("class", F.lit(turn * CELL_PIVOTS + k))).alias(f"p{k}") for k in range(CELL_PIVOTS)]
+        open_ = cells.join(large.where(~stuck).select("cell", "bytes"), "cell")
+        pivots = written(open_.groupBy("cell").agg(*pick), "pivots")
+        if pivots.isEmpty():
+            break
+        cut = _cut(open_.join(pivots, "cell"), percent)
+        cells = written(cut.select(F.xxhash64("cell", F.lit(turn), "at").alias("cell"), F.col("bytes").alias("before"), "class", "n", "part", "bitmap", "own"), "cells")
+    return reduce(DataFrame.unionByName, done)
 
 
 def _code(shingles: np.ndarray) -> int:
@@ -301,17 +381,18 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 yield pa.RecordBatch.from_arrays([pa.array(c[a]), pa.array(c[b])], ["a", "b"])
 
     def cut_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_region(batches):
-            c, part = table.column("class").to_numpy(), table.column("part").to_numpy()
-            i, j = region_pairs(table.column("bitmap").to_pylist(), table.column("n").to_numpy(), percent)
-            keep = part[i] != part[j]
+        for table in _by_region(batches, "group"):
+            c, part, tile = (table.column(x).to_numpy() for x in ("class", "part", "tile"))
+            own, within = (table.column(x).to_numpy(zero_copy_only=False) for x in ("own", "within"))
+            i, j = cell_pairs(table.column("bitmap").to_pylist(), table.column("n").to_numpy(), own, percent)
+            keep = (part[i] != part[j]) & ((tile[i] != tile[j]) | within[i])
             a, b = np.maximum(c[i], c[j])[keep], np.minimum(c[i], c[j])[keep]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     listed = mixed.where(F.col("members") <= SMALL).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(list_pairs, "a long, b long")
     large = mixed.where(F.col("members") > SMALL).join(classes.select("class", "bitmap"), "class")
-    cut = large.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(cut_pairs, "a long, b long")
+    cut = bounded_cells(large, percent).repartition("group").sortWithinPartitions("group").mapInArrow(cut_pairs, "a long, b long")
     more = _exact(written(listed.unionByName(cut).distinct(), "rest"), classes, texts, words, percent)
 
     parts = components(links.unionByName(more))
@@ -337,12 +418,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return out.dropDuplicates([key]).drop(key)
 
 
-def _by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of one shingle after the other, from rows in order of shingle."""
+def _by_region(batches: Iterator[pa.RecordBatch], by: str = "shingle") -> Iterator[pa.Table]:
+    """The rows of one region after the other, from rows in order of region."""
     pending: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
-        key = batch.column("shingle").to_numpy()
+        key = batch.column(by).to_numpy()
         cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a == b:

@@ -94,12 +94,54 @@ def test_pairing_uses_an_original_once(spark):
     assert [r.lead for r in signals.pair_leads(early, late, ["k"], "t", "v").orderBy("t").collect()] == [3.0, None, None]
 
 
-def test_drawdown_rule_and_zigzag(spark):
-    b = bars(spark, [100, 80, 90, 100, 80, 85])
-    r = signals.drawdown_rule(b, ["ticker"], "date", 5, 15.0, 15.0).first()
-    assert (r.trades, r.wins) == (1, 0) and abs(r.sum_return) < 1e-12
-    z = signals.swing_depth(b, ["ticker"], "date", 20, 10.0).first()
-    assert z.pullbacks == 2 and abs(z.pullback_pct - 20) < 1e-9
+def test_drawdown_rule_buys_in_tranches_the_day_after(spark):
+    # 80 is -20 %, so 78 buys; 74 is below -25 %, so 72 buys; 96 resets; 81 is 15.6 % under 96 and leaves
+    b = bars(spark, [100, 80, 78, 74, 72, 96, 81])
+    r = signals.drawdown_rule(b, ["ticker"], "date", 252).first()
+    assert (r.trades, r.wins, r.open_units) == (1, 1, 0) and abs(r.sum_return - (2 * 81 / (78 + 72) - 1)) < 1e-9
+    # no entry again before the event has ended
+    r = signals.drawdown_rule(bars(spark, [100, 80, 80, 60, 60, 60]), ["ticker"], "date", 252).first()
+    assert (r.trades, r.open_units) == (1, 0)
+
+
+def test_pullback_is_of_the_leg_before(spark):
+    z = signals.swing_depth(bars(spark, [100, 110, 105, 120, 114, 130]), ["ticker"], "date").first()
+    assert z.pullbacks == 2 and abs(z.pullback_pct - 50) < 1e-9
+    assert signals.swing_depth(bars(spark, [100, 101, 102]), ["ticker"], "date").first().pullback_pct == 0
+    assert signals.swing_depth(bars(spark, [100, 101]), ["ticker"], "date").first().pullback_pct is None
+
+
+def test_book_confidence_values(spark):
+    df = spark.createDataFrame([("a", 0.5), ("a", 0.5), ("a", 0.5), ("b", -0.04), ("b", -0.5), ("c", 0.9), ("d", -0.2), ("d", -0.4)], "k string, pressure double")
+    got = {r.k: (r.score, r.persistence, r.label, r.adjustment, r.reliability) for r in book.confidence(df, ["k"]).collect()}
+    assert got == {"a": (80.0, 1, "strong_buy_pressure", 8, "high"), "b": (39.0, 0, "sell_pressure", -2, "medium"), "c": (86.0, 0, "strong_buy_pressure", 8, "low"), "d": (28.0, -1, "strong_sell_pressure", -5, "medium")}
+
+
+def test_reference_prices_weigh_levels(spark):
+    level = "array<struct<price:double,volume:double,diff:double>>"
+    bids, asks = [(99.0, 2.0, 0.0), (98.0, 3.0, 0.0), (97.0, 3.0, 0.0)], [(101.0, 1.0, 0.0), (102.0, 9.0, 0.0)]
+    checked = spark.createDataFrame([("a", 1, None, bids, asks)], f"k string, t int, problem string, bids {level}, asks {level}")
+    scored = spark.createDataFrame([("a", 70.0)], "k string, score double")
+    r = book.reference_prices(checked, scored, ["k"], "t").first()
+    # weighted bid volumes 10, 12, 9: the second; ask volumes 5, 36
+    assert (r.active_entry, r.patient_entry, r.take_profit, r.stop_loss, r.stop_reliability) == (101.0, 98.0, 101.0, 97.0, "normal")
+
+
+def test_preopen_states(spark):
+    r = one(
+        spark, a=book.auction_state(F.lit(100.0), F.lit(101.5), F.lit(99.0)), b=book.auction_state(F.lit(100.0), F.lit(98.0), F.lit(98.0)), c=book.auction_state(F.lit(100.0), F.lit(98.0), F.lit(97.0)), d=book.auction_state(F.lit(100.0), F.lit(100.5), F.lit(97.0)),
+        e=book.auction_state(F.lit(100.0), F.lit(None).cast("double"), F.lit(97.0)), f=book.basis_view(F.lit(-150.0), F.lit(7)), g=book.basis_view(F.lit(-301.0), F.lit(7)), h=book.basis_view(F.lit(-150.0), F.lit(3)), i=book.currency_view(F.lit(-0.1)),
+        j=book.relative_strength(book.moves_of(F.lit("dow=1.5, nasdaq = 0.2")), F.lit("neutral")), k=book.relative_strength(book.moves_of(F.lit("dow=-1.5,x=-1")), F.lit("neutral")), l=book.relative_strength(book.moves_of(F.lit("")), F.lit("neutral")),
+        m=book.preopen_environment(F.lit("bullish"), F.lit("bullish"), F.lit("aligned"), F.lit(False), F.lit(False), F.lit(True)), n=book.preopen_environment(F.lit("bullish"), F.lit("bearish"), F.lit("aligned"), F.lit(False), F.lit(False), F.lit(True)),
+    )
+    assert (r.a, r.b, r.c, r.d, r.e) == ("last_minute_pull_up", "last_minute_press_down_held", "last_minute_press_down_failed", "stable", "insufficient")
+    assert (r.f, r.g, r.h, r.i, r.j, r.k, r.l, r.m, r.n) == ("neutral", "bearish", "bearish", "bullish", "taiwan_weaker_than_us", "taiwan_resilient", "missing", "bullish", "conflict")
+
+
+def test_exit_rule_of_a_position(spark):
+    f = lambda ret, day, close=10.0, high=10.0, before=9.0, top=10.0: signals.exit_reason(*[F.lit(v) for v in (ret, day, close, high, before, top)], F.lit(None).cast("double"))
+    r = one(spark, a=f(-0.2, 1), b=f(-0.055, 2), c=f(0.13, 2), d=f(0.05, 6), e=f(0.05, 3), f=f(0.05, 3, close=8.0), g=f(-0.01, 3))
+    assert tuple(r) == (None, "stop", "target", "time", None, "no_continuation", "no_continuation")
 
 
 def test_auc_counts_ties_half(spark):
@@ -122,7 +164,7 @@ def test_steps_read_the_first_bound_not_below(spark):
 
 def test_logistic_reaches_its_optimum(spark):
     df = spark.createDataFrame([(float(i % 7), float((i * 5) % 11), float((i % 7) > 3)) for i in range(200)], "a double, b double, y double")
-    scored = validation.score_logistic(validation.fit_logistic(df, ["a", "b"], "y", 1.0), df, "p")
+    scored = validation.score_logistic(validation.fit_logistic(df, ["a", "b"], "y", 1.0), df, "p", ["a", "b"])
     assert scored.agg(F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double"))).first()[0] == 1.0
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.daily import by, streak, wma
+from tidemark.operators.daily import by, streak
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str = "place") -> DataFrame:
@@ -22,10 +22,16 @@ def sector_heat(quotes: DataFrame, companies: DataFrame, unknown: str = "unknown
     )
 
 
+# Names of investor classes, in order.
+INVESTORS = {"foreign": r"(?i)foreign|外資", "trust": r"(?i)trust|投信", "dealer": r"(?i)dealer|自營"}
+
+
 def investor_class(name: str = "investor") -> Column:
     """Investor class by pattern, in order; null if none fits."""
-    n = F.lower(F.col(name))
-    return F.when(n.rlike("machin|foreign"), "foreign").when(n.rlike("auto|trust"), "trust").when(n.rlike("build|furn|dealer"), "dealer")
+    out = F.lit(None).cast("string")
+    for kind, pattern in reversed(INVESTORS.items()):
+        out = F.when(F.col(name).rlike(pattern), kind).otherwise(out)
+    return out
 
 
 def sector_flow(flows: DataFrame, prices: DataFrame, companies: DataFrame) -> DataFrame:
@@ -71,22 +77,36 @@ def return_summary(df: DataFrame, keys: list[str], value: str = "forward") -> Da
 
 
 def false_breakouts(bars: DataFrame, n: int, drop_pct: float = 3.0) -> DataFrame:
-    """Buy crossings followed within n bars by a close below the average, or a fall by drop_pct; the rate is over all crossings."""
+    """Buy crossings followed within n bars by a close below the average or drop_pct below theirs; the rate is over all crossings."""
     w = by().rowsBetween(1, n)
-    x = bars.withColumn("under", F.max((F.col("close") < F.col("hma")).cast("int")).over(w)).withColumn("lowest", F.min("low").over(w)).withColumn("later", F.count("*").over(w))
-    bad = (F.col("later") > 0) & ((F.col("under") == 1) | (F.col("lowest") <= F.col("close") * (1 - drop_pct / 100)))
+    x = bars.withColumn("under", F.max((F.col("close") < F.col("hma")).cast("int")).over(w)).withColumn("lowest", F.min("close").over(w)).withColumn("later", F.count("*").over(w))
+    bad = (F.col("later") > 0) & ((F.col("under") == 1) | ((F.col("lowest") - F.col("close")) / F.col("close") <= -drop_pct / 100))
     return x.where("crossed_up").groupBy("ticker").agg(F.count("*").alias("signals"), F.count_if(F.col("later") > 0).alias("checked"), F.count_if(bad).alias("false_ones")).withColumn("false_rate", F.col("false_ones") / F.col("signals") * 100)
 
 
 def volume_confirmed(bars: DataFrame, n: int, ratio: float = 1.2) -> Column:
-    return F.col("volume") > ratio * F.avg("volume").over(by().rowsBetween(-n, -1))
+    """Whether the volume is `ratio` times the average of up to n bars before, or more; false without any."""
+    before = F.avg("volume").over(by().rowsBetween(-n, -1))
+    return F.coalesce((before != 0) & (F.col("volume") / before >= ratio), F.lit(False))
+
+
+#: Least average volume and turnover, and the share of the volume that a position may take.
+MIN_VOLUME, MIN_TURNOVER, POSITION_SHARE, LOT = 1_000_000.0, 20_000_000.0, 0.02, 1000
+
+
+def _liquid(volume: Column, turnover: Column, min_volume: float, min_turnover: float, share: float) -> dict[str, Column]:
+    ratio = F.least(volume / min_volume, turnover / min_turnover)
+    return {
+        "avg_volume": volume, "avg_turnover": turnover, "eligible": ratio >= 1, "status": F.when(ratio >= 1, "liquid").otherwise("thin"),
+        "score": F.greatest(F.lit(0), F.least(F.lit(100), F.floor(ratio * 100 + 0.5))), "max_shares": F.floor(volume * share), "max_lots": F.floor(F.floor(volume * share) / LOT),
+    }
 
 
-def liquidity(bars: DataFrame, n: int, lot_share: float = 0.01) -> DataFrame:
-    """Over a ticker's last n bars: average volume and turnover, the last one's ratio, and the largest lot."""
-    x = top_rows(bars, ["ticker"], [F.col("date").desc()], n)
-    out = x.groupBy("ticker").agg(F.avg("volume").alias("avg_volume"), F.avg("turnover").alias("avg_turnover"), F.max_by("volume", "date").alias("last_volume"))
-    return out.select("*", (F.col("last_volume") / F.col("avg_volume")).alias("volume_ratio"), F.floor(F.col("avg_volume") * lot_share).alias("max_lots"))
+def liquidity(bars: DataFrame, n: int, min_volume: float = MIN_VOLUME, min_turnover: float = MIN_TURNOVER, share: float = POSITION_SHARE) -> DataFrame:
+    """Over a ticker's last n bars: average volume and turnover (volume times close), whether both suffice, score and largest lots."""
+    x = top_rows(bars.where("volume IS NOT NULL AND close IS NOT NULL"), ["ticker"], [F.col("date").desc()], n)
+    out = x.groupBy("ticker").agg(F.count("*").alias("bars"), F.avg("volume").alias("_v"), F.avg(F.col("volume") * F.col("close")).alias("_t"))
+    return out.select("ticker", "bars", *[v.alias(k) for k, v in _liquid(F.col("_v"), F.col("_t"), min_volume, min_turnover, share).items()])
 
 
 def moving_facts(bars: DataFrame) -> DataFrame:
@@ -113,10 +133,10 @@ def drawdown_episodes(series: DataFrame, keys: list[str], least_pct: float) -> D
 
 
 def trailing_zscore(df: DataFrame, keys: list[str], order: str, value: str, n: int) -> Column:
-    """z of a value against the n before it."""
+    """z of a value against the n before it; 0 where those don't differ, null where there are fewer."""
     frame = W.partitionBy(*keys).orderBy(order).rowsBetween(-n, -1)
     spread = F.stddev_pop(value).over(frame)
-    return F.when((F.count(value).over(frame) == n) & (spread > 0), (F.col(value) - F.avg(value).over(frame)) / spread)
+    return F.when(F.count(value).over(frame) == n, F.when(spread > 0, (F.col(value) - F.avg(value).over(frame)) / spread).otherwise(F.lit(0.0)))
 
 
 def non_overlapping(series: DataFrame, keys: list[str], hold: int) -> DataFrame:
@@ -144,15 +164,55 @@ def chip_events(bars: DataFrame, net: DataFrame) -> DataFrame:
     from tidemark.operators.micro import asof_backward
 
     known = net.where("net IS NOT NULL")
-    x = asof_backward(bars.select("ticker", "date", "close"), known, ["ticker"], "date", "date", ["net"])
+    x = asof_backward(bars.select("ticker", "date", "close"), known, ["ticker"], "date", "date", ["net"], unit="month")
     return x.withColumn("age_days", F.datediff("date", "matched_ts"))
 
 
-def decisions(daily: DataFrame, liquid: float) -> DataFrame:
-    """A decision for every bar from windows alone, instead of a run per day."""
-    x = daily.withColumn("ma20", F.when(F.count("*").over(by().rowsBetween(-19, 0)) == 20, F.avg("close").over(by().rowsBetween(-19, 0)))).withColumn("w10", wma("close", 10))
-    decision = (
-        F.when(F.col("turnover") < liquid, "avoid_liquidity").when(F.col("ma20").isNull(), "watch").when((F.col("close") > F.col("ma20")) & (F.col("w10") > F.lag("w10").over(by())) & (F.col("close") <= F.col("ma20") * 1.06), "buy_watch")
-        .when((F.col("close") > F.col("ma20")) & (F.col("close") > F.col("ma20") * 1.06), "wait_pullback").when(F.col("close") > F.col("ma20"), "hold_or_scale").when(F.col("close") < F.col("ma20") * 0.94, "avoid_trend").otherwise("watch")
-    )
-    return x.withColumn("decision", decision)
+def decisions(states: DataFrame, n: int = 20, min_volume: float = MIN_VOLUME, min_turnover: float = MIN_TURNOVER, ratio: float = 1.2) -> DataFrame:
+    """A decision for every bar that has an average, as of that bar: liquidity, trend, volume, then the last crossing.
+
+    states: bars from daily.hma_state. Windows take the place of a run per day.
+    """
+    last = by().rowsBetween(-(n - 1), 0)
+    liquid = (F.avg("volume").over(last) >= min_volume) & (F.avg(F.col("volume") * F.col("close")).over(last) >= min_turnover)
+    signal = F.last(F.when(F.col("crossed_up"), "buy").when(F.col("crossed_down"), "sell"), ignorenulls=True).over(by().rowsBetween(W.unboundedPreceding, 0))
+    x = states.select("*", liquid.alias("liquid"), volume_confirmed(states, n, ratio).alias("confirmed"), signal.alias("last_signal"))
+    up, weak, down = F.col("trend").isin("bullish", "bullish_reversal"), F.col("trend") == "weak_bullish", F.col("trend").isin("bearish", "bearish_reversal")
+    action = (
+        F.when(~F.col("liquid"), "avoid_liquidity")
+        .when(up & F.col("confirmed"), F.when(F.col("last_signal") == "buy", "buy_watch").otherwise("hold_or_scale"))
+        .when(up | weak, "wait_pullback")
+        .when(down, "avoid_trend")
+        .otherwise("watch")
+    )
+    return x.where("hma IS NOT NULL AND close_before IS NOT NULL").withColumn("decision", action)
+
+
+def signal_score(trend: str, confirmed: str, liquid: str, bought: str, forward: str, false_rate: str) -> Column:
+    """Confidence 0..100 of a signal: trend, volume, liquidity, institutions, forward average, false breakouts."""
+    t, yes = F.col(trend), lambda x, v: F.when(F.coalesce(F.col(x), F.lit(False)), v).otherwise(0)
+    score = F.when(t.isin("bullish", "bullish_reversal"), 35).when(t == "weak_bullish", 20).when(t.isin("bearish", "bearish_reversal"), -20).otherwise(0)
+    score = score + yes(confirmed, 25) + F.when(F.col(liquid), 15).when(~F.col(liquid), -30).otherwise(0) + yes(bought, 25)
+    score = score + F.when(F.col(forward) > 0, 10).otherwise(0) + F.when(F.col(false_rate) <= 30, 5).otherwise(0)
+    return F.greatest(F.lit(0), F.least(F.lit(100), score))
+
+
+def signal_advice(trend: str, confirmed: str, liquid: str, bought: str, score: str) -> Column:
+    t, ok = F.col(trend), lambda x: F.coalesce(F.col(x), F.lit(False))
+    up = t.isin("bullish", "bullish_reversal")
+    return (
+        F.when(~F.col(liquid), "avoid_or_reduce_size")
+        .when(t.isin("bearish", "bearish_reversal"), "avoid_or_reduce")
+        .when(up & ok(confirmed) & ok(bought) & (F.col(score) >= 70), "follow_in_steps")
+        .when(up | (t == "weak_bullish"), "wait_for_pullback")
+        .otherwise("watch")
+    )
+
+
+def chip_performance(events: DataFrame, bars: DataFrame, days: list[int]) -> DataFrame:
+    """Forward returns of dates with institutional and holder confirmation, by horizon. events: ticker, date."""
+    x = bars
+    for n in days:
+        x = x.withColumn(f"_f{n}", (F.lead("close", n).over(by()) / F.col("close") - 1) * 100)
+    each = events.join(x, ["ticker", "date"]).select(F.explode(F.array(*[F.struct(F.lit(n).alias("days"), F.col(f"_f{n}").alias("forward")) for n in days])).alias("_e"))
+    return return_summary(each.select("_e.days", "_e.forward"), ["days"])

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions.scalars import c
 
@@ -60,9 +61,13 @@ def asof_quotes(ticks: DataFrame, quotes: DataFrame, keys: list[str], max_age_s:
             return t[columns].assign(quote_id=pd.array([pd.NA] * len(t), "Int64"), quote_ts=pd.NaT)
         at = np.searchsorted(q["exchange_ts"].to_numpy(), t["exchange_ts"].to_numpy(), "right") - 1
         heard, now = q["received_ts"].to_numpy(), t["received_ts"].to_numpy()
-        # most quotes found first were received in time; the rest step back until one was
-        while len(late := np.flatnonzero((at >= 0) & (heard[np.maximum(at, 0)] > now))):
-            at[late] -= 1
+        # least[k][i]: the earliest receipt of the 2^k quotes up to i; one walk down finds the last that was received in time
+        least = [heard]
+        while 2 ** len(least) <= len(heard):
+            w = 2 ** (len(least) - 1)
+            least.append(np.concatenate([least[-1][:w], np.minimum(least[-1][w:], least[-1][:-w])]))
+        for k in range(len(least) - 1, -1, -1):
+            at = np.where((at >= 2**k - 1) & (least[k][np.maximum(at, 0)] > now), at - 2**k, at)
         out = t[columns].copy()
         found = at >= 0
         out["quote_id"] = pd.Series(q["event_id"].to_numpy()[at], index=t.index).astype("Int64").where(found)
@@ -78,15 +83,24 @@ def asof_quotes(ticks: DataFrame, quotes: DataFrame, keys: list[str], max_age_s:
     return joined.select("*", age.alias("quote_age_s"), status.alias("status"))
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], strict: bool = False) -> DataFrame:
-    """left with the values of the last right row at or before (strict: before) it, by one sort per key."""
-    sort = F.lit(0 if not strict else 2)
-    l = left.select("*", F.col(left_ts).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(right.select(F.struct(right_ts, *values)).schema[0].dataType).alias("_value"))  # noqa: E741
-    r = right.select(*keys, F.col(right_ts).alias("_at"), sort.alias("_kind"), F.struct(right_ts, *values).alias("_value"))
-    both = l.unionByName(r, allowMissingColumns=True)
-    last = F.last("_value", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0))
-    out = both.withColumn("_value", last).where("_kind = 1")
-    return out.select(*left.columns, F.col(f"_value.{right_ts}").alias("matched_ts"), *[F.col(f"_value.{v}").alias(v) for v in values])
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], strict: bool = False, unit: str = "day") -> DataFrame:
+    """left with the values of the last right row at or before (strict: before) it; of equal times the greatest values.
+
+    Rows are sorted by key and `unit` of time, so that no key's history meets in one task; what was
+    last before a unit comes from a table of one row a key and unit.
+    """
+    value = F.struct(right_ts, *values)
+    kind = right.select(value).schema[0].dataType
+    left_row = F.struct(*left.columns)
+    l = left.select(*keys, F.col(left_ts).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(kind).alias("_value"), left_row.alias("_left"))  # noqa: E741
+    r = right.select(*keys, F.col(right_ts).alias("_at"), F.lit(2 if strict else 0).alias("_kind"), value.alias("_value"), F.lit(None).cast(left.select(left_row).schema[0].dataType).alias("_left"))
+    both = l.unionByName(r).withColumn("_unit", F.date_trunc(unit, F.col("_at").cast("timestamp")))
+    ends = both.groupBy(*keys, "_unit").agg(F.max("_value").alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_unit").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select(*keys, "_unit", before.alias("_before"))
+    inside = F.last("_value", ignorenulls=True).over(W.partitionBy(*keys, "_unit").orderBy("_at", "_kind", "_value").rowsBetween(W.unboundedPreceding, 0))
+    out = both.withColumn("_value", inside).where("_kind = 1").join(ends, [*keys, "_unit"]).withColumn("_value", F.coalesce("_value", "_before"))
+    return out.select("_left.*", F.col(f"_value.{right_ts}").alias("matched_ts"), *[F.col(f"_value.{v}").alias(v) for v in values])
 
 
 def step_states(ticks: DataFrame, quotes: DataFrame, step_s: int, max_quote_age_s: float) -> DataFrame:
@@ -161,14 +175,14 @@ def bar_features(b: DataFrame) -> DataFrame:
 
 
 def ema(df: DataFrame, value: str, span: int, keys: list[str], order: str, out: str) -> DataFrame:
-    """Exponential average that starts at the first value. A key's values, such as a session's bars, are one array."""
-    a = 2.0 / (span + 1)
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_rows"))
-    start = F.array().cast("array<double>")
-    step = lambda acc, r: F.concat(acc, F.array(F.when(F.size(acc) == 0, r[value]).otherwise(F.lit(a) * r[value] + F.lit(1 - a) * F.element_at(acc, -1))))
-    rows = rows.withColumn("_ema", F.aggregate("_rows", start, step))
-    flat = rows.select(*keys, F.inline(F.zip_with("_rows", "_ema", lambda r, e: F.struct(r[order].alias(order), e.alias(out)))))
-    return df.join(flat, [*keys, order], "left")
+    """Exponential average that starts at the first value. A key's values, such as a session's bars, meet in one Arrow batch."""
+
+    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        rows[out] = rows[value].astype(float).ewm(span=span, adjust=False).mean()
+        return rows
+
+    return df.groupBy(*keys).applyInPandas(smooth, StructType([*df.schema.fields, StructField(out, DoubleType())]))
 
 
 def order_flow(states: DataFrame, steps: int = 10, large: int = 50) -> DataFrame:
@@ -211,15 +225,17 @@ def percentile_volume(df: DataFrame, keys: list[str], value: str, share: float =
     return counts.where(F.col("_upto") > place).groupBy(*keys).agg(F.min(value).alias("threshold"))
 
 
-def triple_barrier(entries: DataFrame, b: DataFrame, horizon: int, atr_multiple: float, minimum: float) -> DataFrame:
+def triple_barrier(entries: DataFrame, b: DataFrame, horizon: int, target_atr: float, minimum_target: float, stop_atr: float | None = None, minimum_stop: float | None = None) -> DataFrame:
     """First barrier touched in the `horizon` bars after the entry bar, within its session.
 
     entries: target, session_start, bar, bid, ask, atr. Entries without all bars up to the
     touch, or up to the horizon, are left out. Adds label, touch bar, favourable and adverse
-    excursion up to the touch.
+    excursion up to the touch. The target is the larger of its multiple of the range and its
+    minimum above the ask, the stop likewise below the bid; by default the stop is as wide.
     """
-    width = F.greatest(F.lit(atr_multiple) * F.col("atr"), F.lit(minimum))
-    e = entries.withColumn("upper", F.col("ask") + width).withColumn("lower", F.col("bid") - width)
+    wide = lambda k, least: F.greatest(F.lit(k) * F.col("atr"), F.lit(least))
+    stop = wide(target_atr if stop_atr is None else stop_atr, minimum_target if minimum_stop is None else minimum_stop)
+    e = entries.withColumn("upper", F.col("ask") + wide(target_atr, minimum_target)).withColumn("lower", F.col("bid") - stop)
     later = b.where("complete").select(*KEYS, F.col("bar").alias("later"), "high", "low")
     x = e.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("later", F.col("bar") + F.col("k")).join(later, [*KEYS, "later"])
     up, down = F.coalesce(F.col("high") >= F.col("upper"), F.lit(False)), F.coalesce(F.col("low") <= F.col("lower"), F.lit(False))

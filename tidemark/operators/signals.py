@@ -111,21 +111,37 @@ def pair_leads(early: DataFrame, originals: DataFrame, keys: list[str], order: s
     return e.groupBy(*keys).cogroup(o.groupBy(*keys)).applyInPandas(match, ", ".join(f"{n} {kinds[n]}" for n in (*keys, order, level)) + ", lead double")
 
 
-def swing_depth(bars: DataFrame, keys: list[str], order: str, n: int, turn_pct: float) -> DataFrame:
-    """Zig-zag over the last n closes of each key: turns of at least turn_pct and the median of the last three pullbacks."""
+def swing_depth(bars: DataFrame, keys: list[str], order: str, n: int = 20, least_pct: float = 0.5) -> DataFrame:
+    """Over the last n closes of each key: counter legs in percent of the dominant leg before them, their number and the median of the last three.
+
+    Legs turn where the close moves least_pct from the extreme. The dominant way is that from the
+    first close to the last. Null with under three closes or no leg, 0 without a counter leg.
+    """
     w = W.partitionBy(*keys).orderBy(F.col(order).desc())
     rows = bars.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "close"))), lambda r: r["close"]).alias("_c"))
-    start = F.struct(F.lit(0).alias("dir"), F.element_at("_c", 1).alias("top"), F.element_at("_c", 1).alias("bottom"), F.array().cast("array<double>").alias("turns"))
+    first = F.element_at("_c", 1)
+    state = lambda way, top, pivots: F.struct(way.alias("way"), top.alias("top"), pivots.alias("pivots"))
+    start = state(F.lit(0), first, F.array(first))
 
     def step(s: Column, x: Column) -> Column:
-        top, bottom = F.greatest(s["top"], x), F.least(s["bottom"], x)
-        fall, rise = (s["dir"] >= 0) & (x <= top * (1 - turn_pct / 100)), (s["dir"] <= 0) & (x >= bottom * (1 + turn_pct / 100))
-        state = lambda d, t, b, turns: F.struct(d.alias("dir"), t.alias("top"), b.alias("bottom"), turns.alias("turns"))
-        return F.when(fall, state(F.lit(-1), top, x, F.concat(s["turns"], F.array((top - x) / top * 100)))).when(rise, state(F.lit(1), x, bottom, s["turns"])).otherwise(state(s["dir"], top, bottom, s["turns"]))
-
-    x = rows.withColumn("_z", F.aggregate("_c", start, step))
-    last = F.array_sort(F.slice(F.col("_z.turns"), F.greatest(F.size("_z.turns") - 2, F.lit(1)), 3))
-    return x.select(*keys, F.size("_z.turns").alias("pullbacks"), F.when(F.size(last) > 0, F.element_at(last, F.ceil(F.size(last) / 2).cast("int"))).alias("pullback_pct"))
+        far = F.abs(x - s["top"]) / s["top"] * 100 >= least_pct
+        way = F.when(x > s["top"], F.lit(1)).otherwise(F.lit(-1))
+        begun = F.when(far, state(way, x, s["pivots"])).otherwise(s)
+        turned = state(-s["way"], x, F.concat(s["pivots"], F.array(s["top"])))
+        goes_on = ((s["way"] > 0) & (x > s["top"])) | ((s["way"] < 0) & (x < s["top"]))
+        return F.when(s["way"] == 0, begun).when(goes_on, state(s["way"], x, s["pivots"])).when(far, turned).otherwise(s)
+
+    x = rows.withColumn("_z", F.aggregate(F.slice("_c", 2, n), start, step)).withColumn("_p", F.concat("_z.pivots", F.array(F.col("_z.top"))))
+    moves = F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda i: F.element_at("_p", i + 1) - F.element_at("_p", i))
+    x = x.withColumn("_legs", F.filter(moves, lambda v: v != 0)).withColumn("_up", F.element_at("_c", -1) >= F.element_at("_c", 1))
+    against = lambda v: F.when(F.col("_up"), v < 0).otherwise(v > 0)
+    places = F.when(F.size("_legs") > 1, F.sequence(F.lit(2), F.size("_legs"))).otherwise(F.array().cast("array<int>"))
+    at = F.filter(places, lambda i: against(F.element_at("_legs", i)) & ~against(F.element_at("_legs", i - 1)))
+    x = x.withColumn("_d", F.transform(at, lambda i: F.abs(F.element_at("_legs", i)) / F.abs(F.element_at("_legs", i - 1)) * 100))
+    last = F.array_sort(F.slice("_d", F.greatest(F.size("_d") - 2, F.lit(1)), F.lit(3)))
+    depth = F.when(F.size("_d") > 0, F.element_at(last, (F.floor(F.size(last) / 2) + 1).cast("int"))).otherwise(F.lit(0.0))
+    known = (F.size("_c") >= 3) & (F.size("_legs") >= 1)
+    return x.select(*keys, F.size("_d").alias("pullbacks"), F.when(known, depth).alias("pullback_pct"))
 
 
 def multiset_agreement(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -143,26 +159,45 @@ def first_divergence(left: DataFrame, right: DataFrame, keys: list[str], order:
     return x.where(~F.col("l").eqNullSafe(F.col("r"))).groupBy(*keys).agg(F.min("place").alias("first_place"))
 
 
-def drawdown_rule(bars: DataFrame, keys: list[str], order: str, n: int, trigger: float, stop: float) -> DataFrame:
-    """Entries when the close is `trigger` percent below its n-bar high, left after falling `stop` percent from the high since."""
+def drawdown_rule(bars: DataFrame, keys: list[str], order: str, n: int = 252, steps: tuple[float, ...] = (20.0, 25.0, 30.0), reset: float = 5.0, stop: float = 15.0) -> DataFrame:
+    """Tranches bought the bar after the close first stands each of `steps` percent below its n-bar high; per key the trades.
+
+    All tranches leave together where the close falls `stop` percent from the highest close since
+    the first one. Within `reset` percent of the high the event ends; only then may it begin again.
+    A series is walked in a fold, as each step depends on the one before; it is one key's bars.
+    """
     w = W.partitionBy(*keys).orderBy(order)
-    x = bars.withColumn("_dd", (F.col("close") / F.max("close").over(w.rowsBetween(-(n - 1), 0)) - 1) * 100)
-    rows = x.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "close", "_dd"))).alias("_rows"))
-    start = F.struct(F.lit(None).cast("double").alias("entry"), F.lit(None).cast("double").alias("top"), F.array().cast("array<double>").alias("rets"))
+    x = bars.withColumn("_hi", F.max("close").over(w.rowsBetween(-(n - 1), 0)))
+    rows = x.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "close", "_hi"))).alias("_rows"))
+    names = ("level", "waiting", "units", "cost", "top", "rets")
+    state = lambda *v: F.struct(*[c(x).alias(k) for k, x in zip(names, v, strict=True)])
+    start = state(F.lit(0), F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0), F.array().cast("array<double>"))
 
     def step(s: Column, r: Column) -> Column:
-        top = F.greatest(s["top"], r["close"])
-        leave = s["entry"].isNotNull() & (r["close"] <= top * (1 - stop / 100))
-        enter = s["entry"].isNull() & (r["_dd"] <= -trigger)
-        none = F.lit(None).cast("double")
-        state = lambda e, t, rets: F.struct(e.alias("entry"), t.alias("top"), rets.alias("rets"))
-        return F.when(leave, state(none, none, F.concat(s["rets"], F.array(r["close"] / s["entry"] - 1)))).when(enter, state(r["close"], r["close"], s["rets"])).otherwise(state(s["entry"], F.when(s["entry"].isNotNull(), top), s["rets"]))
+        close, high = r["close"], r["_hi"]
+        units, cost = s["units"] + s["waiting"], s["cost"] + s["waiting"] * close
+        top = F.when(s["units"] > 0, F.greatest(s["top"], close)).otherwise(close)
+        out = (units > 0) & (close <= top * (1 - stop / 100))
+        reached = F.lit(0)
+        for edge in steps:
+            reached = reached + (close <= high * (1 - edge / 100)).cast("int")
+        level = F.when(out, len(steps)).otherwise(F.greatest(s["level"], reached))
+        waiting = F.when(out, 0).otherwise(F.greatest(F.lit(0), reached - s["level"]))
+        level = F.when(close >= high * (1 - reset / 100), 0).otherwise(level)
+        left = F.concat(s["rets"], F.array(units * close / cost - 1))
+        return F.when(out, state(level, waiting, F.lit(0), F.lit(0.0), F.lit(0.0), left)).otherwise(state(level, waiting, units, cost, top, s["rets"]))
 
     out = rows.select(*keys, F.aggregate("_rows", start, step).alias("_s"))
-    return out.select(*keys, F.size("_s.rets").alias("trades"), F.size(F.filter("_s.rets", lambda v: v > 0)).alias("wins"), F.aggregate("_s.rets", F.lit(0.0), lambda a, v: a + v).alias("sum_return"))
+    return out.select(*keys, F.size("_s.rets").alias("trades"), F.size(F.filter("_s.rets", lambda v: v > 0)).alias("wins"), F.aggregate("_s.rets", F.lit(0.0), lambda a, v: a + v).alias("sum_return"), F.col("_s.units").alias("open_units"))
+
 
+def exit_reason(open_return: Column | str, hold_days: Column | str, close: Column | str, high: Column | str, previous_close: Column | str, top_close: Column | str, breakout_high: Column | str, stop: float = -0.055, target: float = 0.13, fall: float = 0.035) -> Column:
+    """Why a position leaves: the buy day is day 1; from day 3 stop, target, day 7, or no continuation; null holds on.
 
-def exit_reason(entry: Column | str, close: Column | str, day: Column | str, stop_pct: float = -5.5, target_pct: float = 13.0, last_day: int = 7) -> Column:
-    """Holding-day rule: stop, target, or the last day, else hold."""
-    move = (c(close) / c(entry) - 1) * 100
-    return F.when(move <= stop_pct, "stop").when(move >= target_pct, "target").when(c(day) >= last_day, "time").otherwise("hold")
+    A continuation closes no lower than before or reaches the reference high, stays within
+    `fall` of the highest close, and is in profit.
+    """
+    day, r = c(hold_days) + 1, c(open_return)
+    reference = F.coalesce(c(breakout_high), c(top_close))
+    goes_on = (F.coalesce(c(close) >= c(previous_close), F.lit(False)) | F.coalesce(c(high) >= reference, F.lit(False))) & F.coalesce(c(close) >= c(top_close) * (1 - fall), F.lit(False)) & (r > 0)
+    return F.when(day < 3, None).when(r <= stop, "stop").when(r >= target, "target").when(day >= 7, "time").when(~goes_on, "no_continuation")

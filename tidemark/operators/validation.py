@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import c, reasons
+from tidemark.functions.scalars import c, reasons, sigmoid
 
 
 def number_by_time(df: DataFrame, ts: str, row_id: str) -> DataFrame:
@@ -50,12 +50,16 @@ def purge(assigned: DataFrame, decision: str, outcome: str, embargo: str) -> Dat
 
 
 def locked_suffix(df: DataFrame, date: str, share: float = 0.15, dates: int = 40) -> DataFrame:
-    """df with `locked`: the larger suffix of `share` of the rows, rounded up to whole dates, or the last dates."""
-    days = df.groupBy(date).agg(F.count("*").alias("_n"))
+    """df with `locked`: the larger of the last ceil(share * rows) rows and the rows of the last dates; all with fewer dates.
+
+    df has `place`, from 0 in order of time (number_by_time), so the cut falls on a row.
+    """
+    days = df.groupBy(date).agg(F.count("*").alias("_n"), F.min("place").alias("_first"))
     w = W.orderBy(F.col(date).desc())  # one row a date
-    days = days.withColumn("_after", F.sum("_n").over(w) - F.col("_n")).withColumn("_rank", F.row_number().over(w)).withColumn("_all", F.sum("_n").over(W.partitionBy()))
-    locked = (F.col("_rank") <= dates) | (F.col("_after") < F.col("_all") * share)
-    return df.join(days.select(date, locked.alias("locked")), date)
+    days = days.withColumn("_rank", F.row_number().over(w))
+    cut = days.agg(F.sum("_n").alias("_all"), F.coalesce(F.max(F.when(F.col("_rank") == dates, F.col("_first"))), F.lit(0)).alias("_by_date"))
+    start = F.least(F.col("_all") - F.ceil(F.col("_all") * share), F.col("_by_date"))
+    return df.crossJoin(F.broadcast(cut)).withColumn("locked", F.col("place") >= start).drop("_all", "_by_date")
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -86,15 +90,20 @@ def scale(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def classification(df: DataFrame, keys: list[str], p: str, label: str, bins: int = 10) -> DataFrame:
-    """Rows, Brier, log loss, accuracy, and expected calibration error over equal bins, by keys."""
-    y, q = F.col(label).cast("double"), F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
+    """Rows, Brier, log loss, accuracy, precision, recall, F1, the confusion counts, and expected calibration error over equal bins, by keys."""
+    y, q = F.col(label).cast("double"), F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
+    cell = lambda said, is_: F.sum(((F.col(p) >= 0.5) == F.lit(said)).cast("long") * (y == is_).cast("long"))
     x = df.withColumn("_bin", F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)))
     per = x.groupBy(*keys, "_bin").agg(
         F.count("*").alias("_n"), F.sum(p).alias("_p"), F.sum(y).alias("_y"), F.sum((F.col(p) - y) ** 2).alias("_b"),
-        F.sum(-(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("_l"), F.sum(((F.col(p) >= 0.5) == (y == 1)).cast("long")).alias("_a"),
+        F.sum(-(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("_l"), cell(True, 1).alias("_tp"), cell(True, 0).alias("_fp"), cell(False, 1).alias("_fn"), cell(False, 0).alias("_tn"),
     )
     n = F.sum("_n")
-    return per.groupBy(*keys).agg(n.alias("n"), (F.sum("_b") / n).alias("brier"), (F.sum("_l") / n).alias("log_loss"), (F.sum("_a") / n).alias("accuracy"), (F.sum(F.abs(F.col("_p") - F.col("_y"))) / n).alias("ece"))
+    total = per.groupBy(*keys).agg(n.alias("n"), (F.sum("_b") / n).alias("brier"), (F.sum("_l") / n).alias("log_loss"), *[F.sum(f"_{x}").alias(x) for x in ("tp", "fp", "fn", "tn")], (F.sum(F.abs(F.col("_p") - F.col("_y"))) / n).alias("ece"))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    part = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    total = total.withColumn("accuracy", (tp + tn) / F.col("n")).withColumn("precision", part(tp, tp + fp)).withColumn("recall", part(tp, tp + fn))
+    return total.withColumn("f1", part(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
 def reliability(df: DataFrame, p: str, label: str, bins: int = 10) -> DataFrame:
@@ -166,11 +175,38 @@ def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), q(0.5).alias("median"), F.min(value).alias("worst"), F.max(value).alias("best"), F.stddev_pop(value).alias("deviation"), (q(0.75) - q(0.25)).alias("iqr"))
 
 
-def stability_gate(folds: DataFrame, value: str = "ev", valid: int = 5, share: float = 0.7, most: float = 0.5) -> DataFrame:
-    """One row: valid folds, positive share, concentration and the reasons against."""
-    x = folds.agg(F.count(value).alias("valid"), (F.count_if(F.col(value) > 0) / F.count(value)).alias("positive_share"), (F.max(F.greatest(F.lit(0.0), F.col(value))) / F.sum(F.greatest(F.lit(0.0), F.col(value)))).alias("concentration"))
-    why = reasons(("too_few_folds", F.col("valid") < valid), ("too_few_positive", F.col("positive_share") < share), ("concentrated", F.coalesce(F.col("concentration") > most, F.lit(True))))
-    return x.withColumn("reasons", F.array_join(why, ","))
+# Limits of the stability gate.
+GATE = {"folds": 5, "share": 0.70, "majority": 0.50, "fold": 0.40, "month": 0.30, "direction": 0.85, "event": 0.40}
+
+
+def stability_gate(folds: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row: valid folds, ratios, concentrations and the reasons against, in order.
+
+    folds: fold, sufficient, test_ev, baseline_ev, test_brier, baseline_brier, test_log_loss,
+    baseline_log_loss, net, cost_complete. parts: dimension (month, direction, event, regime,
+    target), member, net. With fewer than five sufficient folds that is the only reason.
+    """
+    ok = folds.where("sufficient")
+    ratio = lambda cond: F.count_if(cond) / F.count("*")
+    top = F.max(F.greatest(F.lit(0.0), F.col("net")))
+    x = ok.agg(
+        F.count("*").alias("valid"), F.sum("net").alias("total"), ratio(F.col("test_ev") >= 0).alias("positive"), ratio(F.col("test_ev") > F.col("baseline_ev")).alias("baseline"),
+        ratio(F.col("test_brier") <= F.col("baseline_brier")).alias("brier"), ratio(F.col("test_log_loss") <= F.col("baseline_log_loss")).alias("log_loss"), top.alias("_fold"), F.coalesce(F.every("cost_complete"), F.lit(False)).alias("_costs"),
+    )
+    of = lambda d, f: F.max(F.when(F.col("dimension") == d, f)).alias(f"_{d}")
+    worst = lambda d: F.coalesce(F.bool_or((F.col("dimension") == d) & (F.col("net") < 0)), F.lit(False)).alias(f"_bad_{d}")
+    p = parts.agg(*[of(d, F.greatest(F.lit(0.0), F.col("net"))) for d in ("month", "direction", "event")], worst("regime"), worst("target"))
+    x = x.crossJoin(F.broadcast(p))
+    dims = ("fold", "month", "direction", "event")
+    x = x.select("*", *[F.when(F.col("total") > 0, F.col(f"_{d}") / F.col("total")).alias(f"{d}_concentration") for d in dims])
+    above = lambda d: (f"{d.upper()}_CONCENTRATION_ABOVE_{round(GATE[d] * 100)}_PERCENT", F.coalesce(F.col(f"{d}_concentration") > GATE[d], F.lit(True)))
+    why = reasons(
+        ("NON_POSITIVE_TOTAL_OUTER_NET_PNL", F.coalesce(F.col("total") <= 0, F.lit(True))), ("NON_NEGATIVE_FOLD_RATIO_BELOW_70_PERCENT", F.col("positive") < GATE["share"]), ("BASELINE_OUTPERFORMANCE_BELOW_70_PERCENT", F.col("baseline") < GATE["share"]),
+        ("BRIER_NOT_NONINFERIOR_IN_STRICT_MAJORITY", F.col("brier") <= GATE["majority"]), ("LOG_LOSS_NOT_NONINFERIOR_IN_STRICT_MAJORITY", F.col("log_loss") <= GATE["majority"]), *[above(d) for d in dims],
+        ("INCOMPLETE_COST_MODEL", ~F.col("_costs")), ("NEGATIVE_REGIME_CONTRIBUTION", F.col("_bad_regime")), ("NEGATIVE_TARGET_CODE_CONTRIBUTION", F.col("_bad_target")),
+    )
+    few = F.col("valid") < GATE["folds"]
+    return x.select("valid", "total", *[F.when(few, 0.0).otherwise(F.col(k)).alias(k) for k in ("positive", "baseline", "brier", "log_loss")], *[F.when(~few, F.col(f"{d}_concentration")).alias(f"{d}_concentration") for d in dims], F.when(few, F.array(F.lit("FEWER_THAN_FIVE_VALID_OUTER_FOLDS"))).otherwise(why).alias("reasons"))
 
 
 def matched_control(signals: DataFrame, controls: DataFrame, bucket: list[str], value: str) -> DataFrame:
@@ -226,10 +262,19 @@ def fit_logistic(df: DataFrame, features: Iterable[str], label: str, l2: float,
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), fit]).fit(df)
 
 
-def score_logistic(model, df: DataFrame, out: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
+def coefficients(model, features: Iterable[str]) -> tuple[float, dict[str, float]]:
+    """(intercept, coefficient by feature) of a fit: a number for each feature."""
+    fit = model.stages[-1]
+    return float(fit.intercept), dict(zip(features, [float(v) for v in fit.coefficients.toArray()], strict=True))
+
 
-    return model.transform(df).withColumn(out, vector_to_array("_p")[1]).drop("_x", "_p", "_r", "_y")
+def score_logistic(model, df: DataFrame, out: str, features: Iterable[str]) -> DataFrame:
+    """df with the probability of label 1, as an expression of the coefficients: it stays in generated code."""
+    base, by_name = coefficients(model, features)
+    total = F.lit(base)
+    for name, k in by_name.items():
+        total = total + F.lit(k) * F.col(name).cast("double")
+    return df.withColumn(out, sigmoid(total))
 
 
 def fit_steps(df: DataFrame, score: str, label: str) -> DataFrame:

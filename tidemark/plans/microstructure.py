@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import settled, settled_sql
 from tidemark.operators import micro as M
 from tidemark.registry import query
-from tidemark.sources.views import v_quotes, v_ticks, with_views
+from tidemark.sources.views import table, v_quotes, v_ticks, with_views
 
-#: Steps of ten minutes, as the event table is thin; the calendar covers it.
-STEP, AGE, FIRST, LAST = 600, 3600.0, "2023-12-29", "2024-02-02"
+#: Steps of ten minutes, as the event table is thin. The calendar runs from its first date to the one its last night may join.
+STEP, AGE = 600, 3600.0
 
 _CAL = {
-    "weekdays": f"SELECT CAST(d AS DATE) AS d, CAST(d AS DATE) - CASE isodow(d) WHEN 1 THEN 3 ELSE 1 END AS p FROM (SELECT unnest(generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6",
+    "weekdays": "SELECT CAST(d AS DATE) AS d, CAST(d AS DATE) - CASE isodow(d) WHEN 1 THEN 3 ELSE 1 END AS p FROM (SELECT unnest(generate_series((SELECT CAST(min(ts) AS DATE) FROM events), (SELECT CAST(max(ts) AS DATE) + 4 FROM events), INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6",
     "cal": """SELECT d AS trading_date, 'DAY' AS session, d + INTERVAL '8 hours 45 minutes' AS session_start, d + INTERVAL '13 hours 45 minutes' AS session_end FROM weekdays
         UNION ALL SELECT d, 'NIGHT', p + INTERVAL '15 hours', p + INTERVAL '29 hours' FROM weekdays""",
 }
@@ -58,12 +58,13 @@ _BF = {
 }
 
 
-def _calendar(spark: SparkSession) -> DataFrame:
-    return M.weekday_calendar(spark, FIRST, LAST)
+def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    span = table(spark, sf_dir, "events").agg(F.to_date(F.min("ts")).cast("string").alias("first"), F.date_add(F.to_date(F.max("ts")), 4).cast("string").alias("last")).first()
+    return M.weekday_calendar(spark, span["first"] or "2000-01-03", span["last"] or "2000-01-03")
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cal = _calendar(spark)
+    cal = _calendar(spark, sf_dir)
     return tuple(M.resolve_sessions(v(spark, sf_dir), cal).where("session <> 'CLOSED'") for v in (v_ticks, v_quotes))
 
 
@@ -77,14 +78,14 @@ def _bars(spark: SparkSession, sf_dir: str, n: int = 6) -> DataFrame:
 
 @query(with_views("SELECT target, session, count(*) AS n, count(DISTINCT trading_date) AS dates, min(exchange_ts) AS first_ts, max(exchange_ts) AS last_ts FROM ticks_s GROUP BY ALL", "v_ticks", "v_quotes", **_SESSIONS))
 def session_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = M.resolve_sessions(v_ticks(spark, sf_dir), _calendar(spark))
+    x = M.resolve_sessions(v_ticks(spark, sf_dir), _calendar(spark, sf_dir))
     return x.groupBy("target", "session").agg(F.count("*").alias("n"), F.count_distinct("trading_date").alias("dates"), F.min("exchange_ts").alias("first_ts"), F.max("exchange_ts").alias("last_ts"))
 
 
 @query(with_views("SELECT c.trading_date, c.session FROM cal c ANTI JOIN ticks_s t ON c.trading_date = t.trading_date AND c.session = t.session", "v_ticks", "v_quotes", **_SESSIONS))
 def session_coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of the calendar without any trade."""
-    cal = _calendar(spark)
+    cal = _calendar(spark, sf_dir)
     seen = M.resolve_sessions(v_ticks(spark, sf_dir), cal).select("trading_date", "session").distinct()
     return cal.select("trading_date", "session").join(seen, ["trading_date", "session"], "left_anti")
 
@@ -176,8 +177,8 @@ def bar_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LABEL = {
     **_BF,
-    "e": "SELECT target, session_start, bar, close - 0.5 AS bid, close + 0.5 AS ask, greatest(0.5 * atr5, 3) AS width FROM bf WHERE complete AND close IS NOT NULL AND atr5 > 0",
-    "x": "SELECT e.*, k.k, b.high, b.low, e.ask + width AS upper, e.bid - width AS lower, high >= e.ask + width AS up, low <= e.bid - width AS down FROM e, (VALUES (1), (2), (3)) k(k), bars b WHERE b.target = e.target AND b.session_start = e.session_start AND b.bar = e.bar + k.k AND b.complete",
+    "e": "SELECT target, session_start, bar, close - 0.5 AS bid, close + 0.5 AS ask, greatest(0.5 * atr5, 3) AS width, greatest(0.75 * atr5, 2) AS stop FROM bf WHERE complete AND close IS NOT NULL AND atr5 > 0",
+    "x": "SELECT e.*, k.k, b.high, b.low, e.ask + width AS upper, e.bid - stop AS lower, high >= e.ask + width AS up, low <= e.bid - stop AS down FROM e, (VALUES (1), (2), (3)) k(k), bars b WHERE b.target = e.target AND b.session_start = e.session_start AND b.bar = e.bar + k.k AND b.complete",
     "y": "SELECT *, min(CASE WHEN up OR down THEN k END) OVER (PARTITION BY target, session_start, bar) AS first FROM x",
     "z": """SELECT target, session_start, bar, max(first) AS touch_at, count(*) AS seen, max(CASE WHEN up AND down THEN 'AMBIGUOUS' WHEN up THEN 'LONG' WHEN down THEN 'SHORT' END) AS touch,
         greatest(0, max(high - ask)) AS mfe, greatest(0, max(bid - low)) AS mae FROM y WHERE k <= coalesce(first, 3) GROUP BY ALL""",
@@ -188,7 +189,7 @@ _LABEL = {
 def triple_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = M.bar_features(_bars(spark, sf_dir))
     e = b.where("complete AND close IS NOT NULL AND atr5 > 0").select(*M.KEYS, "bar", (F.col("close") - 0.5).alias("bid"), (F.col("close") + 0.5).alias("ask"), F.col("atr5").alias("atr"))
-    x = M.triple_barrier(e, b, 3, 0.5, 3.0)
+    x = M.triple_barrier(e, b, 3, 0.5, 3.0, 0.75, 2.0)
     return x.select(*M.KEYS, "bar", "label", "touch_at", settled("mfe", 5).alias("mfe"), settled("mae", 5).alias("mae"))
 
 

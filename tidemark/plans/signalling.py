@@ -90,12 +90,20 @@ def lead_time_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def swing_pullbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.swing_depth(v_daily(spark, sf_dir), ["ticker"], "date", 60, 10.0)
+    return G.swing_depth(v_daily(spark, sf_dir), ["ticker"], "date")
 
 
-@query()
+@query(with_views(f"SELECT ticker, len(rets) AS trades, len(list_filter(rets, lambda v: v > 0)) AS wins, {settled_sql('coalesce(list_sum(rets), 0)', 5)} AS sum_return, units AS open_units FROM walk", "v_daily",
+    dd="SELECT ticker, date, close, max(close) OVER (PARTITION BY ticker ORDER BY date ROWS 51 PRECEDING) AS hi, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM v_daily",
+    want="SELECT *, (close <= hi * (1 - 20.0::DOUBLE / 100))::INT + (close <= hi * (1 - 25.0::DOUBLE / 100))::INT + (close <= hi * (1 - 30.0::DOUBLE / 100))::INT AS reached FROM dd",
+    walk="""SELECT ticker, rets, units FROM (WITH RECURSIVE r AS (SELECT ticker, 0::BIGINT AS i, 0 AS level, 0 AS waiting, 0 AS units, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS top, []::DOUBLE[] AS rets FROM (SELECT DISTINCT ticker FROM dd)
+        UNION ALL SELECT ticker, i, CASE WHEN close >= hi * (1 - 5.0::DOUBLE / 100) THEN 0 WHEN gone THEN 3 ELSE greatest(level, reached) END, CASE WHEN gone THEN 0 ELSE greatest(0, reached - level) END, CASE WHEN gone THEN 0 ELSE u END, CASE WHEN gone THEN 0 ELSE k END, CASE WHEN gone THEN 0 ELSE t END,
+            CASE WHEN gone THEN list_append(rets, u * close / k - 1) ELSE rets END
+            FROM (SELECT w.ticker, w.i, w.close, w.hi, w.reached, r.level, r.rets, r.units + r.waiting AS u, r.cost + r.waiting * w.close AS k, CASE WHEN r.units > 0 THEN greatest(r.top, w.close) ELSE w.close END AS t,
+                r.units + r.waiting > 0 AND w.close <= (CASE WHEN r.units > 0 THEN greatest(r.top, w.close) ELSE w.close END) * 0.85 AS gone FROM r JOIN want w ON w.ticker = r.ticker AND w.i = r.i + 1)) SELECT r.* FROM r JOIN (SELECT DISTINCT ticker, n FROM dd) e ON e.ticker = r.ticker AND e.n = r.i)"""))
 def drawdown_entry_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.drawdown_rule(v_daily(spark, sf_dir), ["ticker"], "date", 52, 25.0, 15.0)
+    """On weekly bars: the high of 52 of them."""
+    return G.drawdown_rule(v_daily(spark, sf_dir), ["ticker"], "date", 52).withColumn("sum_return", settled("sum_return", 5))
 
 
 @query(with_views(f"SELECT CAST(sum(least(l, r)) AS BIGINT) AS matched, CAST(sum(l) - sum(least(l, r)) AS BIGINT) AS left_only, CAST(sum(r) - sum(least(l, r)) AS BIGINT) AS right_only, {settled_sql('sum(least(l, r)) / sum(l) * 100')} AS left_pct FROM (SELECT coalesce(l, 0) AS l, coalesce(r, 0) AS r FROM (SELECT k, hour(ts) AS h, count(*) AS l FROM (SELECT regexp_extract(props, '[0-9]+') AS k, ts, user_id FROM events) WHERE user_id % 2 = 0 GROUP BY 1, 2) a FULL JOIN (SELECT k, hour(ts) AS h, count(*) AS r FROM (SELECT regexp_extract(props, '[0-9]+') AS k, ts, user_id FROM events) WHERE user_id % 2 = 1 GROUP BY 1, 2) b USING (k, h))"))
@@ -139,19 +147,48 @@ def book_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.pressures(B.check_snapshots(_book(spark, sf_dir))).select("event_id", "pressure")
 
 
-@query(with_views("""SELECT target, day, samples, persistent, CASE WHEN score >= 70 THEN 'strong_buy_pressure' WHEN score >= 58 THEN 'buy_pressure' WHEN score > 42 THEN 'balanced' WHEN score > 30 THEN 'sell_pressure' ELSE 'strong_sell_pressure' END AS label, CASE WHEN samples >= 3 THEN 'high' WHEN samples = 2 THEN 'medium' ELSE 'low' END AS reliability
-    FROM (SELECT *, floor(greatest(0, least(100, 50 + m * CASE WHEN persistent THEN 50 ELSE 40 END)) * 1e4 + 0.5) / 1e4 AS score FROM (SELECT target, CAST(exchange_ts AS DATE) AS day, count(*) AS samples, avg(pressure) AS m, bool_and(pressure > 0) OR bool_and(pressure < 0) AS persistent FROM pr GROUP BY ALL))""", "v_quotes", **_CHECK))
+_CONF = {
+    **_CHECK,
+    "conf0": "SELECT target, CAST(exchange_ts AS DATE) AS day, count(*) AS samples, avg(pressure) AS m, CASE WHEN count(*) >= 2 AND bool_and(pressure > 0.05) THEN 1 WHEN count(*) >= 2 AND bool_and(pressure < -0.05) THEN -1 ELSE 0 END AS persistence FROM pr GROUP BY ALL",
+    "conf": "SELECT *, greatest(0, least(100, floor(50 + 40 * m + 10 * persistence + 0.5))) AS score FROM conf0",
+}
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    checked = B.check_snapshots(_book(spark, sf_dir)).withColumn("day", F.to_date("exchange_ts"))
+    return checked, B.confidence(B.pressures(checked), ["target", "day"])
+
+
+@query(with_views("""SELECT target, day, samples, persistence, score, CASE WHEN score >= 70 THEN 'strong_buy_pressure' WHEN score >= 58 THEN 'buy_pressure' WHEN score > 42 THEN 'balanced' WHEN score > 30 THEN 'sell_pressure' ELSE 'strong_sell_pressure' END AS label,
+    CASE WHEN score >= 70 THEN 8 WHEN score >= 58 THEN 4 WHEN score > 42 THEN 0 WHEN score > 30 THEN -2 ELSE -5 END AS adjustment, CASE WHEN samples >= 3 THEN 'high' WHEN samples = 2 THEN 'medium' ELSE 'low' END AS reliability,
+    CASE WHEN score >= 70 THEN 'active_entry_supported' WHEN score >= 58 THEN 'patient_entry_preferred' WHEN score > 42 THEN 'wait_near_support' ELSE 'selling_pressure_wait' END AS interpretation FROM conf""", "v_quotes", **_CONF))
 def book_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = B.pressures(B.check_snapshots(_book(spark, sf_dir))).withColumn("day", F.to_date("exchange_ts"))
-    return B.confidence(x, ["target", "day"]).select("target", "day", "samples", "persistent", "label", "reliability")
+    return _scored(spark, sf_dir)[1].select("target", "day", "samples", "persistence", "score", "label", "adjustment", "reliability", B.interpretation("score").alias("interpretation"))
+
+
+_WALLED = {
+    **_CONF,
+    "lastb": "SELECT target, CAST(exchange_ts AS DATE) AS day, arg_max(b, exchange_ts) AS b, arg_max(a, exchange_ts) AS a FROM chk WHERE problem IS NULL GROUP BY ALL",
+    "hv": "SELECT *, list_transform(b, lambda v, i: v.volume * (6 - i)) AS hb, list_transform(a, lambda v, i: v.volume * (6 - i)) AS ha FROM lastb",
+    "wl": "SELECT *, list_position(hb, list_max(hb)) AS bw, list_position(ha, list_max(ha)) AS aw FROM hv",
+}
+
+
+@query(with_views("""SELECT target, day, score, CASE WHEN score >= 70 THEN a[1].price ELSE b[1].price END AS active_entry, b[bw].price AS patient_entry, a[greatest(1, aw - 1)].price AS take_profit, b[least(bw + 1, len(b))].price AS stop_loss,
+    CASE WHEN bw < len(b) THEN 'normal' ELSE 'low' END AS stop_reliability FROM wl JOIN conf USING (target, day)""", "v_quotes", **_WALLED))
+def book_reference_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.reference_prices(*_scored(spark, sf_dir), ["target", "day"], "exchange_ts")
 
 
-@query(with_views("SELECT target, list_filter(b, lambda v: v.volume = list_max(list_transform(b, lambda u: u.volume)))[1].price AS bid_wall, list_filter(a, lambda v: v.volume = list_max(list_transform(a, lambda u: u.volume)))[1].price AS ask_wall FROM (SELECT target, arg_max(b, exchange_ts) AS b, arg_max(a, exchange_ts) AS a FROM chk WHERE problem IS NULL GROUP BY 1)", "v_quotes", **_CHECK))
-def book_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.strongest_walls(B.check_snapshots(_book(spark, sf_dir)), ["target"], "exchange_ts")
+@query(with_views("""SELECT n AS risks, count(*) AS keys FROM (SELECT 2 + (samples < 3)::INT + (samples = 0)::INT + (bw >= len(b))::INT AS n FROM wl JOIN conf USING (target, day)) GROUP BY 1""", "v_quotes", **_WALLED))
+def book_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many keys have how many risks, of three requested samples."""
+    checked, scored = _scored(spark, sf_dir)
+    x = B.reference_prices(checked, scored, ["target", "day"], "exchange_ts").join(scored.select("target", "day", "samples"), ["target", "day"])
+    return x.select(F.size(B.confidence_risks("samples", 3, "stop_reliability")).alias("risks")).groupBy("risks").agg(F.count("*").alias("keys"))
 
 
-@query(with_views("""SELECT ticker, investor, days, CASE WHEN days < 5 THEN 'insufficient' WHEN buying AND increasing AND NOT turned THEN 'observe' WHEN turned OR selling OR latest < 0 THEN 'exclude' ELSE 'neutral' END AS action FROM (
+@query(with_views("""SELECT ticker, investor, days, CASE WHEN days < 5 THEN 'insufficient' WHEN buying AND increasing AND NOT turned THEN 'observe' WHEN turned OR selling OR latest < 0 THEN 'exclude' ELSE 'insufficient' END AS action FROM (
     SELECT ticker, investor, count(*) AS days, bool_and(net > 0) AS buying, bool_and(net < 0) AS selling, bool_and(coalesce(net > before, true) OR r = 5) AS increasing, coalesce(bool_or(r <= 2 AND net < 0), false) AND coalesce(bool_or(r >= 3 AND net > 0), false) AS turned, arg_min(net, r) AS latest
     FROM (SELECT *, lead(net) OVER w AS before FROM (SELECT *, row_number() OVER w AS r FROM d WINDOW w AS (PARTITION BY ticker, investor ORDER BY date DESC)) WHERE r <= 5 WINDOW w AS (PARTITION BY ticker, investor ORDER BY date DESC)) GROUP BY 1, 2)""", "v_flow", d="SELECT ticker, investor, date, sum(net) AS net FROM v_flow WHERE net IS NOT NULL GROUP BY ALL"))
 def branch_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +196,7 @@ def branch_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.branch_pattern(x, ["ticker", "investor"], ["date"]).select("ticker", "investor", "days", "action")
 
 
-@query(with_views("SELECT view_fx, view_basis, count(*) AS n FROM (SELECT CASE WHEN x IS NULL THEN 'unknown' WHEN x <= -0.1 THEN 'inflow' WHEN x >= 0.1 THEN 'outflow' ELSE 'neutral' END AS view_fx, CASE WHEN y IS NULL THEN 'unknown' WHEN y > 100 THEN 'bullish' WHEN y < -100 THEN CASE WHEN m IN (6, 7, 8) AND y BETWEEN -300 AND -100 THEN 'ex_dividend' ELSE 'bearish' END ELSE 'neutral' END AS view_basis FROM (SELECT lead(l_discount) OVER w - l_discount AS x, (lead(l_extendedprice) OVER w - l_extendedprice) / 100 AS y, month(l_shipdate) AS m FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_discount))) GROUP BY ALL"))
+@query(with_views("SELECT view_fx, view_basis, count(*) AS n FROM (SELECT CASE WHEN x IS NULL THEN 'missing' WHEN x <= -0.1 THEN 'bullish' WHEN x >= 0.1 THEN 'bearish' ELSE 'neutral' END AS view_fx, CASE WHEN y IS NULL THEN 'missing' WHEN y > 100 THEN 'bullish' WHEN y < -100 AND NOT (m IN (6, 7, 8) AND y >= -300) THEN 'bearish' ELSE 'neutral' END AS view_basis FROM (SELECT lead(l_discount) OVER w - l_discount AS x, (lead(l_extendedprice) OVER w - l_extendedprice) / 100 AS y, month(l_shipdate) AS m FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_discount))) GROUP BY ALL"))
 def preopen_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
@@ -168,11 +205,10 @@ def preopen_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy(B.currency_view("x").alias("view_fx"), B.basis_view("y", "m").alias("view_basis")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT flag, count(*) AS n FROM (SELECT unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in B.FLAGS.items() if n != "identifier") + "], lambda x: x IS NOT NULL)) AS flag FROM documents) GROUP BY ALL")
+@query("SELECT flag, count(*) AS n FROM (SELECT unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in B.FLAGS.items()) + "], lambda x: x IS NOT NULL)) AS flag FROM documents) GROUP BY ALL")
 def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents match each forbidden pattern."""
-    patterns = {n: p for n, p in B.FLAGS.items() if n != "identifier"}
-    x = table(spark, sf_dir, "documents").select(F.explode(B.flags("text", patterns)).alias("flag"))
+    x = table(spark, sf_dir, "documents").select(F.explode(B.flags("text")).alias("flag"))
     return x.groupBy("flag").agg(F.count("*").alias("n"))
 
 

@@ -50,28 +50,31 @@ def event_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views("SELECT reason, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN price <= 0 THEN 'INVALID_PRICE' END, CASE WHEN volume < 0 THEN 'NEGATIVE_VOLUME' END, CASE WHEN session = 'CLOSED' THEN 'OUT_OF_SESSION' END, CASE WHEN received_ts - exchange_ts > INTERVAL 5 MINUTE THEN 'STALE' END], lambda x: x IS NOT NULL)) AS reason FROM ticks_s) GROUP BY 1", "v_ticks", "v_quotes", **_SESSIONS))
 def event_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = M.resolve_sessions(v_ticks(spark, sf_dir), _calendar(spark))
+    x = M.resolve_sessions(v_ticks(spark, sf_dir), _calendar(spark, sf_dir))
     return x.select(F.explode(T.event_problems(x)).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query(with_views("SELECT target, CAST(row_number() OVER (PARTITION BY target ORDER BY exchange_ts) - 1 AS INTEGER) AS place, exchange_ts, price FROM v_ticks", "v_ticks"))
+@query(with_views("SELECT target, date_trunc('hour', exchange_ts) AS hour, CAST(row_number() OVER (PARTITION BY target, date_trunc('hour', exchange_ts) ORDER BY exchange_ts) - 1 AS INTEGER) AS place, exchange_ts, price FROM v_ticks", "v_ticks"))
 def column_payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parallel arrays per target, as a provider sends them, back to rows."""
-    rows = v_ticks(spark, sf_dir).groupBy("target").agg(F.array_sort(F.collect_list(F.struct("exchange_ts", "price"))).alias("r"))
-    arrays = rows.select("target", F.col("r.exchange_ts").alias("exchange_ts"), F.col("r.price").alias("price"))
-    return T.unzip_columns(arrays, ["target"], ["exchange_ts", "price"])
+    """Parallel arrays per target and hour, as a provider sends them, back to rows."""
+    hour = F.date_trunc("hour", "exchange_ts").cast("timestamp_ntz").alias("hour")
+    rows = v_ticks(spark, sf_dir).groupBy("target", hour).agg(F.array_sort(F.collect_list(F.struct("exchange_ts", "price"))).alias("r"))
+    arrays = rows.select("target", "hour", F.col("r.exchange_ts").alias("exchange_ts"), F.col("r.price").alias("price"))
+    return T.unzip_columns(arrays, ["target", "hour"], ["exchange_ts", "price"])
 
 
-@query(with_views("SELECT ticker, date, close FROM v_daily WHERE ticker < 4 UNION ALL SELECT ticker, date, -close FROM v_daily WHERE ticker >= 4 AND ticker < 8", "v_daily"))
+@query(with_views("SELECT ticker, date, close FROM v_daily WHERE volume >= 1000 UNION ALL SELECT ticker, date, -close FROM v_daily v WHERE NOT EXISTS (SELECT 1 FROM v_daily w WHERE w.ticker = v.ticker AND year(w.date) = year(v.date) AND w.volume >= 1000)", "v_daily"))
 def first_source_with_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = v_daily(spark, sf_dir).select("ticker", "date", "close")
-    return T.first_non_empty([x.where("ticker < 4"), x.where("ticker < 8").withColumn("close", -F.col("close"))], ["ticker"])
+    """Of each ticker and year the bars of large volume, or all bars, marked by their sign, where there are none."""
+    x = v_daily(spark, sf_dir).select("ticker", F.year("date").alias("year"), "date", "close", "volume")
+    return T.first_non_empty([x.where("volume >= 1000"), x.withColumn("close", -F.col("close"))], ["ticker", "year"]).select("ticker", "date", "close")
 
 
-@query(with_views("SELECT event_type AS source, count(DISTINCT user_id) AS accepted, (SELECT count(DISTINCT user_id) FROM events) AS requested, " + settled_sql("count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM events) * 100") + " AS coverage_pct FROM events WHERE event_id % 40 = 0 GROUP BY 1"))
+@query("SELECT event_type AS source, count(DISTINCT user_id) AS accepted, (SELECT count(DISTINCT user_id) FROM events) AS requested, " + settled_sql("count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM events) * 100") + " AS coverage_pct FROM events WHERE value > 40 GROUP BY 1")
 def collection_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("source"))
-    return T.collection_coverage(x, x.where("event_id % 40 = 0"), "user_id", "source").withColumn("coverage_pct", settled("coverage_pct"))
+    """By kind of event the users that it has a large value of."""
+    x = table(spark, sf_dir, "events").select("event_id", "user_id", "value", F.col("event_type").alias("source"))
+    return T.collection_coverage(x, x.where("value > 40"), "user_id", "source").withColumn("coverage_pct", settled("coverage_pct"))
 
 
 @query("""SELECT user_id % 5 AS target, time_bucket(INTERVAL 15 MINUTE, ts) AS bar_start, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS trades FROM events
@@ -93,4 +96,4 @@ def stream_distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id % 5 AS target, count(*) AS n, count(*) FILTER (ts < top) AS late FROM (SELECT *, max(ts) OVER (PARTITION BY user_id % 5 ORDER BY ts + (event_id % 7) * INTERVAL 1 MINUTE, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM events) GROUP BY 1")
 def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = live.read_events(spark, sf_dir).withColumn("received_ts", F.expr("ts + make_interval(0, 0, 0, 0, 0, CAST(event_id % 7 AS INT), 0)"))
-    return live.run(live.out_of_order(x), "order").groupBy("target").agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
+    return live.run_out_of_order(x, "order").groupBy("target").agg(F.sum("n").alias("n"), F.sum("late").alias("late"))

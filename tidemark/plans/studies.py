@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import settled, settled_sql
 from tidemark.operators import daily as D
 from tidemark.operators import flows as L
-from tidemark.plans.screening import _STATE, _wma
+from tidemark.plans.screening import _STATE
 from tidemark.registry import query
 from tidemark.sources.views import table, v_company, v_daily, v_flow, v_holdings, with_views
 
@@ -36,15 +36,17 @@ def sector_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.top_rows(x, ["industry"], [F.col("volume").desc(), F.col("code")], 3).select("industry", "code", "volume", "place")
 
 
-_CLASS = "CASE WHEN regexp_matches(lower(investor), 'machin|foreign') THEN 'foreign' WHEN regexp_matches(lower(investor), 'auto|trust') THEN 'trust' WHEN regexp_matches(lower(investor), 'build|furn|dealer') THEN 'dealer' END"
-_STOCK_FLOW = "SELECT o_custkey % 100 AS code, c_mktsegment AS investor, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE -1.0 END AS lots FROM orders JOIN customer ON o_custkey = c_custkey"
-_PRICES = "SELECT l_suppkey AS code, max(l_extendedprice) AS close FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1"
+_CLASS = "CASE WHEN regexp_matches(investor, '(?i)foreign|外資') THEN 'foreign' WHEN regexp_matches(investor, '(?i)trust|投信') THEN 'trust' WHEN regexp_matches(investor, '(?i)dealer|自營') THEN 'dealer' END"
+#: What the test tables' customer segments stand for.
+_SEGMENTS = "CASE c_mktsegment WHEN 'MACHINERY' THEN 'Foreign_Investor' WHEN 'AUTOMOBILE' THEN '投信' WHEN 'BUILDING' THEN 'Dealer_self' WHEN 'FURNITURE' THEN 'Dealer_Hedging' ELSE 'other' END"
+_STOCK_FLOW = f"SELECT o_custkey AS code, {_SEGMENTS} AS investor, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE -1.0 END AS lots FROM orders JOIN customer ON o_custkey = c_custkey"
+_PRICES = "SELECT l_suppkey AS code, max(l_extendedprice) AS close FROM lineitem GROUP BY 1"
 
 
 @query(with_views(f"SELECT industry, {', '.join(settled_sql(f'sum(CASE WHEN class = {k!r} THEN lots * close ELSE 0 END)', 2) + f' AS {k}' for k in ('foreign', 'trust', 'dealer'))}, {settled_sql('sum(lots * close)', 2)} AS total FROM (SELECT *, {_CLASS} AS class FROM sflow) JOIN prices USING (code) JOIN v_company USING (code) GROUP BY 1", "v_company", sflow=_STOCK_FLOW, prices=_PRICES))
 def sector_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr("o_custkey % 100 AS code", "c_mktsegment AS investor", "CASE WHEN o_orderstatus = 'F' THEN 1.0D ELSE -1.0D END AS lots")
-    prices = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 <> 0").groupBy(F.col("l_suppkey").alias("code")).agg(F.max("l_extendedprice").alias("close"))
+    flows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr("o_custkey AS code", f"{_SEGMENTS} AS investor", "CASE WHEN o_orderstatus = 'F' THEN 1.0D ELSE -1.0D END AS lots")
+    prices = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("code")).agg(F.max("l_extendedprice").alias("close"))
     x = L.sector_flow(flows, prices, v_company(spark, sf_dir))
     return x.select("industry", *[settled(k, 2).alias(k) for k in ("foreign", "trust", "dealer", "total")])
 
@@ -80,22 +82,25 @@ def forward_return_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("trend", "n", *[settled(k, 4).alias(k) for k in ("mean", "win_pct", "best", "worst")])
 
 
-@query(with_views(f"""SELECT ticker, count(*) AS signals, count(*) FILTER (later > 0) AS checked, count(*) FILTER (later > 0 AND (under OR lowest <= close * 0.97)) AS false_ones, {settled_sql('count(*) FILTER (later > 0 AND (under OR lowest <= close * 0.97)) / count(*) * 100', 4)} AS false_rate
-    FROM (SELECT *, bool_or(close < hma) OVER n AS under, min(low) OVER n AS lowest, count(*) OVER n AS later FROM state WINDOW n AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) WHERE close_before <= hma_before AND close > hma GROUP BY 1""", "v_daily", **_STATE))
+@query(with_views(f"""SELECT ticker, count(*) AS signals, count(*) FILTER (later > 0) AS checked, count(*) FILTER (later > 0 AND (under OR (lowest - close) / close <= -0.03)) AS false_ones, {settled_sql('count(*) FILTER (later > 0 AND (under OR (lowest - close) / close <= -0.03)) / count(*) * 100', 4)} AS false_rate
+    FROM (SELECT *, bool_or(close < hma) OVER n AS under, min(close) OVER n AS lowest, count(*) OVER n AS later FROM state WINDOW n AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) WHERE close_before <= hma_before AND close > hma GROUP BY 1""", "v_daily", **_STATE))
 def false_breakout_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.false_breakouts(D.hma_state(v_daily(spark, sf_dir)), 3).withColumn("false_rate", settled("false_rate", 4))
 
 
-@query(with_views("SELECT ticker, count(*) FILTER (ok) AS confirmed, count(*) AS bars FROM (SELECT ticker, volume > 1.2 * avg(volume) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS ok FROM v_daily) GROUP BY 1", "v_daily"))
+@query(with_views("SELECT ticker, count(*) FILTER (ok) AS confirmed, count(*) AS bars FROM (SELECT ticker, volume / avg(volume) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) >= 1.2 AS ok FROM v_daily) GROUP BY 1", "v_daily"))
 def volume_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = v_daily(spark, sf_dir)
     return x.withColumn("ok", L.volume_confirmed(x, 5)).groupBy("ticker").agg(F.count_if("ok").alias("confirmed"), F.count("*").alias("bars"))
 
 
-@query(with_views(f"SELECT ticker, {settled_sql('avg(volume)', 4)} AS avg_volume, {settled_sql('avg(turnover)', 3)} AS avg_turnover, arg_max(volume, date) AS last_volume, {settled_sql('arg_max(volume, date) / avg(volume)')} AS volume_ratio, CAST(floor(avg(volume) * 0.01) AS BIGINT) AS max_lots FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM v_daily) WHERE r <= 20 GROUP BY 1", "v_daily"))
+_LIQ = "SELECT ticker, count(*) AS bars, avg(volume) AS v, avg(volume * close) AS t, least(avg(volume) / 500, avg(volume * close) / 2e7) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM v_daily) WHERE r <= 20 GROUP BY 1"
+
+
+@query(with_views(f"SELECT ticker, bars, {settled_sql('v', 4)} AS avg_volume, {settled_sql('t', 2)} AS avg_turnover, ratio >= 1 AS eligible, CASE WHEN ratio >= 1 THEN 'liquid' ELSE 'thin' END AS status, CAST(greatest(0, least(100, floor(ratio * 100 + 0.5))) AS BIGINT) AS score, CAST(floor(v * 0.02) AS BIGINT) AS max_shares, CAST(floor(floor(v * 0.02) / 1000) AS BIGINT) AS max_lots FROM liq", "v_daily", liq=_LIQ))
 def liquidity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = L.liquidity(v_daily(spark, sf_dir), 20)
-    return x.select("ticker", settled("avg_volume", 4).alias("avg_volume"), settled("avg_turnover", 3).alias("avg_turnover"), "last_volume", settled("volume_ratio").alias("volume_ratio"), "max_lots")
+    x = L.liquidity(v_daily(spark, sf_dir), 20, min_volume=500.0)
+    return x.select("ticker", "bars", settled("avg_volume", 4).alias("avg_volume"), settled("avg_turnover", 2).alias("avg_turnover"), "eligible", "status", "score", "max_shares", "max_lots")
 
 
 def _fr(n: int) -> str:
@@ -117,7 +122,7 @@ def drawdown_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("ticker", settled("peak", 4).alias("peak"), "peak_date", settled("trough", 4).alias("trough"), "trough_date", "recovery_date", settled("drawdown_pct", 4).alias("drawdown_pct"))
 
 
-@query(with_views(f"SELECT ticker, date, {settled_sql('CASE WHEN count(close) OVER f = 26 AND stddev_pop(close) OVER f > 0 THEN (close - avg(close) OVER f) / stddev_pop(close) OVER f END', 4)} AS z FROM v_daily WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)", "v_daily"))
+@query(with_views(f"SELECT ticker, date, {settled_sql('CASE WHEN count(close) OVER f = 26 THEN CASE WHEN stddev_pop(close) OVER f > 0 THEN (close - avg(close) OVER f) / stddev_pop(close) OVER f ELSE 0 END END', 4)} AS z FROM v_daily WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)", "v_daily"))
 def trailing_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = v_daily(spark, sf_dir)
     return x.select("ticker", "date", settled(L.trailing_zscore(x, ["ticker"], "date", "close", 26), 4).alias("z"))
@@ -154,8 +159,49 @@ def chip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("ticker", "date", "matched_ts", settled("net", 2).alias("net"), "age_days")
 
 
-@query(with_views("""SELECT decision, count(*) AS n FROM (SELECT CASE WHEN turnover < 300000 THEN 'avoid_liquidity' WHEN ma20 IS NULL THEN 'watch' WHEN close > ma20 AND w10 > lag(w10) OVER w AND close <= ma20 * 1.06 THEN 'buy_watch'
-    WHEN close > ma20 AND close > ma20 * 1.06 THEN 'wait_pullback' WHEN close > ma20 THEN 'hold_or_scale' WHEN close < ma20 * 0.94 THEN 'avoid_trend' ELSE 'watch' END AS decision FROM b WINDOW w AS (PARTITION BY ticker ORDER BY date)) GROUP BY 1""", "v_daily",
-    b=f"SELECT *, CASE WHEN count(*) {_fr(20)} = 20 THEN avg(close) {_fr(20)} END AS ma20, {_wma('close', 10)} AS w10 FROM v_daily {_W}"))
+_DECIDED = {
+    **_STATE,
+    "dec0": """SELECT *, close_before <= hma_before AND close > hma AS cu, close_before >= hma_before AND close < hma AS cd,
+        avg(volume) OVER l >= 500 AND avg(volume * close) OVER l >= 2e7 AS liquid, coalesce(volume / avg(volume) OVER b >= 1.2, false) AS confirmed FROM state
+        WINDOW l AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING), b AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""",
+    "dec1": f"SELECT *, last_value(CASE WHEN cu THEN 'buy' WHEN cd THEN 'sell' END IGNORE NULLS) OVER w AS sg FROM dec0 {_W}",
+    "decided": """SELECT *, CASE WHEN NOT liquid THEN 'avoid_liquidity' WHEN trend IN ('bullish', 'bullish_reversal') AND confirmed THEN CASE WHEN sg = 'buy' THEN 'buy_watch' ELSE 'hold_or_scale' END
+        WHEN trend IN ('bullish', 'bullish_reversal', 'weak_bullish') THEN 'wait_pullback' WHEN trend IN ('bearish', 'bearish_reversal') THEN 'avoid_trend' ELSE 'watch' END AS decision
+        FROM dec1 WHERE hma IS NOT NULL AND close_before IS NOT NULL""",
+}
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.decisions(D.hma_state(v_daily(spark, sf_dir)), 20, min_volume=500.0)
+
+
+@query(with_views("SELECT ticker, date, trend, liquid, confirmed, sg AS last_signal, decision FROM decided", "v_daily", **_DECIDED))
 def daily_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.decisions(v_daily(spark, sf_dir), 300_000.0).groupBy("decision").agg(F.count("*").alias("n"))
+    return _decided(spark, sf_dir).select("ticker", "date", "trend", "liquid", "confirmed", "last_signal", "decision")
+
+
+_SCORE = "greatest(0, least(100, CASE WHEN trend IN ('bullish', 'bullish_reversal') THEN 35 WHEN trend = 'weak_bullish' THEN 20 WHEN trend IN ('bearish', 'bearish_reversal') THEN -20 ELSE 0 END + CASE WHEN confirmed THEN 25 ELSE 0 END + CASE WHEN liquid THEN 15 ELSE -30 END + CASE WHEN bought THEN 25 ELSE 0 END + CASE WHEN fwd > 0 THEN 10 ELSE 0 END + CASE WHEN fr <= 30 THEN 5 ELSE 0 END))"
+
+
+@query(with_views(f"""SELECT ticker, date, CAST(score AS INTEGER) AS score, CASE WHEN NOT liquid THEN 'avoid_or_reduce_size' WHEN trend IN ('bearish', 'bearish_reversal') THEN 'avoid_or_reduce' WHEN trend IN ('bullish', 'bullish_reversal') AND confirmed AND bought AND score >= 70 THEN 'follow_in_steps'
+    WHEN trend IN ('bullish', 'bullish_reversal', 'weak_bullish') THEN 'wait_for_pullback' ELSE 'watch' END AS advice FROM (SELECT *, {_SCORE} AS score FROM ctx)""", "v_daily", "v_flow", **_DECIDED,
+    nets="SELECT ticker, date, sum(net) AS net FROM v_flow GROUP BY 1, 2",
+    ctx="SELECT d.*, coalesce(n.net > 0, false) AS bought, (close / lag(close, 3) OVER (PARTITION BY d.ticker ORDER BY d.date) - 1) * 100 AS fwd, 25.0 + d.ticker AS fr FROM decided d LEFT JOIN nets n ON n.ticker = d.ticker AND n.date = d.date"))
+def signal_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and advice of each bar; institutions bought where the week's net flow is positive."""
+    nets = v_flow(spark, sf_dir).groupBy("ticker", "date").agg(F.sum("net").alias("net"))
+    x = _decided(spark, sf_dir).join(nets, ["ticker", "date"], "left").withColumn("bought", F.coalesce(F.col("net") > 0, F.lit(False)))
+    x = x.withColumn("fwd", D.lag_pct("close", 3)).withColumn("fr", F.lit(25.0) + F.col("ticker"))
+    x = x.withColumn("score", L.signal_score("trend", "confirmed", "liquid", "bought", "fwd", "fr").cast("int"))
+    return x.select("ticker", "date", "score", L.signal_advice("trend", "confirmed", "liquid", "bought", "score").alias("advice"))
+
+
+@query(with_views(f"SELECT days, count(*) AS n, {settled_sql('avg(f)', 4)} AS mean, {settled_sql('count(*) FILTER (f > 0) / count(*) * 100', 4)} AS win_pct, {settled_sql('max(f)', 4)} AS best, {settled_sql('min(f)', 4)} AS worst FROM fw WHERE f IS NOT NULL GROUP BY 1", "v_daily", "v_flow",
+    ev="SELECT ticker, date FROM (SELECT ticker, date, sum(net) AS net FROM v_flow GROUP BY 1, 2) WHERE net > 0",
+    led=f"SELECT ticker, date, (lead(close, 3) OVER w / close - 1) * 100 AS f3, (lead(close, 10) OVER w / close - 1) * 100 AS f10 FROM v_daily {_W}",
+    fw="SELECT 3 AS days, f3 AS f FROM ev JOIN led USING (ticker, date) UNION ALL SELECT 10, f10 FROM ev JOIN led USING (ticker, date)"))
+def chip_event_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forward returns of weeks that institutions bought in."""
+    events = v_flow(spark, sf_dir).groupBy("ticker", "date").agg(F.sum("net").alias("net")).where("net > 0").select("ticker", "date")
+    x = L.chip_performance(events, v_daily(spark, sf_dir), [3, 10])
+    return x.select("days", "n", *[settled(k, 4).alias(k) for k in ("mean", "win_pct", "best", "worst")])

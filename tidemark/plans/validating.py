@@ -53,10 +53,11 @@ def purged_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("fold", "role").agg(F.count("*").alias("n"), F.max("outcome").alias("last_outcome"))
 
 
-@query(with_views("SELECT locked, count(*) AS n, count(DISTINCT d) AS dates, min(d) AS first_d FROM (SELECT s.*, r <= 5 OR after < total * 0.15 AS locked FROM s JOIN days USING (d)) GROUP BY 1", s=_S,
-    days="SELECT d, row_number() OVER (ORDER BY d DESC) AS r, sum(n) OVER (ORDER BY d DESC) - n AS after, sum(n) OVER () AS total FROM (SELECT d, count(*) AS n FROM s GROUP BY 1)"))
+@query(with_views("""SELECT locked, count(*) AS n, count(DISTINCT d) AS dates, min(d) AS first_d FROM (SELECT s.*, place >= least(total - CAST(ceil(total * 0.15) AS BIGINT), coalesce((SELECT min(place) FROM num WHERE dr <= 5), 0)) AS locked FROM num s) GROUP BY 1""", s=_S,
+    num="SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS place, count(*) OVER () AS total, dense_rank() OVER (ORDER BY d DESC) AS dr FROM s"))
 def locked_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.locked_suffix(_samples(spark, sf_dir), "d", 0.15, 5).groupBy("locked").agg(F.count("*").alias("n"), F.count_distinct("d").alias("dates"), F.min("d").alias("first_d"))
+    x = V.number_by_time(_samples(spark, sf_dir), "ts", "event_id")
+    return V.locked_suffix(x, "d", 0.15, 5).groupBy("locked").agg(F.count("*").alias("n"), F.count_distinct("d").alias("dates"), F.min("d").alias("first_d"))
 
 
 @query(with_views(f"SELECT event_id, {settled_sql('coalesce(f1, m)')} AS f1, f1 IS NULL AS f1_missing FROM s, (SELECT quantile_cont(f1, 0.5) AS m FROM s)", s=_S))
@@ -71,14 +72,14 @@ def clipped_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.scale(x, V.scaling(x, ["f2"]), ["f2"]).select("event_id", settled("f2").alias("f2"))
 
 
-_Q = "least(greatest(p, 1e-6), 1 - 1e-6)"
+_Q = "least(greatest(p, 1e-15), 1 - 1e-15)"
 
 
-@query(with_views(f"SELECT g, CAST(sum(n) AS BIGINT) AS n, {settled_sql('sum(b) / sum(n)')} AS brier, {settled_sql('sum(l) / sum(n)')} AS log_loss, {settled_sql('sum(a) / sum(n)')} AS accuracy, {settled_sql('sum(abs(pp - y)) / sum(n)')} AS ece FROM per GROUP BY 1", s=_S,
-    per=f"SELECT g, least(floor(p * 10), 9) AS bin, count(*) AS n, sum(p) AS pp, sum(label::INT) AS y, sum((p - label::INT) ** 2) AS b, sum(-(label::INT * ln({_Q}) + (1 - label::INT) * ln(1 - {_Q}))) AS l, sum(((p >= 0.5) = label)::INT) AS a FROM s GROUP BY 1, 2"))
+@query(with_views(f"SELECT g, CAST(sum(n) AS BIGINT) AS n, {settled_sql('sum(b) / sum(n)')} AS brier, {settled_sql('sum(l) / sum(n)')} AS log_loss, {settled_sql('sum(a) / sum(n)')} AS accuracy, {settled_sql('sum(abs(pp - y)) / sum(n)')} AS ece, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, {settled_sql('coalesce(sum(tp) / nullif(sum(tp) + sum(fp), 0), 0)')} AS precision, {settled_sql('coalesce(2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 0)')} AS f1 FROM per GROUP BY 1", s=_S,
+    per=f"SELECT g, least(floor(p * 10), 9) AS bin, count(*) AS n, sum(p) AS pp, sum(label::INT) AS y, sum((p - label::INT) ** 2) AS b, sum(-(label::INT * ln({_Q}) + (1 - label::INT) * ln(1 - {_Q}))) AS l, sum(((p >= 0.5) = label)::INT) AS a, count(*) FILTER (p >= 0.5 AND label) AS tp, count(*) FILTER (p >= 0.5 AND NOT label) AS fp, count(*) FILTER (p < 0.5 AND label) AS fn FROM s GROUP BY 1, 2"))
 def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = V.classification(_samples(spark, sf_dir), ["g"], "p", "label")
-    return x.select("g", "n", *[settled(k).alias(k) for k in ("brier", "log_loss", "accuracy", "ece")])
+    return x.select("g", "n", "tp", "fp", "fn", *[settled(k).alias(k) for k in ("brier", "log_loss", "accuracy", "ece", "precision", "f1")])
 
 
 @query(with_views(f"SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS n, {settled_sql('avg(p)')} AS mean_p, {settled_sql('avg(label::INT)')} AS share FROM s GROUP BY 1", s=_S))
@@ -128,10 +129,35 @@ def distribution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("g", *[settled(k).alias(k) for k in ("mean", "median", "worst", "best", "deviation", "iqr")])
 
 
-@query(with_views(f"SELECT valid, {settled_sql('pos / valid')} AS positive_share, {settled_sql('top / gains')} AS concentration, array_to_string(list_filter([CASE WHEN valid < 5 THEN 'too_few_folds' END, CASE WHEN pos / valid < 0.7 THEN 'too_few_positive' END, CASE WHEN coalesce(top / gains > 0.5, true) THEN 'concentrated' END], lambda x: x IS NOT NULL), ',') AS reasons FROM (SELECT count(ev) AS valid, count(*) FILTER (ev > 0) AS pos, max(greatest(0, ev)) AS top, sum(greatest(0, ev)) AS gains FROM (SELECT g, avg(net) AS ev FROM s GROUP BY 1))", s=_S))
+_TRADES = "SELECT *, CASE WHEN event_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, CASE WHEN hour(ts) BETWEEN 8 AND 13 THEN 'DAY' ELSE 'NIGHT' END AS regime FROM s"
+_FOLD_EVIDENCE = """SELECT hour(ts) // 3 AS fold, count(*) >= 20 AS sufficient, avg(net) AS test_ev, avg(CASE WHEN label THEN net ELSE 0 END) AS baseline_ev, avg((p - label::INT) ** 2) AS test_brier, avg((0.5 - label::INT) ** 2) AS baseline_brier,
+    avg(abs(p - label::INT)) AS test_log_loss, avg(abs(0.4 - label::INT)) AS baseline_log_loss, sum(net) AS net, true AS cost_complete FROM tr GROUP BY 1"""
+
+
+def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _samples(spark, sf_dir).selectExpr("*", "CASE WHEN event_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction", "CASE WHEN hour(ts) BETWEEN 8 AND 13 THEN 'DAY' ELSE 'NIGHT' END AS regime")
+
+
+def _fold_evidence(trades: DataFrame) -> DataFrame:
+    y = F.col("label").cast("int")
+    return trades.groupBy(F.expr("hour(ts) div 3").alias("fold")).agg(
+        (F.count("*") >= 20).alias("sufficient"), F.avg("net").alias("test_ev"), F.avg(F.when(F.col("label"), F.col("net")).otherwise(0.0)).alias("baseline_ev"), F.avg((F.col("p") - y) ** 2).alias("test_brier"), F.avg((0.5 - y) ** 2).alias("baseline_brier"),
+        F.avg(F.abs(F.col("p") - y)).alias("test_log_loss"), F.avg(F.abs(0.4 - y)).alias("baseline_log_loss"), F.sum("net").alias("net"), F.lit(True).alias("cost_complete"),
+    )
+
+
+@query(with_views(f"""SELECT valid, {settled_sql('positive')} AS positive, {settled_sql('baseline')} AS baseline, {settled_sql('CASE WHEN total > 0 THEN ftop / total END')} AS fold_concentration, {settled_sql('CASE WHEN total > 0 THEN mtop / total END')} AS month_concentration,
+    array_to_string(list_filter([CASE WHEN total <= 0 THEN 'NON_POSITIVE_TOTAL_OUTER_NET_PNL' END, CASE WHEN positive < 0.7 THEN 'NON_NEGATIVE_FOLD_RATIO_BELOW_70_PERCENT' END, CASE WHEN baseline < 0.7 THEN 'BASELINE_OUTPERFORMANCE_BELOW_70_PERCENT' END, CASE WHEN brier <= 0.5 THEN 'BRIER_NOT_NONINFERIOR_IN_STRICT_MAJORITY' END, CASE WHEN ll <= 0.5 THEN 'LOG_LOSS_NOT_NONINFERIOR_IN_STRICT_MAJORITY' END,
+        CASE WHEN total <= 0 OR ftop / total > 0.4 THEN 'FOLD_CONCENTRATION_ABOVE_40_PERCENT' END, CASE WHEN total <= 0 OR mtop / total > 0.3 THEN 'MONTH_CONCENTRATION_ABOVE_30_PERCENT' END, CASE WHEN total <= 0 OR dtop / total > 0.85 THEN 'DIRECTION_CONCENTRATION_ABOVE_85_PERCENT' END, CASE WHEN total <= 0 OR etop / total > 0.4 THEN 'EVENT_CONCENTRATION_ABOVE_40_PERCENT' END,
+        CASE WHEN rbad THEN 'NEGATIVE_REGIME_CONTRIBUTION' END, CASE WHEN tbad THEN 'NEGATIVE_TARGET_CODE_CONTRIBUTION' END], lambda x: x IS NOT NULL), ',') AS reasons
+    FROM (SELECT count(*) AS valid, sum(net) AS total, count(*) FILTER (test_ev >= 0) / count(*) AS positive, count(*) FILTER (test_ev > baseline_ev) / count(*) AS baseline, count(*) FILTER (test_brier <= baseline_brier) / count(*) AS brier, count(*) FILTER (test_log_loss <= baseline_log_loss) / count(*) AS ll, max(greatest(0, net)) AS ftop FROM fe WHERE sufficient),
+        (SELECT max(greatest(0, net)) AS mtop FROM (SELECT sum(net) AS net FROM tr GROUP BY month(ts))), (SELECT max(greatest(0, net)) AS dtop FROM (SELECT sum(net) AS net FROM tr GROUP BY direction)), (SELECT max(greatest(0, net)) AS etop FROM (SELECT sum(net) AS net FROM tr GROUP BY d)),
+        (SELECT bool_or(net < 0) AS rbad FROM (SELECT sum(net) AS net FROM tr GROUP BY regime)), (SELECT bool_or(net < 0) AS tbad FROM (SELECT sum(net) AS net FROM tr GROUP BY g))""", s=_S, tr=_TRADES, fe=_FOLD_EVIDENCE))
 def stability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = V.stability_gate(V.trading_metrics(_samples(spark, sf_dir), ["g"]))
-    return x.select("valid", settled("positive_share").alias("positive_share"), settled("concentration").alias("concentration"), "reasons")
+    trades = _trades(spark, sf_dir).withColumn("month", F.month("ts")).withColumn("event", F.col("d").cast("string")).withColumn("target", F.col("g"))
+    parts = V.contributions(trades, ["month", "direction", "event", "regime", "target"])
+    x = V.stability_gate(_fold_evidence(trades), parts)
+    return x.select("valid", settled("positive").alias("positive"), settled("baseline").alias("baseline"), settled("fold_concentration").alias("fold_concentration"), settled("month_concentration").alias("month_concentration"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(with_views(f"SELECT CAST(sum(w) AS BIGINT) AS signals, {settled_sql('sum(sm) / sum(w)')} AS signal_mean, {settled_sql('sum(w * m) / sum(w)')} AS control_mean FROM (SELECT g, hour(ts) // 6 AS b, count(*) AS w, sum(net) AS sm FROM s WHERE label GROUP BY 1, 2) JOIN (SELECT g, hour(ts) // 6 AS b, avg(net) AS m FROM s WHERE NOT label GROUP BY 1, 2) USING (g, b)", s=_S))
@@ -169,8 +195,8 @@ def two_stage_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = V.impute(_samples(spark, sf_dir), V.medians(_samples(spark, sf_dir), ["f1"]), ["f1"]).withColumn("trade", (F.abs("net") > 10).cast("double")).withColumn("up", (F.col("net") > 0).cast("double"))
     cut = x.agg(F.percentile(F.unix_date("d"), F.lit(0.7)).alias("c")).first()["c"]
     train = x.where(F.unix_date("d") < cut)
-    scored = V.score_logistic(V.fit_logistic(train, ["f1", "f2"], "trade", 1.0), x, "p_trade")
-    scored = V.score_logistic(V.fit_logistic(train.where("trade = 1"), ["f1", "f2"], "up", 1.0), scored, "p_long")
+    scored = V.score_logistic(V.fit_logistic(train, ["f1", "f2"], "trade", 1.0), x, "p_trade", ["f1", "f2"])
+    scored = V.score_logistic(V.fit_logistic(train.where("trade = 1"), ["f1", "f2"], "up", 1.0), scored, "p_long", ["f1", "f2"])
     return scored.select("event_id", "p_trade", "p_long", (F.col("p_trade") * F.col("p_long")).alias("p_up"), V.model_thresholds(scored, "p_trade", "p_long", 0.5, 0.05).alias("signal"))
 
 

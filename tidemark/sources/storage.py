@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,12 @@ from tidemark.functions.scalars import c, content_hash, finite_or_null, number_o
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors see: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    """A fresh folder that all executors see: under spark.checkpoint.dir; where that is unset, a temporary one of a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}/{name}"
 
 
@@ -29,17 +34,21 @@ def append_segments(events: DataFrame, path: str, known_ids: DataFrame | None, p
         ids = known_ids.select("event_id").distinct()
         taken = taken.unionByName(fresh.join(ids, "event_id", "left_semi"))
         fresh = fresh.join(ids, "event_id", "left_anti")
-    fresh.write.mode("append").partitionBy(*partitions).parquet(path)
-    stored = events.sparkSession.read.parquet(path)
-    manifest = stored.groupBy(*partitions).agg(F.count("*").alias("record_count"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    segment = uuid.uuid4().hex
+    fresh.withColumn("segment", F.lit(segment)).write.mode("append").partitionBy(*partitions).parquet(path)
+    stored = events.sparkSession.read.parquet(path).where(F.col("segment") == segment)
+    # a checksum of the ids that doesn't depend on their order: a sum of hashes
+    checksum = F.sum(F.xxhash64("event_id").cast("decimal(38,0)")).cast("string")
+    manifest = stored.groupBy("segment", *partitions).agg(F.count("*").alias("record_count"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), checksum.alias("checksum"))
     return manifest, taken
 
 
 def verify_segments(spark: SparkSession, path: str, manifest: DataFrame, partitions: list[str]) -> DataFrame:
-    """Partitions of the manifest or the store whose record counts differ; empty if all is well."""
-    found = spark.read.parquet(path).groupBy(*partitions).agg(F.count("*").alias("found"))
-    x = manifest.join(found, partitions, "full_outer")
-    return x.where(~F.col("record_count").eqNullSafe(F.col("found"))).select(*partitions, "record_count", "found")
+    """Partitions of the manifest or the store whose record counts or checksums differ; empty if all is well."""
+    keys = ["segment", *partitions]
+    found = spark.read.parquet(path).groupBy(*keys).agg(F.count("*").alias("found"), F.sum(F.xxhash64("event_id").cast("decimal(38,0)")).cast("string").alias("found_checksum"))
+    x = manifest.join(found, keys, "full_outer")
+    return x.where(~(F.col("record_count").eqNullSafe(F.col("found")) & F.col("checksum").eqNullSafe(F.col("found_checksum")))).select(*keys, "record_count", "found")
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:

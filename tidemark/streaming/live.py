@@ -6,12 +6,9 @@ over all that has arrived and ends, with a checkpoint in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.sources.storage import shared_folder
 
@@ -46,18 +43,35 @@ def tumbling_bars(trades: DataFrame, width: str, delay: str, start: str = "0 sec
     )
 
 
-def out_of_order(events: DataFrame, received: str = "received_ts", exchange: str = "ts") -> DataFrame:
-    """Per target and batch: events, and those older than one that was received before; the state is one time a target."""
+def out_of_order(events: DataFrame, tops: DataFrame, received: str = "received_ts", exchange: str = "ts") -> DataFrame:
+    """Per target of a batch: n events, those late behind one received before, and the top exchange time.
+
+    tops (target, top): the top of all batches before. Events are ordered within an hour of
+    receipt; what came in the hours before is one row an hour and target, so no target's batch
+    meets in one task.
+    """
+    x = events.select("target", F.col(received).alias("_r"), F.col(exchange).alias("_x"), "event_id").withColumn("_hour", F.date_trunc("hour", "_r"))
+    hours = x.groupBy("target", "_hour").agg(F.max("_x").alias("_end"))
+    before = F.max("_end").over(W.partitionBy("target").orderBy("_hour").rowsBetween(W.unboundedPreceding, -1))
+    hours = hours.select("target", "_hour", before.alias("_before"))
+    inside = F.max("_x").over(W.partitionBy("target", "_hour").orderBy("_r", "event_id").rowsBetween(W.unboundedPreceding, -1))
+    x = x.withColumn("_inside", inside).join(hours, ["target", "_hour"]).join(tops.select("target", F.col("top").alias("_top")), "target", "left")
+    late = F.coalesce(F.col("_x") < F.greatest("_inside", "_before", "_top"), F.lit(False))  # greatest passes over nulls
+    return x.groupBy("target").agg(F.count("*").alias("n"), F.count_if(late).alias("late"), F.greatest(F.max("_x"), F.max("_top")).alias("top"))
+
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top = pd.Timestamp(state.get[0]) if state.exists else pd.Timestamp.min
-        rows = pd.concat(list(parts)).sort_values([received, "event_id"])
-        before = rows[exchange].cummax().shift(fill_value=top).clip(lower=top)
-        late = int((rows[exchange] < before).sum())
-        state.update((str(max(top, rows[exchange].max())),))
-        yield pd.DataFrame({"target": [key[0]], "n": [len(rows)], "late": [late]})
+def run_out_of_order(stream: DataFrame, name: str) -> DataFrame:
+    """out_of_order over all that has arrived, batch by batch; a batch that is repeated is replaced."""
+    spark, path = stream.sparkSession, shared_folder(stream.sparkSession, name)
+    kinds = "target long, n long, late long, top timestamp"
+    spark.createDataFrame([], kinds).write.parquet(f"{path}/batch=-1")
 
-    return events.groupBy("target").applyInPandasWithState(step, "target long, n long, late long", "top string", "append", GroupStateTimeout.NoTimeout)
+    def one(batch: DataFrame, batch_id: int) -> None:
+        known = batch.sparkSession.read.schema(f"{kinds}, batch long").parquet(path).where(F.col("batch") < batch_id)
+        out_of_order(batch, known.groupBy("target").agg(F.max("top").alias("top"))).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(f"{kinds}, batch long").parquet(path)
 
 
 def run(stream: DataFrame, name: str) -> DataFrame:

@@ -111,15 +111,14 @@ def pair_leads(early: DataFrame, originals: DataFrame, keys: list[str], order: s
     return e.groupBy(*keys).cogroup(o.groupBy(*keys)).applyInPandas(match, ", ".join(f"{n} {kinds[n]}" for n in (*keys, order, level)) + ", lead double")
 
 
-def swing_depth(bars: DataFrame, keys: list[str], order: str, n: int = 20, least_pct: float = 0.5) -> DataFrame:
-    """Over the last n closes of each key: counter legs in percent of the dominant leg before them, their number and the median of the last three.
+def with_pullbacks(df: DataFrame, closes: str, least_pct: float = 0.5) -> DataFrame:
+    """df with, of an array of closes in order, the counter legs in percent of the dominant leg before them: pullbacks and pullback_pct.
 
     Legs turn where the close moves least_pct from the extreme. The dominant way is that from the
-    first close to the last. Null with under three closes or no leg, 0 without a counter leg.
+    first close to the last. pullback_pct is the median of the last three; null with under three
+    closes or no leg, 0 without a counter leg.
     """
-    w = W.partitionBy(*keys).orderBy(F.col(order).desc())
-    rows = bars.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "close"))), lambda r: r["close"]).alias("_c"))
-    first = F.element_at("_c", 1)
+    first = F.element_at(closes, 1)
     state = lambda way, top, pivots: F.struct(way.alias("way"), top.alias("top"), pivots.alias("pivots"))
     start = state(F.lit(0), first, F.array(first))
 
@@ -131,17 +130,24 @@ def swing_depth(bars: DataFrame, keys: list[str], order: str, n: int = 20, least
         goes_on = ((s["way"] > 0) & (x > s["top"])) | ((s["way"] < 0) & (x < s["top"]))
         return F.when(s["way"] == 0, begun).when(goes_on, state(s["way"], x, s["pivots"])).when(far, turned).otherwise(s)
 
-    x = rows.withColumn("_z", F.aggregate(F.slice("_c", 2, n), start, step)).withColumn("_p", F.concat("_z.pivots", F.array(F.col("_z.top"))))
+    x = df.withColumn("_z", F.aggregate(F.slice(closes, F.lit(2), F.greatest(F.size(closes), F.lit(1))), start, step)).withColumn("_p", F.concat("_z.pivots", F.array(F.col("_z.top"))))
     moves = F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda i: F.element_at("_p", i + 1) - F.element_at("_p", i))
-    x = x.withColumn("_legs", F.filter(moves, lambda v: v != 0)).withColumn("_up", F.element_at("_c", -1) >= F.element_at("_c", 1))
+    x = x.withColumn("_legs", F.filter(moves, lambda v: v != 0)).withColumn("_up", F.element_at(closes, -1) >= F.element_at(closes, 1))
     against = lambda v: F.when(F.col("_up"), v < 0).otherwise(v > 0)
     places = F.when(F.size("_legs") > 1, F.sequence(F.lit(2), F.size("_legs"))).otherwise(F.array().cast("array<int>"))
     at = F.filter(places, lambda i: against(F.element_at("_legs", i)) & ~against(F.element_at("_legs", i - 1)))
     x = x.withColumn("_d", F.transform(at, lambda i: F.abs(F.element_at("_legs", i)) / F.abs(F.element_at("_legs", i - 1)) * 100))
     last = F.array_sort(F.slice("_d", F.greatest(F.size("_d") - 2, F.lit(1)), F.lit(3)))
     depth = F.when(F.size("_d") > 0, F.element_at(last, (F.floor(F.size(last) / 2) + 1).cast("int"))).otherwise(F.lit(0.0))
-    known = (F.size("_c") >= 3) & (F.size("_legs") >= 1)
-    return x.select(*keys, F.size("_d").alias("pullbacks"), F.when(known, depth).alias("pullback_pct"))
+    known = (F.size(closes) >= 3) & (F.size("_legs") >= 1)
+    return x.select(*df.columns, F.size("_d").alias("pullbacks"), F.when(known, depth).alias("pullback_pct"))
+
+
+def swing_depth(bars: DataFrame, keys: list[str], order: str, n: int = 20, least_pct: float = 0.5) -> DataFrame:
+    """The pullbacks of the last n closes of each key."""
+    w = W.partitionBy(*keys).orderBy(F.col(order).desc())
+    rows = bars.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "close"))), lambda r: r["close"]).alias("closes"))
+    return with_pullbacks(rows, "closes", least_pct).drop("closes")
 
 
 def multiset_agreement(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:

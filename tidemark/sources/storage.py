@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -143,3 +144,93 @@ def quality_report(events: DataFrame, keys: list[str], ts: str = "exchange_ts")
     x = events.withColumn("_top", F.max(ts).over(w.rowsBetween(W.unboundedPreceding, -1)))
     x = x.withColumn("_gap", (micros(ts) - micros(F.lag(ts).over(W.partitionBy(*keys).orderBy(ts, "event_id")))) / 1e6)
     return x.groupBy(*keys).agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct("event_id")).alias("duplicates"), F.count_if(F.col(ts) < F.col("_top")).alias("out_of_order"), F.max("_gap").alias("longest_gap_s"))
+
+
+def write_evidence(rows: DataFrame, path: str) -> DataFrame:
+    """Appends evidence by the id of its content; what is stored stays as it is, so a repeat changes nothing. The rows that are new."""
+    spark = rows.sparkSession
+    fresh = rows.where("problem IS NULL").dropDuplicates(["id"])
+    try:
+        known = spark.read.parquet(path).select("id")
+    except AnalysisException:  # nothing is stored yet
+        known = None
+    fresh = fresh if known is None else fresh.join(known, "id", "left_anti")
+    fresh.write.mode("append").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def evidence_manifest(stored: DataFrame, payload: list[str]) -> DataFrame:
+    """(id, source, ticker, available_at, source_hash, intact): intact where the content still has the hash and the id."""
+    again = content_hash(*sorted(payload))
+    name = F.sha2(F.concat_ws("|", "source", "ticker", F.col("available_at").cast("string"), again), 256)
+    return stored.select("id", "source", "ticker", "available_at", "source_hash", ((again == F.col("source_hash")) & (name == F.col("id"))).alias("intact"))
+
+
+def market_clock(date: str | Column) -> Column:
+    """Daily market rows are available at 13:30 of their date."""
+    return F.to_timestamp_ntz(F.concat(c(date).cast("string"), F.lit(" 13:30:00")), F.lit("yyyy-MM-dd HH:mm:ss"))
+
+
+def institutional_clock(date: str | Column, published: str | Column) -> tuple[Column, Column]:
+    """(available, quality): the stated time, or 18:00 of the date, which is inferred."""
+    evening = F.to_timestamp_ntz(F.concat(c(date).cast("string"), F.lit(" 18:00:00")), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.coalesce(c(published), evening), F.when(c(published).isNotNull(), "explicit").otherwise("inferred_schedule")
+
+
+def read_segments(spark: SparkSession, path: str, manifest: DataFrame, partitions: list[str]) -> DataFrame:
+    """The segments of a store whose manifest agrees with what is there; a difference is an error."""
+    wrong = verify_segments(spark, path, manifest, partitions).limit(5).collect()
+    if wrong:
+        raise ValueError(f"segments differ from their manifest: {wrong}")
+    return spark.read.parquet(path)
+
+
+def cached(df: DataFrame, folder: str, raw_hash: str, spec_hash: str, version: int = 1) -> DataFrame:
+    """df as stored under the hashes of its input and its settings; built only where no table with that header is there."""
+    spark = df.sparkSession
+    path = f"{folder.rstrip('/')}/{raw_hash[:16]}-{spec_hash[:16]}"
+    header = spark.createDataFrame([(version, raw_hash, spec_hash)], "version int, raw_hash string, spec_hash string")
+    try:
+        good = spark.read.parquet(f"{path}/header").join(header, ["version", "raw_hash", "spec_hash"], "left_semi").count() == 1
+    except AnalysisException:  # no such table
+        good = False
+    if not good:
+        df.write.mode("overwrite").parquet(f"{path}/rows")
+        header.write.mode("overwrite").parquet(f"{path}/header")  # last: a header says that the rows are whole
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+def missing_keys(wanted: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """The wanted keys that are not stored yet."""
+    return wanted.select(*keys).distinct().join(stored.select(*keys), keys, "left_anti")
+
+
+def markdown_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row as a line of a Markdown table, pipes escaped; header_line gives the first two lines."""
+    cell = lambda n: F.regexp_replace(F.coalesce(F.col(n).cast("string"), F.lit("")), r"\|", r"\\|")
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(n) for n in columns]), F.lit(" |")).alias("line"))
+
+
+def header_line(columns: list[str]) -> str:
+    return f"| {' | '.join(columns)} |\n| {' | '.join('---' for _ in columns)} |"
+
+
+def coverage_with_reasons(requested: DataFrame, landed: DataFrame, key: str, source: str, reason: str) -> DataFrame:
+    """By source: keys that landed, their share, and of those that came but were left out how many for which reason.
+
+    landed: key, source, reason (null where accepted).
+    """
+    asked = requested.select(key).distinct()
+    total = asked.agg(F.count("*").alias("requested"))
+    x = landed.join(asked, key, "left_semi").groupBy(source, key).agg(F.bool_or(F.col(reason).isNull()).alias("_ok"), F.min(reason).alias("_why"))
+    x = x.groupBy(source, F.when(~F.col("_ok"), F.col("_why")).alias("reason")).agg(F.count("*").alias("keys"))
+    return x.crossJoin(F.broadcast(total)).withColumn("pct", F.col("keys") / F.col("requested") * 100)
+
+
+def feed_items(df: DataFrame, keys: list[str], xml: str) -> DataFrame:
+    """(keys, number, title, published): items of feed text that name an episode and a date."""
+    item = F.explode(F.regexp_extract_all(xml, F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1)))
+    part = lambda tag: F.trim(F.regexp_extract("_item", rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1))
+    x = df.select(*keys, item.alias("_item")).select(*keys, part("title").alias("title"), part("pubDate").alias("_date"))
+    number = F.regexp_extract("title", r"(?i)EP\.?\s*(\d+)", 1).try_cast("int")
+    return x.select(*keys, number.alias("number"), "title", F.try_to_timestamp("_date", F.lit("dd MMM yyyy HH:mm:ss")).cast("date").alias("published")).where("number IS NOT NULL AND published IS NOT NULL")

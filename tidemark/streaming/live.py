@@ -6,7 +6,7 @@ over all that has arrived and ends, with a checkpoint in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -74,15 +74,49 @@ def run_out_of_order(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(f"{kinds}, batch long").parquet(path)
 
 
-def run(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over what is there into a Parquet table in the shared folder; the table."""
+def tag_sessions(events: DataFrame, calendar: DataFrame, ts: str = "ts") -> DataFrame:
+    """Live events with their session, by a join of the stream with the calendar's hours; CLOSED outside all."""
+    from tidemark.operators.micro import resolve_sessions
+
+    return resolve_sessions(events.withColumn(ts, F.col(ts).cast("timestamp_ntz")), calendar, ts)
+
+
+def is_stale(received: str, exchange: str, limit: str = "5 seconds") -> Column:
+    """Whether an event came over `limit` after it happened."""
+    return F.col(received) - F.col(exchange) > F.expr(f"interval {limit}")
+
+
+def quality_rows(events: DataFrame, connections: DataFrame, drops: DataFrame) -> DataFrame:
+    """(target, reason): reasons of events, lost connections and dropped batches in one stream of quality rows.
+
+    events: target, reasons array; connections: target, connected; drops: target, dropped count.
+    """
+    lost = connections.where("NOT connected").select("target", F.lit("CONNECTION_LOST").alias("reason"))
+    dropped = drops.where("dropped > 0").select("target", F.explode(F.array_repeat(F.lit("QUEUE_DROP"), F.col("dropped").cast("int"))).alias("reason"))
+    return events.select("target", F.explode("reasons").alias("reason")).unionByName(lost).unionByName(dropped)
+
+
+def checksum(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: how many rows and a sum of their hashes, which doesn't depend on order: equal for a stream and its replay."""
+    return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("checksum"))
+
+
+def run(stream: DataFrame, name: str, partitions: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream over what is there into a Parquet table in the shared folder, partitioned if asked; the table."""
     spark = stream.sparkSession
     path = shared_folder(spark, name)
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start(path)
-    query.awaitTermination()
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
+    (writer.partitionBy(*partitions) if partitions else writer).start(path).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def score_closed_bars(bars: DataFrame, score, name: str) -> DataFrame:
+    """Scores each closed bar once: bars come in append mode, when the watermark has closed them; the scored table."""
+    path = shared_folder(bars.sparkSession, name)
+    score_batches(bars, score, path)
+    return bars.sparkSession.read.parquet(path)
+
+
 def score_batches(stream: DataFrame, score, path: str) -> None:
     """Applies a batch scoring function to each micro-batch and appends its rows; a batch that is repeated is replaced."""
 

@@ -1,7 +1,8 @@
 """A training corpus from `documents`, stage by stage, each over all that the one before kept.
 
 Every stage's rows are written as Parquet in the shared folder and read again as the next one's
-documents. All stages but the last return the columns of documents.
+documents; what a stage wrote besides, and the documents that only it read, are then deleted.
+All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join, mixing, packing, pii, quality
-from tidemark.llm.common import read_documents, written
+from tidemark.llm.common import discard, read_documents, scratch, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_documents(spark, sf_dir)
+    docs, last = read_documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch() as made:
+            docs = written(stage(spark, docs, sf_dir), name)
+            made.remove(docs)
+        if last is not None:
+            discard(last)
+        last = docs
     return docs

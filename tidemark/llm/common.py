@@ -65,14 +65,14 @@ _SCOPES: list[list[DataFrame]] = []
 
 
 @contextmanager
-def scratch() -> Iterator[None]:
-    """Deletes what written() makes inside; open it where the result is consumed before it closes."""
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes what written() makes inside, unless it is taken from the list; for results that are consumed inside."""
     made: list[DataFrame] = []
     _SCOPES.append(made)
     try:
-        yield
+        yield made
     finally:
-        _SCOPES.remove(made)
+        _SCOPES.pop()
         discard(*made)
 
 

@@ -101,19 +101,18 @@ def coefficient_stability(observed: DataFrame, removals: DataFrame) -> DataFrame
     return x.withColumn("unstable", F.col("important") & ((F.col("dominant_sign") < 0.70) | (F.abs("median") <= 1e-12) | (F.col("removal_support") <= 0.5)))
 
 
-def redundancy_groups(correlations: DataFrame, profiles: DataFrame, threshold: float = 0.90, rounds: int = 6) -> DataFrame:
+def redundancy_groups(correlations: DataFrame, profiles: DataFrame, threshold: float = 0.90) -> DataFrame:
     """(feature, members, kept): features connected by correlations above the threshold, and which one stays.
 
-    Kept by completeness, then simplicity rank, then stability, then name. Features are at most
-    tens, so labels are passed on a few times.
+    Kept by completeness, then simplicity rank, then stability, then name. Features are tens at
+    most, columns of one table, so their pairs come to the driver to be labelled.
     """
-    near = correlations.where(F.abs("corr") > threshold)
-    edges = near.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(near.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    label = profiles.select("feature", F.col("feature").alias("root"))
-    for _ in range(rounds):
-        low = edges.join(label, F.col("y") == F.col("feature")).groupBy(F.col("x").alias("feature")).agg(F.min("root").alias("_r"))
-        label = label.join(low, "feature", "left").select("feature", F.least("root", F.coalesce("_r", "root")).alias("root"))
-    x = profiles.join(label, "feature")
+    root: dict[str, str] = {}
+    for r in correlations.where(F.abs("corr") > threshold).select("a", "b").collect():
+        old, new = sorted((root.get(r["a"], r["a"]), root.get(r["b"], r["b"])), reverse=True)
+        root |= {r["a"]: new, r["b"]: new} | {k: new for k, v in root.items() if v == old}
+    labels = profiles.sparkSession.createDataFrame([*root.items(), ("", "")], "feature string, _root string")
+    x = profiles.join(F.broadcast(labels), "feature", "left").withColumn("root", F.coalesce("_root", "feature"))
     order = W.partitionBy("root").orderBy(F.col("completeness").desc(), "simplicity", F.col("stability").desc(), "feature")
     return x.select("feature", F.array_join(F.array_sort(F.collect_list("feature").over(W.partitionBy("root"))), ",").alias("members"), (F.row_number().over(order) == 1).alias("kept"))
 

@@ -6,6 +6,8 @@ session_start); windows never leave a session unless they say so.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -175,14 +177,35 @@ def bar_features(b: DataFrame) -> DataFrame:
 
 
 def ema(df: DataFrame, value: str, span: int, keys: list[str], order: str, out: str) -> DataFrame:
-    """Exponential average that starts at the first value. A key's values, such as a session's bars, meet in one Arrow batch."""
-
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        rows[out] = rows[value].astype(float).ewm(span=span, adjust=False).mean()
-        return rows
+    """Exponential average that starts at the first value; keys are not null.
 
-    return df.groupBy(*keys).applyInPandas(smooth, StructType([*df.schema.fields, StructField(out, DoubleType())]))
+    Rows come ordered by key, and a step is taken for all keys of a batch at once: as many steps
+    as the longest key, such as a session, has rows.
+    """
+    a = 2.0 / (span + 1)
+
+    def smoothed(rows: pd.DataFrame) -> pd.DataFrame:
+        first = np.flatnonzero((rows[keys] != rows[keys].shift()).any(axis=1).to_numpy())
+        size = np.diff(np.append(first, len(rows)))
+        x = rows[value].to_numpy(float)
+        y = x.copy()
+        for k in range(1, size.max(initial=0)):
+            at = first[size > k] + k
+            y[at] = a * x[at] + (1 - a) * y[at - 1]
+        return rows.assign(**{out: y})
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun = None  # the last key of a batch may go on in the next one
+        for part in parts:
+            rows = part if begun is None else pd.concat([begun, part], ignore_index=True)
+            last = int((rows[keys] != rows[keys].iloc[-1]).any(axis=1).to_numpy().nonzero()[0].max(initial=-1)) + 1 if len(rows) else 0
+            begun = rows.iloc[last:].reset_index(drop=True)
+            if last:
+                yield smoothed(rows.iloc[:last].reset_index(drop=True))
+        if begun is not None and len(begun):
+            yield smoothed(begun)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(work, StructType([*df.schema.fields, StructField(out, DoubleType())]))
 
 
 def order_flow(states: DataFrame, steps: int = 10, large: int = 50) -> DataFrame:

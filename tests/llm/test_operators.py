@@ -184,6 +184,7 @@ def test_jaccard_components(spark, name, request, monkeypatch):
         shared = [(1000 + k, PASSAGE + " " + " ".join(f"v{k}_{i}" for i in range(k % 90))) for k in range(150)]
         df = spark.createDataFrame(drift + shared, "doc_id long, text string").repartition(3)
         monkeypatch.setattr(jaccard_join, "SMALL", 8)
+        monkeypatch.setattr(jaccard_join, "CELL_BYTES", 40 * 256)
     else:
         df = request.getfixturevalue(name)
     rows = texts_of(df)

@@ -225,6 +225,17 @@ def bounded_cells(rows: DataFrame, percent: int) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
+def _grouped(mixed: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """The rows of large regions in bounded groups; regions that keep to CELL_BYTES are groups as they are, without further tables."""
+    bits = F.least(F.lit(float(1 << 20)), F.greatest(F.lit(2048.0), F.pow(F.lit(2.0), F.ceil(F.log2(2.0 * F.col("n"))))))  # as in bitmap_of
+    huge = mixed.where(F.col("members") > SMALL).groupBy("shingle").agg(F.sum(bits / 8).alias("bytes")).where(F.col("bytes") > CELL_BYTES).select("shingle")
+    whole = lambda rows: _by_bitmap_size(rows).select(F.col("cell").alias("group"), "class", "n", "part", "bitmap", "own", F.lit(0).alias("tile"), F.lit(True).alias("within"))
+    if huge.isEmpty():
+        return whole(large)
+    huge = written(huge, "huge")
+    return whole(large.join(huge, "shingle", "left_anti")).unionByName(bounded_cells(large.join(huge, "shingle", "left_semi"), percent))
+
+
 def _code(shingles: np.ndarray) -> int:
     """The identity of a set."""
     both = np.bitwise_xor.reduce(mix(shingles ^ np.uint64(BASES[0])), keepdims=True) ^ np.uint64(len(shingles))
@@ -392,7 +403,7 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     listed = mixed.where(F.col("members") <= SMALL).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(list_pairs, "a long, b long")
     large = mixed.where(F.col("members") > SMALL).join(classes.select("class", "bitmap"), "class")
-    cut = bounded_cells(large, percent).repartition("group").sortWithinPartitions("group").mapInArrow(cut_pairs, "a long, b long")
+    cut = _grouped(mixed, large, percent).repartition("group").sortWithinPartitions("group").mapInArrow(cut_pairs, "a long, b long")
     more = _exact(written(listed.unionByName(cut).distinct(), "rest"), classes, texts, words, percent)
 
     parts = components(links.unionByName(more))

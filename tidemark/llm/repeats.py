@@ -100,8 +100,16 @@ def place() -> Column:
 
     The text's bits keep rows of one id apart, above all those without an id.
     """
-    inner = F.col("at").cast("long") * (1 << _TEXT_BITS) + F.col("text_hash").bitwiseAND((1 << _TEXT_BITS) - 1)
-    return (_doc_number().cast("decimal(20,0)") * F.lit(1 << _PLACE_BITS).cast("decimal(19,0)") + inner.cast("decimal(19,0)")).cast("decimal(38,0)")
+    return _place_of(_doc_number(), F.col("at"), F.col("text_hash").bitwiseAND((1 << _TEXT_BITS) - 1))
+
+
+def _place_of(doc: Column, at: Column, bits: Column) -> Column:
+    inner = at.cast("long") * (1 << _TEXT_BITS) + bits
+    return (doc.cast("decimal(20,0)") * F.lit(1 << _PLACE_BITS).cast("decimal(19,0)") + inner.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def _first_place() -> Column:
+    return _place_of(F.col("first_doc"), F.col("first_at"), F.col("first_bits"))
 
 
 def _of_place(name: str, doc: str, at: str, bits: str) -> list[Column]:
@@ -109,7 +117,7 @@ def _of_place(name: str, doc: str, at: str, bits: str) -> list[Column]:
     whole = F.lit(1 << _PLACE_BITS).cast("decimal(19,0)")
     number = F.floor(F.col(name) / whole)
     inner = (F.col(name) - number * whole).cast("long")
-    return [number.cast("long").alias(doc), F.shiftright(inner, _TEXT_BITS).cast("int").alias(at), inner.bitwiseAND((1 << _TEXT_BITS) - 1).alias(bits)]
+    return [number.cast("long").alias(doc), F.shiftright(inner, _TEXT_BITS).cast("int").alias(at), inner.bitwiseAND((1 << _TEXT_BITS) - 1).cast("int").alias(bits)]
 
 
 def solve_windows(table: pa.Table) -> pa.RecordBatch:
@@ -230,7 +238,7 @@ def _windows_apart(rows: DataFrame) -> DataFrame:
 
     They are counted by hash, so no group meets in a task; least and most are places.
     """
-    flat = rows.select("anchor", "context", "before", "occurs", "first_place", F.posexplode("hashes").alias("step", "hash")).withColumn("offset", F.col("step") - F.col("before"))
+    flat = rows.select("anchor", "context", "before", "occurs", _first_place().alias("first_place"), F.posexplode("hashes").alias("step", "hash")).withColumn("offset", F.col("step") - F.col("before"))
     same = ["anchor", "offset", "hash"]
     counted = flat.groupBy(*same).agg(F.sum("occurs").alias("total"), F.min("first_place").alias("least"), F.max("first_place").alias("most")).where("total > 1")
     return flat.join(counted, same)
@@ -250,8 +258,8 @@ def _factored_apart(rows: DataFrame) -> DataFrame:
     return hit.groupBy("anchor", "context").agg(F.array_sort(F.collect_list(factor)).alias("factors"))  # at most a window's places
 
 
-def _window_hashes(reps: DataFrame, unit: str, window: int, fragment: int) -> DataFrame:
-    """reps (text, runs) to a row per context with the hashes of its windows, in order, and of what begins at its anchor and ends with a window."""
+def _window_hashes(reps: DataFrame, unit: str, window: int, fragment: int, rights: bool) -> DataFrame:
+    """reps (text, runs) to a row per context with the hashes of its windows, in order, and with `rights` of what begins at its anchor and ends with a window."""
     width = window - fragment + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,20 +283,22 @@ def _window_hashes(reps: DataFrame, unit: str, window: int, fragment: int) -> Da
                 hashes = seq.two.of(start, start + window).view(np.int64)
                 before = of["before"][fits].astype(np.int64)
                 ends = n - 1 - before + width
-                anchor = np.repeat(begin + before, ends)
-                length = fragment + np.arange(ends.sum()) - np.repeat(np.cumsum(ends) - ends, ends)
-                rights = seq.one.of(anchor, anchor + length).view(np.int64)
+                lists = [(n, hashes)]
+                if rights:
+                    anchor = np.repeat(begin + before, ends)
+                    length = fragment + np.arange(ends.sum()) - np.repeat(np.cumsum(ends) - ends, ends)
+                    lists.append((ends, seq.one.of(anchor, anchor + length).view(np.int64)))
                 cols = [runs.field(f) for f in front]
-                cols += [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), pa.array(x)) for k, x in ((n, hashes), (ends, rights))]
-                yield pa.RecordBatch.from_arrays(cols, [*front, "hashes", "rights"])
+                cols += [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), pa.array(x)) for k, x in lists]
+                yield pa.RecordBatch.from_arrays(cols, [*front, "hashes", *["rights"] * rights])
 
-    front = ["anchor", "context", "before", "occurs", "first_doc", "first_at", "first_bits", "first_place", "crowd"]
-    kinds = "anchor long, context long, before int, occurs long, first_doc long, first_at int, first_bits long, first_place decimal(38,0), crowd long, hashes array<long>, rights array<long>"
+    front = ["anchor", "context", "before", "occurs", "first_doc", "first_at", "first_bits", "crowd"]
+    kinds = "anchor long, context long, before int, occurs long, first_doc long, first_at int, first_bits int, crowd long, hashes array<long>" + ", rights array<long>" * rights
     # rows that repeat a document whole hold its contexts twice
     return reps.select("text", "runs").mapInArrow(work, kinds)
 
 
-def _contexts(docs: DataFrame, unit: str, window: int, fragment: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _contexts(docs: DataFrame, unit: str, window: int, fragment: int, factors: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(keyed, again, contexts, hashed): texts; runs whose anchors occur twice; their contexts; those that meet others."""
     keyed = with_key(docs)
     runs = runs_of(keyed, unit, window, fragment)
@@ -298,19 +308,19 @@ def _contexts(docs: DataFrame, unit: str, window: int, fragment: int) -> tuple[D
     discard(twice)
 
     contexts = again.groupBy("anchor", "context").agg(
-        F.count("*").alias("occurs"), F.min(place()).alias("first_place"), F.max(place()).alias("last_place"), F.first("before").alias("before"), F.first("n").alias("n"), F.first("several").alias("several")
+        F.count("*").alias("occurs"), F.min(place()).alias("first_place"), *[F.max(place()).alias("last_place")] * factors, F.first("before").alias("before"), F.first("n").alias("n"), F.first("several").alias("several")
     )
     # the occurrence at first_place stands for its context; a null document is the least number
-    parts = [*_of_place("first_place", "first_doc", "first_at", "first_bits"), *_of_place("last_place", "last_doc", "last_at", "last_bits")]
-    contexts = contexts.where("several OR occurs > 1").select("anchor", "context", "occurs", "first_place", *parts, "before", "n", "several")
+    parts = _of_place("first_place", "first_doc", "first_at", "first_bits") + (_of_place("last_place", "last_doc", "last_at", "last_bits")[:2] if factors else [])
+    contexts = contexts.where("several OR occurs > 1").select("anchor", "context", "occurs", *parts, "before", "n", "several")
     contexts = written(contexts, "contexts")
 
     crowds = contexts.where("several").groupBy("anchor").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    run = F.struct("anchor", "context", "before", "n", "occurs", "first_doc", "first_at", "first_bits", "first_place", "crowd")
+    run = F.struct("anchor", "context", "before", "n", "occurs", "first_doc", "first_at", "first_bits", "crowd")
     reps = contexts.join(crowds, "anchor").select("first_doc", "first_bits", run.alias("run")).groupBy("first_doc", "first_bits").agg(F.collect_list("run").alias("runs"))
-    bits = F.col("text_hash").bitwiseAND((1 << _TEXT_BITS) - 1)
+    bits = F.col("text_hash").bitwiseAND((1 << _TEXT_BITS) - 1).cast("int")
     texts = keyed.select(_doc_number().alias("first_doc"), bits.alias("first_bits"), "text").join(reps, ["first_doc", "first_bits"])
-    return keyed, again, contexts, written(_window_hashes(texts, unit, window, fragment), "windows")
+    return keyed, again, contexts, written(_window_hashes(texts, unit, window, fragment, factors), "windows")
 
 
 def repeated_runs(docs: DataFrame, unit: str, window: int, fragment: int) -> tuple[DataFrame, DataFrame]:
@@ -319,18 +329,18 @@ def repeated_runs(docs: DataFrame, unit: str, window: int, fragment: int) -> tup
     found: doc_id, text_hash, runs array<struct<begin, n, low, high>>. Window `begin + k` (k < n)
     stands earlier, by (doc_id, place), if bit k of low, or bit k - 63 of high, is set.
     """
-    keyed, again, contexts, hashed = _contexts(docs, unit, window, fragment)
+    keyed, again, contexts, hashed = _contexts(docs, unit, window, fragment, factors=False)
     masks = _by_anchor(hashed.where(F.col("crowd") <= CROWD), solve_windows, "anchor long, context long, low long, high long").unionByName(_solved_apart(hashed.where(F.col("crowd") > CROWD)))
     # rows that repeat a document whole hold its contexts twice
     masks = written(masks.groupBy("anchor", "context").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high")), "masks")
     discard(hashed)
 
     marked = contexts.join(masks, ["anchor", "context"], "left").where("occurs > 1 OR low IS NOT NULL")
-    marked = written(marked.select("anchor", "context", "occurs", "first_place", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.lit(0)).alias("high")), "marked")
+    marked = written(marked.select("anchor", "context", "occurs", "first_doc", "first_at", "first_bits", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.lit(0)).alias("high")), "marked")
     discard(contexts, masks)
 
     full = lambda lo: F.expr(f"CASE WHEN n >= {lo + _MASK} THEN 9223372036854775807L WHEN n > {lo} THEN shiftleft(1L, n - {lo}) - 1 ELSE 0L END")
-    later = (F.col("occurs") > 1) & (place() != F.col("first_place"))
+    later = (F.col("occurs") > 1) & (place() != _first_place())
     spans = F.struct((F.col("at") - F.col("before")).alias("begin"), "n", F.when(later, full(0)).otherwise(F.col("low")).alias("low"), F.when(later, full(_MASK)).otherwise(F.col("high")).alias("high"))
     found = again.join(marked, ["anchor", "context"]).select("doc_id", "text_hash", spans.alias("run")).where("run.low <> 0 OR run.high <> 0")
     found = written(found.groupBy("doc_id", "text_hash").agg(F.collect_list("run").alias("runs")), "found")
@@ -345,18 +355,18 @@ def factored_runs(docs: DataFrame, unit: str, window: int, fragment: int) -> tup
     windows from begin on stand at source_begin of another place too. Factors end with their run;
     those that go on in the next run have the same source_begin - begin.
     """
-    keyed, again, contexts, hashed = _contexts(docs, unit, window, fragment)
+    keyed, again, contexts, hashed = _contexts(docs, unit, window, fragment, factors=True)
     kinds = "anchor long, context long, factors array<struct<step:int,n:int,source_doc:long,source_begin:int>>"
     width = window - fragment + 1
     parsed = written(_by_anchor(hashed.where(F.col("crowd") <= CROWD), lambda t: factor_windows(t, width), kinds).unionByName(_factored_apart(hashed.where(F.col("crowd") > CROWD))), "factors")
     discard(hashed)
 
-    marked = contexts.drop("before", "n", "several", "first_bits", "last_bits").join(parsed, ["anchor", "context"], "left").where("occurs > 1 OR factors IS NOT NULL")
+    marked = contexts.drop("before", "n", "several").join(parsed, ["anchor", "context"], "left").where("occurs > 1 OR factors IS NOT NULL")
     marked = written(marked, "marked")
     discard(contexts, parsed)
 
     # a context that occurs again is one factor; its source is its first place, or for that one its last
-    other = place() != F.col("first_place")
+    other = place() != _first_place()
     source = lambda x: F.when(other, F.col(f"first_{x}")).otherwise(F.col(f"last_{x}"))
     whole = F.struct(F.lit(0).alias("step"), F.col("n").alias("n"), source("doc").alias("source_doc"), (source("at") - F.col("before")).cast("int").alias("source_begin"))
     each = again.join(marked, ["anchor", "context"]).withColumn("factors", F.when(F.col("occurs") > 1, F.array(whole)).otherwise(F.col("factors")))

@@ -101,19 +101,45 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(-1, dtype=np.int64)
 
 
-def _cell_pairs(bits: np.ndarray, n: np.ndarray, own: np.ndarray, percent: int, depth: int = 0) -> Iterator[np.ndarray]:
-    """Pairs (i, j) that pass the bitmaps, at least one of them own; bits: (members, 64-bit words)."""
+def _within_reach(bits: np.ndarray, i: np.ndarray, j: np.ndarray, ok: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of ok whose bitmaps i[a] and j[b] differ by reach at most.
+
+    A quarter of the words bounds the distance from below and leaves few pairs to compare in full.
+    """
+    few = max(1, bits.shape[1] // 4)
+    x, y = np.ascontiguousarray(bits[i, :few].T), np.ascontiguousarray(bits[j, :few].T)
+    far = np.zeros(ok.shape, np.uint32)
+    for of_i, of_j in zip(x, y, strict=True):
+        far += np.bitwise_count(of_i[:, None] ^ of_j)
+    a, b = np.nonzero(ok & (far <= reach))
+    step = max(1, CELL_BYTES // (8 * bits.shape[1]))
+    keep = [np.flatnonzero(_popcount(bits[i[a[s : s + step]]] ^ bits[j[b[s : s + step]]]) <= reach[a[s : s + step], b[s : s + step]]) + s for s in range(0, len(a), step)]
+    kept = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+    return a[kept], b[kept]
+
+
+def _own_pairs(bits: np.ndarray, n: np.ndarray, own: np.ndarray, part: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """As _cell_pairs, without pivots: the own members meet those of similar sizes in other parts."""
+    by_size = np.argsort(n, kind="stable")
+    sizes, mine = n[by_size], by_size[own[by_size]]
+    for s in range(0, len(mine), SMALL):
+        i = mine[s : s + SMALL]  # in order of size
+        low = np.searchsorted(100 * sizes, percent * n[i[0]])
+        high = np.searchsorted(percent * sizes, 100 * n[i[-1]], "right")
+        for t in range(low, high, 4096):
+            j = by_size[t : min(t + 4096, high)]
+            # two own members meet from the side of the first one
+            ok = _similar_sizes(n[i][:, None], n[j], percent) & ((i[:, None] < j) | ~own[j]) & (part[i][:, None] != part[j])
+            a, b = _within_reach(bits, i, j, ok, _reach(n[i][:, None], n[j], percent))
+            if len(a):
+                yield np.stack([i[a], j[b]])
+
+
+def _cell_pairs(bits: np.ndarray, n: np.ndarray, own: np.ndarray, part: np.ndarray, percent: int, depth: int = 0) -> Iterator[np.ndarray]:
+    """Pairs (i, j) of two parts that pass the bitmaps, at least one of them own; bits: (members, 64-bit words)."""
     k = len(n)
     if k <= SMALL or depth > 12:
-        for s in range(0, k, SMALL):
-            i = np.arange(s, min(s + SMALL, k))
-            for t in range(s, k, 4096):
-                j = np.arange(t, min(t + 4096, k))
-                far = _popcount(bits[i][:, None, :] ^ bits[j][None, :, :])
-                ok = (far <= _reach(n[i][:, None], n[j], percent)) & _similar_sizes(n[i][:, None], n[j], percent) & (i[:, None] < j) & (own[i][:, None] | own[j])
-                a, b = np.nonzero(ok)
-                if len(a):
-                    yield np.stack([i[a], j[b]])
+        yield from _own_pairs(bits, n, own, part, percent)
         return
     picks = np.random.default_rng(depth * 7919 + k).choice(k, 8, replace=False)
     far = np.stack([_popcount(bits ^ bits[p]) for p in picks], 1)
@@ -127,17 +153,20 @@ def _cell_pairs(bits: np.ndarray, n: np.ndarray, own: np.ndarray, percent: int,
             continue
         inside = np.flatnonzero(mine | (far[:, cell] - nearest <= reach))
         if len(inside) >= 0.9 * k:  # this pivot parts nothing: the cell is compared as it is
-            whole = _cell_pairs(bits[inside], n[inside], mine[inside] & own[inside], percent, 13)
+            whole = _own_pairs(bits[inside], n[inside], mine[inside] & own[inside], part[inside], percent)
         else:
-            whole = _cell_pairs(bits[inside], n[inside], mine[inside] & own[inside], percent, depth + 1)
+            whole = _cell_pairs(bits[inside], n[inside], mine[inside] & own[inside], part[inside], percent, depth + 1)
         for pair in whole:
             yield inside[pair]
 
 
-def cell_pairs(bitmaps: list[bytes], n: np.ndarray, own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """All pairs of a cell that pass sizes and bitmaps, at least one of them own, as (2, pairs); bitmaps of one size."""
+def cell_pairs(bitmaps: list[bytes], n: np.ndarray, own: np.ndarray, percent: int = PERCENT, part: np.ndarray | None = None) -> np.ndarray:
+    """All pairs of a cell that pass sizes and bitmaps, at least one of them own, as (2, pairs); bitmaps of one size.
+
+    Members of one part are linked already, and aren't compared: a group of near copies gives no pairs here.
+    """
     bits = np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), -1)
-    found = list(_cell_pairs(bits, n, own, percent))
+    found = list(_cell_pairs(bits, n, own, np.arange(len(n)) if part is None else part, percent))
     return np.unique(np.sort(np.hstack(found), 0), axis=1) if found else np.zeros((2, 0), np.int64)
 
 
@@ -395,8 +424,8 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         for table in _by_region(batches, "group"):
             c, part, tile = (table.column(x).to_numpy() for x in ("class", "part", "tile"))
             own, within = (table.column(x).to_numpy(zero_copy_only=False) for x in ("own", "within"))
-            i, j = cell_pairs(table.column("bitmap").to_pylist(), table.column("n").to_numpy(), own, percent)
-            keep = (part[i] != part[j]) & ((tile[i] != tile[j]) | within[i])
+            i, j = cell_pairs(table.column("bitmap").to_pylist(), table.column("n").to_numpy(), own, percent, part)
+            keep = (tile[i] != tile[j]) | within[i]
             a, b = np.maximum(c[i], c[j])[keep], np.minimum(c[i], c[j])[keep]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])

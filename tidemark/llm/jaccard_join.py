@@ -17,7 +17,9 @@ pivot alone does not part a corpus. Regions are therefore begun where they tell
    of which meet in a task; so a task holds about CELL_BYTES, whatever the size of a region. The metric is the Hamming distance of
    parity bitmaps, never above the symmetric difference of the sets, which is at most
    (1 - c) / (1 + c) of the sum of their sizes for linked sets; so no link is lost.
-5. Pairs that pass the bitmaps are compared by their whole shingle sets.
+5. Pairs that pass the bitmaps are compared by their whole shingle sets: in large regions first
+   a forest of them, so that near copies become one component by a pair a member, then all
+   that are still in different components.
 6. Components by label minima (common.components).
 
 Cases: a null text or one without words has no shingles and links with nothing; fewer words
@@ -45,7 +47,9 @@ HOT, MOST_HOT = 16, 1_000_000
 #: Regions up to this many classes list their pairs; larger ones, and cells above it, are cut by pivots.
 SMALL = 64
 #: Further pivots that large regions in several components meet before they are cut.
-PIVOTS = 3
+PIVOTS = 2
+#: How often, at most, the components of large regions are joined by forests of pairs before all pairs left are listed.
+FORESTS = 2
 #: Bytes of bitmaps of the members of a cell that meet in one task, about; pivots of a larger cell, and how often it is cut.
 CELL_BYTES, CELL_PIVOTS, CUTS = 4 << 20, 8, 6
 
@@ -118,7 +122,7 @@ def _within_reach(bits: np.ndarray, i: np.ndarray, j: np.ndarray, ok: np.ndarray
     return a[kept], b[kept]
 
 
-def _own_pairs(bits: np.ndarray, n: np.ndarray, own: np.ndarray, part: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+def _own_pairs(bits: np.ndarray, n: np.ndarray, own: np.ndarray, at: np.ndarray, part: np.ndarray, percent: int) -> Iterator[np.ndarray]:
     """As _cell_pairs, without pivots: the own members meet those of similar sizes in other parts."""
     by_size = np.argsort(n, kind="stable")
     sizes, mine = n[by_size], by_size[own[by_size]]
@@ -129,17 +133,20 @@ def _own_pairs(bits: np.ndarray, n: np.ndarray, own: np.ndarray, part: np.ndarra
         for t in range(low, high, 4096):
             j = by_size[t : min(t + 4096, high)]
             # two own members meet from the side of the first one
-            ok = _similar_sizes(n[i][:, None], n[j], percent) & ((i[:, None] < j) | ~own[j]) & (part[i][:, None] != part[j])
+            ok = _similar_sizes(n[i][:, None], n[j], percent) & ((i[:, None] < j) | ~own[j]) & (part[at[i]][:, None] != part[at[j]])
             a, b = _within_reach(bits, i, j, ok, _reach(n[i][:, None], n[j], percent))
             if len(a):
                 yield np.stack([i[a], j[b]])
 
 
-def _cell_pairs(bits: np.ndarray, n: np.ndarray, own: np.ndarray, part: np.ndarray, percent: int, depth: int = 0) -> Iterator[np.ndarray]:
-    """Pairs (i, j) of two parts that pass the bitmaps, at least one of them own; bits: (members, 64-bit words)."""
+def _cell_pairs(bits: np.ndarray, n: np.ndarray, own: np.ndarray, at: np.ndarray, part: np.ndarray, percent: int, depth: int = 0) -> Iterator[np.ndarray]:
+    """Pairs (i, j) of two parts that pass the bitmaps, at least one of them own; bits: (members, 64-bit words).
+
+    part is of the whole cell, in which the members stand at `at`; it may change between two yields.
+    """
     k = len(n)
     if k <= SMALL or depth > 12:
-        yield from _own_pairs(bits, n, own, part, percent)
+        yield from _own_pairs(bits, n, own, at, part, percent)
         return
     picks = np.random.default_rng(depth * 7919 + k).choice(k, 8, replace=False)
     far = np.stack([_popcount(bits ^ bits[p]) for p in picks], 1)
@@ -153,9 +160,9 @@ def _cell_pairs(bits: np.ndarray, n: np.ndarray, own: np.ndarray, part: np.ndarr
             continue
         inside = np.flatnonzero(mine | (far[:, cell] - nearest <= reach))
         if len(inside) >= 0.9 * k:  # this pivot parts nothing: the cell is compared as it is
-            whole = _own_pairs(bits[inside], n[inside], mine[inside] & own[inside], part[inside], percent)
+            whole = _own_pairs(bits[inside], n[inside], mine[inside] & own[inside], at[inside], part, percent)
         else:
-            whole = _cell_pairs(bits[inside], n[inside], mine[inside] & own[inside], part[inside], percent, depth + 1)
+            whole = _cell_pairs(bits[inside], n[inside], mine[inside] & own[inside], at[inside], part, percent, depth + 1)
         for pair in whole:
             yield inside[pair]
 
@@ -166,10 +173,25 @@ def cell_pairs(bitmaps: list[bytes], n: np.ndarray, own: np.ndarray, percent: in
     Members of one part are linked already, and aren't compared: a group of near copies gives no pairs here.
     """
     bits = np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), -1)
-    found = list(_cell_pairs(bits, n, own, np.arange(len(n)) if part is None else part, percent))
+    at = np.arange(len(n))
+    found = list(_cell_pairs(bits, n, own, at, at if part is None else part, percent))
     return np.unique(np.sort(np.hstack(found), 0), axis=1) if found else np.zeros((2, 0), np.int64)
 
 
+def cell_forest(bitmaps: list[bytes], n: np.ndarray, own: np.ndarray, part: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Pairs of cell_pairs that join its parts to the same groups as all of them would: fewer than members, as (2, pairs)."""
+    bits, part, kept = np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), -1), part.copy(), [np.zeros((2, 0), np.int64)]
+    for i, j in _cell_pairs(bits, n, own, np.arange(len(n)), part, percent):
+        for a in np.unique(i):
+            b = j[i == a]
+            b = b[part[b] != part[a]]
+            labels, first = np.unique(part[b], return_index=True)
+            if len(labels):
+                kept.append(np.stack([np.full(len(labels), a), b[first]]))
+                part[np.isin(part, labels)] = part[a]
+    return np.hstack(kept)
+
+
 _CELL = "cell long, class long, n long, part long, bitmap binary, own boolean"
 
 
@@ -367,6 +389,13 @@ def _placed(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFra
     return members.join(parts, "class").select("shingle", "class", "n", "part", "members")
 
 
+def _mixed(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The placed members of regions that are in several components."""
+    placed = _placed(members, classes, links)
+    several = placed.groupBy("shingle").agg(F.min("part").alias("one"), F.max("part").alias("other")).where("one < other").select("shingle")
+    return written(placed.join(several, "shingle"), "mixed")
+
+
 def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, class (equal for equal sets, else null),
 
@@ -409,9 +438,7 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         links = links.unionByName(more)
 
     # what a region has in several components is joined by pivots; its first pivot met everyone
-    placed = _placed(members, classes, links)
-    several = placed.groupBy("shingle").agg(F.min("part").alias("one"), F.max("part").alias("other")).where("one < other").select("shingle")
-    mixed = written(placed.join(several, "shingle"), "mixed")
+    mixed = _mixed(members, classes, links)
 
     def list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_region(batches):
@@ -420,6 +447,14 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(c[a]), pa.array(c[b])], ["a", "b"])
 
+    def cut_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_region(batches, "group"):
+            c, part = (table.column(x).to_numpy() for x in ("class", "part"))
+            own = table.column("own").to_numpy(zero_copy_only=False)
+            i, j = cell_forest(table.column("bitmap").to_pylist(), table.column("n").to_numpy(), own, part, percent)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(c[i], c[j])), pa.array(np.minimum(c[i], c[j]))], ["a", "b"])
+
     def cut_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_region(batches, "group"):
             c, part, tile = (table.column(x).to_numpy() for x in ("class", "part", "tile"))
@@ -430,6 +465,16 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    # near copies that no pivot met: a forest of each group links them by a pair a member, so that few pairs of two parts are left
+    for _ in range(FORESTS):
+        large = mixed.where(F.col("members") > SMALL).join(classes.select("class", "bitmap"), "class")
+        forest = written(_grouped(mixed, large, percent).repartition("group").sortWithinPartitions("group").mapInArrow(cut_forest, "a long, b long").distinct(), "forest")
+        more = _exact(forest, classes, texts, words, percent)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        mixed = _mixed(members, classes, links)
+
     listed = mixed.where(F.col("members") <= SMALL).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(list_pairs, "a long, b long")
     large = mixed.where(F.col("members") > SMALL).join(classes.select("class", "bitmap"), "class")
     cut = _grouped(mixed, large, percent).repartition("group").sortWithinPartitions("group").mapInArrow(cut_pairs, "a long, b long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, materialise, mixing, mpeg, packing, pii, quality, substring, suffix
+from . import alignment, embedding_dedup, jaccard_join, materialise, mixing, mpeg, packing, pii, prefix_counts, quality, substring, suffix, vector_codes
 from .common import read_documents
 
 
@@ -51,6 +51,18 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise.materialise(read_documents(spark, sf_dir))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(read_documents(spark, sf_dir))
+
+
+def op12_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_counts.count_documents(read_documents(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -63,6 +75,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mpeg_audio": op8_mpeg_audio,
         "op9_personal_data": op9_personal_data,
         "op10_training_order": op10_training_order,
+        "op11_tokenizer_alignment": op11_tokenizer_alignment,
+        "op12_prefix_token_counts": op12_prefix_token_counts,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 

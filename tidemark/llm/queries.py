@@ -110,5 +110,28 @@ _SQL = {
 }
 
 
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, size: int = 8) -> str:
+    """The rounds written out, over vectors of parts * size components."""
+    gap = " + ".join(f"(x[{i}] - c[{i}]) * (x[{i}] - c[{i}])" for i in range(1, size + 1))
+    mean = ", ".join(f"CAST(floor(sum(x[{i}]) / count(*)) AS BIGINT)" for i in range(1, size + 1))
+    steps = [
+        f"""k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"p AS (SELECT vec_id, label, q, v[q * {size} + 1 : q * {size} + {size}] AS x FROM k, range({parts}) t(q))",
+        f"b0 AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY vec_id) - 1 AS e, x AS c FROM p QUALIFY e < {entries})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT vec_id, label, p.q, e, x, {gap} AS d FROM p JOIN b{r} USING (q) QUALIFY row_number() OVER (PARTITION BY vec_id, p.q ORDER BY d, e) = 1)")
+        if r < rounds:
+            steps.append(f"b{r + 1} AS (SELECT o.q, o.e, coalesce(n.c, o.c) AS c FROM b{r} o LEFT JOIN (SELECT q, e, [{mean}] AS c FROM a{r} GROUP BY q, e) n ON n.q = o.q AND n.e = o.e)")
+    return f"""WITH {", ".join(steps)},
+    v AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY q) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY 1, 2)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+        (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY q, e)) FROM b{rounds}) AS codebooks_sha256 FROM v"""
+
+
+_SQL["op13_vector_codes"] = _vector_codes_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)

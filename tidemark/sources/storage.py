@@ -24,6 +24,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}/{name}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: what comes after doesn't hold its plan."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of kept() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._kept_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def append_segments(events: DataFrame, path: str, known_ids: DataFrame | None, partitions: list[str], ts: str = "exchange_ts") -> tuple[DataFrame, DataFrame]:
     """Appends events with new ids, partitioned; (manifest of this append, events whose id was taken).
 

@@ -71,3 +71,56 @@ def test_queue_pairs(spark, seed):
             free.remove(hit)
         want.append((k, t, hit and hit[1]))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def trades(spark, ohlc, found, hold, stop, target, cutoffs=()):
+    from tidemark.operators import signals
+
+    bars = spark.createDataFrame([("a", i, *map(float, p), 1.0, i in cutoffs) for i, p in enumerate(ohlc, 1)], "k string, bar int, open double, high double, low double, close double, atr double, cutoff boolean")
+    sig = spark.createDataFrame([("a", i, d) for i, d in found], "k string, bar int, direction int")
+    got = signals.strategy_trades(bars, sig, ["k"], hold, stop, target)
+    return [(r.bar, r.entry_bar, r.entry, r.exit_bar, r.exit, r.reason, r.points) for r in got.orderBy("bar").collect()]
+
+
+def test_a_position_is_held_entered_late_and_blocks(spark):
+    flat = [(10, 11, 9, 10)] * 4 + [(12, 13, 11, 12)] * 4
+    # the signal of bar 3 comes while one is held, that of bar 5 at the close of the bar it left in
+    assert trades(spark, flat, [(1, 1), (3, -1), (5, -1)], 2, None, None) == [(1, 2, 10.0, 5, 12.0, "hold", 2.0), (5, 6, 12.0, None, None, None, None)]
+    assert trades(spark, flat, [(1, -1)], 6, None, None, {3}) == [(1, 2, 10.0, 4, 10.0, "session", 0.0)]
+
+
+def test_stops_and_targets(spark):
+    calm = (10, 10.5, 9.5, 10)
+    # the bar of the entry is not watched: orders stand from its close on
+    deep = [calm, (10, 12, 7, 10), calm, calm, calm, calm]
+    assert trades(spark, deep, [(1, 1)], 2, 2.0, 1.5)[0][3:6] == (5, 10.0, "hold")
+    gap = [calm, calm, (7, 8, 6, 7), calm, calm, calm]
+    assert trades(spark, gap, [(1, 1)], 2, 2.0, 1.5)[0][3:6] == (3, 7.0, "stop")
+    assert trades(spark, gap, [(1, -1)], 2, 2.0, 1.5)[0][3:] == (3, 7.0, "target", 3.0)
+    wide = lambda o: [calm, calm, (o, 12, 7, 10), calm, calm, calm]
+    assert trades(spark, wide(11), [(1, 1)], 2, 2.0, 1.5)[0][3:6] == (3, 11.5, "target")
+    assert trades(spark, wide(9), [(1, 1)], 2, 2.0, 1.5)[0][3:6] == (3, 8.0, "stop")
+
+
+def test_wilder_range_and_oscillators_by_hand(spark):
+    import datetime as dt
+
+    from tidemark.operators import facts
+
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(i)
+    closes = [10.0, 11.0, 10.5, 12.0, 11.0, 13.0]
+    b = spark.createDataFrame([(1, day(i), x, x + 1, x - 1, x) for i, x in enumerate(closes)], "ticker int, date date, open double, high double, low double, close double")
+    got = [r.atr for r in facts.wilder_range(b, 2).orderBy("date").collect()]
+    spans = [2.0, 2.0, 2.0, 2.5, 2.0, 3.0]
+    want = [None, (spans[0] + spans[1]) / 2]
+    for s in spans[2:]:
+        want.append((want[-1] + s) / 2)
+    assert got[0] is None and all(abs(x - y) < 1e-12 for x, y in zip(got[1:], want[1:], strict=True))
+    rows = facts.oscillators(b, 2, 2).orderBy("date").collect()
+    gain, loss = (1.0 + 0.0) / 2, 0.5 / 2
+    assert [r.rsi for r in rows[:2]] == [None, None] and abs(rows[2].rsi - gain / (gain + loss) * 100) < 1e-9
+    gain, loss = (gain + 1.5) / 2, loss / 2
+    assert abs(rows[3].rsi - gain / (gain + loss) * 100) < 1e-9
+    k = 50.0 * 2 / 3 + (11.0 - 9.0) / (12.0 - 9.0) * 100 / 3
+    d = 50.0 * 2 / 3 + k / 3
+    assert rows[0].k is None and abs(rows[1].k - k) < 1e-9 and abs(rows[1].d - d) < 1e-9 and abs(rows[1].j - (3 * k - 2 * d)) < 1e-9

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import half_up
 from tidemark.operators.daily import by
+from tidemark.operators.scans import affine_scan, exponential_averages
 from tidemark.operators.signals import with_pullbacks
 
 #: Bars of the background, structure and immediate windows, and fewest bars of a judgement.
@@ -125,17 +126,41 @@ def spikes(bars: DataFrame, keys: list[str], order: str, after: int = AFTER) ->
     return y.select(*keys, "ends", "length", "way", outcome.alias("outcome"))
 
 
-def oscillators(bars: DataFrame, n: int = 14, k: int = 9) -> DataFrame:
-    """bars with rsi (averages of n gains and losses), and the stochastic k (of k bars) and d (its average of three)."""
+def oscillators(bars: DataFrame, n: int = 14, k: int = 9, unit: Column | None = None) -> DataFrame:
+    """bars with rsi (Wilder's averages of gains and losses, begun with n plain ones), and the stochastic kdj of k bars.
+
+    K and D each take a third of the new value and begin at 50; J is 3 K - 2 D. Null before n steps and k bars.
+    """
     step = F.col("close") - F.lag("close").over(by())
-    frame, high = by().rowsBetween(-(n - 1), 0), by().rowsBetween(-(k - 1), 0)
-    x = bars.withColumn("_g", F.when(step.isNotNull(), F.greatest(step, F.lit(0.0)))).withColumn("_l", F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0))))
-    gain, loss = F.avg("_g").over(frame), F.avg("_l").over(frame)
-    rsi = F.when(F.count("_g").over(frame) == n, F.when(gain + loss > 0, gain / (gain + loss) * 100).otherwise(F.lit(50.0)))
-    top, bottom = F.max("high").over(high), F.min("low").over(high)
-    x = x.withColumn("rsi", rsi).withColumn("k", F.when(F.count("*").over(high) == k, F.when(top > bottom, (F.col("close") - bottom) / (top - bottom) * 100).otherwise(F.lit(50.0))))
-    three = by().rowsBetween(-2, 0)
-    return x.withColumn("d", F.when(F.count("k").over(three) == 3, F.avg("k").over(three))).drop("_g", "_l")
+    low, frame = by().rowsBetween(-(k - 1), 0), by().rowsBetween(-(n - 1), 0)
+    x = bars.withColumn("_g", F.when(step.isNotNull(), F.greatest(step, F.lit(0.0)))).withColumn("_l", F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0)))).withColumn("_i", F.row_number().over(by()))
+    top, bottom = F.max("high").over(low), F.min("low").over(low)
+    rsv = F.when(F.count("*").over(low) == k, F.when(top > bottom, (F.col("close") - bottom) / (top - bottom) * 100).otherwise(F.lit(50.0)))
+    x = x.withColumn("_rsv", rsv).withColumn("_mg", F.avg("_g").over(frame)).withColumn("_ml", F.avg("_l").over(frame))
+    wilder = lambda v, mean: (F.when(F.col("_i") > n + 1, (n - 1) / n).otherwise(0.0), F.when(F.col("_i") > n + 1, F.col(v) / n).when(F.col("_i") == n + 1, F.col(mean)).otherwise(0.0), 0.0)
+    third = lambda v: (F.when(F.col("_rsv").isNull(), 1.0).otherwise(2.0 / 3), F.coalesce(F.col(v) / 3, F.lit(0.0)), 50.0)
+    x = affine_scan(x, ["ticker"], "date", {"_gain": wilder("_g", "_mg"), "_loss": wilder("_l", "_ml"), "_k": third("_rsv")}, unit)
+    x = affine_scan(x.withColumn("_kk", F.when(F.col("_rsv").isNotNull(), F.col("_k"))), ["ticker"], "date", {"_d": third("_kk")}, unit)
+    rsi = F.when(F.col("_i") > n, F.when(F.col("_gain") + F.col("_loss") > 0, F.col("_gain") / (F.col("_gain") + F.col("_loss")) * 100).otherwise(F.lit(50.0)))
+    d = F.when(F.col("_rsv").isNotNull(), F.col("_d"))
+    return x.select(*bars.columns, rsi.alias("rsi"), F.col("_kk").alias("k"), d.alias("d"), (3 * F.col("_kk") - 2 * d).alias("j"))
+
+
+def wilder_range(bars: DataFrame, n: int, out: str = "atr", unit: Column | None = None) -> DataFrame:
+    """bars with Wilder's average of true ranges, begun with the plain average of the first n; null before."""
+    before = F.lag("close").over(by())
+    span = F.when(before.isNull(), F.col("high") - F.col("low")).otherwise(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
+    x = bars.withColumn("_tr", span).withColumn("_i", F.row_number().over(by())).withColumn("_mean", F.avg("_tr").over(by().rowsBetween(-(n - 1), 0)))
+    a, b = F.when(F.col("_i") > n, (n - 1) / n).otherwise(0.0), F.when(F.col("_i") > n, F.col("_tr") / n).when(F.col("_i") == n, F.col("_mean")).otherwise(0.0)
+    x = affine_scan(x, ["ticker"], "date", {"_atr": (a, b, 0.0)}, unit)
+    return x.select(*bars.columns, F.when(F.col("_i") >= n, F.col("_atr")).alias(out))
+
+
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, unit: Column | None = None) -> DataFrame:
+    """bars with macd (the fast less the slow exponential average of closes), its own average macd_signal, and macd_histogram."""
+    x = exponential_averages(bars, ["ticker"], "date", {"_fast": ("close", fast), "_slow": ("close", slow)}, unit).withColumn("macd", F.col("_fast") - F.col("_slow"))
+    x = exponential_averages(x, ["ticker"], "date", {"macd_signal": ("macd", signal)}, unit)
+    return x.select(*bars.columns, "macd", "macd_signal", (F.col("macd") - F.col("macd_signal")).alias("macd_histogram"))
 
 
 def direction_score(structure: str, close: str, mid: str, mid_before: str, signal: str) -> tuple[Column, Column]:

@@ -6,16 +6,12 @@ session_start); windows never leave a session unless they say so.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions.scalars import c
+from tidemark.operators.scans import dominance_join, exponential_averages
 
 KEYS = ["target", "session_start"]
 
@@ -47,39 +43,25 @@ def seconds_between(late: str | Column, early: str | Column) -> Column:
     return (F.unix_micros(c(late).cast("timestamp")) - F.unix_micros(c(early).cast("timestamp"))) / 1_000_000.0
 
 
+def micros(ts: str | Column) -> Column:
+    """Microseconds since 1970 of a moment."""
+    return F.unix_micros(c(ts).cast("timestamp"))
+
+
+#: Microseconds of one task's share of a key's quotes.
+HOUR = 3_600_000_000
+
+
 def asof_quotes(ticks: DataFrame, quotes: DataFrame, keys: list[str], max_age_s: float) -> DataFrame:
-    """Each tick with the latest quote that both clocks allow, in its group: exchange_ts and
+    """Each tick with the latest quote of its keys (target and delivery month) that both clocks allow: exchange_ts
 
-    received_ts not after the tick's; on equal exchange times the larger event_id. Adds
-    quote_id, quote_ts, quote_age_s and status: OK, MISSING, or STALE (which keeps the time).
-    Groups, such as the sessions of a target, meet in one task each.
+    and received_ts not after the tick's; on equal exchange times the larger event_id. Adds quote_id,
+    quote_ts, quote_age_s and status: OK, MISSING, or STALE (which keeps the time). event_ids are distinct.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in ticks.schema.fields}
-    columns = ["event_id", *keys, "exchange_ts", "received_ts"]
-
-    def match(t: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        q = q.sort_values(["exchange_ts", "event_id"], kind="stable")
-        if q.empty:
-            return t[columns].assign(quote_id=pd.array([pd.NA] * len(t), "Int64"), quote_ts=pd.NaT)
-        at = np.searchsorted(q["exchange_ts"].to_numpy(), t["exchange_ts"].to_numpy(), "right") - 1
-        heard, now = q["received_ts"].to_numpy(), t["received_ts"].to_numpy()
-        # least[k][i]: the earliest receipt of the 2^k quotes up to i; one walk down finds the last that was received in time
-        least = [heard]
-        while 2 ** len(least) <= len(heard):
-            w = 2 ** (len(least) - 1)
-            least.append(np.concatenate([least[-1][:w], np.minimum(least[-1][w:], least[-1][:-w])]))
-        for k in range(len(least) - 1, -1, -1):
-            at = np.where((at >= 2**k - 1) & (least[k][np.maximum(at, 0)] > now), at - 2**k, at)
-        out = t[columns].copy()
-        found = at >= 0
-        out["quote_id"] = pd.Series(q["event_id"].to_numpy()[at], index=t.index).astype("Int64").where(found)
-        out["quote_ts"] = pd.Series(q["exchange_ts"].to_numpy()[at], index=t.index).where(found)
-        return out
-
-    schema = ", ".join(f"{n} {kinds[n]}" for n in columns) + ", quote_id long, quote_ts timestamp_ntz"
-    # fresh column identities, as both sides may come from one calendar
-    ticks, quotes = (d.select(*[F.col(n).alias(n) for n in columns]) for d in (ticks, quotes))
-    joined = ticks.groupBy(*keys).cogroup(quotes.groupBy(*keys)).applyInPandas(match, schema)
+    clocks = lambda d: d.withColumn("_first", micros("exchange_ts")).withColumn("_second", micros("received_ts"))
+    right = clocks(quotes.select(*keys, F.col("event_id").alias("quote_id"), F.col("exchange_ts").alias("quote_ts"), "exchange_ts", "received_ts"))
+    left = clocks(ticks.select(*keys, "event_id", "exchange_ts", "received_ts"))
+    joined = dominance_join(left, right, keys, ["event_id", "exchange_ts", "received_ts"], "_first", "_second", ["quote_id", "quote_ts"], HOUR, HOUR)
     age = seconds_between("exchange_ts", "quote_ts")
     status = F.when(F.col("quote_id").isNull(), "MISSING").when(age > max_age_s, "STALE").otherwise("OK")
     return joined.select("*", age.alias("quote_age_s"), status.alias("status"))
@@ -176,36 +158,9 @@ def bar_features(b: DataFrame) -> DataFrame:
     )
 
 
-def ema(df: DataFrame, value: str, span: int, keys: list[str], order: str, out: str) -> DataFrame:
-    """Exponential average that starts at the first value; keys are not null.
-
-    Rows come ordered by key, and a step is taken for all keys of a batch at once: as many steps
-    as the longest key, such as a session, has rows.
-    """
-    a = 2.0 / (span + 1)
-
-    def smoothed(rows: pd.DataFrame) -> pd.DataFrame:
-        first = np.flatnonzero((rows[keys] != rows[keys].shift()).any(axis=1).to_numpy())
-        size = np.diff(np.append(first, len(rows)))
-        x = rows[value].to_numpy(float)
-        y = x.copy()
-        for k in range(1, size.max(initial=0)):
-            at = first[size > k] + k
-            y[at] = a * x[at] + (1 - a) * y[at - 1]
-        return rows.assign(**{out: y})
-
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        begun = None  # the last key of a batch may go on in the next one
-        for part in parts:
-            rows = part if begun is None else pd.concat([begun, part], ignore_index=True)
-            last = int((rows[keys] != rows[keys].iloc[-1]).any(axis=1).to_numpy().nonzero()[0].max(initial=-1)) + 1 if len(rows) else 0
-            begun = rows.iloc[last:].reset_index(drop=True)
-            if last:
-                yield smoothed(rows.iloc[:last].reset_index(drop=True))
-        if begun is not None and len(begun):
-            yield smoothed(begun)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(work, StructType([*df.schema.fields, StructField(out, DoubleType())]))
+def ema(df: DataFrame, value: str, span: int, keys: list[str], order: str, out: str, unit: Column | None = None) -> DataFrame:
+    """Exponential average that starts at the first value; keys are not null. unit: see affine_scan()."""
+    return exponential_averages(df, keys, order, {out: (value, span)}, unit)
 
 
 def order_flow(states: DataFrame, steps: int = 10, large: int = 50) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import c, clamp, first_reason, half_up, reasons
+from tidemark.operators.scans import dominance_join
 
 
 def of_ticker(df: DataFrame, ticker: Column | str, names: list[str]) -> DataFrame:
@@ -244,13 +245,14 @@ def evidence_availability(wanted: DataFrame, landed: DataFrame, key: str, source
 def episode_research(episodes: DataFrame, items: DataFrame, keys: list[str], as_of: str) -> DataFrame:
     """Each official episode (number) with the newest research item not after it nor after as_of: ready, stale or transcript_missing.
 
-    items: keys, item_number, item_date. Of equal numbers the later date.
+    items: keys, item_number, item_date. A dominance join by number and day; keys and number tell episodes apart.
     """
-    best = F.max(F.struct("item_number", "item_date"))
-    x = episodes.join(items.withColumnsRenamed({k: f"_{k}" for k in keys}), [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("item_number") <= F.col("number"), F.col("item_date") <= F.col(as_of)], "left")
-    x = x.groupBy(*episodes.columns).agg(best.alias("_best"))
-    number = F.col("_best.item_number")
-    return x.select(*episodes.columns, number.alias("item_number"), F.when(number == F.col("number"), "ready").when(number.isNotNull(), "stale").otherwise("transcript_missing").alias("status"))
+    left = episodes.select(*keys, F.col("number").cast("long").alias("_number"), F.unix_date(as_of).cast("long").alias("_day"))
+    right = items.select(*keys, F.col("item_number").cast("long").alias("_number"), F.unix_date("item_date").cast("long").alias("_day"), "item_number")
+    met = dominance_join(left, right, keys, ["_number", "_day"], "_number", "_day", ["item_number"], 1000, 1000).distinct()
+    x = episodes.withColumn("_number", F.col("number").cast("long")).withColumn("_day", F.unix_date(as_of).cast("long")).join(met, [*keys, "_number", "_day"], "left")
+    number = F.col("item_number")
+    return x.select(*episodes.columns, "item_number", F.when(number == F.col("number"), "ready").when(number.isNotNull(), "stale").otherwise("transcript_missing").alias("status"))
 
 
 # What a judgement may say.

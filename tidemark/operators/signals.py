@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import c
+from tidemark.operators.scans import queue_pairs, unblocked
 
 
 def bands(bars: DataFrame, keys: list[str], order: str, n: int = 20, width: float = 2.0) -> DataFrame:
@@ -76,39 +76,73 @@ def structure_state(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
     return x.withColumn("structure", F.when((h > 0) & (lo > 0), "up").when((h < 0) & (lo < 0), "down").otherwise("range")).drop("_dpivot_high", "_dpivot_low")
 
 
-def one_position(signals: DataFrame, keys: list[str], order: str, hold: int | str) -> DataFrame:
+def one_position(signals: DataFrame, keys: list[str], order: str, hold: int | str | Column) -> DataFrame:
     """Signals taken when only one position per key is held: those while it is blocked are skipped.
 
-    The outcome of each depends on the one before, so a key's signals are walked in a fold;
-    a key is a session, whose signals are few. order is a number (bar or second), hold its span.
+    order is a number (bar or second), hold its span. Of signals of one order one is taken.
     """
-    rest = [n for n in signals.columns if n not in keys]
-    rows = signals.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *[n for n in rest if n != order]))).alias("_rows"))
-    empty = F.expr(f"CAST(array() AS {rows.schema['_rows'].dataType.simpleString()})")
-    free = lambda acc, r: (F.size(acc) == 0) | (r[order] >= F.element_at(acc, -1)[order] + F.lit(hold))
-    taken = F.aggregate("_rows", empty, lambda acc, r: F.when(free(acc, r), F.concat(acc, F.array(r))).otherwise(acc))
-    return rows.select(*keys, F.explode(taken).alias("_r")).select(*keys, *[F.col(f"_r.{n}").alias(n) for n in rest])
+    span = F.lit(hold) if isinstance(hold, int) else c(hold)
+    return unblocked(signals.withColumn("_until", F.col(order) + span), keys, order, "_until").select(*signals.columns)
+
+
+def strategy_trades(
+    bars: DataFrame, signals: DataFrame, keys: list[str], hold: int, stop_atr: float | None = None, target_atr: float | None = None
+) -> DataFrame:
+    """Trades of one position a key: entered the bar after the signal, left after `hold` bars, at a cutoff, at a stop or a target.
+
+    bars: keys, bar (1, 2, ... in order), open, high, low, close, atr, cutoff (the session is about to end).
+    signals: keys, bar, direction (1 or -1), one a bar. A signal counts while nothing is held at its bar's
+    close. Entry at the next open. At the close of each bar since, a hold of `hold` bars or a cutoff sends
+    the position out at the next open; stop and target stand those multiples of that bar's atr from the
+    entry, for the bar after: at its open if it lies beyond, else at their price, first the one on the side
+    of the bar's extreme nearer to its open. A trade without an exit in the bars is open: nulls, and nothing
+    is taken after it. Returns keys, bar (of the signal), direction, entry_bar, entry, exit_bar, exit, reason, points.
+    """
+    ends = F.min(F.when(F.col("cutoff"), F.col("bar"))).over(W.partitionBy(*keys).orderBy(F.col("bar").desc()).rowsBetween(W.unboundedPreceding, 0))
+    b = bars.select(*keys, "bar", "open", "high", "low", "atr", ends.alias("_cut"))
+    entries = b.select(*keys, (F.col("bar") - 1).alias("bar"), F.col("bar").alias("entry_bar"), F.col("open").alias("entry"), "_cut")
+    x = signals.select(*keys, "bar", "direction").join(entries, [*keys, "bar"])
+    x = x.withColumn("_last", F.least(F.col("entry_bar") + hold, F.col("_cut")) + 1).withColumn("_why", F.when(F.col("_last") == F.col("entry_bar") + hold + 1, "hold").otherwise("session"))
+    at = [*keys, "bar"]
+    out = b.select(*keys, F.col("bar").alias("_last"), F.col("open").alias("_out"))
+    x = x.join(out, [*keys, "_last"], "left")
+    if stop_atr is not None or target_atr is not None:
+        # bars after the entry bar and before the timed exit, with the range at the close before each
+        past = b.select(*keys, F.col("bar").alias("_k"), F.col("open").alias("_o"), F.col("high").alias("_h"), F.col("low").alias("_l"), F.lag("atr").over(W.partitionBy(*keys).orderBy("bar")).alias("_atr"))
+        y = x.withColumn("_k", F.explode(F.expr(f"filter(sequence(1, {hold + 1}), k -> entry_bar + k < _last)"))).withColumn("_k", F.col("entry_bar") + F.col("_k")).join(past, [*keys, "_k"])
+        side = F.col("direction")
+        level = lambda k, sign: F.lit(None).cast("double") if k is None else F.col("entry") + F.lit(sign * k) * side * F.col("_atr")
+        y = y.withColumn("_stop", level(stop_atr, -1)).withColumn("_target", level(target_atr, 1))
+        reached = lambda a, b: F.coalesce(a * side >= b * side, F.lit(False))
+        far, near = F.when(side > 0, F.col("_h")).otherwise(F.col("_l")), F.when(side > 0, F.col("_l")).otherwise(F.col("_h"))
+        stopped, won = reached(F.col("_stop"), near), reached(far, F.col("_target"))
+        gap_stop, gap_won = reached(F.col("_stop"), F.col("_o")), reached(F.col("_o"), F.col("_target"))
+        far_first = F.abs(far - F.col("_o")) < F.abs(F.col("_o") - near)
+        hit = (
+            F.when(gap_stop, F.struct(F.lit("stop").alias("why"), F.col("_o").alias("price")))
+            .when(gap_won, F.struct(F.lit("target").alias("why"), F.col("_o").alias("price")))
+            .when(won & (far_first | ~stopped), F.struct(F.lit("target").alias("why"), F.col("_target").alias("price")))
+            .when(stopped, F.struct(F.lit("stop").alias("why"), F.col("_stop").alias("price")))
+        )
+        first = y.withColumn("_hit", hit).where(F.col("_hit").isNotNull()).groupBy(*at).agg(F.min(F.struct("_k", "_hit")).alias("_f"))
+        x = x.join(first.select(*[F.col(n).alias(n) for n in at], F.col("_f._k").alias("_k"), "_f._hit"), at, "left")
+        x = x.withColumn("_last", F.coalesce("_k", "_last")).withColumn("_out", F.coalesce("_hit.price", "_out")).withColumn("_why", F.coalesce("_hit.why", "_why"))
+    done = F.col("_out").isNotNull()
+    trades = x.select(
+        *at, "direction", "entry_bar", "entry", F.when(done, F.col("_last")).alias("exit_bar"), F.when(done, F.col("_out")).alias("exit"),
+        F.when(done, F.col("_why")).alias("reason"), (F.col("direction") * (F.col("_out") - F.col("entry"))).alias("points"),
+    )
+    return unblocked(trades, keys, "bar", "exit_bar")
 
 
 def pair_leads(early: DataFrame, originals: DataFrame, keys: list[str], order: str, level: str) -> DataFrame:
-    """Each early event with the first unused original of its key and level at or after it; null lead if none.
+    """Each early event with the lead to the first unused original of its key and level at or after it; null if none.
 
-    Greedy in time, so a key's events meet in one task; keys are sessions and signals.
+    Levels are equal when they agree to a millionth.
     """
-
-    def match(e: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        e, o = e.sort_values(order, kind="stable"), o.sort_values(order, kind="stable")
-        free = [(t, v) for t, v in zip(o[order], o[level], strict=True)]
-        leads = []
-        for t, v in zip(e[order], e[level], strict=True):
-            hit = next((i for i, (u, x) in enumerate(free) if u >= t and abs(x - v) < 1e-6), None)
-            leads.append(None if hit is None else float(free.pop(hit)[0] - t))
-        return e[[*keys, order, level]].assign(lead=pd.array(leads, "Float64"))
-
-    kinds = {f.name: f.dataType.simpleString() for f in early.schema.fields}
-    e = early.select(*[F.col(n).alias(n) for n in (*keys, order, level)])
-    o = originals.select(*[F.col(n).alias(n) for n in (*keys, order, level)])
-    return e.groupBy(*keys).cogroup(o.groupBy(*keys)).applyInPandas(match, ", ".join(f"{n} {kinds[n]}" for n in (*keys, order, level)) + ", lead double")
+    near = lambda d: d.select(*keys, order, level, F.round(F.col(level) * 1_000_000).cast("long").alias("_level"))
+    x = queue_pairs(near(early), near(originals), [*keys, "_level"], order)
+    return x.select(*keys, order, level, (F.col("matched") - F.col(order)).cast("double").alias("lead"))
 
 
 def with_pullbacks(df: DataFrame, closes: str, least_pct: float = 0.5) -> DataFrame:

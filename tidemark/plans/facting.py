@@ -74,24 +74,33 @@ def price_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.spikes(v_daily(spark, sf_dir), ["ticker"], "date")
 
 
+_RUNS = "WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)"
+_WILDER = "list_reduce(list_concat([list_sum(x[{a}:{b}]) / {n}], x[{b} + 1:]), lambda a, v: (a * ({n} - 1) + v) / {n})"
+_THIRDS = "list_reduce(list_concat([50.0::DOUBLE], list_filter(list({x}) OVER w, lambda v: v IS NOT NULL)), lambda a, v: a * 2 / 3 + v / 3)"
 _OSC = {
     "o0": f"SELECT *, greatest(close - lag(close) OVER w, 0) AS g, greatest(lag(close) OVER w - close, 0) AS l FROM (SELECT *, row_number() OVER w AS i FROM v_daily {_W}) {_W}",
-    "o1": f"SELECT ticker, date, i, close, CASE WHEN i > 1 THEN g END AS g, CASE WHEN i > 1 THEN l END AS l, CASE WHEN count(*) {_b(9)} = 9 THEN CASE WHEN max(high) {_b(9)} > min(low) {_b(9)} THEN (close - min(low) {_b(9)}) / (max(high) {_b(9)} - min(low) {_b(9)}) * 100 ELSE 50 END END AS k FROM o0",
+    "o1": f"SELECT *, CASE WHEN count(*) {_b(9)} = 9 THEN CASE WHEN max(high) {_b(9)} > min(low) {_b(9)} THEN (close - min(low) {_b(9)}) / (max(high) {_b(9)} - min(low) {_b(9)}) * 100 ELSE 50 END END AS rsv FROM o0",
+    "o2": f"SELECT ticker, date, i, list(CASE WHEN i > 1 THEN g END) OVER w AS gs, list(CASE WHEN i > 1 THEN l END) OVER w AS ls, CASE WHEN rsv IS NOT NULL THEN {_THIRDS.format(x='rsv')} END AS k FROM o1 {_RUNS}",
+    "o3": f"SELECT *, CASE WHEN i > 14 THEN {_WILDER.format(a=2, b=15, n=14).replace('x[', 'gs[')} END AS ag, CASE WHEN i > 14 THEN {_WILDER.format(a=2, b=15, n=14).replace('x[', 'ls[')} END AS al, CASE WHEN k IS NOT NULL THEN {_THIRDS.format(x='k')} END AS d FROM o2 {_RUNS}",
 }
 
 
-@query(with_views(f"SELECT ticker, date, {settled_sql(f'CASE WHEN count(g) {_b(14)} = 14 THEN CASE WHEN avg(g) {_b(14)} + avg(l) {_b(14)} > 0 THEN avg(g) {_b(14)} / (avg(g) {_b(14)} + avg(l) {_b(14)}) * 100 ELSE 50 END END', 4)} AS rsi, {settled_sql('k', 4)} AS k, {settled_sql(f'CASE WHEN count(k) {_b(3)} = 3 THEN avg(k) {_b(3)} END', 4)} AS d FROM o1", "v_daily", **_OSC))
+@query(with_views(f"SELECT ticker, date, {settled_sql('CASE WHEN i > 14 THEN CASE WHEN ag + al > 0 THEN ag / (ag + al) * 100 ELSE 50 END END', 4)} AS rsi, {settled_sql('k', 4)} AS k, {settled_sql('d', 4)} AS d, {settled_sql('3 * k - 2 * d', 4)} AS j FROM o3", "v_daily", **_OSC))
 def oscillators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.oscillators(v_daily(spark, sf_dir)).select("ticker", "date", *[settled(n, 4).alias(n) for n in ("rsi", "k", "d")])
+    """A year's bars of a ticker are a task's."""
+    return A.oscillators(v_daily(spark, sf_dir), unit=F.year("date")).select("ticker", "date", *[settled(n, 4).alias(n) for n in ("rsi", "k", "d", "j")])
 
 
-_EMA = "list_reduce(list(close) OVER w, lambda a, v: {a} * v + {b} * a)"
+_EMA = "list_reduce(list({x}) OVER w, lambda a, v: {a} * v + (1 - {a}) * a)"
+_MACD = {
+    "m0": f"SELECT ticker, date, {_EMA.format(x='close', a='(2.0::DOUBLE / 13)')} - {_EMA.format(x='close', a='(2.0::DOUBLE / 27)')} AS macd FROM v_daily {_RUNS}",
+    "m1": f"SELECT ticker, date, macd, {_EMA.format(x='macd', a='0.2::DOUBLE')} AS signal FROM m0 {_RUNS}",
+}
 
 
-@query(with_views(f"SELECT ticker, date, {settled_sql('fast - slow', 3)} AS macd FROM (SELECT ticker, date, {_EMA.format(a='(2.0::DOUBLE / 13)', b='(1 - 2.0::DOUBLE / 13)')} AS fast, {_EMA.format(a='(2.0::DOUBLE / 27)', b='(1 - 2.0::DOUBLE / 27)')} AS slow FROM v_daily WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING))", "v_daily"))
+@query(with_views(f"SELECT ticker, date, {settled_sql('macd', 3)} AS macd, {settled_sql('signal', 3)} AS macd_signal, {settled_sql('macd - signal', 3)} AS macd_histogram FROM m1", "v_daily", **_MACD))
 def macd_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = M.ema(M.ema(v_daily(spark, sf_dir).select("ticker", "date", "close"), "close", 12, ["ticker"], "date", "fast"), "close", 26, ["ticker"], "date", "slow")
-    return x.select("ticker", "date", settled(F.col("fast") - F.col("slow"), 3).alias("macd"))
+    return A.macd(v_daily(spark, sf_dir).select("ticker", "date", "close"), unit=F.year("date")).select("ticker", "date", *[settled(n, 3).alias(n) for n in ("macd", "macd_signal", "macd_histogram")])
 
 
 _SCORE = {

@@ -90,13 +90,14 @@ def session_coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cal.select("trading_date", "session").join(seen, ["trading_date", "session"], "left_anti")
 
 
-@query(with_views(f"""SELECT t.event_id, arg_max(q.event_id, q.event_id) AS quote_id, max(q.exchange_ts) AS quote_ts, {settled_sql('epoch_us(t.exchange_ts - max(q.exchange_ts)) / 1e6')} AS quote_age_s,
+@query(with_views(f"""SELECT t.event_id, arg_max(q.event_id, (q.exchange_ts, q.event_id)) AS quote_id, max(q.exchange_ts) AS quote_ts, {settled_sql('epoch_us(t.exchange_ts - max(q.exchange_ts)) / 1e6')} AS quote_age_s,
     CASE WHEN max(q.exchange_ts) IS NULL THEN 'MISSING' WHEN epoch_us(t.exchange_ts - max(q.exchange_ts)) / 1e6 > 1800 THEN 'STALE' ELSE 'OK' END AS status
-    FROM ticks_s t LEFT JOIN quotes_s q ON t.target = q.target AND t.session_start = q.session_start AND q.exchange_ts <= t.exchange_ts AND q.received_ts <= t.received_ts
-    WHERE t.session <> 'CLOSED' GROUP BY t.event_id, t.exchange_ts""", "v_ticks", "v_quotes", **_SESSIONS))
+    FROM v_ticks t LEFT JOIN v_quotes q ON t.target = q.target AND strftime(t.exchange_ts, '%Y%m') = strftime(q.exchange_ts, '%Y%m') AND q.exchange_ts <= t.exchange_ts AND q.received_ts <= t.received_ts
+    GROUP BY t.event_id, t.exchange_ts""", "v_ticks", "v_quotes"))
 def quote_asof_two_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks, quotes = _sessions(spark, sf_dir)
-    return M.asof_quotes(ticks, quotes, M.KEYS, 1800.0).select("event_id", "quote_id", "quote_ts", settled("quote_age_s").alias("quote_age_s"), "status")
+    """By target and delivery month, the month of the event here."""
+    ticks, quotes = (v(spark, sf_dir).withColumn("delivery", F.date_format("exchange_ts", "yyyyMM")) for v in (v_ticks, v_quotes))
+    return M.asof_quotes(ticks, quotes, ["target", "delivery"], 1800.0).select("event_id", "quote_id", "quote_ts", settled("quote_age_s").alias("quote_age_s"), "status")
 
 
 @query(with_views("SELECT t.event_id, q.exchange_ts AS matched_ts, q.bid, q.ask FROM v_ticks t ASOF LEFT JOIN v_quotes q ON t.target = q.target AND t.exchange_ts > q.exchange_ts", "v_ticks", "v_quotes"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.functions.scalars import settled, settled_sql
 from tidemark.operators import book as B
+from tidemark.operators import facts as A
 from tidemark.operators import signals as G
+from tidemark.operators.daily import by
 from tidemark.registry import query
 from tidemark.sources.views import table, v_daily, v_flow, v_quotes, with_views
 
@@ -79,7 +81,17 @@ def one_position_per_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.one_position(x, ["ticker"], "day", 28)
 
 
-@query()
+_LEADS = {
+    **_PIVOTS,
+    "ea": "SELECT *, row_number() OVER (PARTITION BY ticker, lv ORDER BY day) AS i FROM (SELECT ticker, date_diff('day', DATE '1970-01-01', date) AS day, level, CAST(round(level * 1000000) AS BIGINT) AS lv FROM sig WHERE signal IN ('bounce', 'rejection'))",
+    "og": "SELECT *, row_number() OVER (PARTITION BY ticker, lv ORDER BY day) AS j FROM (SELECT ticker, date_diff('day', DATE '1970-01-01', date) AS day, CAST(round(level * 1000000) AS BIGINT) AS lv FROM sig WHERE signal IN ('breakout', 'breakdown'))",
+    "led": """SELECT * FROM (WITH RECURSIVE r AS (SELECT DISTINCT ticker, lv, 0::BIGINT AS i, 0::BIGINT AS used, NULL::BIGINT AS hit FROM ea
+        UNION ALL SELECT r.ticker, r.lv, r.i + 1, coalesce(min(o.j), r.used), min(o.j) FROM r JOIN ea e ON e.ticker = r.ticker AND e.lv = r.lv AND e.i = r.i + 1
+            LEFT JOIN og o ON o.ticker = r.ticker AND o.lv = r.lv AND o.j > r.used AND o.day >= e.day GROUP BY r.ticker, r.lv, r.i, r.used) SELECT * FROM r)""",
+}
+
+
+@query(with_views("SELECT e.ticker, e.day, e.level, CAST(o.day - e.day AS DOUBLE) AS lead FROM ea e JOIN led r ON r.ticker = e.ticker AND r.lv = e.lv AND r.i = e.i LEFT JOIN og o ON o.ticker = r.ticker AND o.lv = r.lv AND o.j = r.hit", "v_daily", **_LEADS))
 def lead_time_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone touches as early events against later signals of the same level."""
     x = _signals(spark, sf_dir).withColumn("day", F.unix_date("date").cast("long"))
@@ -88,6 +100,35 @@ def lead_time_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.pair_leads(early, late, ["ticker"], "day", "level")
 
 
+_HOLD, _STOP, _TARGET = 6, 1.0, 1.5
+_TRADES = {
+    **_PIVOTS,
+    "t0": f"SELECT *, row_number() OVER w AS bar, CASE WHEN lag(close) OVER w IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END AS tr FROM v_daily {_W}",
+    "t1": "SELECT *, list(tr) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS trs FROM t0",
+    "tb": "SELECT ticker, date, bar, open, high, low, day(date) >= 23 AS cutoff, CASE WHEN bar >= 14 THEN list_reduce(list_concat([list_sum(trs[1:14]) / 14], trs[15:]), lambda a, v: (a * 13 + v) / 14) END AS atr FROM t1",
+    "en": f"""SELECT b.ticker, b.bar, s.direction, e.bar AS entry_bar, e.open AS entry, least(e.bar + {_HOLD}, (SELECT min(k.bar) FROM tb k WHERE k.ticker = e.ticker AND k.bar >= e.bar AND k.cutoff)) + 1 AS last
+        FROM (SELECT ticker, date, min(direction) AS direction FROM sig GROUP BY ALL) s JOIN tb b USING (ticker, date) JOIN tb e ON e.ticker = b.ticker AND e.bar = b.bar + 1""",
+    "lv": f"SELECT n.*, k.bar AS kb, k.open AS o, CASE direction WHEN 1 THEN k.high ELSE k.low END AS far, CASE direction WHEN 1 THEN k.low ELSE k.high END AS near, entry - {_STOP} * direction * p.atr AS stop, entry + {_TARGET} * direction * p.atr AS target FROM en n JOIN tb k ON k.ticker = n.ticker AND k.bar > n.entry_bar AND k.bar < n.last JOIN tb p ON p.ticker = k.ticker AND p.bar = k.bar - 1",
+    "hi": """SELECT *, CASE WHEN stop * direction >= o * direction THEN 'stop' WHEN o * direction >= target * direction THEN 'target' WHEN far * direction >= target * direction AND (abs(far - o) < abs(o - near) OR NOT stop * direction >= near * direction) THEN 'target' WHEN stop * direction >= near * direction THEN 'stop' END AS why,
+        CASE WHEN stop * direction >= o * direction OR o * direction >= target * direction THEN o WHEN far * direction >= target * direction AND (abs(far - o) < abs(o - near) OR NOT stop * direction >= near * direction) THEN target ELSE stop END AS price FROM lv""",
+    "fi": "SELECT ticker, bar, min(kb) AS kb, arg_min(why, kb) AS why, arg_min(price, kb) AS price FROM hi WHERE why IS NOT NULL GROUP BY 1, 2",
+    "al": f"""SELECT n.ticker, n.bar, n.direction, n.entry_bar, n.entry, CASE WHEN coalesce(f.price, x.open) IS NOT NULL THEN coalesce(f.kb, n.last) END AS exit_bar, coalesce(f.price, x.open) AS exit,
+        CASE WHEN coalesce(f.price, x.open) IS NOT NULL THEN coalesce(f.why, CASE WHEN n.last = n.entry_bar + {_HOLD} + 1 THEN 'hold' ELSE 'session' END) END AS reason
+        FROM en n LEFT JOIN fi f USING (ticker, bar) LEFT JOIN tb x ON x.ticker = n.ticker AND x.bar = n.last""",
+    "tk": """SELECT * FROM (WITH RECURSIVE r AS (SELECT ticker, min(bar) AS bar FROM al GROUP BY 1
+        UNION ALL SELECT r.ticker, min(n.bar) FROM r JOIN al c ON c.ticker = r.ticker AND c.bar = r.bar JOIN al n ON n.ticker = r.ticker AND n.bar >= c.exit_bar GROUP BY r.ticker) SELECT * FROM r)""",
+}
+
+
+@query(with_views(f"SELECT al.ticker, al.bar, direction, entry_bar, entry, exit_bar, {settled_sql('exit', 4)} AS exit, reason, {settled_sql('direction * (exit - entry)', 4)} AS points FROM al JOIN tk USING (ticker, bar)", "v_daily", **_TRADES))
+def strategy_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All level signals share one slot a ticker; on weekly bars the cutoff is the month's last week."""
+    bars = A.wilder_range(v_daily(spark, sf_dir), 14, unit=F.year("date")).withColumn("bar", F.row_number().over(by())).withColumn("cutoff", F.dayofmonth("date") >= 23)
+    signals = _signals(spark, sf_dir).groupBy("ticker", "date").agg(F.min("direction").alias("direction")).join(bars.select("ticker", "date", "bar"), ["ticker", "date"])
+    x = G.strategy_trades(bars, signals, ["ticker"], _HOLD, _STOP, _TARGET)
+    return x.select("ticker", "bar", "direction", "entry_bar", "entry", "exit_bar", settled("exit", 4).alias("exit"), "reason", settled("points", 4).alias("points"))
+
+
 @query()
 def swing_pullbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.swing_depth(v_daily(spark, sf_dir), ["ticker"], "date")

@@ -136,34 +136,56 @@ def select_inner(candidates: DataFrame, keys: list[str], metrics: list[Column])
     return x.select(*keys, F.when(~F.col("sparse"), F.col("candidate_id")).alias("candidate_id"), F.when(F.col("sparse"), "INSUFFICIENT_CALIBRATION_EVIDENCE").otherwise("SELECTED").alias("status"))
 
 
-def bootstrap_difference(left: DataFrame, right: DataFrame, value: str, order: str, resamples: int, seed: str) -> DataFrame:
-    """2.5 and 97.5 percent points of the difference of means over resamples of either side, and whether they exclude 0.
+def difference_intervals(rows: DataFrame, by: list[str], side: str, value: str, row_id: list[str], resamples: int, seed: str) -> DataFrame:
+    """(by, low, high, excludes_zero): 95 percent intervals of the difference of means, side 'l' less side 'r', each resampled by itself."""
+    seeded = V.resample_sums(rows.withColumn("_side", F.col(side)), [*by, "_side"], value, ["_side", *row_id], resamples, seed)
+    mean = lambda s: F.max(F.when(F.col("_side") == s, F.col("total") / F.nullif("weight", F.lit(0))))
+    x = seeded.groupBy(*by, "i").agg((mean("l") - mean("r")).alias("_d")).where("_d IS NOT NULL")
+    return V.order_interval(x, by, "_d").select(*by, "low", "high", ((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))
 
-    Both are small tables, such as daily means; a resample draws from either by its own hashes.
-    """
-    def means(df: DataFrame, name: str) -> DataFrame:
-        numbered = df.select(F.col(value).alias("_v"), (F.row_number().over(W.orderBy(order)) - 1).alias("_j")).withColumn("_n", F.count("*").over(W.partitionBy()))
-        draws = numbered.select("_j", "_n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_i"))
-        pick = F.pmod(V.seeded_draw(F.concat_ws(":", "_i", "_j"), f"{seed}-{name}"), F.col("_n")).cast("int")
-        return draws.select("_i", pick.alias("_j")).join(numbered.select("_j", "_v"), "_j").groupBy("_i").agg(F.avg("_v").alias(name))
 
-    x = means(left, "l").join(means(right, "r"), "_i").select((F.col("l") - F.col("r")).alias("_d"))
-    out = x.agg(F.percentile("_d", F.lit(0.025)).alias("low"), F.percentile("_d", F.lit(0.975)).alias("high"))
-    return out.withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
+def bootstrap_difference(left: DataFrame, right: DataFrame, value: str, row_id: list[str], resamples: int, seed: str) -> DataFrame:
+    """The interval of the difference of two samples' means, and whether it excludes 0."""
+    both = [d.select(value, *row_id, F.lit(s).alias("_s")) for d, s in ((left, "l"), (right, "r"))]
+    return difference_intervals(both[0].unionByName(both[1]), [], "_s", value, row_id, resamples, seed)
 
 
-def period_verdict(signals: DataFrame, controls: DataFrame, period: str, bucket: list[str], value: str, needed: int, least: int, sufficient: int) -> DataFrame:
-    """One row: in how many periods the signal beats plain and matched controls (P1), is positive (P3) and has `least` events (P4).
+def period_verdict(signals: DataFrame, controls: DataFrame, period: str, bucket: list[str], value: str, row_id: list[str], crash: Column, needed: int, least: int, sufficient: int, resamples: int, seed: str) -> DataFrame:
+    """One row: a pre-declared verdict of signals against controls, by periods.
 
-    Matched controls are weighted by the signal's buckets; P2, the intervals, is bootstrap_difference.
+    p1: periods whose signal mean beats both the plain mean of controls and the matched one (each signal's
+    bucket of its period has the mean of its controls; signals without controls are left out). p2: whether the
+    intervals of the plain and of the matched difference over all periods exclude zero; p2_calm without the rows of
+    `crash`. p3: periods with a positive signal mean. p4: periods of at least `least` signals. passes: p1 and p3 in `needed`
+    periods, p4 in `sufficient` ones, and p2; label: FAIL, PASS, or PASS (crash-dependent) where p2_calm fails.
     """
-    s = signals.groupBy(period).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    plain = controls.groupBy(period).agg(F.avg(value).alias("plain"))
-    w = signals.groupBy(period, *bucket).agg(F.count(value).alias("_w")).join(controls.groupBy(period, *bucket).agg(F.avg(value).alias("_m")), [period, *bucket])
-    matched = w.groupBy(period).agg((F.sum(F.col("_w") * F.col("_m")) / F.sum("_w")).alias("matched"))
-    x = s.join(plain, period, "left").join(matched, period, "left")
-    out = x.agg(F.count_if((F.col("mean") > F.col("plain")) & (F.col("mean") > F.col("matched"))).alias("p1"), F.count_if(F.col("mean") > 0).alias("p3"), F.count_if(F.col("n") >= least).alias("p4"))
-    return out.select("*", ((F.col("p1") >= needed) & (F.col("p3") >= needed) & (F.col("p4") >= sufficient)).alias("passes"))
+    known = lambda d: d.where(F.col(value).isNotNull()).select(period, *bucket, *row_id, F.col(value).alias("_v"), crash.alias("_crash"))
+    s, c_ = known(signals), known(controls)
+    means = c_.groupBy(*[F.col(n).alias(f"_{n}") for n in (period, *bucket)]).agg(F.avg("_v").alias("_m"), F.avg(F.when(~F.col("_crash"), F.col("_v"))).alias("_mc"))
+    matched = s.join(means, [F.col(n) == F.col(f"_{n}") for n in (period, *bucket)]).select(period, *row_id, "_v", "_m", "_mc", "_crash")
+
+    by_period = s.groupBy(period).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
+    x = by_period.join(c_.groupBy(period).agg(F.avg("_v").alias("plain")), period, "left").join(matched.groupBy(period).agg(F.avg("_m").alias("matched")), period, "left")
+    counts = x.agg(F.count_if((F.col("mean") > F.col("plain")) & (F.col("mean") > F.col("matched"))).alias("p1"), F.count_if(F.col("mean") > 0).alias("p3"), F.count_if(F.col("n") >= least).alias("p4"))
+
+    row = lambda d, form, side, v: d.select(*row_id, F.lit(form).alias("form"), F.lit(side).alias("_s"), F.col(v).alias("_x"))
+    calm = lambda d: d.where(~F.col("_crash"))
+    sets = [
+        row(s, "plain", "l", "_v"), row(c_, "plain", "r", "_v"), row(matched, "matched", "l", "_v"), row(matched, "matched", "r", "_m"),
+        row(calm(s), "plain_calm", "l", "_v"), row(calm(c_), "plain_calm", "r", "_v"),
+        row(calm(matched).where("_mc IS NOT NULL"), "matched_calm", "l", "_v"), row(calm(matched), "matched_calm", "r", "_mc"),
+    ]
+    every = sets[0]
+    for other in sets[1:]:
+        every = every.unionByName(other)
+    found = difference_intervals(every, ["form"], "_s", "_x", row_id, resamples, seed)
+    of = lambda form, n: F.max(F.when(F.col("form") == form, F.col(n)))
+    forms = ("plain", "matched", "plain_calm", "matched_calm")
+    both = lambda a, b: F.coalesce(of(a, "excludes_zero") & of(b, "excludes_zero"), F.lit(False))
+    intervals = found.agg(*[of(f, n).alias(f"{f}_{n}") for f in forms for n in ("low", "high")], both("plain", "matched").alias("p2"), both("plain_calm", "matched_calm").alias("p2_calm"))
+    out = counts.crossJoin(intervals)  # one row each
+    passes = (F.col("p1") >= needed) & F.col("p2") & (F.col("p3") >= needed) & (F.col("p4") >= sufficient)
+    return out.withColumn("passes", passes).withColumn("label", F.when(passes & F.col("p2_calm"), "PASS").when(passes, "PASS (crash-dependent)").otherwise("FAIL"))
 
 
 def filter_study(days: DataFrame) -> DataFrame:

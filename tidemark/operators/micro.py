@@ -111,6 +111,11 @@ def step_states(ticks: DataFrame, quotes: DataFrame, step_s: int, max_quote_age_
         x = x.withColumn(name, F.last(name, ignorenulls=True).over(past))
     for name in ("volume", "trades", "buy_volume", "sell_volume", "unknown_volume", "notional"):
         x = x.withColumn(name, F.coalesce(name, F.lit(0)))
+    return with_ages(x, step_s, max_quote_age_s)
+
+
+def with_ages(x: DataFrame, step_s: int, max_quote_age_s: float) -> DataFrame:
+    """Steps with the ages of their last tick and quote at the step's end, whether the quote is fresh, and spread and midpoint if it is."""
     end = seconds_between("session_start", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")) + (F.col("step") + 1) * step_s
     age = lambda ts: end - seconds_between(ts, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     x = x.withColumn("tick_age_s", age("tick_ts")).withColumn("quote_age_s", age("quote_ts"))

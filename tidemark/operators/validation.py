@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -226,17 +228,39 @@ def sample_controls(moments: DataFrame, keys: list[str], row_id: str, n: int, se
     return moments.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(seeded_draw(row_id, seed), row_id))).where(F.col("_r") <= n).drop("_r")
 
 
-def bootstrap_mean(values: DataFrame, value: str, order: list[str], resamples: int, seed: str) -> DataFrame:
-    """2.5 and 97.5 percent points of the mean over resamples of a small table, such as daily means.
+#: A Poisson weight of mean 1 is the number of these that a draw below 65,536 reaches: its distribution function in 65,536ths.
+POISSON = [math.floor(65536 * sum(math.exp(-1) / math.factorial(k) for k in range(j + 1))) for j in range(8)]
+
+
+def resample_sums(rows: DataFrame, by: list[str], value: str, row_id: list[str], resamples: int, seed: str) -> DataFrame:
+    """(by, i, weight, total): the sums of each bootstrap resample i, in one aggregate that combines before it shuffles.
 
-    Resample i takes row draw(i, j) mod n as its j-th; the draws are hashes, so reruns agree.
+    A resample takes each row a Poisson number of times, so that rows need no numbers and no join; eight
+    weights come of one hash of the row's id. Reruns agree on any partitioning.
     """
-    numbered = values.select(F.col(value).alias("_v"), (F.row_number().over(W.orderBy(*order)) - 1).alias("_j")).withColumn("_n", F.count("*").over(W.partitionBy()))
-    draws = numbered.select("_j", "_n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_i"))
-    pick = F.pmod(seeded_draw(F.concat_ws(":", "_i", "_j"), seed), F.col("_n"))
-    drawn = draws.select("_i", pick.cast("int").alias("_j")).join(numbered.select("_j", "_v"), "_j")
-    means = drawn.groupBy("_i").agg(F.avg("_v").alias("_m"))
-    return means.agg(F.count("*").alias("resamples"), F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"))
+    x = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.concat_ws(":", F.lit(seed), *[F.col(n).cast("string") for n in row_id]).alias("_id"))
+    x = x.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 8) - 1)))).withColumn("_h", F.md5(F.concat_ws(":", "_id", "_b")))
+    for k in range(8):
+        draw = F.conv(F.substring("_h", 4 * k + 1, 4), 16, 10).cast("int")
+        x = x.withColumn(f"_u{k}", draw).withColumn(f"_w{k}", sum(((F.col(f"_u{k}") >= t).cast("int") for t in POISSON), F.lit(0))).drop(f"_u{k}")
+    sums = x.groupBy(*by, "_b").agg(*[f for k in range(8) for f in (F.sum(f"_w{k}").alias(f"_w{k}"), F.sum(F.col(f"_w{k}") * F.col("_v")).alias(f"_s{k}"))])
+    each = F.explode(F.array(*[F.struct((F.col("_b") * 8 + k).alias("i"), F.col(f"_w{k}").alias("weight"), F.col(f"_s{k}").alias("total")) for k in range(8)]))
+    return sums.select(*by, each.alias("_r")).select(*by, "_r.*").where(F.col("i") < resamples)
+
+
+def order_interval(values: DataFrame, by: list[str], value: str, confidence: float = 0.95) -> DataFrame:
+    """(by, n, low, high): of n values those at places int(tail n) and int((1 - tail) n) of their order, from 0."""
+    tail = (1 - confidence) / 2
+    x = values.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("_d"))  # a number a resample
+    n = F.size("_d")
+    at = lambda p: F.get("_d", p.cast("int"))
+    return x.select(*by, n.alias("n"), at(F.floor(n * tail)).alias("low"), at(F.least(n - 1, F.floor(n * (1 - tail)))).alias("high"))
+
+
+def bootstrap_mean(values: DataFrame, value: str, row_id: list[str], resamples: int, seed: str) -> DataFrame:
+    """95 percent interval of the mean over resamples of the rows; row_id tells them apart."""
+    means = resample_sums(values, [], value, row_id, resamples, seed).where("weight > 0").withColumn("_m", F.col("total") / F.col("weight"))
+    return order_interval(means, [], "_m").select(F.col("n").alias("resamples"), "low", "high")
 
 
 def correlation_groups(df: DataFrame, columns: list[str]) -> DataFrame:

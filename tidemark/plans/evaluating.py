@@ -11,7 +11,7 @@ from tidemark.operators import daily as D
 from tidemark.operators import evaluation as E
 from tidemark.operators import validation as V
 from tidemark.plans.screening import _FEATURES
-from tidemark.plans.validating import _DRAW, _S, _TRADES, _samples, _trades
+from tidemark.plans.validating import _S, _TRADES, _samples, _trades
 from tidemark.registry import query
 from tidemark.sources.views import table, v_daily, with_views
 
@@ -147,25 +147,56 @@ def inner_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.select_inner(x, ["fold"], [F.col("brier")])
 
 
-def _resampled(name: str, source: str) -> str:
-    draw = _DRAW.format(seed=f"diff-{name}", x=chr(39) + chr(39) + " || i || " + chr(39) + ":" + chr(39) + " || j")
-    return f"SELECT i, avg(v) AS m FROM (SELECT i, {draw} % n AS pick FROM {source}, (SELECT unnest(generate_series(0, 499)) AS i)) p JOIN {source} ON {source}.j = p.pick GROUP BY i"
+def resampled_sql(source: str, value: str, row_id: str, seed: str, resamples: int, by: str = "") -> str:
+    """Means of the resamples of resample_sums(); row_id is the text of the ids joined by colons."""
+    draw = f"('0x' || substr(md5('{seed}:' || {row_id} || ':' || (i // 8)), 4 * (i % 8) + 1, 4))::BIGINT"
+    weight = " + ".join(f"(u >= {t})::INT" for t in V.POISSON)
+    return f"SELECT {by}i, sum(({weight}) * v) / nullif(sum({weight}), 0) AS m FROM (SELECT {by}i, {value} AS v, {draw} AS u FROM {source}, (SELECT unnest(generate_series(0, {resamples - 1})) AS i) WHERE {value} IS NOT NULL) GROUP BY ALL"
 
 
-@query(with_views(f"SELECT {settled_sql('lo', 5)} AS low, {settled_sql('hi', 5)} AS high, lo > 0 OR hi < 0 AS excludes_zero FROM (SELECT quantile_cont(a.m - b.m, 0.025) AS lo, quantile_cont(a.m - b.m, 0.975) AS hi FROM ra a JOIN rb b USING (i))", s=_S,
-    na="SELECT v, row_number() OVER (ORDER BY d) - 1 AS j, count(*) OVER () AS n FROM (SELECT d, avg(net) AS v FROM s WHERE label GROUP BY 1)", nb="SELECT v, row_number() OVER (ORDER BY d) - 1 AS j, count(*) OVER () AS n FROM (SELECT d, avg(net) AS v FROM s WHERE NOT label GROUP BY 1)",
-    ra=_resampled("l", "na"), rb=_resampled("r", "nb")))
+def _interval_sql(values: str) -> tuple[str, str]:
+    """Low and high of a list of differences, as order_interval() takes them."""
+    at = lambda p: f"list_sort(list({values}))[CAST({p} AS INT) + 1]"
+    return at(f"floor(count({values}) * {(1 - 0.95) / 2!r}::DOUBLE)"), at(f"least(count({values}) - 1, floor(count({values}) * {1 - (1 - 0.95) / 2!r}::DOUBLE))")
+
+
+_LOW, _HIGH = _interval_sql("a.m - b.m")
+
+
+@query(with_views(f"SELECT {settled_sql('lo', 5)} AS low, {settled_sql('hi', 5)} AS high, lo > 0 OR hi < 0 AS excludes_zero FROM (SELECT {_LOW} AS lo, {_HIGH} AS hi FROM ra a JOIN rb b USING (i))", s=_S,
+    na="SELECT d, avg(net) AS v FROM s WHERE label GROUP BY 1", nb="SELECT d, avg(net) AS v FROM s WHERE NOT label GROUP BY 1",
+    ra=resampled_sql("na", "v", "'l:' || d", "diff", 500), rb=resampled_sql("nb", "v", "'r:' || d", "diff", 500)))
 def bootstrap_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _samples(spark, sf_dir)
     side = lambda cond: x.where(cond).groupBy("d").agg(F.avg("net").alias("v"))
-    return E.bootstrap_difference(side("label"), side("NOT label"), "v", "d", 500, "diff").select(settled("low", 5).alias("low"), settled("high", 5).alias("high"), "excludes_zero")
+    return E.bootstrap_difference(side("label"), side("NOT label"), "v", ["d"], 500, "diff").select(settled("low", 5).alias("low"), settled("high", 5).alias("high"), "excludes_zero")
+
+
+_FORMS = ("plain", "matched", "plain_calm", "matched_calm")
+_VERDICT = {
+    "s": _S,
+    "q": "SELECT *, day(ts) // 7 AS w, hour(ts) // 6 AS b, day(ts) // 7 = 2 AS crash FROM s",
+    "cm": "SELECT w, b, avg(net) AS m, avg(net) FILTER (NOT crash) AS mc FROM q WHERE NOT label GROUP BY 1, 2",
+    "mt": "SELECT q.event_id, q.w, q.net, q.crash, m, mc FROM q JOIN cm USING (w, b) WHERE label",
+    "sets": """SELECT 'plain' AS form, 'l' AS side, event_id, net AS x FROM q WHERE label UNION ALL SELECT 'plain', 'r', event_id, net FROM q WHERE NOT label
+        UNION ALL SELECT 'matched', 'l', event_id, net FROM mt UNION ALL SELECT 'matched', 'r', event_id, m FROM mt
+        UNION ALL SELECT 'plain_calm', 'l', event_id, net FROM q WHERE label AND NOT crash UNION ALL SELECT 'plain_calm', 'r', event_id, net FROM q WHERE NOT label AND NOT crash
+        UNION ALL SELECT 'matched_calm', 'l', event_id, net FROM mt WHERE NOT crash AND mc IS NOT NULL UNION ALL SELECT 'matched_calm', 'r', event_id, mc FROM mt WHERE NOT crash""",
+    "rs": resampled_sql("sets", "x", "side || ':' || event_id", "verdict", 400, "form, side, "),
+    "iv": f"SELECT form, {_LOW} AS lo, {_HIGH} AS hi FROM (SELECT * FROM rs WHERE side = 'l') a JOIN (SELECT * FROM rs WHERE side = 'r') b USING (form, i) GROUP BY form",
+    "p2": f"SELECT {', '.join(f'max(lo) FILTER (form = {f!r}) AS {f}_low, max(hi) FILTER (form = {f!r}) AS {f}_high' for f in _FORMS)}, coalesce(bool_and(lo > 0 OR hi < 0) FILTER (form IN ('plain', 'matched')), false) AS p2, coalesce(bool_and(lo > 0 OR hi < 0) FILTER (form IN ('plain_calm', 'matched_calm')), false) AS p2_calm FROM iv",
+    "cn": """SELECT count(*) FILTER (m > pl AND m > mm) AS p1, count(*) FILTER (m > 0) AS p3, count(*) FILTER (n >= 10) AS p4 FROM (SELECT w, count(*) AS n, avg(net) AS m FROM q WHERE label GROUP BY 1) LEFT JOIN (SELECT w, avg(net) AS pl FROM q WHERE NOT label GROUP BY 1) USING (w)
+        LEFT JOIN (SELECT w, avg(m) AS mm FROM mt GROUP BY 1) USING (w)""",
+}
+_BOUNDS = [f"{f}_{n}" for f in _FORMS for n in ("low", "high")]
 
 
-@query(with_views("""SELECT count(*) FILTER (m > pl AND m > mt) AS p1, count(*) FILTER (m > 0) AS p3, count(*) FILTER (n >= 10) AS p4, count(*) FILTER (m > pl AND m > mt) >= 3 AND count(*) FILTER (m > 0) >= 3 AND count(*) FILTER (n >= 10) >= 3 AS passes FROM (SELECT w, count(*) AS n, avg(net) AS m FROM q WHERE label GROUP BY 1) a LEFT JOIN (SELECT w, avg(net) AS pl FROM q WHERE NOT label GROUP BY 1) b USING (w)
-    LEFT JOIN (SELECT w, sum(k * cm) / sum(k) AS mt FROM (SELECT w, b, count(*) AS k FROM q WHERE label GROUP BY 1, 2) JOIN (SELECT w, b, avg(net) AS cm FROM q WHERE NOT label GROUP BY 1, 2) USING (w, b) GROUP BY 1) c USING (w)""", s=_S, q="SELECT *, day(ts) // 7 AS w, hour(ts) // 6 AS b FROM s"))
+@query(with_views(f"SELECT p1, p3, p4, p2, p2_calm, {', '.join(f'{settled_sql(n, 5)} AS {n}' for n in _BOUNDS)}, p1 >= 3 AND p2 AND p3 >= 3 AND p4 >= 3 AS passes, CASE WHEN NOT (p1 >= 3 AND p2 AND p3 >= 3 AND p4 >= 3) THEN 'FAIL' WHEN p2_calm THEN 'PASS' ELSE 'PASS (crash-dependent)' END AS label FROM cn, p2", **_VERDICT))
 def period_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks as periods, the third one as the crash."""
     x = _samples(spark, sf_dir).withColumn("w", F.expr("day(ts) div 7")).withColumn("b", F.expr("hour(ts) div 6"))
-    return E.period_verdict(x.where("label"), x.where("NOT label"), "w", ["b"], "net", 3, 10, 3)
+    y = E.period_verdict(x.where("label"), x.where("NOT label"), "w", ["b"], "net", ["event_id"], F.col("w") == 2, 3, 10, 3, 400, "verdict")
+    return y.select("p1", "p3", "p4", "p2", "p2_calm", *[settled(n, 5).alias(n) for n in _BOUNDS], "passes", "label")
 
 
 @query(with_views(f"SELECT kind, days, {settled_sql('mean')} AS mean, {settled_sql('w5')} AS worst_5pct, {settled_sql('mean - (SELECT mean FROM st WHERE kind = ' + chr(39) + 'base' + chr(39) + ')')} AS gain FROM st", s=_S,

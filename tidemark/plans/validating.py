@@ -176,12 +176,13 @@ def random_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.sample_controls(_samples(spark, sf_dir), ["d"], "event_id", 20, "controls").select("d", "event_id")
 
 
-@query(with_views(f"SELECT count(*) AS resamples, {settled_sql('quantile_cont(m, 0.025)', 5)} AS low, {settled_sql('quantile_cont(m, 0.975)', 5)} AS high FROM (SELECT i, avg(v) AS m FROM (SELECT i, {_DRAW.format(seed='boot', x=chr(39) + chr(39) + ' || i || ' + chr(39) + ':' + chr(39) + ' || j')} % n AS pick FROM num, (SELECT unnest(generate_series(0, 999)) AS i)) p JOIN num ON num.j = p.pick GROUP BY i)", s=_S,
-    num="SELECT v, row_number() OVER (ORDER BY d) - 1 AS j, count(*) OVER () AS n FROM (SELECT d, avg(net) AS v FROM s GROUP BY 1)"))
+@query(with_views(f"SELECT count(m) AS resamples, {settled_sql('list_sort(list(m))[CAST(floor(count(m) * 0.025) AS INT) + 1]', 5)} AS low, {settled_sql('list_sort(list(m))[CAST(floor(count(m) * 0.975) AS INT) + 1]', 5)} AS high FROM rs", s=_S,
+    num="SELECT d, avg(net) AS v FROM s GROUP BY 1", rs=f"""SELECT i, sum(w * v) / nullif(sum(w), 0) AS m FROM (SELECT i, v, {' + '.join(f'(u >= {t})::INT' for t in V.POISSON)} AS w FROM (SELECT i, v, ('0x' || substr(md5('boot:' || d || ':' || (i // 8)), 4 * (i % 8) + 1, 4))::BIGINT AS u
+        FROM num, (SELECT unnest(generate_series(0, 999)) AS i))) GROUP BY i"""))
 def bootstrap_daily_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = _samples(spark, sf_dir).groupBy("d").agg(F.avg("net").alias("v"))
     x = V.bootstrap_mean(days, "v", ["d"], 1000, "boot")
-    return x.select("resamples", settled("low", 5).alias("low"), settled("high", 5).alias("high"))
+    return x.select(F.col("resamples").cast("long").alias("resamples"), settled("low", 5).alias("low"), settled("high", 5).alias("high"))
 
 
 @query(with_views(f"SELECT 'momentum1' AS a, 'range_pct' AS b, {settled_sql('corr(m, r)', 5)} AS corr FROM (SELECT (close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1) * 100 AS m, (high - low) / close * 100 AS r FROM v_daily)", "v_daily"))

@@ -10,28 +10,50 @@ from tidemark.functions.scalars import c, reasons
 from tidemark.operators.micro import seconds_between
 
 
-def build_calendar(manifests: DataFrame) -> DataFrame:
-    """(trading_date, day_close, night_start, nights) from segments (segment_day, first_ts, last_ts).
+#: The latest last print of a half day, which closes at 13:30.
+HALF_DAY_LAST = "13:31:00"
 
-    A date with a print from 8:00 on is a trading date; it closes at 13:30 or 13:45 by its last
-    print, a second late allowed. A night, named by the day it starts, belongs to the first
-    trading date after that. `nights` over 1 is an error of the evidence, as is a night that no
-    trading date follows: it comes back with a null trading_date.
+
+def build_calendar(manifests: DataFrame, minute_files: bool = False) -> DataFrame:
+    """(trading_date, day_close, is_expiry, night_start, nights) from segments (segment_day, first_ts, last_ts, and alias if there is one).
+
+    A date with a print from 8:00 on is a trading date; it closes at 13:30 if its last print is at
+    13:31 or before, else at 13:45; is_expiry on third Wednesdays. A night, named by the day it starts,
+    belongs to the first trading date after that. Files of ticks hold a trading date with the night before it.
+    minute_files hold a calendar date: a print from 15:00 on begins that date's night, one before 8:00 is the
+    tail of the night of the day before, or, where that has no beginning, of the latest beginning before. `nights`
+    over 1 is an error of the evidence, as is a night that no trading date follows: it comes back with a
+    null trading_date. More than one alias raises.
     """
+    if "alias" in manifests.columns:
+        names = manifests.agg(F.min("alias").alias("a"), F.max("alias").alias("b")).first()
+        if names.a != names.b:
+            raise ValueError(f"multiple contract aliases in calendar evidence: {names.a}, {names.b}")
+    day_of, clock = (lambda n: F.to_date(n)), (lambda n: F.date_format(n, "HH:mm:ss"))
     m = manifests.withColumn("_hour", F.hour("last_ts"))
-    days = m.where((F.to_date("last_ts") == F.col("segment_day")) & (F.col("_hour") >= 8)).groupBy(F.col("segment_day").alias("trading_date")).agg(F.max("last_ts").alias("_last"))
-    half = F.date_format("_last", "HH:mm:ss") <= "13:30:01"
+    days = m.where((day_of("last_ts") == F.col("segment_day")) & (F.col("_hour") >= 8)).groupBy(F.col("segment_day").alias("trading_date")).agg(F.max("last_ts").alias("_last"))
+    half = F.col("_last") <= F.to_timestamp_ntz(F.concat(F.date_format("_last", "yyyy-MM-dd"), F.lit(f" {HALF_DAY_LAST}")), F.lit("yyyy-MM-dd HH:mm:ss"))
     days = days.select("trading_date", F.when(half, "13:30").otherwise("13:45").alias("day_close"))
-    early = (F.to_date("first_ts") < F.col("segment_day")) | (F.hour("first_ts") < 8)
-    start = F.when(F.hour("first_ts") >= 15, F.to_date("first_ts")).otherwise(F.date_sub(F.to_date("first_ts"), 1))
-    nights = m.where(early).select(start.alias("night_start")).distinct()
+    if minute_files:
+        heads = m.where((day_of("last_ts") == F.col("segment_day")) & (clock("last_ts") >= "15:00:00")).select(F.col("segment_day").alias("_h")).distinct()
+        tails = m.where(clock("first_ts") < "08:00:00").select(day_of("first_ts").alias("_f")).distinct()
+        # a row a day: the latest head before each tail, by one pass over both
+        x = heads.select(F.col("_h").alias("_d"), F.lit(1).alias("_k"), F.col("_h")).unionByName(tails.select(F.col("_f").alias("_d"), F.lit(0).alias("_k"), F.lit(None).cast("date").alias("_h")))
+        x = x.withColumn("_head", F.max("_h").over(W.orderBy("_d", "_k").rowsBetween(W.unboundedPreceding, -1))).where("_k = 0")
+        tails = x.select(F.when(F.col("_head").isNull(), F.date_sub("_d", 1)).otherwise(F.col("_head")).alias("night_start"))
+        nights = heads.select(F.col("_h").alias("night_start")).unionByName(tails).distinct()
+    else:
+        early = (day_of("first_ts") < F.col("segment_day")) | (F.hour("first_ts") < 8)
+        start = F.when(F.hour("first_ts") >= 15, day_of("first_ts")).otherwise(F.date_sub(day_of("first_ts"), 1))
+        nights = m.where(early).select(start.alias("night_start")).distinct()
     # the next trading date of a night, by one pass over dates and nights together: a row a day each
     both = nights.select(F.col("night_start").alias("_d"), F.lit(0).alias("_k"), F.lit(None).cast("date").alias("_t")).unionByName(days.select(F.col("trading_date").alias("_d"), F.lit(1).alias("_k"), F.col("trading_date").alias("_t")))
     # a date itself is not after a night that starts on it
     after = F.first("_t", ignorenulls=True).over(W.orderBy("_d", F.col("_k").desc()).rowsBetween(1, W.unboundedFollowing))
     placed = both.withColumn("_next", after).where("_k = 0").groupBy(F.col("_next").alias("trading_date")).agg(F.min("_d").alias("night_start"), F.count("*").alias("nights"))
-    out = days.join(placed, "trading_date", "left").select("trading_date", "day_close", "night_start", F.coalesce("nights", F.lit(0)).alias("nights"))
-    lost = placed.where("trading_date IS NULL").select("trading_date", F.lit(None).cast("string").alias("day_close"), "night_start", "nights")
+    expiry = F.col("trading_date") == third_wednesday("trading_date")
+    out = days.join(placed, "trading_date", "left").select("trading_date", "day_close", expiry.alias("is_expiry"), "night_start", F.coalesce("nights", F.lit(0)).alias("nights"))
+    lost = placed.where("trading_date IS NULL").select("trading_date", F.lit(None).cast("string").alias("day_close"), F.lit(None).cast("boolean").alias("is_expiry"), "night_start", "nights")
     return out.unionByName(lost)
 
 

@@ -43,6 +43,7 @@ def market_facts(bars: DataFrame) -> DataFrame:
     for name, n in (("ma5", 5), ("ma10", 10), ("ma20", STRUCTURE), ("ma60", BACKGROUND)):
         x = x.withColumn(name, full(n, F.avg("close").over(back(n))))
     x = x.withColumn("turnover_ratio", full(STRUCTURE, F.col("turnover") / F.avg("turnover").over(back(STRUCTURE)))).withColumn("turnover_5_20", full(STRUCTURE, F.avg("turnover").over(back(IMMEDIATE)) / F.avg("turnover").over(back(STRUCTURE))))
+    x = x.withColumn("turnover20", full(STRUCTURE, F.avg("turnover").over(back(STRUCTURE))))
     # of equal extremes the earliest
     x = x.withColumn("swing_high", F.max("high").over(back(BACKGROUND))).withColumn("swing_low", F.min("low").over(back(BACKGROUND)))
     x = x.withColumn("swing_high_date", F.max_by("date", F.struct("high", -F.unix_date("date"))).over(back(BACKGROUND))).withColumn("swing_low_date", F.min_by("date", F.struct("low", F.unix_date("date"))).over(back(BACKGROUND)))
@@ -84,18 +85,39 @@ def regimes(facts: DataFrame) -> DataFrame:
     return x.withColumn("alternative", other).withColumn("confidence", F.when(known, F.greatest(F.lit(10), F.least(F.lit(95), score))).otherwise(10)).drop("_run5", "_spike")
 
 
-#: Facts in the order of their ids, with the window each is of.
+# Facts in the order of their ids, the window each is of, and the column it comes from.
 FACTS = (
-    ("close", "immediate"), ("prev_close", "immediate"), ("change_pct", "immediate"), ("ma5", "immediate"), ("ma10", "structure"), ("ma20", "structure"), ("ma60", "background"), ("turnover", "immediate"), ("turnover_ratio", "immediate"),
-    ("turnover_5_20", "immediate"), ("swing_high", "background"), ("swing_low", "background"), ("retracement_pct", "background"), ("drawdown_pct", "background"), ("run", "immediate"), ("overlap5", "immediate"), ("pullback_pct", "structure"),
+    ("close", "immediate", "close"), ("prevClose", "immediate", "prev_close"), ("changePct", "immediate", "change_pct"), ("ma5", "immediate", "ma5"), ("ma10", "structure", "ma10"), ("ma20", "structure", "ma20"),
+    ("ma60", "background", "ma60"), ("closeVsMa20", "structure", "vs20"), ("closeVsMa60", "background", "vs60"), ("turnover", "immediate", "turnover"), ("avgTurnover20", "structure", "turnover20"),
+    ("turnoverRatio", "immediate", "turnover_ratio"), ("avgTurnover5over20", "immediate", "turnover_5_20"), ("swingHigh60", "background", "swing_high"), ("swingLow60", "background", "swing_low"),
+    ("retracementPct", "background", "retracement_pct"), ("drawdownFromHighPct", "background", "drawdown_pct"), ("trendBarRun", "immediate", "run"), ("trendBarRunDirection", "immediate", "run_direction"),
+    ("avgBodyOverlap5", "immediate", "overlap5"), ("pullbackDepthPct", "structure", "pullback_pct"), ("lastBars", "immediate", "last_bars"),
 )
+TEXT_FACTS = ("vs20", "vs60", "run_direction", "last_bars")
+WHOLE_FACTS = ("close", "prev_close", "turnover", "turnover_ratio", "turnover_5_20")
+#: Facts that are left out, and so take no id, while a bar lacks its background window.
+BACKGROUND_FACTS = ("ma60", "vs60")
 
 
 def fact_table(facts: DataFrame) -> DataFrame:
-    """(ticker, date, fact_id, key, window, value): the facts of each bar that are known, numbered in fixed order."""
-    each = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(w).alias("window"), half_up(F.col(k).cast("double"), 2).alias("value")) for k, w in FACTS]), lambda f: f["value"].isNotNull())
-    x = facts.select("ticker", "date", F.posexplode(each).alias("_i", "_f"))
-    return x.select("ticker", "date", F.concat(F.lit("F"), (F.col("_i") + 1).cast("string")).alias("fact_id"), "_f.key", "_f.window", "_f.value")
+    """(ticker, date, fact_id, key, window, value, text): the facts of each bar, numbered in fixed order.
+
+    A fact without a value keeps its id. Bars before LEAST_BARS have one fact, their number. Texts: above or
+    below an average, the way of the run, and the geometry of the last bars as JSON.
+    """
+    wide = F.when(F.col("way") > 0, "up").when(F.col("way") < 0, "down").otherwise("flat")
+    plain = F.when(F.col("close") > F.col("open"), "up").when(F.col("close") < F.col("open"), "down").otherwise("flat")
+    two = lambda n: half_up(F.col(n).cast("double"), 2)
+    bar = F.struct(F.date_format("date", "yyyy-MM-dd").alias("date"), plain.alias("dir"), two("body_ratio").alias("bodyRatio"), two("upper_wick").alias("upperWickRatio"), two("lower_wick").alias("lowerWickRatio"))
+    x = facts.withColumn("run_direction", F.when(F.col("run") == 0, "flat").otherwise(wide)).withColumn("_bar", bar)
+    x = x.withColumn("last_bars", F.to_json(F.collect_list("_bar").over(by().rowsBetween(-(IMMEDIATE - 1), 0))))
+    no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    number = lambda n: no_number if n in TEXT_FACTS else F.col(n).cast("double") if n in WHOLE_FACTS else two(n)
+    kept = lambda n: F.col("_n") >= BACKGROUND if n in BACKGROUND_FACTS else F.lit(True)
+    each = [F.struct(F.lit(k).alias("key"), F.lit(w).alias("window"), number(n).alias("value"), (F.col(n) if n in TEXT_FACTS else no_text).alias("text"), kept(n).alias("kept")) for k, w, n in FACTS]
+    few = F.array(F.struct(F.lit("insufficient").alias("key"), F.lit("background").alias("window"), F.col("_n").cast("double").alias("value"), no_text.alias("text"), F.lit(True).alias("kept")))
+    x = x.select("ticker", "date", F.posexplode(F.when(F.col("_n") < LEAST_BARS, few).otherwise(F.filter(F.array(*each), lambda f: f["kept"]))).alias("_i", "_f"))
+    return x.select("ticker", "date", F.concat(F.lit("F"), (F.col("_i") + 1).cast("string")).alias("fact_id"), "_f.key", "_f.window", "_f.value", "_f.text")
 
 
 # What makes a trend bar and a spike.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import c, clamp, first_reason, half_up, reasons
+from tidemark.functions.scalars import c, clamp, finite_or_null, first_reason, half_up, reasons
 from tidemark.operators.scans import dominance_join
 
 
@@ -56,7 +56,8 @@ def industry_code(x: Column | str) -> Column:
 
 
 def _or(name: str, value: float = 0.0) -> Column:
-    return F.coalesce(F.col(name), F.lit(value))
+    """The number, or `value` where it is null or not finite."""
+    return F.coalesce(finite_or_null(name), F.lit(value))
 
 
 def hot_score() -> Column:
@@ -265,44 +266,60 @@ FACT_TOLERANCE, ANCHOR_TOLERANCE = 0.005, 0.03
 def judgement_errors(judgements: DataFrame, cited: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """(key, code): what is wrong with structured judgements, one row a finding.
 
-    judgements: regime, direction, gate_result, confidence, nodes array, stance and the four
-    prices; cited: key, fact_id, value; facts: key, fact_id, fact. Facts of a judgement are few,
-    so both theta joins are equi-joins by key.
+    judgements: diagnosed and decided (whether the parts are there), regime, alternative_regime, direction,
+    gate_result, confidence, trace (array of node, branch and the fact ids it cites), stance and the four
+    prices; cited: key, fact_id, value (restated facts); facts: key, fact_id, fact. Without a
+    diagnosis that is the only finding. Facts of a judgement are few, so theta joins are equi-joins by key.
     """
-    j = judgements
-    priced = F.filter(F.array(*[F.col(p) for p in PRICES]), lambda v: v.isNotNull())
-    some = F.size(priced) > 0
-    long = F.col("direction") != "bearish"
+    j = judgements.where("diagnosed")
+    priced = F.when(F.col("decided"), F.filter(F.array(*[F.col(p) for p in PRICES]), lambda v: v.isNotNull())).otherwise(F.array().cast("array<double>"))
+    some, wait = F.size(priced) > 0, F.coalesce(F.col("gate_result") == "wait", F.lit(False))
+    proceed, enter = F.coalesce(F.col("gate_result") == "proceed", F.lit(False)), F.col("decided") & F.coalesce(F.col("stance") == "enter", F.lit(False))
+    long = ~F.coalesce(F.col("direction") == "bearish", F.lit(False))
     entry, stop, target = F.col("active_entry"), F.col("stop_loss"), F.col("take_profit")
-    plan = (F.col("stance") == "enter") & (F.size(priced) >= 3) & entry.isNotNull() & stop.isNotNull() & target.isNotNull()
+    plan = enter & (F.size(priced) >= 3) & entry.isNotNull() & stop.isNotNull() & target.isNotNull()
     ordered = F.when(long, (stop < entry) & (entry < target)).otherwise((target < entry) & (entry < stop))
     outside = lambda col, allowed: ~F.coalesce(F.col(col).isin(*allowed), F.lit(False))
+    walked = F.transform("trace", lambda t: t["node"])
+    branch = lambda node: F.get(F.filter("trace", lambda t: t["node"] == node), F.lit(0))  # noqa: E731  the first such node
+    strays = lambda node, allowed: branch(node).isNotNull() & ~F.coalesce(F.reduce(F.array(*[F.col(a).eqNullSafe(branch(node)["branch"]) for a in allowed]), F.lit(False), lambda x, y: x | y), F.lit(False))
     own = reasons(
-        ("BAD_ENUM", outside("regime", REGIMES)), ("BAD_ENUM", outside("direction", DIRECTIONS)), ("BAD_ENUM", outside("gate_result", GATE_RESULTS)), ("BAD_ENUM", outside("stance", STANCES)),
+        ("BAD_ENUM", outside("regime", REGIMES)), ("BAD_ENUM", outside("direction", DIRECTIONS)), ("BAD_ENUM", outside("gate_result", GATE_RESULTS)),
+        ("BAD_ENUM", F.col("alternative_regime").isNotNull() & outside("alternative_regime", REGIMES)), ("BAD_ENUM", F.col("decided") & outside("stance", STANCES)),
         ("BAD_TYPE", F.coalesce(F.col("confidence") != F.floor("confidence"), F.lit(True))),
-        ("BAD_SHAPE", F.coalesce(F.size("nodes") <= 0, F.lit(True))),
-        *[("MISSING_NODE", (F.col("gate_result") == "proceed") & ~F.array_contains("nodes", n)) for n in NODES],
-        ("GATE_VIOLATION", some & (F.col("gate_result") == "wait")), ("GATE_VIOLATION", some & (F.col("gate_result") != "proceed")), ("GATE_VIOLATION", (F.col("gate_result") == "wait") & (F.col("stance") == "enter")),
+        ("BAD_SHAPE", F.coalesce(F.size("trace") <= 0, F.lit(True))),
+        *[("MISSING_NODE", proceed & ~F.coalesce(F.array_contains(walked, n), F.lit(False))) for n in NODES],
+        ("TRACE_CONFLICT", strays("D2", ("regime", "alternative_regime"))), ("TRACE_CONFLICT", strays("D3", ("direction",))),
+        ("GATE_VIOLATION", some & wait), ("GATE_VIOLATION", some & ~proceed), ("GATE_VIOLATION", enter & wait),
         ("PRICE_ORDER", plan & ~ordered), ("RR_TOO_LOW", plan & ordered & (F.abs(target - entry) < F.abs(entry - stop))),
     )
-    out = j.select(key, F.explode(own).alias("code"))
+    out = j.select(key, F.explode(own).alias("code")).unionByName(judgements.where("NOT diagnosed").select(key, F.lit("BAD_SHAPE").alias("code")))
+    node = j.select(key, F.explode("trace").alias("_t")).select(key, F.coalesce("_t.facts", F.array().cast("array<string>")).alias("_ids"))
+    out = out.unionByName(node.where(F.size("_ids") == 0).select(key, F.lit("NO_EVIDENCE").alias("code")))
+    leaned = node.select(key, F.explode("_ids").alias("fact_id")).join(facts, [key, "fact_id"], "left")
+    out = out.unionByName(leaned.where("fact IS NULL").select(key, F.lit("UNKNOWN_FACT").alias("code")))
     near = lambda a, b, tolerance: F.abs(a - b) <= tolerance * F.abs(b)
-    x = cited.join(facts, [key, "fact_id"], "left")
-    wrong = F.when(F.col("fact").isNull(), "UNKNOWN_FACT").when(~near(F.col("value"), F.col("fact"), FACT_TOLERANCE), "FACT_VALUE_MISMATCH")
+    x = cited.join(j.select(key), key, "left_semi").join(facts, [key, "fact_id"], "left")
+    wrong = F.when(F.col("fact").isNull(), "UNKNOWN_FACT").when(~F.coalesce(near(F.col("value"), F.col("fact"), FACT_TOLERANCE), F.lit(False)), "FACT_VALUE_MISMATCH")
     out = out.unionByName(x.select(key, wrong.alias("code")).where("code IS NOT NULL"))
-    quoted = j.select(key, F.explode(F.filter(F.array(*[F.struct(F.lit(p).alias("name"), F.col(p).alias("price")) for p in PRICES]), lambda v: v["price"].isNotNull())).alias("_p")).select(key, "_p.name", "_p.price")
+    quoted = j.where("decided").select(key, F.explode(F.filter(F.array(*[F.struct(F.lit(p).alias("name"), F.col(p).alias("price")) for p in PRICES]), lambda v: v["price"].isNotNull())).alias("_p")).select(key, "_p.name", "_p.price")
     known = facts.groupBy(key).agg(F.collect_list("fact").alias("_facts"))
     anchored = F.exists("_facts", lambda f: near(F.col("price"), f, ANCHOR_TOLERANCE))
     loose = quoted.join(known, key, "left").where(~F.coalesce(anchored, F.lit(False))).select(key, F.lit("UNANCHORED_PRICE").alias("code"))
     return out.unionByName(loose)
 
 
-#: The kinds of findings, for counts.
-CATEGORIES = {"BAD_ENUM": "shape", "BAD_TYPE": "shape", "BAD_SHAPE": "shape", "MISSING_NODE": "trace", "GATE_VIOLATION": "gate", "UNKNOWN_FACT": "facts", "FACT_VALUE_MISMATCH": "facts", "UNANCHORED_PRICE": "prices", "PRICE_ORDER": "prices", "RR_TOO_LOW": "prices"}
+# The kinds of findings; what is not named is of the schema.
+CATEGORIES = {
+    "schema": ("BAD_ENUM", "BAD_TYPE", "BAD_SHAPE"),
+    "missing": ("MISSING_NODE", "NO_EVIDENCE"),
+    "inconsistency": ("TRACE_CONFLICT", "GATE_VIOLATION", "RR_TOO_LOW", "PRICE_ORDER", "FORBIDDEN_CONTENT"),
+    "untraceable": ("UNKNOWN_FACT", "FACT_VALUE_MISMATCH", "UNANCHORED_PRICE", "UNTRACEABLE_NUMBER"),
+}
 
 
 def counts_by_category(errors: DataFrame, code: str = "code") -> DataFrame:
-    category = F.lit("other")
-    for k, v in CATEGORIES.items():
-        category = F.when(F.col(code) == k, v).otherwise(category)
+    category = F.lit("schema")
+    for name, codes in CATEGORIES.items():
+        category = F.when(F.col(code).isin(*codes), name).otherwise(category)
     return errors.groupBy(category.alias("category")).agg(F.count("*").alias("n"))

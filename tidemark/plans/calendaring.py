@@ -12,19 +12,30 @@ from tidemark.plans.microstructure import _SESSIONS, _calendar, _sessions
 from tidemark.registry import query
 from tidemark.sources.views import table, v_daily, v_ticks, with_views
 
-_SEG = "SELECT CAST(ts AS DATE) AS d, min(ts) AS a, max(ts) AS b FROM events WHERE hour(ts) < 14 AND user_id % 7 <> dayofweek(ts) AND NOT (dayofweek(ts) = 0 AND hour(ts) >= 8) GROUP BY 1"
+_WED = "CAST(date_trunc('month', {d}) AS DATE) + CAST((3 - isodow(date_trunc('month', {d})) + 7) % 7 + 14 AS INTEGER)"
+#: Each user's events of a day are a file; a trading date's evidence is all of them.
+_SEG = "SELECT CAST(ts AS DATE) AS d, user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1, 2"
+_DAYS = {"seg": _SEG, "tr": "SELECT d, max(b) AS b FROM seg WHERE hour(b) >= 8 GROUP BY 1"}
+_PLACED = "SELECT d, min(s) AS night_start, count(*) AS nights FROM (SELECT s, (SELECT min(d) FROM tr WHERE tr.d > s) AS d FROM {nights}) GROUP BY 1"
+_CALENDAR = f"""SELECT t.d AS trading_date, CASE WHEN strftime(b, '%H:%M:%S.%f') <= '13:31:00.000000' THEN '13:30' ELSE '13:45' END AS day_close, t.d = {_WED.format(d='t.d')} AS is_expiry, n.night_start, coalesce(n.nights, 0) AS nights FROM tr t LEFT JOIN pl n ON n.d = t.d
+    UNION ALL SELECT NULL, NULL, NULL, night_start, nights FROM pl WHERE d IS NULL"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("segment_day"), "user_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query(with_views("""SELECT t.d AS trading_date, CASE WHEN strftime(b, '%H:%M:%S') <= '13:30:01' THEN '13:30' ELSE '13:45' END AS day_close, n.night_start, coalesce(n.nights, 0) AS nights FROM tr t LEFT JOIN pl n ON n.d = t.d
-    UNION ALL SELECT NULL, NULL, night_start, nights FROM pl WHERE d IS NULL""", seg=_SEG, tr="SELECT * FROM seg WHERE hour(b) >= 8",
-    pl="SELECT d, min(s) AS night_start, count(*) AS nights FROM (SELECT s, (SELECT min(d) FROM tr WHERE tr.d > s) AS d FROM (SELECT DISTINCT d - 1 AS s FROM seg WHERE hour(a) < 8)) GROUP BY 1"))
+@query(with_views(_CALENDAR, **_DAYS, pl=_PLACED.format(nights="(SELECT DISTINCT d - 1 AS s FROM seg WHERE hour(a) < 8)")))
 def calendar_from_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of events as segments; Sundays have a night's tail only."""
-    x = table(spark, sf_dir, "events").where("hour(ts) < 14 AND user_id % 7 <> dayofweek(ts) - 1 AND NOT (dayofweek(ts) = 1 AND hour(ts) >= 8)")
-    return K.build_calendar(x.groupBy(F.to_date("ts").alias("segment_day")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+    return K.build_calendar(_files(spark, sf_dir))
+
+
+@query(with_views(_CALENDAR, **_DAYS, hd="SELECT DISTINCT d AS h FROM seg WHERE hour(b) >= 15", tl="SELECT DISTINCT d AS f FROM seg WHERE hour(a) < 8",
+    ns="SELECT h AS s FROM hd UNION SELECT coalesce((SELECT max(h) FROM hd WHERE h < f), f - 1) FROM tl", pl=_PLACED.format(nights="ns")))
+def calendar_from_minute_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.build_calendar(_files(spark, sf_dir), minute_files=True)
 
 
-_WED = "CAST(date_trunc('month', {d}) AS DATE) + CAST((3 - isodow(date_trunc('month', {d})) + 7) % 7 + 14 AS INTEGER)"
 _NEAR = f"SELECT DISTINCT d, CASE WHEN d > w THEN w2 ELSE w END AS expiry FROM (SELECT d, {_WED.format(d='d')} AS w, {_WED.format(d='d2')} AS w2 FROM (SELECT d, CAST(date_trunc('month', d) + INTERVAL 1 MONTH AS DATE) AS d2 FROM (SELECT CAST(l_shipdate AS DATE) AS d FROM lineitem)))"
 
 
@@ -50,11 +61,10 @@ def hours_and_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy(F.coalesce(K.session_by_hour("ts"), F.lit("NONE")).alias("session"), "period").agg(F.count("*").alias("n"), F.count_distinct(K.evidence_date("ts")).alias("evidence_days"))
 
 
-@query(with_views("SELECT ticker, date, CAST(sum(gap) OVER (PARTITION BY ticker ORDER BY date) AS BIGINT) AS block, CAST(year(date) AS VARCHAR) || CASE WHEN month(date) <= 6 THEN 'H1' ELSE 'H2' END AS half FROM (SELECT *, coalesce(year(date) * 12 + month(date) - lag(year(date) * 12 + month(date)) OVER (PARTITION BY ticker ORDER BY date) > 1, false)::INT AS gap FROM v_daily WHERE month(date) NOT IN (4, 5) OR ticker > 5)", "v_daily"))
+@query(with_views("SELECT ticker, date, CAST(sum(gap) OVER (PARTITION BY ticker ORDER BY date) AS BIGINT) AS block, CAST(year(date) AS VARCHAR) || CASE WHEN month(date) <= 6 THEN 'H1' ELSE 'H2' END AS half FROM (SELECT *, coalesce(year(date) * 12 + month(date) - lag(year(date) * 12 + month(date)) OVER (PARTITION BY ticker ORDER BY date) > 1, false)::INT AS gap FROM v_daily)", "v_daily"))
 def series_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of bars where some tickers lack two months of each year."""
-    x = v_daily(spark, sf_dir).where("month(date) NOT IN (4, 5) OR ticker > 5")
-    return K.blocks(x, ["ticker"], "date").select("ticker", "date", "block", K.half_year("date").alias("half"))
+    """Blocks of bars between months without one."""
+    return K.blocks(v_daily(spark, sf_dir), ["ticker"], "date").select("ticker", "date", "block", K.half_year("date").alias("half"))
 
 
 @query(with_views("SELECT session, CAST(floor(floor(epoch_us(exchange_ts - session_start) / 6e7) / 30) AS BIGINT) AS bucket, count(*) AS n, max(CAST(floor(epoch_us(exchange_ts - session_start) / 6e7) AS BIGINT)) AS last_minute FROM ticks_s WHERE session <> 'CLOSED' GROUP BY ALL", "v_ticks", "v_quotes", **_SESSIONS))

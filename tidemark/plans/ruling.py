@@ -184,26 +184,35 @@ def episode_research(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _JUDGE = {
     "jd": """SELECT event_id, CASE user_id % 6 WHEN 0 THEN 'spike' WHEN 1 THEN 'tight_channel' WHEN 2 THEN 'normal_channel' WHEN 3 THEN 'trading_range' WHEN 4 THEN 'insufficient_data' ELSE 'other' END AS regime, CASE user_id % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' ELSE 'neutral' END AS direction,
-        CASE WHEN event_id % 4 < 3 THEN 'proceed' ELSE 'wait' END AS gate, CASE event_id % 5 WHEN 0 THEN 'wait' WHEN 1 THEN 'avoid' ELSE 'enter' END AS stance, CASE WHEN event_id % 7 = 0 THEN value ELSE floor(value) END AS confidence, event_id % 9 <> 0 AS d4, event_id % 11 = 0 AS bare,
-        CASE WHEN event_id % 2 = 0 THEN value + 100 END AS entry, CASE WHEN event_id % 2 = 0 THEN 100 - value / 10 END AS stop, CASE WHEN event_id % 2 = 0 THEN value + 100 + user_id % 60 END AS target, value + 100 AS fact FROM events""",
-    "plan": "SELECT *, stance = 'enter' AND entry IS NOT NULL AS planned, CASE WHEN direction <> 'bearish' THEN stop < entry AND entry < target ELSE target < entry AND entry < stop END AS ordered FROM jd",
-    "errs": """SELECT event_id, 'BAD_ENUM' AS code FROM jd WHERE regime = 'other' UNION ALL SELECT event_id, 'BAD_TYPE' FROM jd WHERE confidence <> floor(confidence) UNION ALL SELECT event_id, 'BAD_SHAPE' FROM jd WHERE bare
-        UNION ALL SELECT event_id, 'MISSING_NODE' FROM jd, range(4) k(i) WHERE gate = 'proceed' AND (bare OR (i = 3 AND NOT d4)) UNION ALL SELECT event_id, 'GATE_VIOLATION' FROM jd, range(2) WHERE gate = 'wait' AND entry IS NOT NULL UNION ALL SELECT event_id, 'GATE_VIOLATION' FROM jd WHERE gate = 'wait' AND stance = 'enter'
+        CASE user_id % 4 WHEN 0 THEN 'bad' WHEN 1 THEN 'spike' END AS alt, CASE WHEN event_id % 4 < 3 THEN 'proceed' ELSE 'wait' END AS gate, CASE event_id % 5 WHEN 0 THEN 'wait' WHEN 1 THEN 'avoid' ELSE 'enter' END AS stance, CASE WHEN event_id % 7 = 0 THEN value ELSE floor(value) END AS confidence,
+        event_id % 19 <> 0 AS decided, CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 9 = 0 THEN 3 ELSE 4 END AS walked,
+        CASE WHEN event_id % 2 = 0 THEN value + 100 END AS entry, CASE WHEN event_id % 2 = 0 THEN 100 - value / 10 END AS stop, CASE WHEN event_id % 2 = 0 THEN value + 100 + user_id % 60 END AS target, value + 100 AS fact FROM events WHERE event_id % 23 <> 0""",
+    "tr": "SELECT jd.*, k, CASE k WHEN 1 THEN 'ok' WHEN 2 THEN CASE WHEN event_id % 5 = 0 THEN 'spike' ELSE regime END WHEN 3 THEN CASE WHEN event_id % 10 = 1 THEN 'neutral' ELSE direction END ELSE 'ok' END AS branch, (event_id + k) % 6 <> 0 AS known, k = 1 AND event_id % 17 = 0 AS unknown FROM jd, (SELECT unnest(generate_series(1, 4)) AS k) WHERE k <= walked",
+    "plan": "SELECT *, decided AND stance = 'enter' AND entry IS NOT NULL AS planned, CASE WHEN direction <> 'bearish' THEN stop < entry AND entry < target ELSE target < entry AND entry < stop END AS ordered FROM jd",
+    "errs": """SELECT event_id, 'BAD_SHAPE' AS code FROM events WHERE event_id % 23 = 0 UNION ALL SELECT event_id, 'BAD_ENUM' FROM jd WHERE regime = 'other' UNION ALL SELECT event_id, 'BAD_ENUM' FROM jd WHERE alt = 'bad' UNION ALL SELECT event_id, 'BAD_TYPE' FROM jd WHERE confidence <> floor(confidence) UNION ALL SELECT event_id, 'BAD_SHAPE' FROM jd WHERE walked = 0
+        UNION ALL SELECT event_id, 'MISSING_NODE' FROM jd, range(1, 5) k(i) WHERE gate = 'proceed' AND i > walked UNION ALL SELECT event_id, 'NO_EVIDENCE' FROM tr WHERE NOT known AND NOT unknown UNION ALL SELECT event_id, 'UNKNOWN_FACT' FROM tr WHERE unknown
+        UNION ALL SELECT event_id, 'TRACE_CONFLICT' FROM tr WHERE k = 2 AND branch <> regime AND branch IS DISTINCT FROM alt UNION ALL SELECT event_id, 'TRACE_CONFLICT' FROM tr WHERE k = 3 AND branch <> direction
+        UNION ALL SELECT event_id, 'GATE_VIOLATION' FROM jd, range(2) WHERE decided AND gate = 'wait' AND entry IS NOT NULL UNION ALL SELECT event_id, 'GATE_VIOLATION' FROM jd WHERE decided AND gate = 'wait' AND stance = 'enter'
         UNION ALL SELECT event_id, 'PRICE_ORDER' FROM plan WHERE planned AND NOT ordered UNION ALL SELECT event_id, 'RR_TOO_LOW' FROM plan WHERE planned AND ordered AND abs(target - entry) < abs(entry - stop)
         UNION ALL SELECT event_id, 'UNKNOWN_FACT' FROM jd WHERE event_id % 13 = 0 UNION ALL SELECT event_id, 'FACT_VALUE_MISMATCH' FROM jd WHERE event_id % 13 <> 0 AND NOT abs(fact + event_id % 3 - fact) <= 0.005 * fact
-        UNION ALL SELECT event_id, 'UNANCHORED_PRICE' FROM jd, (VALUES (0), (1), (2)) k(i) WHERE entry IS NOT NULL AND NOT abs(CASE i WHEN 0 THEN entry WHEN 1 THEN stop ELSE target END - fact) <= 0.03 * fact""",
+        UNION ALL SELECT event_id, 'UNANCHORED_PRICE' FROM jd, (VALUES (0), (1), (2)) k(i) WHERE decided AND entry IS NOT NULL AND NOT abs(CASE i WHEN 0 THEN entry WHEN 1 THEN stop ELSE target END - fact) <= 0.03 * fact""",
 }
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "events")
     even = lambda v: f"CASE WHEN event_id % 2 = 0 THEN {v} END"
-    j = x.selectExpr(
-        "event_id", "element_at(array('spike', 'tight_channel', 'normal_channel', 'trading_range', 'insufficient_data', 'other'), CAST(user_id % 6 AS INT) + 1) AS regime", "element_at(array('bullish', 'bearish', 'neutral'), CAST(user_id % 3 AS INT) + 1) AS direction",
+    y = x.selectExpr(
+        "event_id", "event_id % 23 <> 0 AS diagnosed", "event_id % 19 <> 0 AS decided", "CASE user_id % 4 WHEN 0 THEN 'bad' WHEN 1 THEN 'spike' END AS alternative_regime",
+        "element_at(array('spike', 'tight_channel', 'normal_channel', 'trading_range', 'insufficient_data', 'other'), CAST(user_id % 6 AS INT) + 1) AS regime", "element_at(array('bullish', 'bearish', 'neutral'), CAST(user_id % 3 AS INT) + 1) AS direction",
         "CASE WHEN event_id % 4 < 3 THEN 'proceed' ELSE 'wait' END AS gate_result", "CASE event_id % 5 WHEN 0 THEN 'wait' WHEN 1 THEN 'avoid' ELSE 'enter' END AS stance", "CASE WHEN event_id % 7 = 0 THEN value ELSE CAST(floor(value) AS DOUBLE) END AS confidence",
-        "CASE WHEN event_id % 11 = 0 THEN CAST(array() AS ARRAY<STRING>) WHEN event_id % 9 = 0 THEN array('D1', 'D2', 'D3') ELSE array('D1', 'D2', 'D3', 'D4') END AS nodes",
         f"{even('value + 100')} AS active_entry", "CAST(NULL AS DOUBLE) AS patient_entry", f"{even('value + 100 + user_id % 60')} AS take_profit", f"{even('100 - value / 10')} AS stop_loss",
     )
+    branches = F.expr("array('ok', CASE WHEN event_id % 5 = 0 THEN 'spike' ELSE regime END, CASE WHEN event_id % 10 = 1 THEN 'neutral' ELSE direction END, 'ok')")
+    ids = lambda k: F.when((k == 1) & (F.col("event_id") % 17 == 0), F.when((F.col("event_id") + k) % 6 != 0, F.array(F.lit("F1"), F.lit("F9"))).otherwise(F.array(F.lit("F9")))).when((F.col("event_id") + k) % 6 != 0, F.array(F.lit("F1")))
+    node = lambda k: F.struct(F.concat(F.lit("D"), k.cast("string")).alias("node"), F.element_at("_branches", k).alias("branch"), ids(k).alias("facts"))
+    walked = F.expr("CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 9 = 0 THEN 3 ELSE 4 END")
+    j = y.withColumn("_branches", branches).withColumn("trace", F.slice(F.transform(F.sequence(F.lit(1), F.lit(4)), node), F.lit(1), walked)).drop("_branches")
     facts = x.selectExpr("event_id", "'F1' AS fact_id", "value + 100 AS fact")
     cited = x.selectExpr("event_id", "CASE WHEN event_id % 13 = 0 THEN 'F9' ELSE 'F1' END AS fact_id", "value + 100 + event_id % 3 AS value")
     return R.judgement_errors(j, cited, facts, "event_id")
@@ -214,7 +223,7 @@ def judgement_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).groupBy("event_id", "code").agg(F.count("*").alias("n"))
 
 
-@query(with_views("SELECT CASE WHEN code IN ('BAD_ENUM', 'BAD_TYPE', 'BAD_SHAPE') THEN 'shape' WHEN code = 'MISSING_NODE' THEN 'trace' WHEN code = 'GATE_VIOLATION' THEN 'gate' WHEN code IN ('UNKNOWN_FACT', 'FACT_VALUE_MISMATCH') THEN 'facts' ELSE 'prices' END AS category, count(*) AS n FROM errs GROUP BY 1", **_JUDGE))
+@query(with_views("SELECT CASE WHEN code IN ('MISSING_NODE', 'NO_EVIDENCE') THEN 'missing' WHEN code IN ('TRACE_CONFLICT', 'GATE_VIOLATION', 'RR_TOO_LOW', 'PRICE_ORDER') THEN 'inconsistency' WHEN code IN ('UNKNOWN_FACT', 'FACT_VALUE_MISMATCH', 'UNANCHORED_PRICE') THEN 'untraceable' ELSE 'schema' END AS category, count(*) AS n FROM errs GROUP BY 1", **_JUDGE))
 def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.counts_by_category(_judged(spark, sf_dir))
 

@@ -19,7 +19,7 @@ def by() -> WindowSpec:
     return W.partitionBy("ticker").orderBy("date")
 
 
-#: Thresholds of the stock screen.
+# Thresholds of the stock screen.
 GATES = {"turnover": 20_000_000.0, "hma9_slope": 0.0, "hma20_slope": 0.0, "to_hma_low": 0.0, "to_hma_high": 6.0, "momentum5": 18.0, "position": 0.72}
 
 

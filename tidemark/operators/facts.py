@@ -161,8 +161,8 @@ def oscillators(bars: DataFrame, n: int = 14, k: int = 9, unit: Column | None =
     x = x.withColumn("_rsv", rsv).withColumn("_mg", F.avg("_g").over(frame)).withColumn("_ml", F.avg("_l").over(frame))
     wilder = lambda v, mean: (F.when(F.col("_i") > n + 1, (n - 1) / n).otherwise(0.0), F.when(F.col("_i") > n + 1, F.col(v) / n).when(F.col("_i") == n + 1, F.col(mean)).otherwise(0.0), 0.0)
     third = lambda v: (F.when(F.col("_rsv").isNull(), 1.0).otherwise(2.0 / 3), F.coalesce(F.col(v) / 3, F.lit(0.0)), 50.0)
-    x = affine_scan(x, ["ticker"], "date", {"_gain": wilder("_g", "_mg"), "_loss": wilder("_l", "_ml"), "_k": third("_rsv")}, unit)
-    x = affine_scan(x.withColumn("_kk", F.when(F.col("_rsv").isNotNull(), F.col("_k"))), ["ticker"], "date", {"_d": third("_kk")}, unit)
+    x = affine_scan(x, ["ticker"], "date", {"_gain": wilder("_g", "_mg"), "_loss": wilder("_l", "_ml"), "_k": third("_rsv")}, unit, counted=bars)
+    x = affine_scan(x.withColumn("_kk", F.when(F.col("_rsv").isNotNull(), F.col("_k"))), ["ticker"], "date", {"_d": third("_kk")}, unit, counted=bars)
     rsi = F.when(F.col("_i") > n, F.when(F.col("_gain") + F.col("_loss") > 0, F.col("_gain") / (F.col("_gain") + F.col("_loss")) * 100).otherwise(F.lit(50.0)))
     d = F.when(F.col("_rsv").isNotNull(), F.col("_d"))
     return x.select(*bars.columns, rsi.alias("rsi"), F.col("_kk").alias("k"), d.alias("d"), (3 * F.col("_kk") - 2 * d).alias("j"))
@@ -174,14 +174,14 @@ def wilder_range(bars: DataFrame, n: int, out: str = "atr", unit: Column | None
     span = F.when(before.isNull(), F.col("high") - F.col("low")).otherwise(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
     x = bars.withColumn("_tr", span).withColumn("_i", F.row_number().over(by())).withColumn("_mean", F.avg("_tr").over(by().rowsBetween(-(n - 1), 0)))
     a, b = F.when(F.col("_i") > n, (n - 1) / n).otherwise(0.0), F.when(F.col("_i") > n, F.col("_tr") / n).when(F.col("_i") == n, F.col("_mean")).otherwise(0.0)
-    x = affine_scan(x, ["ticker"], "date", {"_atr": (a, b, 0.0)}, unit)
+    x = affine_scan(x, ["ticker"], "date", {"_atr": (a, b, 0.0)}, unit, counted=bars)
     return x.select(*bars.columns, F.when(F.col("_i") >= n, F.col("_atr")).alias(out))
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, unit: Column | None = None) -> DataFrame:
     """bars with macd (the fast less the slow exponential average of closes), its own average macd_signal, and macd_histogram."""
     x = exponential_averages(bars, ["ticker"], "date", {"_fast": ("close", fast), "_slow": ("close", slow)}, unit).withColumn("macd", F.col("_fast") - F.col("_slow"))
-    x = exponential_averages(x, ["ticker"], "date", {"macd_signal": ("macd", signal)}, unit)
+    x = exponential_averages(x, ["ticker"], "date", {"macd_signal": ("macd", signal)}, unit, bars)
     return x.select(*bars.columns, "macd", "macd_signal", (F.col("macd") - F.col("macd_signal")).alias("macd_histogram"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import c, finite_or_null, reasons
 from tidemark.operators.micro import KEYS, seconds_between
 
+# The fields of tick and quote records and their kinds.
 TICK = {"event_id": "text", "received_at": "time", "exchange_datetime": "time", "target_code": "text", "close": "number", "volume": "whole", "simtrade": "flag"}
 QUOTE = {"event_id": "text", "received_at": "time", "exchange_datetime": "time", "target_code": "text", "bid_prices": "numbers", "ask_prices": "numbers", "bid_volumes": "wholes", "ask_volumes": "wholes", "simtrade": "flag"}
 

@@ -70,20 +70,21 @@ def dominance_join(left: DataFrame, right: DataFrame, keys: list[str], row: list
     return both.select(*keys, *row, *[F.col(f"_v.{n}").alias(n if n not in row and n not in keys else f"right_{n}") for n in values])
 
 
-def affine_scan(df: DataFrame, keys: list[str], order: str, maps: dict[str, tuple[Column, Column, Column | float]], unit: Column | None = None, block: int = 256) -> DataFrame:
+def affine_scan(df: DataFrame, keys: list[str], order: str, maps: dict[str, tuple[Column, Column, Column | float]], unit: Column | None = None, block: int = 256, counted: DataFrame | None = None) -> DataFrame:
     """df with y = a x + b along the order of each key, x the y of the row before: for each name its (a, b, x before the first row).
 
     Each row is such a map, and maps compose: within blocks of rows by doubling distances, then over the
     blocks, then every row's map takes what its block begins with. unit: what rises with the order and
     bounds a task's rows (a month, a session); without it a key's rows are numbered in one. Orders are
-    distinct within a key; a and b are not null.
+    distinct within a key; a and b are not null. Rows a unit are counted first, on `counted` if given: a
+    table of the same keys and units whose plan is shorter.
     """
     names = list(maps)
     x = df.withColumn("_unit", unit if unit is not None else F.lit(0))
     x = x.withColumn("_sub", F.floor((F.row_number().over(W.partitionBy(*keys, "_unit").orderBy(order)) - 1) / block))
     for i, n in enumerate(names):
         x = x.withColumn(f"_a{i}", c(maps[n][0]).cast("double")).withColumn(f"_b{i}", c(maps[n][1]).cast("double")).withColumn(f"_x{i}", c(maps[n][2]).cast("double"))
-    sizes = df.select(*keys, (unit if unit is not None else F.lit(0)).alias("_unit")).groupBy(*keys, "_unit").agg(F.count("*").alias("n"))
+    sizes = (df if counted is None else counted).select(*keys, (unit if unit is not None else F.lit(0)).alias("_unit")).groupBy(*keys, "_unit").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(F.ceil(F.col("n") / block)).alias("blocks")).agg(F.max("n"), F.max("blocks")).first()
     rounds = lambda rows: max(0, int(rows or 1) - 1).bit_length()
 
@@ -115,13 +116,13 @@ def with_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.join(least, keys).withColumn("_first", F.col(order) == F.col("_least")).drop("_least")
 
 
-def exponential_averages(df: DataFrame, keys: list[str], order: str, spans: dict[str, tuple[str, int]], unit: Column | None = None) -> DataFrame:
+def exponential_averages(df: DataFrame, keys: list[str], order: str, spans: dict[str, tuple[str, int]], unit: Column | None = None, counted: DataFrame | None = None) -> DataFrame:
     """df with exponential averages that start at the first value: name -> (value, span)."""
     maps = {}
     for name, (value, span) in spans.items():
         a = 2.0 / (span + 1)
         maps[name] = (F.when(F.col("_first"), 0.0).otherwise(1 - a), F.when(F.col("_first"), F.col(value)).otherwise(F.col(value) * a), 0.0)
-    return affine_scan(with_first(df, keys, order), keys, order, maps, unit).drop("_first")
+    return affine_scan(with_first(df, keys, order), keys, order, maps, unit, counted=df if counted is None else counted).drop("_first")
 
 
 def unblocked(signals: DataFrame, keys: list[str], order: str, until: str, unit: int = 1 << 20) -> DataFrame:

@@ -118,7 +118,7 @@ def prefer(live: DataFrame, historical: DataFrame, keys: list[str]) -> DataFrame
     return live.unionByName(historical.join(live.select(*keys).distinct(), keys, "left_anti"))
 
 
-#: Names under which providers send the columns of a candle, in order of preference.
+# Names under which providers send the columns of a candle, in order of preference.
 CANDLE_NAMES = {"date": ("date", "Date", "time", "timestamp"), "open": ("open", "Open", "OpeningPrice"), "high": ("high", "High", "max", "HighestPrice"), "low": ("low", "Low", "min", "LowestPrice"), "close": ("close", "Close", "ClosingPrice", "lastPrice", "price"), "volume": ("volume", "Trading_Volume", "trading_volume", "TradeVolume", "TradingShares")}
 
 

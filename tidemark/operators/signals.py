@@ -33,11 +33,14 @@ def pivots(bars: DataFrame, keys: list[str], order: str, left: int, right: int)
     return x.withColumn("resistance", F.last("pivot_high", ignorenulls=True).over(past)).withColumn("support", F.last("pivot_low", ignorenulls=True).over(past))
 
 
-def level_signals(bars: DataFrame, keys: list[str], order: str, zone_pct: float, volume_n: int, volume_ratio: float) -> DataFrame:
-    """Rows (bar, signal, direction, level) of the four level signals; levels are those of the bar before."""
+def level_signals(bars: DataFrame, keys: list[str], order: str, zone_pct: float, volume_n: int, volume_ratio: float, strong: Column | None = None) -> DataFrame:
+    """Rows (bar, signal, direction, level) of the four level signals; levels are those of the bar before.
+
+    strong: whether a bar's volume is strong; by default, more than the ratio times the average of the last bars.
+    """
     w = W.partitionBy(*keys).orderBy(order)
     x = bars.withColumn("_res", F.lag("resistance").over(w)).withColumn("_sup", F.lag("support").over(w)).withColumn("_close", F.lag("close").over(w))
-    x = x.withColumn("_strong", F.col("volume") > volume_ratio * F.avg("volume").over(w.rowsBetween(-(volume_n - 1), 0)))
+    x = x.withColumn("_strong", F.col("volume") > volume_ratio * F.avg("volume").over(w.rowsBetween(-(volume_n - 1), 0)) if strong is None else strong)
     z = zone_pct / 100
     o, h, lo, cl, res, sup = (F.col(n) for n in ("open", "high", "low", "close", "_res", "_sup"))
     found = {
@@ -51,6 +54,38 @@ def level_signals(bars: DataFrame, keys: list[str], order: str, zone_pct: float,
     return x.select(*keys, order, "close", "_s.signal", "_s.direction", "_s.level")
 
 
+# By minutes of a bar, the bars on either side of a pivot, the zone in percent, and the bars and ratio of strong volume.
+PRESETS = {60: (3, 0.30, 10, 1.5), 15: (4, 0.20, 20, 1.6), 5: (5, 0.10, 20, 1.8)}
+
+
+def with_presets(bars: DataFrame, keys: list[str], order: str, width: str = "width", presets: dict[int, tuple[int, float, int, float]] | None = None) -> DataFrame:
+    """Bars of a width that has a preset, with pivot_bars, zone_pct, volume_n, volume_ratio, volume_avg and strong.
+
+    volume_avg is of the last volume_n bars, this one included, and null until they are there; strong is false then.
+    """
+    found, w = presets or PRESETS, W.partitionBy(*keys, width).orderBy(order)
+    table = F.create_map(*[v for k, p in found.items() for v in (F.lit(k), F.struct(F.lit(p[0]).alias("pivot_bars"), F.lit(float(p[1])).alias("zone_pct"), F.lit(p[2]).alias("volume_n"), F.lit(float(p[3])).alias("volume_ratio")))])
+    x = bars.where(F.col(width).isin(*found)).withColumn("_p", table[F.col(width)]).select(*bars.columns, "_p.*")
+    average = F.lit(None).cast("double")
+    for n in sorted({p[2] for p in found.values()}):
+        frame = w.rowsBetween(-(n - 1), 0)
+        average = F.when((F.col("volume_n") == n) & (F.count("volume").over(frame) == n), F.avg("volume").over(frame)).otherwise(average)
+    x = x.withColumn("volume_avg", average)
+    return x.withColumn("strong", F.coalesce((F.col("volume_avg") > 0) & (F.col("volume") >= F.col("volume_ratio") * F.col("volume_avg")), F.lit(False)))
+
+
+def preset_signals(bars: DataFrame, keys: list[str], order: str, width: str = "width", presets: dict[int, tuple[int, float, int, float]] | None = None) -> DataFrame:
+    """Level signals of each width under its preset; bars without a price are left out."""
+    found, out = presets or PRESETS, None
+    priced = bars.where("open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL")
+    for minutes, (side, zone, n, ratio) in found.items():
+        x = with_presets(priced.where(F.col(width) == minutes), keys, order, width, {minutes: (side, zone, n, ratio)})
+        x = pivots(bands(x, [*keys, width], order), [*keys, width], order, side, side)
+        x = level_signals(x, [*keys, width], order, zone, n, ratio, F.col("strong"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 def outcomes(signals: DataFrame, bars: DataFrame, keys: list[str], order: str, horizons: list[int], cost: float) -> DataFrame:
     """Each signal with its net move over each horizon in bars, clipped at the key's last bar."""
     w = W.partitionBy(*keys).orderBy(order)

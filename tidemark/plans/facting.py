@@ -69,11 +69,25 @@ _SPK = {
 }
 
 
-@query(with_views("SELECT ticker, ends, length, way, CASE WHEN n < 10 THEN NULL WHEN (thn - c) / c * way < 0 AND abs((thn - c) / c * way) * c > abs(c - o) * 0.5 THEN 'reversal' WHEN abs(c - o) > 0 AND hi - lo < abs(c - o) * 0.75 THEN 'trading_range' ELSE 'channel' END AS outcome FROM k4", "v_daily", **_SPK))
+_SPIKES = "SELECT ticker, ends, length, way, CASE WHEN n < 10 THEN NULL WHEN (thn - c) / c * way < 0 AND abs((thn - c) / c * way) * c > abs(c - o) * 0.5 THEN 'reversal' WHEN abs(c - o) > 0 AND hi - lo < abs(c - o) * 0.75 THEN 'trading_range' ELSE 'channel' END AS outcome FROM k4"
+
+
+@query(with_views(_SPIKES, "v_daily", **_SPK))
 def price_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.spikes(v_daily(spark, sf_dir), ["ticker"], "date")
 
 
+_LINES = {"lb": f"SELECT * FROM (SELECT ticker, date, lag(close) OVER w AS open, greatest(close, lag(close) OVER w) AS high, least(close, lag(close) OVER w) AS low, close FROM v_daily {_W}) WHERE open <> close", **_SPK, "k0": _SPK["k0"].replace("v_daily", "lb")}
+
+
+@query(with_views(_SPIKES, "v_daily", **_LINES))
+def line_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spikes of bars from close to close, where every two moves one way are one."""
+    before = F.lag("close").over(W.partitionBy("ticker").orderBy("date"))
+    x = v_daily(spark, sf_dir).select("ticker", "date", before.alias("open"), F.greatest("close", before).alias("high"), F.least("close", before).alias("low"), "close").where("open <> close")
+    return A.spikes(x, ["ticker"], "date")
+
+
 _RUNS = "WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)"
 _WILDER = "list_reduce(list_concat([list_sum(x[{a}:{b}]) / {n}], x[{b} + 1:]), lambda a, v: (a * ({n} - 1) + v) / {n})"
 _THIRDS = "list_reduce(list_concat([50.0::DOUBLE], list_filter(list({x}) OVER w, lambda v: v IS NOT NULL)), lambda a, v: a * 2 / 3 + v / 3)"

@@ -10,6 +10,7 @@ from tidemark.operators import building as B
 from tidemark.operators import micro as M
 from tidemark.plans.microstructure import _BF, _STATES, STEP, _bars, _sessions, _states
 from tidemark.registry import query
+from tidemark.sources.storage import kept
 from tidemark.sources.views import with_views
 
 #: Steps of a bar.
@@ -76,8 +77,8 @@ _BUILD = {
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = _states(spark, sf_dir)
-    bars = _bars(spark, sf_dir)
+    states = kept(_states(spark, sf_dir), "states")  # seven steps below read states or bars: they are made once
+    bars = kept(M.bars(states, N, F.when(F.hour("session_start") == 8, 30).otherwise(84)), "bars")
     thresholds = B.prior_thresholds(states)
     flow = M.order_flow(states.join(thresholds, M.KEYS), 10, F.col("threshold")).select(*M.KEYS, F.col("step").alias("last_step"), "large_share")
     last = B.last_states(states, N, ["bid", "ask", "quote_fresh"])

@@ -20,8 +20,15 @@ def half_up(x: Col, digits: int = 4) -> Column:
 
 
 def settled(x: Col, digits: int = 6) -> Column:
-    """Rounding for comparison across engines: a tie goes up even if a sum's last bit differs."""
-    return F.floor(c(x) * F.lit(10.0**digits) + 0.5001) / F.lit(10.0**digits)
+    """Rounding for comparison across engines: a tie goes up even if a sum's last bit differs; what isn't finite stays."""
+    scaled = c(x) * F.lit(10.0**digits) + 0.5001
+    return F.when(F.abs(scaled) < 2.0**53, F.floor(scaled)).otherwise(scaled) / F.lit(10.0**digits)
+
+
+def quotient(x: Col, y: Col) -> Column:
+    """x / y in floating point, where a division by zero is infinite, or NaN for 0 / 0."""
+    over_zero = F.when(c(x) > 0, float("inf")).when(c(x) < 0, float("-inf")).when(c(x).isNotNull(), float("nan"))
+    return F.when(c(y) == 0, over_zero).otherwise(c(x) / F.nullif(c(y), F.lit(0.0)))
 
 
 def settled_sql(x: str, digits: int = 6) -> str:

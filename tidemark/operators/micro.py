@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import c
+from tidemark.functions.scalars import c, quotient
 from tidemark.operators.scans import dominance_join, exponential_averages
 
 KEYS = ["target", "session_start"]
@@ -145,7 +145,7 @@ def bar_features(b: DataFrame) -> DataFrame:
     past, five = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(-4, 0)
     before = F.lag("close").over(w)
     true_range = F.when(before.isNull(), F.col("high") - F.col("low")).otherwise(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
-    x = b.withColumn("true_range", true_range).withColumn("ret1", F.col("close") / before - 1).withColumn("ret5", F.col("close") / F.lag("close", 5).over(w) - 1)
+    x = b.withColumn("true_range", true_range).withColumn("ret1", quotient("close", before) - 1).withColumn("ret5", quotient("close", F.lag("close", 5).over(w)) - 1)
     rising = F.coalesce(F.col("close") > F.col("open"), F.lit(False))
     x = x.withColumn("_island", F.sum(F.when(rising, 0).otherwise(1)).over(past))
     x = x.withColumn("rising_run", F.sum(F.when(rising, 1).otherwise(0)).over(W.partitionBy(*KEYS, "_island").orderBy("bar").rowsBetween(W.unboundedPreceding, 0)))

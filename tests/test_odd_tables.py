@@ -31,7 +31,7 @@ def zero_prices(tmp_path):
     return tmp_path
 
 
-@pytest.mark.parametrize("name", ["bar_features"])
+@pytest.mark.parametrize("name", ["bar_features", "research_samples"])
 def test_returns_after_a_price_of_zero(spark, zero_prices, name):
     got, want = rows_of(spark, zero_prices, name)
     assert got == want

@@ -116,8 +116,7 @@ def step_states(ticks: DataFrame, quotes: DataFrame, step_s: int, max_quote_age_
 
 def with_ages(x: DataFrame, step_s: int, max_quote_age_s: float) -> DataFrame:
     """Steps with the ages of their last tick and quote at the step's end, whether the quote is fresh, and spread and midpoint if it is."""
-    end = seconds_between("session_start", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")) + (F.col("step") + 1) * step_s
-    age = lambda ts: end - seconds_between(ts, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    age = lambda ts: (F.col("step") + 1) * step_s - seconds_between(ts, "session_start")
     x = x.withColumn("tick_age_s", age("tick_ts")).withColumn("quote_age_s", age("quote_ts"))
     fresh = F.coalesce(F.col("quote_age_s") <= max_quote_age_s, F.lit(False))
     return x.select("*", fresh.alias("quote_fresh"), F.when(fresh, F.col("ask") - F.col("bid")).alias("spread"), F.when(fresh, (F.col("ask") + F.col("bid")) / 2).alias("midpoint"))

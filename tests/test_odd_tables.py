@@ -36,3 +36,16 @@ def test_returns_after_a_price_of_zero(spark, zero_prices, name):
     got, want = rows_of(spark, zero_prices, name)
     assert got == want
     assert name == "research_samples" or any("inf" in r for r in got) and any("nan" in r for r in got)
+
+
+def test_evidence_that_sums_in_another_order_is_stored_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import landing
+
+    plain = landing.v_daily
+    last_bits = F.udf(lambda: int.from_bytes(os.urandom(2)) * 1e-9, "double").asNondeterministic()
+    monkeypatch.setattr(landing, "v_daily", lambda *a: plain(*a).withColumn("close", F.col("close") + last_bits()))
+    got = {r.ticker: (r.n, r.intact) for r in landing.evidence_store(spark, SMALL).collect()}
+    want = {r.ticker: (r["count"], r["count"]) for r in plain(spark, SMALL).groupBy("ticker").count().collect()}
+    assert got == want

@@ -23,9 +23,11 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views("SELECT ticker, count(*) AS n, count(*) AS intact, max(date + INTERVAL '13 hours 30 minutes') AS last_available FROM v_daily GROUP BY 1", "v_daily"))
 def evidence_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars as evidence, stored twice: once each, with hash and id as their content says."""
-    rows, path = _evidence(spark, sf_dir), T.shared_folder(spark, "evidence")
+    path = T.shared_folder(spark, "evidence")
+    rows = T.kept(_evidence(spark, sf_dir), "bars")  # averages computed anew may differ in their last bit, and are other evidence then
     T.write_evidence(rows.where("ticker < 6"), path)
     m = T.evidence_manifest(T.write_evidence(rows, path), ["close", "volume"])
+    T.forget(rows)
     return m.groupBy("ticker").agg(F.count("*").alias("n"), F.count_if("intact").alias("intact"), F.max("available_at").alias("last_available"))
 
 

@@ -49,3 +49,13 @@ def test_evidence_that_sums_in_another_order_is_stored_once(spark, monkeypatch):
     got = {r.ticker: (r.n, r.intact) for r in landing.evidence_store(spark, SMALL).collect()}
     want = {r.ticker: (r["count"], r["count"]) for r in plain(spark, SMALL).groupBy("ticker").count().collect()}
     assert got == want
+
+
+def test_of_lines_with_one_number_the_first_stored_counts(spark, tmp_path):
+    for f in os.listdir(SMALL):
+        if f != "lineitem.parquet":
+            os.symlink(f"{SMALL}/{f}", tmp_path / f)
+    same = "CAST(1 + l_linenumber % 2 AS INTEGER) AS l_linenumber, CAST(1 AS BIGINT) AS l_orderkey, CASE WHEN l_partkey % 5 > 0 THEN l_extendedprice END AS l_extendedprice"
+    duckdb.execute(f"COPY (SELECT * REPLACE ({same}) FROM '{SMALL}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    got, want = rows_of(spark, tmp_path, "sector_heat")
+    assert got == want

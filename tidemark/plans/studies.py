@@ -17,8 +17,11 @@ _W = "WINDOW w AS (PARTITION BY ticker ORDER BY date)"
 
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("code")).agg(F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("turnover"), (F.max_by("l_extendedprice", seq) - F.min_by("l_extendedprice", seq)).alias("change"))
+    """Volume, turnover and change by supplier, between lines with prices; of those with one number the one that is stored first counts, on any partitioning."""
+    seq, price = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_extendedprice")
+    at = lambda order: F.when(price.isNotNull() & seq.isNotNull(), F.struct(order, F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+    first, last = F.min_by(price, at(seq)), F.min_by(price, at(-seq))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("code")).agg(F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("turnover"), (last - first).alias("change"))
 
 
 _HEAT = "SELECT coalesce(industry, 'unknown') AS industry, count(*) AS stocks, sum(volume) AS volume, {t} AS turnover, count(*) FILTER (change > 0) AS up, count(*) FILTER (change < 0) AS down FROM quotes LEFT JOIN v_company USING (code) GROUP BY 1"

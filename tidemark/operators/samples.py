@@ -134,10 +134,12 @@ def quotes_from_ticks(ticks: DataFrame, keys: list[str], order: list[str]) -> Da
 
 def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str) -> DataFrame:
     """left with the value of the first right row strictly after it; rows are ordered within a key, such as a session."""
-    l = left.select("*", F.col(left_ts).alias("_at"), F.lit(1).alias("_k"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))  # noqa: E741
+    l = left.select("*", F.col(left_ts).alias("_at"), F.lit(1).alias("_k"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     r = right.select(*keys, F.col(right_ts).alias("_at"), F.lit(0).alias("_k"), F.col(value).alias("_v"))
     both = l.unionByName(r, allowMissingColumns=True)
-    nxt = F.first("_v", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_at", "_k").rowsBetween(1, W.unboundedFollowing))
+    # backwards in time: a frame that grows takes a step a row, one that shrinks is read anew for each
+    back = W.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_k"), F.desc("_v"))
+    nxt = F.last("_v", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0))
     return both.withColumn(f"next_{value}", nxt).where("_k = 1").select(*left.columns, f"next_{value}")
 
 

@@ -1,5 +1,7 @@
 """Steps whose work must grow with the rows: what a plan does once, and which way its frames grow."""
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import samples as P
 
 
@@ -9,3 +11,13 @@ def test_the_first_price_after_is_found_by_a_growing_frame(spark):
     x = P.asof_forward(left, right, ["g"], "at", "at", "price")
     assert {r.id: r.next_price for r in x.collect()} == {1: 2.0, 2: 2.0, 3: None, 4: None}
     assert "unboundedfollowing" not in x._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_a_record_is_parsed_and_typed_once(spark):
+    raw = spark.createDataFrame([('{"a": " ", "b": "1.5"}',), ('{"a": "x", "b": "1e3"}',), ("none",)], "record string")
+    good, bad = P.decode(raw, {"a": "text", "b": "number"})
+    assert [tuple(r) for r in good.collect()] == [("x", 1000.0)]
+    assert {r.record: r.wrong for r in bad.collect()} == {'{"a": " ", "b": "1.5"}': "a", "none": "a,b"}
+    for x in (good, bad, good.select(F.col("b") * 2)):
+        plan = x._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1 and plan.count("try_cast") <= 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,11 +35,14 @@ def _typed(x: Column, kind: str) -> Column:
 def decode(raw: DataFrame, fields: dict[str, str], column: str = "record") -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of JSON records: every field typed and required; a reject keeps its record and names what is wrong."""
     names = list(fields)
-    parsed = raw.withColumn("_f", F.from_json(F.col(column), ", ".join(f"{n} string" for n in names)))
-    typed = parsed.select("*", *[_typed(F.col(f"_f.{n}"), k).alias(f"_t_{n}") for n, k in fields.items()])
-    typed = typed.withColumn("wrong", reasons(*[(n, F.col(f"_t_{n}").isNull()) for n in names]))
-    good = typed.where(F.size("wrong") == 0).select(*[F.col(f"_t_{n}").alias(n) for n in names])
-    return good, typed.where(F.size("wrong") > 0).select(F.col(column), F.array_join("wrong", ",").alias("wrong"))
+    # a generator's output is computed once: filters on it do not parse or type a record again
+    once = lambda x, name: F.explode(F.array(x)).alias(name)
+    parsed = raw.select(F.col(column), once(F.from_json(F.col(column), ", ".join(f"{n} string" for n in names)), "_f"))
+    typed = parsed.select(F.col(column), once(F.struct(*[_typed(F.col(f"_f.{n}"), k).alias(n) for n, k in fields.items()]), "_t"))
+    missing = [F.col(f"_t.{n}").isNull() for n in names]
+    anything = reduce(lambda a, b: a | b, missing)
+    good = typed.where(~anything).select(*[F.col(f"_t.{n}").alias(n) for n in names])
+    return good, typed.where(anything).select(F.col(column), F.array_join(reasons(*zip(names, missing, strict=True)), ",").alias("wrong"))
 
 
 def event_reasons() -> Column:

@@ -21,3 +21,18 @@ def test_a_record_is_parsed_and_typed_once(spark):
     for x in (good, bad, good.select(F.col("b") * 2)):
         plan = x._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") == 1 and plan.count("try_cast") <= 3
+
+
+def test_resamples_hash_an_id_in_a_batch_not_by_text_functions(spark):
+    import hashlib
+
+    from tidemark.operators import validation as V
+
+    rows = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 5.0), (None, 2, 3.0), ("a", 3, None)], "form string, id int, v double")
+    x = V.resample_sums(rows, ["form"], "v", ["id"], 11, "s")
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" not in plan and plan.count("Generate") == 0
+    draw = lambda n, i: int(hashlib.md5(f"s:{n}:{i // 8}".encode()).hexdigest()[4 * (i % 8) :][:4], 16)
+    weight = lambda n, i: sum(draw(n, i) >= t for t in V.POISSON)
+    want = {(f, i): (weight(n, i), weight(n, i) * v) for f, n, v in (("a", 1, 2.0), ("b", 1, 5.0), (None, 2, 3.0)) for i in range(11)}
+    assert {(r.form, r.i): (r.weight, r.total) for r in x.collect()} == want

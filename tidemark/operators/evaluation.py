@@ -162,22 +162,22 @@ def period_verdict(signals: DataFrame, controls: DataFrame, period: str, bucket:
     known = lambda d: d.where(F.col(value).isNotNull()).select(period, *bucket, *row_id, F.col(value).alias("_v"), crash.alias("_crash"))
     s, c_ = known(signals), known(controls)
     means = c_.groupBy(*[F.col(n).alias(f"_{n}") for n in (period, *bucket)]).agg(F.avg("_v").alias("_m"), F.avg(F.when(~F.col("_crash"), F.col("_v"))).alias("_mc"))
-    matched = s.join(means, [F.col(n) == F.col(f"_{n}") for n in (period, *bucket)]).select(period, *row_id, "_v", "_m", "_mc", "_crash")
+    on = [F.col(n) == F.col(f"_{n}") for n in (period, *bucket)]
+    matched = s.join(means, on).select(period, *row_id, "_v", "_m", "_mc", "_crash")
 
     by_period = s.groupBy(period).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
     x = by_period.join(c_.groupBy(period).agg(F.avg("_v").alias("plain")), period, "left").join(matched.groupBy(period).agg(F.avg("_m").alias("matched")), period, "left")
     counts = x.agg(F.count_if((F.col("mean") > F.col("plain")) & (F.col("mean") > F.col("matched"))).alias("p1"), F.count_if(F.col("mean") > 0).alias("p3"), F.count_if(F.col("n") >= least).alias("p4"))
 
-    row = lambda d, form, side, v: d.select(*row_id, F.lit(form).alias("form"), F.lit(side).alias("_s"), F.col(v).alias("_x"))
-    calm = lambda d: d.where(~F.col("_crash"))
-    sets = [
-        row(s, "plain", "l", "_v"), row(c_, "plain", "r", "_v"), row(matched, "matched", "l", "_v"), row(matched, "matched", "r", "_m"),
-        row(calm(s), "plain_calm", "l", "_v"), row(calm(c_), "plain_calm", "r", "_v"),
-        row(calm(matched).where("_mc IS NOT NULL"), "matched_calm", "l", "_v"), row(calm(matched), "matched_calm", "r", "_mc"),
-    ]
-    every = sets[0]
-    for other in sets[1:]:
-        every = every.unionByName(other)
+    # a row's values in all forms come together, so that they share its hashes
+    value_in = lambda form, side, v, cond=None: F.when(F.lit(True) if cond is None else cond, F.struct(F.lit(form).alias("form"), F.lit(side).alias("_s"), F.col(v).alias("_x")))
+    each = lambda d, *values: d.select(*row_id, F.explode(F.array_compact(F.array(*values))).alias("_e")).select(*row_id, "_e.*")
+    calm, there = ~F.col("_crash"), F.col("_m").isNotNull()
+    ours = each(
+        s.join(means, on, "left"), value_in("plain", "l", "_v"), value_in("matched", "l", "_v", there), value_in("matched", "r", "_m", there),
+        value_in("plain_calm", "l", "_v", calm), value_in("matched_calm", "l", "_v", calm & F.col("_mc").isNotNull()), value_in("matched_calm", "r", "_mc", calm & there),
+    )
+    every = ours.unionByName(each(c_, value_in("plain", "r", "_v"), value_in("plain_calm", "r", "_v", calm)))
     found = difference_intervals(every, ["form"], "_s", "_x", row_id, resamples, seed)
     of = lambda form, n: F.max(F.when(F.col("form") == form, F.col(n)))
     forms = ("plain", "matched", "plain_calm", "matched_calm")

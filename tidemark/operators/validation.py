@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterable, Iterator
 
-from collections.abc import Iterable
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from tidemark.functions.scalars import c, reasons, sigmoid
 
@@ -238,14 +241,36 @@ def resample_sums(rows: DataFrame, by: list[str], value: str, row_id: list[str],
     A resample takes each row a Poisson number of times, so that rows need no numbers and no join; eight
     weights come of one hash of the row's id. Reruns agree on any partitioning.
     """
-    x = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.concat_ws(":", F.lit(seed), *[F.col(n).cast("string") for n in row_id]).alias("_id"))
-    x = x.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 8) - 1)))).withColumn("_h", F.md5(F.concat_ws(":", "_id", "_b")))
-    for k in range(8):
-        draw = F.conv(F.substring("_h", 4 * k + 1, 4), 16, 10).cast("int")
-        x = x.withColumn(f"_u{k}", draw).withColumn(f"_w{k}", sum(((F.col(f"_u{k}") >= t).cast("int") for t in POISSON), F.lit(0))).drop(f"_u{k}")
-    sums = x.groupBy(*by, "_b").agg(*[f for k in range(8) for f in (F.sum(f"_w{k}").alias(f"_w{k}"), F.sum(F.col(f"_w{k}") * F.col("_v")).alias(f"_s{k}"))])
-    each = F.explode(F.array(*[F.struct((F.col("_b") * 8 + k).alias("i"), F.col(f"_w{k}").alias("weight"), F.col(f"_s{k}").alias("total")) for k in range(8)]))
-    return sums.select(*by, each.alias("_r")).select(*by, "_r.*").where(F.col("i") < resamples)
+    x = rows.where(F.col(value).isNotNull()).select(*by, F.concat_ws(":", F.lit(seed), *[F.col(n).cast("string") for n in row_id]).alias("_id"), F.col(value).cast("double").alias("_v"))
+    x = x.repartition("_id")  # a small file is few tasks' rows, and each is drawn for all resamples
+    own = x.select(*by).schema
+    drawn = StructType([*own, StructField("i", IntegerType()), StructField("weight", LongType()), StructField("total", DoubleType())])
+    bounds = np.array(POISSON)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of each batch's groups, all resamples."""
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            keys = pa.Table.from_batches([batch]).select(by).append_column("_all", pa.nulls(batch.num_rows, pa.int8())).append_column("_at", pa.array(np.arange(batch.num_rows)))
+            groups = keys.group_by([*by, "_all"], use_threads=False).aggregate([("_at", "list")])
+            order = groups["_at_list"].combine_chunks()
+            starts, places = order.offsets.to_numpy()[:-1] - order.offsets[0].as_py(), order.flatten().to_numpy()
+            told = batch["_id"].take(pa.array(places)).dictionary_encode()  # rows of one id share its hashes
+            ids, which = [v.encode() for v in told.dictionary.to_pylist()], told.indices.to_numpy()
+            v = batch["_v"].to_numpy()[places, None]
+            for first in range(0, resamples, 8):
+                end = f":{first // 8}".encode()
+                u = np.frombuffer(b"".join([hashlib.md5(i + end, usedforsecurity=False).digest() for i in ids]), ">u2").reshape(-1, 8)[:, : resamples - first]
+                w = np.searchsorted(bounds, u, side="right")[which]
+                weight, total = np.add.reduceat(w, starts, axis=0), np.add.reduceat(w * v, starts, axis=0)
+                n = u.shape[1]
+                each = np.repeat(np.arange(len(starts)), n)
+                columns = [groups[k].combine_chunks().take(pa.array(each)) for k in by]
+                numbers = [np.tile(np.arange(first, first + n, dtype=np.int32), len(starts)), weight.ravel(), total.ravel()]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c) for c in numbers]], names=drawn.names)
+
+    return x.mapInArrow(draw, drawn).groupBy(*by, "i").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
 
 
 def order_interval(values: DataFrame, by: list[str], value: str, confidence: float = 0.95) -> DataFrame:

@@ -296,17 +296,20 @@ def judgement_errors(judgements: DataFrame, cited: DataFrame, facts: DataFrame,
     out = j.select(key, F.explode(own).alias("code")).unionByName(judgements.where("NOT diagnosed").select(key, F.lit("BAD_SHAPE").alias("code")))
     node = j.select(key, F.explode("trace").alias("_t")).select(key, F.coalesce("_t.facts", F.array().cast("array<string>")).alias("_ids"))
     out = out.unionByName(node.where(F.size("_ids") == 0).select(key, F.lit("NO_EVIDENCE").alias("code")))
-    leaned = node.select(key, F.explode("_ids").alias("fact_id")).join(facts, [key, "fact_id"], "left")
-    out = out.unionByName(leaned.where("fact IS NULL").select(key, F.lit("UNKNOWN_FACT").alias("code")))
     near = lambda a, b, tolerance: F.abs(a - b) <= tolerance * F.abs(b)
     x = cited.join(j.select(key), key, "left_semi").join(facts, [key, "fact_id"], "left")
     wrong = F.when(F.col("fact").isNull(), "UNKNOWN_FACT").when(~F.coalesce(near(F.col("value"), F.col("fact"), FACT_TOLERANCE), F.lit(False)), "FACT_VALUE_MISMATCH")
     out = out.unionByName(x.select(key, wrong.alias("code")).where("code IS NOT NULL"))
-    quoted = j.where("decided").select(key, F.explode(F.filter(F.array(*[F.struct(F.lit(p).alias("name"), F.col(p).alias("price")) for p in PRICES]), lambda v: v["price"].isNotNull())).alias("_p")).select(key, "_p.name", "_p.price")
-    known = facts.groupBy(key).agg(F.collect_list("fact").alias("_facts"))
-    anchored = F.exists("_facts", lambda f: near(F.col("price"), f, ANCHOR_TOLERANCE))
-    loose = quoted.join(known, key, "left").where(~F.coalesce(anchored, F.lit(False))).select(key, F.lit("UNANCHORED_PRICE").alias("code"))
-    return out.unionByName(loose)
+    # facts come to a judgement as one array, before its nodes and prices are laid out
+    known = facts.groupBy(key).agg(F.collect_list(F.struct("fact_id", "fact")).alias("_known"))
+    held = j.select(key, "trace", "decided", *PRICES).join(known, key, "left").withColumn("_known", F.coalesce("_known", F.array().cast(known.schema["_known"].dataType)))
+    of_id = lambda i: F.filter("_known", lambda f: f["fact_id"] == i)
+    unknown = lambda i: F.when(F.size(of_id(i)) == 0, F.array(F.lit("UNKNOWN_FACT"))).otherwise(F.transform(F.filter(of_id(i), lambda f: f["fact"].isNull()), lambda _: F.lit("UNKNOWN_FACT")))
+    leaned = F.transform(F.flatten(F.transform("trace", lambda t: F.coalesce(t["facts"], F.array().cast("array<string>")))), unknown)
+    anchored = lambda price: F.coalesce(F.exists("_known", lambda f: near(price, f["fact"], ANCHOR_TOLERANCE)), F.lit(False))
+    loose = F.array_compact(F.array(*[F.when(F.col("decided") & F.col(p).isNotNull() & ~anchored(F.col(p)), F.lit("UNANCHORED_PRICE")) for p in PRICES]))
+    codes = F.concat(F.coalesce(F.flatten(leaned), F.array().cast("array<string>")), loose)
+    return out.unionByName(held.select(key, F.explode(codes).alias("code")))
 
 
 # The kinds of findings; what is not named is of the schema.

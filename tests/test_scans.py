@@ -28,6 +28,18 @@ def test_dominance_join_of_nothing(spark):
     assert scans.dominance_join(ticks.limit(0), none, ["k"], ["id"], "e", "r", ["q"], 7, 5).collect() == []
 
 
+def test_dominance_join_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    tasks, kept = [], scans.kept
+    monkeypatch.setattr(scans, "TASK_ROWS", 10)
+    monkeypatch.setattr(scans, "kept", lambda df, name: tasks.append(df.rdd.getNumPartitions()) or kept(df, name))
+    for n in (100, 200):
+        ticks = spark.createDataFrame([("a", i, i, i) for i in range(n)], "k string, id long, e long, r long")
+        quotes = spark.createDataFrame([("a", i, i, i + 3) for i in range(n)], "k string, q long, e long, r long")
+        got = scans.dominance_join(ticks, quotes, ["k"], ["id"], "e", "r", ["q"], 7, 5).collect()
+        assert {r.id: r.q for r in got} == {i: i - 3 if i > 2 else None for i in range(n)}
+    assert tasks == [20, 40]
+
+
 @pytest.mark.parametrize("block", [1, 3, 256])
 def test_affine_scan(spark, block):
     from pyspark.sql import functions as F

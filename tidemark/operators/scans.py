@@ -14,9 +14,13 @@ from tidemark.functions.scalars import c
 from tidemark.sources.storage import forget, kept
 
 
-def best_so_far(rows: DataFrame, parts: list[str], at: str, last: str, value: str, unit: int) -> DataFrame:
-    """rows with _best: the greatest `value` (not null) of their parts up to their place, by (at, last). at is a whole number."""
+def best_so_far(rows: DataFrame, parts: list[str], at: str, last: str, value: str, unit: int, tasks: int | None = None) -> DataFrame:
+    """rows with _best: the greatest `value` (not null) of their parts up to their place, by (at, last). at is a whole number.
+
+    tasks: how many share the rows; Spark decides if it is not given.
+    """
     rows = rows.withColumn("_unit", F.floor(F.col(at) / F.lit(unit)))
+    rows = rows.repartition(tasks, *parts, "_unit") if tasks else rows
     inside = F.max(value).over(W.partitionBy(*parts, "_unit").orderBy(at, last).rowsBetween(W.unboundedPreceding, 0))
     ends = rows.groupBy(*parts, "_unit").agg(F.max(value).alias("_end"))
     before = F.max("_end").over(W.partitionBy(*parts).orderBy("_unit").rowsBetween(W.unboundedPreceding, -1))
@@ -28,6 +32,9 @@ def best_so_far(rows: DataFrame, parts: list[str], at: str, last: str, value: st
 #: Raises unit numbers above zero, whose bits then order them.
 _LIFT = 1 << 40
 
+#: Rows of one task of a dominance join, about, before they are copied for each bit; a unit of a key stays in one task.
+TASK_ROWS = 50_000
+
 
 def dominance_join(left: DataFrame, right: DataFrame, keys: list[str], row: list[str], first: str, second: str, values: list[str], first_unit: int, second_unit: int) -> DataFrame:
     """Each left row with the right row of the greatest `first` among those of its keys with both `first` and `second` not above its own.
@@ -40,6 +47,9 @@ def dominance_join(left: DataFrame, right: DataFrame, keys: list[str], row: list
     2. for left rows without one, the latest unit before whose least `second` is not above: the same by the
        bits of unit numbers, over one row a unit;
     3. in the unit found every `first` is below: the best by `second` alone.
+
+    Copies are made and sorted in the task that reads the rows, so rows are counted first and dealt to as
+    many tasks as that takes: what a task holds does not grow with the tables, unless a unit does.
     """
     given = F.struct(F.col(first).alias("_first"), *values)
     kind = right.select(given.alias("v")).schema[0].dataType
@@ -50,21 +60,24 @@ def dominance_join(left: DataFrame, right: DataFrame, keys: list[str], row: list
     mine = [*keys, *row, "_e", "_r", "_u"]
 
     in_unit = W.partitionBy(*keys, "_u")
-    x = asked.unionByName(offered).withColumn("_p", F.dense_rank().over(in_unit.orderBy("_e")) * 2 + F.col("_kind"))
+    x = asked.unionByName(offered)
+    tasks = max(x.sparkSession.sparkContext.defaultParallelism, -(-x.count() // TASK_ROWS))
+    x = x.repartition(tasks, *keys, "_u").withColumn("_p", F.dense_rank().over(in_unit.orderBy("_e")) * 2 + F.col("_kind"))
     x = x.withColumn("_top", F.max("_p").over(in_unit)).withColumn("_l", F.explode(F.expr("filter(sequence(0, 30), l -> (shiftright(_p, l) & 1) = _kind AND shiftleft(1, l) <= _top)")))
     x = x.withColumn("_b", F.expr("shiftright(_p, _l + 1)"))
     x = x.withColumn("_best", F.max("_v").over(W.partitionBy(*keys, "_u", "_l", "_b").orderBy("_r", "_kind").rowsBetween(W.unboundedPreceding, 0)))
-    near = x.where("_kind = 1").groupBy(*mine).agg(F.max("_best").alias("_best"))
+    # three branches below read it, and each would make the copies anew
+    near = kept(x.where("_kind = 1").groupBy(*mine).agg(F.max("_best").alias("_best")), "near")
 
     bit = lambda want: F.explode(F.expr(f"filter(sequence(0, 41), l -> (shiftright(_u, l) & 1L) = {want})"))
     rest = near.where(F.col("_best").isNull()).drop("_best").withColumn("_kind", F.lit(1))
     units = offered.groupBy(*keys, "_u").agg(F.min("_r").alias("_r")).select(*keys, *of_right, F.lit(None).cast("long").alias("_e"), "_r", "_u", F.lit(0).alias("_kind"))
     y = rest.withColumn("_l", bit(1)).withColumn("_v", F.lit(None).cast("long")).unionByName(units.withColumn("_l", bit(0)).withColumn("_v", F.col("_u")))
-    y = best_so_far(y.withColumn("_b", F.expr("shiftright(_u, _l + 1)")), [*keys, "_l", "_b"], "_r", "_kind", "_v", second_unit)
+    y = best_so_far(y.withColumn("_b", F.expr("shiftright(_u, _l + 1)")), [*keys, "_l", "_b"], "_r", "_kind", "_v", second_unit, tasks)
     found = y.where("_kind = 1").groupBy(*keys, *row, "_e", "_r").agg(F.max("_best").alias("_u")).where(F.col("_u").isNotNull())
 
     z = found.withColumn("_kind", F.lit(1)).withColumn("_v", F.lit(None).cast(kind)).unionByName(offered.select(*keys, *row, "_e", "_r", "_u", "_kind", "_v"))
-    far = best_so_far(z, [*keys, "_u"], "_r", "_kind", "_v", second_unit).where("_kind = 1").select(*[F.col(n).alias(n) for n in (*keys, *row)], F.col("_best").alias("_far"))
+    far = best_so_far(z, [*keys, "_u"], "_r", "_kind", "_v", second_unit, tasks).where("_kind = 1").select(*[F.col(n).alias(n) for n in (*keys, *row)], F.col("_best").alias("_far"))
     on = [near[n].eqNullSafe(far[n]) for n in (*keys, *row)]
     both = near.join(far, on, "left").select(*[near[n] for n in (*keys, *row)], F.coalesce("_best", "_far").alias("_v"))
     return both.select(*keys, *row, *[F.col(f"_v.{n}").alias(n if n not in row and n not in keys else f"right_{n}") for n in values])

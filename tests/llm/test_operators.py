@@ -284,6 +284,21 @@ def test_encoder_equals_library():
 # 5 quality
 
 
+def test_words_met_often_are_learned_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 8)
+    enc, learned = tokens.Encoder(tokens.default_tokenizer()), Counter()
+    learn = enc.words.learn
+    enc.words.learn = lambda new: (learned.update(new), learn(new))
+    plain = Tokenizer.from_file(tokens.default_tokenizer())
+    for i in range(20):
+        texts = [f"the of the {chr(97 + i) * 5} and", f"x{chr(97 + i)} of and", ""]
+        for text, ids in zip(texts, enc.encode(texts), strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert learned["the"] == learned["of"] == learned["and"] == 1 and len(learned) > 40
+
+
 def test_quality_is_accurate_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -463,3 +478,10 @@ def test_training_order_files(hard, none, tmp_path):
         got[r["doc_id"], r["piece"], ids.tobytes()] += 1
     assert got == want
     assert materialise.materialise(none).count() == 0
+
+
+def test_training_order_sends_no_ids_through_python_to_number_them(hard, tmp_path, monkeypatch):
+    plans, written = {}, materialise.written
+    monkeypatch.setattr(materialise, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or written(df, name))
+    assert materialise.materialise(hard, f"file://{tmp_path}/out", stride_ids=64, shard_slots=10).count() > 40
+    assert len(plans) == 5 and all(p.count("MapInArrow") == 1 and p.count("ArrowEvalPython") == (name != "records") for name, p in plans.items())

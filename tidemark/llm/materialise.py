@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,18 +112,14 @@ def materialise(docs: DataFrame, folder: str | None = None, tokenizer: str | Non
     total = int(starts.value[-1])
     shards = max(1, -(-total // shard_slots))
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            record = starts.value[batch.column("_part").to_numpy()] + batch.column("_row").to_numpy()
-            slot = permute(record, total, key)
-            keep = [batch.column(c) for c in front]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(record), pa.array(slot), pa.array(slot // shard_slots)], [*front, "record", "slot", "shard"])
+    def slots(part: pd.Series, row: pd.Series) -> pd.Series:
+        return pd.Series(permute(starts.value[part.to_numpy()] + row.to_numpy(), total, key))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         fill = np.array([end_id], unit).tobytes()
-        shard, file, temp, rows = -1, None, "", []
+        shard, file, temp, held = -1, None, "", []
 
         def closed() -> Iterator[pa.RecordBatch]:
             if file is None:
@@ -132,32 +129,40 @@ def materialise(docs: DataFrame, folder: str | None = None, tokenizer: str | Non
             store.move(temp, path)
             with store.open_input_file(path) as back:
                 stored = back.read()
-            for r in rows:
-                ids = np.frombuffer(stored, unit, r["length"], r["byte_offset"])
-                r["ids_crc32"], r["path"] = zlib.crc32(ids.astype("<u4").tobytes()), path
-            yield pa.RecordBatch.from_pylist(rows, schema=result)
+            for part in held:
+                slot, n = part.column("slot").to_numpy(), part.num_rows
+                offset = slot % shard_slots * stride
+                crc = [zlib.crc32(np.frombuffer(stored, unit, k, at).astype("<u4")) for k, at in zip(part.column("length").to_pylist(), offset.tolist(), strict=True)]
+                made = {"record": permute(slot, total, key, inverse=True), "shard": np.full(n, shard), "byte_offset": offset, "ids_crc32": crc, "path": [path] * n}
+                yield pa.RecordBatch.from_arrays([part.column(f.name) if f.name not in made else pa.array(made[f.name], f.type) for f in result], schema=result)
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["shard"] != shard:
+            of = batch.column("slot").to_numpy() // shard_slots
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                if begin == end:
+                    continue
+                if of[begin] != shard:
                     yield from closed()
-                    shard, rows, temp = r["shard"], [], f"{root}/.{uuid.uuid4().hex}"
+                    shard, held, temp = int(of[begin]), [], f"{root}/.{uuid.uuid4().hex}"
                     file = store.open_output_stream(temp)
-                ids = r.pop("ids")
-                file.write(ids + fill * ((stride - len(ids)) // len(fill)))
-                rows.append(r | {"byte_offset": r["slot"] % shard_slots * stride})
+                run = batch.slice(begin, end - begin)
+                file.write(b"".join(ids if len(ids) == stride else ids + fill * ((stride - len(ids)) // len(fill)) for ids in run.column("ids").to_pylist()))
+                held.append(run.drop_columns(["ids"]))
         yield from closed()
 
     front = ["doc_id", "piece", "start", "length", "ids"]
     longs = ["doc_id", "start", "length", "record", "slot", "shard", "byte_offset", "ids_crc32"]
     result = pa.schema([(c, pa.int64()) for c in longs] + [("piece", pa.int32()), ("path", pa.string())])
-    numbered = records.select(*front, _part().alias("_part"), F.col("_metadata.row_index").alias("_row"))
-    placed = numbered.mapInArrow(number, "doc_id long, piece int, start long, length long, ids binary, record long, slot long, shard long")
+    # only file and row numbers go to Python; drawn once a row, though the filter below reads it too
+    slot = F.pandas_udf(slots, "long").asNondeterministic()
+    placed = records.select(*front, slot(_part(), F.col("_metadata.row_index")).alias("slot"))
+    shard_of = F.expr(f"slot div {shard_slots}")
     # a shard is a range of slots and the partition of its number, so no range has to be sampled
     out = []
     for k in range(min(passes, shards)):
         low, high = shards * k // min(passes, shards), shards * (k + 1) // min(passes, shards)
-        part = placed.where(F.col("shard").between(low, high - 1))
-        ordered = part.repartitionById(high - low, (F.col("shard") - low).cast("int")).sortWithinPartitions("slot")
+        part = placed.where(shard_of.between(low, high - 1))
+        ordered = part.repartitionById(high - low, (shard_of - low).cast("int")).sortWithinPartitions("slot")
         out.append(written(ordered.mapInArrow(write, ", ".join(f"{c} long" for c in longs) + ", piece int, path string"), f"index-{k}"))
     return reduce(DataFrame.unionByName, out)

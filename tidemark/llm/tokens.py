@@ -12,7 +12,7 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
@@ -26,8 +26,8 @@ _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE
 #: Higher characters, and those whose lower case is two characters or a higher one.
 _UNUSUAL = re.compile("[^\x00-įı-ȹȻ-Ƚȿ-ɏ]")
 
-#: Words that a worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
+#: Words that a worker remembers; beyond that it forgets all but the half met most often.
+CACHE_WORDS = 400_000
 
 
 def _byte_letters() -> list[str]:
@@ -37,6 +37,14 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+class _Numbers(dict):
+    """Numbers of words from 0, given as they are first looked up."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class _Words:
     """Ids of the words met so far: a number for each word, and the ids of all of them end to end."""
 
@@ -53,33 +61,52 @@ class _Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def learn(self, words: set[str]) -> None:
-        new = list(words)
+        self.met = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the words met most often, of those met more than once."""
+        often = np.argsort(-self.met, kind="stable")[: CACHE_WORDS // 2]
+        often = np.sort(often[self.met[often] > 1])
+        words = list(self.number)
+        self.flat, upto = self.laid(often)
+        self.start, self.met = np.append(0, upto), self.met[often]
+        self.number = _Numbers(zip([words[i] for i in often.tolist()], range(len(often)), strict=True))
+
+    def learn(self, new: list[str]) -> None:
+        """The ids of the words numbered last."""
         joined = " ".join(new).encode().decode("latin-1").translate(self.letters)
         ids = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
         stops = np.flatnonzero(self.ends[ids]) + 1
         assert len(stops) == len(new), "a word has no last token"
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
         self.start = np.concatenate([self.start, stops + len(self.flat)])
         self.flat = np.concatenate([self.flat, ids])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
 
     def encode(self, lists: list[list[str]]) -> list[np.ndarray]:
-        new = set().union(*lists).difference(self.number)
-        if new:
-            if len(self.number) + len(new) > CACHE_WORDS:
-                self.clear()
-                new = set().union(*lists)
-            self.learn(new)
-        at = np.fromiter(chain.from_iterable(map(self.number.__getitem__, x) for x in lists), np.int64, sum(map(len, lists)))
-        begin, sizes = self.start[at], self.start[at + 1] - self.start[at]
-        upto = np.cumsum(sizes)
-        ids = self.flat[np.repeat(begin - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
-        cuts = np.concatenate([[0], upto])[np.cumsum([len(x) for x in lists])]
+        if len(self.number) > CACHE_WORDS:
+            self.forget()
+        known = len(self.number)
+        try:
+            at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
+            if len(self.number) > known:
+                self.learn(list(islice(self.number, known, None)))
+        except BaseException:
+            self.clear()  # numbers without ids must not stay
+            raise
+        self.met += np.bincount(at, minlength=len(self.met))
+        ids, upto = self.laid(at)
+        cuts = np.append(0, upto)[np.cumsum([len(x) for x in lists])]
         return np.split(ids, cuts[:-1])
 
+    def laid(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words of these numbers end to end, where each word's end)."""
+        begin = self.start[at]
+        sizes = self.start[at + 1] - begin
+        upto = np.cumsum(sizes)
+        return self.flat[np.repeat(begin - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)], upto
+
 
 #: Characters that are split into words at once.
 BATCH_CHARS = 2 << 20

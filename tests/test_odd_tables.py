@@ -38,6 +38,16 @@ def test_returns_after_a_price_of_zero(spark, zero_prices, name):
     assert name == "research_samples" or any("inf" in r for r in got) and any("nan" in r for r in got)
 
 
+def test_samples_hold_infinite_returns(spark, tmp_path):
+    small = "/root/testdata/sf0.01"
+    for f in os.listdir(small):
+        if f != "events.parquet":
+            os.symlink(f"{small}/{f}", tmp_path / f)
+    duckdb.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 9 = 0 THEN 0.0 ELSE value END AS value) FROM '{small}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got, want = rows_of(spark, tmp_path, "research_samples")
+    assert got == want and any("inf" in r for r in got)
+
+
 def test_evidence_that_sums_in_another_order_is_stored_once(spark, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -67,6 +67,54 @@ def test_a_cache_that_is_cleared_changes_nothing(monkeypatch):
         assert [g[:5] for g in it.align(texts)] == [whole(it, t)[:5] for t in texts]
 
 
+@pytest.mark.parametrize("limit", ["CACHE_PIECES", "CACHE_PAIRS", "CACHE_CHARS"])
+def test_what_a_worker_remembers_is_bounded_and_holds_the_pieces_met_often(monkeypatch, limit):
+    most = 300
+    monkeypatch.setattr(alignment, limit, most, raising=False)
+    it, draw, learnt = alignment.Aligner(A, B), random.Random(7), Counter()
+    learn = it.learn
+    monkeypatch.setattr(it, "learn", lambda new: (learnt.update(new), learn(new))[1])
+    batch = {"CACHE_PIECES": 0, "CACHE_PAIRS": 0, "CACHE_CHARS": 0}
+    for i in range(60):
+        texts = ["the cat sat", "the cat sat", *["".join(draw.choices("abcdefghij", k=8)) for _ in range(20)], "x▁" + "yz " * draw.randint(1, 50)]
+        assert [g[:5] for g in it.align(texts)] == [whole(it, t)[:5] for t in texts]
+        seen = {"CACHE_PIECES": len(it.said), "CACHE_PAIRS": len(it.codes), "CACHE_CHARS": sum(map(len, it.number)) + sum(map(len, it.said))}
+        if not i:
+            batch = seen
+        assert seen[limit] <= most + 3 * batch[limit]
+    assert learnt[" cat"] == 1
+
+
+def test_a_long_piece_is_not_remembered_for_good():
+    it = alignment.Aligner(A, B)
+    long = "\x1c" + "ab" * 5000
+    it.align([long, long, "the cat", "the cat"])
+    it.forget()
+    assert " " + long not in it.number and " cat" in it.number
+    assert [g[:5] for g in it.align([long, "the cat"])] == [whole(it, t)[:5] for t in (long, "the cat")]
+
+
+def test_libraries_take_few_new_pieces_at_once(monkeypatch):
+    monkeypatch.setattr(alignment, "LEARN_CHARS", 500, raising=False)
+    it, draw, taken = alignment.Aligner(A, B), random.Random(8), []
+    spans = it._spans_a
+    monkeypatch.setattr(it, "_spans_a", lambda bundles, at: (taken.append(sum(map(len, bundles))), spans(bundles, at))[1])
+    texts = [" ".join("".join(draw.choices("abcdefghij", k=8)) for _ in range(100)) for _ in range(10)]
+    assert [g[:5] for g in it.align(texts)] == [whole(it, t)[:5] for t in texts]
+    assert len(taken) > 10 and max(taken) < 2 * 500
+
+
+def test_small_portions_change_nothing(spark, monkeypatch):
+    texts = [None, "", "the cat, the hat", "Ⅸ the", "x▁y", "the 😀", *["the end of the cat"] * 9, "word " * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = sorted(map(tuple, alignment.align_documents(docs).collect()))
+    for name, most in {"BATCH_CHARS": 6, "SCORE_ENTRIES": 3, "COUNT_ENTRIES": 2}.items():
+        monkeypatch.setattr(alignment, name, most)
+    assert sorted(map(tuple, alignment.align_documents(docs).collect())) == want
+    portions = list(alignment._portions(alignment.np.array([3, 0, 4, 9, 1, 5, 0]), 6))
+    assert portions == [(0, 2), (2, 3), (3, 4), (4, 7)]
+
+
 @pytest.mark.parametrize("share", [alignment.HOT_SHARE, 0.02, 2.0])
 def test_counts_over_all_documents(spark, monkeypatch, share):
     """Whichever pairs are sent to every task: a few, many, none."""

@@ -3,7 +3,8 @@
 Tokenizer A is a byte-level file of tokenizers, B a byte-fallback model of sentencepiece. A text is
 cut at spaces that follow anything but white space: neither tokenizer has a token across such a
 place, and both end one there, so each new piece of text between two cuts is encoded and aligned
-once a worker, and a text's groups are those of its pieces in order.
+on its own, and a text's groups are those of its pieces in order. A worker remembers pieces; beyond
+a number, or a size, of them it keeps those met most often and aligns the others anew.
 
 Within pieces, the libraries' own spans (character offsets of tokenizers, byte spans of the
 sentencepiece proto) are coarse cuts. Tokens that hold part of a character, and byte-fallback
@@ -18,13 +19,14 @@ equi-join, where no pair has more rows than that share.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,16 +42,18 @@ _CARRIER = " a"
 #: White space of Python alone, and the model's own sign for a space; a text with them is one piece.
 _ODD_SPACE = re.compile("[\x1c-\x1f▁]")
 
-#: Pieces, and entries of their pairs, that a worker remembers before it starts afresh.
-CACHE_PIECES, CACHE_PAIRS = 800_000, 8_000_000
-#: Characters that are cut and aligned at once.
-BATCH_CHARS = 2 << 20
+#: Pieces, entries of their pairs, and characters of them and their groups, that a worker remembers before it forgets all but those met most often.
+CACHE_PIECES, CACHE_PAIRS, CACHE_CHARS = 300_000, 2_000_000, 24_000_000
+#: Longer pieces, in characters of them and their groups, are forgotten however often they are met.
+LONG_PIECE = 4_000
+#: Characters that are cut and aligned at once, and of new pieces that the libraries' results are held of at once.
+BATCH_CHARS, LEARN_CHARS = 1 << 19, 1 << 17
 #: Characters of new pieces in a call of a library, about.
 BUNDLE_CHARS = 8_000
 #: Pairs with more than this share of all entries are sent to every task.
 HOT_SHARE = 2.0**-18
-#: Entries that a task counts at once.
-COUNT_ENTRIES = 2_000_000
+#: Entries that a task counts at once, and whose counts it looks up at once.
+COUNT_ENTRIES, SCORE_ENTRIES = 1_000_000, 250_000
 
 
 def _ends(begin: np.ndarray, end: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -115,6 +119,23 @@ class Aligner:
         self.said: list[str] = []
         self.figures = np.zeros((0, 5), np.int64)  # tokens of A, of B, groups, links, whether bytes differ
         self.codes, self.times, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.met, self.chars = np.zeros(0, np.int64), 0
+
+    def forget(self) -> None:
+        """Keeps the pieces met most often, of those met more than once, up to half of what a worker remembers."""
+        pieces, at = list(self.number), np.fromiter(self.number.values(), np.int64, len(self.number))
+        chars = np.array([len(x) + len(self.said[k]) for x, k in self.number.items()], np.int64)
+        often = np.argsort(-self.met[at], kind="stable")
+        often = often[(self.met[at[often]] > 1) & (chars[often] <= LONG_PIECE)]
+        pairs = np.cumsum(self.start[at[often] + 1] - self.start[at[often]])
+        often = often[: CACHE_PIECES // 2][((pairs <= CACHE_PAIRS // 2) & (np.cumsum(chars[often]) <= CACHE_CHARS // 2))[: CACHE_PIECES // 2]]
+        at = at[often]
+        reps = self.start[at + 1] - self.start[at]
+        entry = np.repeat(self.start[at], reps) + _ragged(reps)
+        self.codes, self.times, self.start = self.codes[entry], self.times[entry], np.append(0, np.cumsum(reps))
+        self.figures, self.met, self.chars = self.figures[at], self.met[at], int(chars[often].sum())
+        self.said = [self.said[k] for k in at.tolist()]
+        self.number = {pieces[i]: k for k, i in enumerate(often.tolist())}
 
     def pieces(self, text: str) -> list[str]:
         spaced = " " + text
@@ -179,6 +200,23 @@ class Aligner:
         return ids, piece, np.where(wrong[piece], decoded, refined), differs
 
     def learn(self, new: list[str]) -> None:
+        """Remembers new pieces, a portion at a time."""
+        made, at = [], 0
+        while at < len(new):
+            to, chars = at, 0
+            while to < len(new) and (to == at or chars + len(new[to]) <= LEARN_CHARS):
+                chars += len(new[to])
+                to += 1
+            made.append(self._learnt(new[at:to]))
+            at = to
+        figures, codes, times, sizes = zip(*made, strict=True)
+        self.figures = np.concatenate([self.figures, *figures])
+        self.codes, self.times = np.concatenate([self.codes, *codes]), np.concatenate([self.times, *times])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
+        self.met = np.concatenate([self.met, np.zeros(len(self.said) - len(self.met), np.int64)])
+
+    def _learnt(self, new: list[str]) -> tuple[np.ndarray, ...]:
+        """Numbers new pieces; their figures, pair codes, how often each is linked, and pairs of each piece."""
         bundles, laid = self._bundles(new)
         raw = [x.encode() for x in laid]
         at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])[:-1].astype(np.int64)
@@ -196,7 +234,7 @@ class Aligner:
         count = lambda x, w=None: np.bincount(x, w, len(laid)).astype(np.int64)
         links = np.zeros(len(laid), np.int64)
         np.add.at(links, group_piece, n_a * n_b)
-        self.figures = np.concatenate([self.figures, np.stack([count(a_piece), count(b_piece), count(group_piece), links, bad.astype(np.int64)], axis=1)])
+        figures = np.stack([count(a_piece), count(b_piece), count(group_piece), links, bad.astype(np.int64)], axis=1)
 
         # distinct ids of each group and side, then their products, then distinct pairs of each piece
         width_a, width_b = len(self.a_bytes), len(self.b_bytes)
@@ -213,28 +251,29 @@ class Aligner:
         order = np.lexsort((code, piece))
         piece, code, times = piece[order], code[order], times[order]
         starts = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (code[1:] != code[:-1])])) if len(code) else np.zeros(0, np.int64)
-        self.codes = np.concatenate([self.codes, code[starts]])
-        self.times = np.concatenate([self.times, np.add.reduceat(times, starts) if len(starts) else times])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.bincount(piece[starts], minlength=len(laid)))])
 
         text_a, text_b = ([self.text[i] for i in x.tolist()] for x in (a, b))
         a_cut, b_cut = np.concatenate([[0], np.cumsum(n_a)]).tolist(), np.concatenate([[0], np.cumsum(n_b)]).tolist()
         groups = [",".join(text_a[a_cut[g] : a_cut[g + 1]]) + "|" + ",".join(text_b[b_cut[g] : b_cut[g + 1]]) for g in range(len(common))]
         g_cut = np.concatenate([[0], np.cumsum(count(group_piece))]).tolist()
-        self.said += [";".join(groups[g_cut[p] : g_cut[p + 1]]) for p in range(len(laid))]
-        self.number.update((x, k) for k, x in enumerate(laid, len(self.said) - len(laid)) if x is not _CARRIER)
+        said = [";".join(groups[g_cut[p] : g_cut[p + 1]]) for p in range(len(laid))]
+        self.number.update((x, k) for k, x in enumerate(laid, len(self.said)) if x is not _CARRIER)
+        self.said += said
+        self.chars += sum(map(len, laid)) + sum(map(len, said))
+        return figures, code[starts], np.add.reduceat(times, starts) if len(starts) else times, np.bincount(piece[starts], minlength=len(laid))
 
     def align(self, texts: list[str]) -> list[tuple]:
         """For each text: tokens of A and B, groups, links, the groups' hash, distinct pair codes and how often each is linked."""
         lists = [self.pieces(t) if t else [] for t in texts]
         new = list(set().union(*lists).difference(self.number))
         if new:
-            if len(self.said) + len(new) > CACHE_PIECES or len(self.codes) > CACHE_PAIRS:
-                self.clear()
-                new = list(set().union(*lists))
+            if len(self.said) + len(new) > CACHE_PIECES or len(self.codes) > CACHE_PAIRS or self.chars > CACHE_CHARS:
+                self.forget()
+                new = list(set().union(*lists).difference(self.number))
             self.learn(new)
         sizes = np.array([len(x) for x in lists], np.int64)
         numbers = np.fromiter(chain.from_iterable(map(self.number.__getitem__, x) for x in lists), np.int64, int(sizes.sum()))
+        self.met += np.bincount(numbers, minlength=len(self.met))
         doc = np.repeat(np.arange(len(texts)), sizes)
         sums = np.zeros((len(texts), 5), np.int64)
         np.add.at(sums, doc, self.figures[numbers])
@@ -261,17 +300,19 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-def _portions(texts: list[str | None]) -> Iterator[list[str]]:
-    at = 0
-    while at < len(texts):
-        to, chars = at, 0
-        while to < len(texts) and (to == at or chars + len(texts[to] or "") <= BATCH_CHARS):
-            chars += len(texts[to] or "")
-            to += 1
-        yield [t or "" for t in texts[at:to]]
+def _portions(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs [at, to) of rows of at most so much in sum, or of one row."""
+    upto, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(upto, most + upto[at] - sizes[at], "right")))
+        yield at, to
         at = to
 
 
+def _lengths(column: pa.Array, measure: Callable[[pa.Array], pa.Array]) -> np.ndarray:
+    return measure(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 _ALIGNED = "uid long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes binary, times binary"
 
 
@@ -284,13 +325,13 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         width = code_type(len(it.a_bytes), len(it.b_bytes))
         schema = pa.schema([(n, {"groups_sha256": pa.string(), "codes": pa.binary(), "times": pa.binary()}.get(n, pa.int64())) for n in _names(_ALIGNED)])
         for batch in batches:
-            ids, at = batch.column(0).to_pylist(), 0
-            for texts in _portions(batch.column(1).to_pylist()):
-                rows = it.align(texts)
-                data = [range(uid, uid + len(rows)), ids[at : at + len(rows)], *zip(*(r[:5] for r in rows), strict=True)]
+            for at, to in _portions(_lengths(batch.column(1), pc.utf8_length), BATCH_CHARS):
+                ids, texts = (batch.column(c).slice(at, to - at).to_pylist() for c in (0, 1))
+                rows = it.align([t or "" for t in texts])
+                data = [range(uid, uid + len(rows)), ids, *zip(*(r[:5] for r in rows), strict=True)]
                 data += [[r[5].astype(width).tobytes() for r in rows], [r[6].astype("<u4").tobytes() for r in rows]]
                 yield pa.RecordBatch.from_arrays([pa.array(d, f.type) for d, f in zip(map(list, data), schema, strict=True)], schema=schema)
-                uid, at = uid + len(rows), at + len(rows)
+                uid += len(rows)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, _ALIGNED)
 
@@ -313,8 +354,8 @@ def pair_counts(rows: DataFrame, width: str) -> DataFrame:
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held, size = [], 0
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                held.append(np.frombuffer(blob, width))
+            for blob in batch.column(0):
+                held.append(np.frombuffer(blob.as_buffer(), width))
                 size += len(held[-1])
                 if size > COUNT_ENTRIES:
                     new, seen = np.unique(np.concatenate(held), return_counts=True)
@@ -349,7 +390,8 @@ def scores(rows: DataFrame, counts: DataFrame, width: str, b_size: int) -> DataF
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of a document's hot pairs (under a code of its own, that no pair has), and one a cold pair."""
         hot_code, hot_n, hot_best = hot.value
-        for batch in batches:
+        entry = np.dtype(width).itemsize
+        for batch in (b.slice(at, to - at) for b in batches for at, to in _portions(_lengths(b.column(1), pc.binary_length) // entry, SCORE_ENTRIES)):
             uid = batch.column(0).to_numpy()
             codes = [np.frombuffer(x, width).astype(np.int64) for x in batch.column(1).to_pylist()]
             times = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column(2).to_pylist()]
